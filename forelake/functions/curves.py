@@ -16,7 +16,7 @@ def array_sum(c) -> Column:
 
 def array_mean(c) -> Column:
     c = as_col(c)
-    return array_sum(c) / F.size(c)
+    return F.try_divide(array_sum(c), F.size(c).cast("double"))
 
 
 def shrink(c, alpha: float) -> Column:

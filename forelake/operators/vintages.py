@@ -71,8 +71,8 @@ def reversals(v: DataFrame, width: int = 6, count_undefined: bool = True, target
 def _moment_terms() -> dict[str, Column]:
     """Per-version contributions to the running moments."""
     f = F.col("forecast")
-    archive = 1 / minutes_between("target", "as_of")
-    nominal = 1 / minutes_between("target", "nominal_issue")
+    archive = F.try_divide(F.lit(1.0), minutes_between("target", "as_of"))
+    nominal = F.try_divide(F.lit(1.0), minutes_between("target", "nominal_issue"))
     return {
         "n": F.when(f.isNotNull(), F.lit(1)),
         "f": f,
@@ -89,7 +89,7 @@ def _moment_features(total: dict[str, Column]) -> dict[str, Column]:
     return {
         "n_versions": total["n"],
         "full_equal": mean,
-        "sd": F.sqrt(F.greatest(total["ff"] / total["n"] - mean * mean, F.lit(0.0))),
+        "sd": F.when(mean.isNotNull(), F.sqrt(F.greatest(total["ff"] / total["n"] - mean * mean, F.lit(0.0)))),
         "inverse_lead": total["wnf"] / total["wn"],
         "inverse_archive_lead": total["waf"] / total["wa"],
     }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from forelake.functions.numeric import rounded
 from forelake.plans.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +31,18 @@ def query(name: str, sql: str | None = None, views: str = ""):
         return fn
 
     return register
+
+
+def shown(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Round every floating column of a final result for comparison."""
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return df.select(*[rounded(c, digits).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
+def r(expression: str, name: str | None = None, digits: int = 4) -> str:
+    """The same rounding as SQL text."""
+    return f"round(CAST({expression} AS DOUBLE) + {3.0 * 10.0 ** -(digits + 4)!r}, {digits}) AS {name or expression}"
+
+
+def rs(*columns: str, digits: int = 4) -> str:
+    return ", ".join(r(c, c, digits) for c in columns)
