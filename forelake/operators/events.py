@@ -215,6 +215,7 @@ def nested_violations(ranges: DataFrame, keys: Sequence[str] = ("region", "targe
 def delayed_sale(
     paths: DataFrame, curves: DataFrame, base: str = "raw_rolling", alternate: str = "history_rolling",
     keys: Sequence[str] = ("region", "event_id"), thresholds: Sequence[float] = MATERIAL,
+    same_stock: float = SAME_STOCK, margin: float = PRICE_MARGIN,
 ) -> DataFrame:
     """Per event: postponed sales of the alternate branch and whether the window failed.
 
@@ -237,10 +238,10 @@ def delayed_sale(
     kept = F.col("soc_end_h") - F.col("soc_end_r")
     later_peak = F.array_max(F.slice("curve", 2, 7))
     opportunity = (
-        (F.abs(F.col("soc_start_r") - F.col("soc_start_h")) <= SAME_STOCK)
+        (F.abs(F.col("soc_start_r") - F.col("soc_start_h")) <= same_stock)
         & (F.col("price") > 0)
-        & (later_peak > F.get("curve", F.lit(0)) + PRICE_MARGIN)
-        & (F.col("_sale.price") < F.col("price") - PRICE_MARGIN)
+        & (later_peak > F.get("curve", F.lit(0)) + margin)
+        & (F.col("_sale.price") < F.col("price") - margin)
     )
     # The last step cannot postpone anything inside the window.
     opportunity = F.coalesce(opportunity & (F.col("step") < WINDOW_STEPS - 1), F.lit(False))
