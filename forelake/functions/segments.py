@@ -12,10 +12,11 @@ Segments are equal-width in time, twice: bins that are still too full are cut
 again over their own span. The cuts depend only on exact counts, minima and
 maxima, so a recomputed task sees the same segments.
 
-Whether a table has hot series is decided when the plan is built, by one count
-over the key columns (a map-side combined aggregate). Without any, the plan is
+Whether a table has hot series is decided when the plan is built. Input files
+small enough for one task need no cut. Otherwise one count over the key columns
+(a map-side combined aggregate) looks for hot series. Without any, the plan is
 the plain one: one shuffle, one sort. Callers that already know a table is even
-pass ``hot=False`` and skip the count.
+pass ``hot=False`` and skip the check.
 
 The broadcast tables hold one row per hot series or overfull bin, at most
 ``rows / target_rows`` rows in all.
@@ -35,6 +36,8 @@ SEGMENT = "_segment"
 HALO = "_halo"
 TARGET_ROWS = 2_000_000
 MAX_BINS = 1024
+# Input files below this size fit one task even if they were a single series.
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -83,6 +86,24 @@ def _bin_of(lo: Column, hi: Column, bins: Column) -> Column:
     return F.floor(((F.col("_pos") - lo) * bins) / (hi - lo + 1))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Total size of the tables under ``df`` as the optimizer sees it; None where it cannot be read."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except AttributeError:
+        return None
+
+
+def has_hot_series(df: DataFrame, keys: Sequence[str], target_rows: int) -> bool:
+    """Size check first, then one count job (see the module text)."""
+    if target_rows >= TARGET_ROWS:
+        size = input_bytes(df)
+        if size is not None and size <= SMALL_INPUT_BYTES:
+            return False
+    return not hot_series(df, keys, target_rows).isEmpty()
+
+
 def hot_series(df: DataFrame, keys: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """Series with more than ``target_rows`` rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (target_rows or TARGET_ROWS))
@@ -145,7 +166,7 @@ def segment_series(
     keys, order, carry = tuple(keys), tuple(order), dict(carry or {})
     target_rows = target_rows or TARGET_ROWS
     if hot is None:
-        hot = not hot_series(df, keys, target_rows).isEmpty()
+        hot = has_hot_series(df, keys, target_rows)
     if not hot:
         none = {name: F.lit(0 if kind == "sum" else None) for name, (kind, _) in carry.items()}
         return SegmentedFrame(df, keys, order, none, split=False)

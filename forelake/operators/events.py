@@ -51,10 +51,10 @@ def event_triggers(panel: DataFrame, train_end: str, features: Sequence[str] = (
     """
     deadline = shift_minutes(F.lit(train_end).cast("timestamp_ntz"), -cutoff_min)
     train = panel.filter(shift_minutes("target", horizon_min) < deadline)
-    thresholds = None
-    for f in features:
-        q = exact_quantiles(train, keys, f, [probability], [f"_t_{f}"])
-        thresholds = q if thresholds is None else thresholds.join(q, list(keys))
+    cells = F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in features])
+    long = train.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
+    levels = exact_quantiles(long, [*keys, "_f"], "_v", [probability], ["_q"])
+    thresholds = levels.groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == f, F.col("_q"))).alias(f"_t_{f}") for f in features])
     joined = panel.join(thresholds, list(keys))
     flags = {f"trigger_{f}": F.coalesce(F.col(f) >= F.col(f"_t_{f}"), F.lit(False)) for f in features}
     fired = F.lit(False)

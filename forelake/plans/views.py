@@ -153,18 +153,33 @@ class Views:
         )
 
     @cached_property
-    def _skeleton(self) -> DataFrame:
-        weeks = self._line_cells.select("day_idx").distinct()
-        return weeks.withColumn("region", F.explode(F.array(*[F.lit(r) for r in REGIONS]))).withColumn(
+    def _weeks(self) -> DataFrame:
+        """One row per week, region and policy; absent cells are null.
+
+        A week holds at most one partial row per region and policy, so the
+        missing ones are filled inside the week instead of by joins.
+        """
+        cell = F.struct("x", "price_sum", "discount_sum", "n")
+        weeks = self._line_cells.groupBy("day_idx").agg(
+            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "region", "policy").alias("k"), cell.alias("v")))).alias("_m"),
+            *[F.sum(F.when(F.col("region") == region, F.col("price_sum"))).alias(f"_p{k}") for k, region in enumerate(REGIONS)],
+            *[F.sum(F.when(F.col("region") == region, F.col("n"))).alias(f"_n{k}") for k, region in enumerate(REGIONS)],
+        )
+        regions = F.array(*[
+            F.struct(F.lit(region).alias("region"), (F.col(f"_p{k}") / F.col(f"_n{k}") / 1000).alias("actual_price")) for k, region in enumerate(REGIONS)
+        ])
+        rows = weeks.select("day_idx", "_m", F.explode(regions).alias("_r")).withColumn(
             "policy", F.explode(F.array(*[F.lit(p) for p in POLICIES]))
         )
+        found = F.try_element_at("_m", F.concat_ws("|", F.col("_r.region"), F.col("policy")))
+        return rows.select("day_idx", "_r.region", "policy", "_r.actual_price", found.alias("_c")).select(
+            "day_idx", "region", "policy", "actual_price", "_c.x", "_c.discount_sum", "_c.n"
+        )
 
     @cached_property
     def panel_full(self) -> DataFrame:
         """Weekly net by region and policy; absent cells are zero."""
-        return self._skeleton.join(self._line_cells, ["day_idx", "region", "policy"], "left").select(
-            "day_idx", "region", "policy", F.coalesce("x", F.lit(0.0)).alias("x")
-        )
+        return self._weeks.select("day_idx", "region", "policy", F.coalesce("x", F.lit(0.0)).alias("x"))
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -174,24 +189,15 @@ class Views:
     @cached_property
     def trajectory(self) -> DataFrame:
         """Weekly charge/discharge path per region and policy with stock and cash."""
-        prices = self._line_cells.groupBy("day_idx", "region").agg(
-            (F.sum("price_sum") / F.sum("n") / 1000).alias("actual_price")
-        )
-        cells = self._line_cells.select("day_idx", "region", "policy", "discount_sum", "n")
         mw = F.coalesce(F.least(F.lit(1.0), 10 * F.col("discount_sum") / F.col("n")), F.lit(0.0))
         even = F.col("day_idx") % 2 == 0
-        flows = (
-            self._skeleton.join(cells, ["day_idx", "region", "policy"], "left")
-            .join(prices, ["day_idx", "region"], "left")
-            .select(
-                "region", "policy", "day_idx",
-                shift_minutes(F.lit(FIRST_WEEK).cast("timestamp_ntz"), (F.col("day_idx") + 1) * (7 * 1440)).alias("target"),
-                F.coalesce("actual_price", F.lit(0.0)).alias("actual_price"),
-                F.when(even, mw).otherwise(0.0).alias("charge"),
-                F.when(even, 0.0).otherwise(mw).alias("discharge"),
-            )
-            .withColumn("phase", F.when(F.col("target") < F.lit(VALIDATION_END).cast("timestamp_ntz"), "validation").otherwise("evaluation"))
-        )
+        flows = self._weeks.select(
+            "region", "policy", "day_idx",
+            shift_minutes(F.lit(FIRST_WEEK).cast("timestamp_ntz"), (F.col("day_idx") + 1) * (7 * 1440)).alias("target"),
+            F.coalesce("actual_price", F.lit(0.0)).alias("actual_price"),
+            F.when(even, mw).otherwise(0.0).alias("charge"),
+            F.when(even, 0.0).otherwise(mw).alias("discharge"),
+        ).withColumn("phase", F.when(F.col("target") < F.lit(VALIDATION_END).cast("timestamp_ntz"), "validation").otherwise("evaluation"))
         # 357 weeks per series: the calendar bounds every (region, policy) group.
         return rebuild_inventory(with_cash(flows), hot=False)
 
