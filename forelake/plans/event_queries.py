@@ -8,6 +8,7 @@ from forelake.functions import curves as K
 from forelake.operators import events as E
 from forelake.plans.registry import query, r, rs, shown
 from forelake.plans.views import Views
+from forelake.session import stage
 
 TRAIN_END, HORIZON = "2024-01-15", 1320
 _REV = "list_avg(list_transform(range(1, 9), lambda i: abs(sparse_equal[i] - raw[i])))"
@@ -33,24 +34,24 @@ def panel(v: Views):
     return E.trigger_features(rows, "_rev").drop("_rev", "curve")
 
 
-def triggers(v: Views):
-    return E.event_triggers(panel(v), TRAIN_END, horizon_min=HORIZON)
+def triggers(rows):
+    return E.event_triggers(rows, TRAIN_END, horizon_min=HORIZON)
 
 
-def events(v: Views):
-    return E.eligible_events(E.event_sessions(triggers(v)), panel(v), pick=5)
+def events(rows):
+    return E.eligible_events(E.event_sessions(triggers(rows)), rows, pick=5)
 
 
 @query("event_triggers", f"""
 WITH {_TRIGGERS} SELECT region, target, {rs('forecast_peak', 'forecast_range', 'revision_absolute_mean')}, trigger_forecast_peak, trigger_forecast_range, trigger_revision_absolute_mean
 FROM trig""", "curves_wide")
 def event_triggers(v: Views):
-    return shown(triggers(v))
+    return shown(triggers(stage(panel(v))))
 
 
 @query("event_sessions", f"WITH {_SESSIONS} SELECT * FROM ses", "curves_wide")
 def event_sessions(v: Views):
-    return E.event_sessions(triggers(v))
+    return E.event_sessions(triggers(stage(panel(v))))
 
 
 @query("event_session_all", """
@@ -66,7 +67,7 @@ def event_session_all(v: Views):
 
 @query("eligible_events", f"WITH {_ELIGIBLE} SELECT region, session, first_target, last_target, triggers, event_end, first_pos, i AS sample_index FROM el", "curves_wide")
 def eligible_events(v: Views):
-    return events(v)
+    return events(stage(panel(v)))
 
 
 @query("start_features", f"""
@@ -83,11 +84,13 @@ def start_features(v: Views):
 
 
 def features(v: Views):
+    rows = stage(panel(v))
+
     def curve(policy: str):
         return v.curves_wide.select("region", "target", F.col(policy).alias("curve"))
 
     path = v.grid.select("region", "target", F.col("actual").alias("actual_price"), (F.col("raw") / 100).alias("soc_start"))
-    return E.start_features(events(v), panel(v), curve("raw"), curve("sparse_equal"), path)
+    return E.start_features(events(rows), rows, curve("raw"), curve("sparse_equal"), path)
 
 
 @query("start_ranges", f"""

@@ -47,12 +47,12 @@ def increments(v: Views):
     cells = F.array(*[
         F.struct(F.lit(m).alias("policy"), F.sum(F.when(policy == m, x).when(policy == "raw", -x).otherwise(0.0)).alias("x")) for m in MODELS
     ])
-    return v.panel.groupBy("day_idx").agg(cells.alias("_c")).select("day_idx", F.explode("_c").alias("_e")).select("day_idx", "_e.*")
+    return v.staged_panel.groupBy("day_idx").agg(cells.alias("_c")).select("day_idx", F.explode("_c").alias("_e")).select("day_idx", "_e.*")
 
 
 def regional(v: Views):
     x = F.sum(F.when(F.col("policy") == "inverse_lead", F.col("x")).otherwise(-F.col("x"))).alias("x")
-    return v.panel.filter(F.col("policy").isin("inverse_lead", "raw")).groupBy("region", "day_idx").agg(x)
+    return v.staged_panel.filter(F.col("policy").isin("inverse_lead", "raw")).groupBy("region", "day_idx").agg(x)
 
 
 def boot(panel, keys):
@@ -61,19 +61,19 @@ def boot(panel, keys):
 
 @query("block_bootstrap", f"SELECT region, policy, draw, round(mean + 3e-6, 2) AS mean FROM ({draws_sql('panel', 'region, policy')})", "panel")
 def block_bootstrap(v: Views):
-    return shown(B.block_bootstrap(v.panel, ["region", "policy"], BLOCK, DRAWS, SEED), 2)
+    return shown(B.block_bootstrap(v.staged_panel, ["region", "policy"], BLOCK, DRAWS, SEED), 2)
 
 
 @query("sampled_blocks", starts_sql(N))
 def sampled_blocks(v: Views):
     """Starts and lengths of every sampled block for the panel's own number of weeks."""
-    sizes = B.phase_sizes(v.panel)
+    sizes = B.phase_sizes(v.staged_panel)
     return B.sampled_blocks(sizes, BLOCK, DRAWS, SEED).select("draw", "blk", "start", "take")
 
 
 @query("literal_check", f"SELECT count(*) AS compared, round(0 + 3e-8, 4) AS max_error FROM ({draws_sql('panel', 'region, policy', draws=3)})", "panel")
 def literal_check(v: Views):
-    return shown(B.literal_check(v.panel, ["region", "policy"], BLOCK))
+    return shown(B.literal_check(v.staged_panel, ["region", "policy"], BLOCK))
 
 
 @query("marked_draws", f"""
@@ -85,12 +85,12 @@ def marked_draws(v: Views):
 
 
 def totals(v: Views):
-    return v.panel_full.groupBy("region", "policy").agg(F.sum("x").alias("value"))
+    return v.staged_panel_full.groupBy("region", "policy").agg(F.sum("x").alias("value"))
 
 
 def marked(v: Views):
     keys = ["region", "policy"]
-    return B.marked_draws(B.block_bootstrap(v.panel, keys, BLOCK, DRAWS, SEED), totals(v), B.points(v.panel, keys), keys, NOMINAL)
+    return B.marked_draws(B.block_bootstrap(v.staged_panel, keys, BLOCK, DRAWS, SEED), totals(v), B.points(v.staged_panel, keys), keys, NOMINAL)
 
 
 @query("percentile_ci", f"WITH {REGIONAL} SELECT region, {r('quantile_cont(mean, 0.025)', 'lo', 3)}, {r('quantile_cont(mean, 0.975)', 'hi', 3)} FROM dr GROUP BY 1", "panel")
@@ -152,7 +152,7 @@ hm AS (SELECT family, scope, least(1, max(s) OVER (ORDER BY p, scope ROWS UNBOUN
 WITH {_GAINS} SELECT k.family, k.scope, best_rule, {r('best_gain', 'best_gain', 2)}, {r('statistic', 'statistic', 2)}, draws, exceedances, {r('p', 'p_value', 2)}, {r('holm_p', 'holm_p', 2)}
 FROM k LEFT JOIN hm USING (family, scope)""", "panel")
 def reality_check(v: Views):
-    rules = v.panel.filter(F.col("policy").isin(*CURRENT))
+    rules = v.staged_panel.filter(F.col("policy").isin(*CURRENT))
     draws, observed = boot(rules, ["region", "policy"])
     return shown(I.reality_check(draws, observed, "raw", CURRENT[1:], N), 2)
 
@@ -185,7 +185,7 @@ def romano_wolf(v: Views):
 @query("model_confidence_set")
 def model_confidence_set(v: Views):
     """Losses are negative five-region sums per policy; eliminations run round by round."""
-    loss = v.panel.groupBy("policy", "day_idx").agg((-F.sum("x")).alias("x"))
+    loss = v.staged_panel.groupBy("policy", "day_idx").agg((-F.sum("x")).alias("x"))
     return shown(I.model_confidence_set(*boot(loss, ["policy"])))
 
 
@@ -281,8 +281,8 @@ fro AS (SELECT region, policy AS frozen FROM (SELECT region, policy, sum(x) + ma
 
 
 def _selection(v: Views):
-    train = v.panel.filter((F.col("day_idx") < TRAIN_N) & F.col("policy").isin(*CURRENT))
-    boundary = v.panel_full.filter("day_idx = 0").select("region", "policy", F.col("x").alias("boundary"))
+    train = v.staged_panel.filter((F.col("day_idx") < TRAIN_N) & F.col("policy").isin(*CURRENT))
+    boundary = v.staged_panel_full.filter("day_idx = 0").select("region", "policy", F.col("x").alias("boundary"))
     chosen = I.reselect(B.block_bootstrap(train, ["region", "policy"], BLOCK, DRAWS, SEED + 207), boundary, TRAIN_N)
     scores = train.groupBy("region", "policy").agg(F.sum("x").alias("s")).join(boundary, ["region", "policy"]).select(
         "region", "policy", (F.col("s") + F.col("boundary")).alias("value")
@@ -327,8 +327,8 @@ d AS (SELECT draw, {_sums('value', 'f')}, {_sums('score', 'b')} FROM j GROUP BY
 SELECT metric, {r('quantile_cont(v, 0.025)', 'p025', 2)}, {r('quantile_cont(v, 0.5)', 'median', 2)}, {r('quantile_cont(v, 0.975)', 'p975', 2)}, {r('avg(v)', 'mean', 2)} FROM m GROUP BY 1""", "panel panel_full")
 def selection_uncertainty(v: Views):
     chosen, frozen = _selection(v)
-    evaluation = v.panel.filter(F.col("day_idx") >= TRAIN_N).withColumn("day_idx", F.col("day_idx") - TRAIN_N)
-    last = v.panel_full.filter("day_idx = 356").select("region", "policy", F.col("x").alias("boundary"))
+    evaluation = v.staged_panel.filter(F.col("day_idx") >= TRAIN_N).withColumn("day_idx", F.col("day_idx") - TRAIN_N)
+    last = v.staged_panel_full.filter("day_idx = 356").select("region", "policy", F.col("x").alias("boundary"))
     full = evaluation.groupBy("region", "policy").agg(F.sum("x").alias("s")).join(last, ["region", "policy"]).select(
         "region", "policy", "boundary", (F.col("s") + F.col("boundary")).alias("value")
     )
@@ -353,7 +353,7 @@ SELECT region, period, selected, {r('c', 'selected_value', 2)}, {r('b', 'base_va
   {r('a1', 'selected_minus_base_lo', 2)}, {r('a2', 'selected_minus_base_hi', 2)}, {r('b1', 'inverse_lead_minus_selected_lo', 2)}, {r('b2', 'inverse_lead_minus_selected_hi', 2)} FROM v JOIN q USING (region, period)""", "panel panel_full")
 def selection_length(v: Views):
     offered = F.filter(F.array(*[F.struct(F.lit(n).alias("period"), F.lit(k).alias("stop")) for n, k in _LENGTHS]), lambda p: F.col("day_idx") < p["stop"])
-    scores = v.panel.filter(F.col("policy").isin(*CURRENT)).withColumn("_p", F.explode(offered)).groupBy("region", "policy", F.col("_p.period").alias("period")).agg(F.sum("x").alias("value"))
+    scores = v.staged_panel.filter(F.col("policy").isin(*CURRENT)).withColumn("_p", F.explode(offered)).groupBy("region", "policy", F.col("_p.period").alias("period")).agg(F.sum("x").alias("value"))
     choices = S.select_policy(scores, ["region", "period"])
     return shown(I.selection_length(choices, marked(v), None, totals(v), ["inverse_lead"], nominal_days=NOMINAL), 2)
 
@@ -387,6 +387,6 @@ WITH ct AS (SELECT region, day_idx, 'S_minus_R' AS contrast, sum(CASE policy WHE
 SELECT region, contrast, {r('point', 'point', 2)}, {r('lo', 'lo', 2)}, {r('hi', 'hi', 2)}, block FROM ({_table_part(7)} UNION ALL {_table_part(28)})""", "panel")
 def contrast_table(v: Views):
     pairs = [("S_minus_R", "sparse_equal", "raw"), ("IL_minus_S", "inverse_lead", "sparse_equal")]
-    return shown(I.contrast_table(v.panel, pairs, [7, 28], DRAWS, SEED), 2)
+    return shown(I.contrast_table(v.staged_panel, pairs, [7, 28], DRAWS, SEED), 2)
 
 

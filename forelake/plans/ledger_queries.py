@@ -23,16 +23,16 @@ chosen AS (SELECT region, policy AS selected FROM (SELECT region, policy, {MARK}
   QUALIFY row_number() OVER (PARTITION BY region ORDER BY {TIE}) = 1)"""
 
 
-def candidates(v: Views, phase: str):
-    return v.trajectory.filter((F.col("phase") == phase) & F.col("policy").isin(*CURRENT))
+def candidates(v: Views, phase: str, path=None):
+    return (path or v.trajectory).filter((F.col("phase") == phase) & F.col("policy").isin(*CURRENT))
 
 
-def evaluation_values(v: Views):
-    return L.marked_value(v.trajectory.filter("phase = 'evaluation'"))
+def evaluation_values(v: Views, path=None):
+    return L.marked_value((path or v.trajectory).filter("phase = 'evaluation'"))
 
 
-def chosen(v: Views):
-    return S.select_policy(L.marked_value(candidates(v, "validation")))
+def chosen(v: Views, path=None):
+    return S.select_policy(L.marked_value(candidates(v, "validation", path)))
 
 
 @query("daily_cash", f"""
@@ -232,8 +232,9 @@ SELECT b.region, selected, ex_post_best, {r('best - s.value', 'regret')}, {r('s.
   {r('(best - s.value) / 974', 'regret_per_day')}, {r('(s.value - w.value) / 974', 'gain_over_raw_per_day')}
 FROM b JOIN chosen h USING (region) JOIN c s ON s.region = b.region AND s.policy = h.selected JOIN c w ON w.region = b.region AND w.policy = 'raw'""", "trajectory")
 def selection_regret(v: Views):
-    values = L.marked_value(candidates(v, "evaluation"))
-    return shown(S.selection_regret(values, chosen(v)))
+    path = v.staged_trajectory
+    values = L.marked_value(candidates(v, "evaluation", path))
+    return shown(S.selection_regret(values, chosen(v, path)))
 
 
 _WALK = f"""e AS (SELECT *, {HALF} AS half FROM trajectory WHERE policy IN {CURRENT_SQL}),
@@ -246,7 +247,8 @@ w AS (SELECT region, half, policy AS selected, value AS score, max(latest) OVER
 
 
 def walked(v: Views):
-    return S.walk_forward(candidates(v, "validation"), candidates(v, "evaluation"))
+    path = v.staged_trajectory
+    return S.walk_forward(candidates(v, "validation", path), candidates(v, "evaluation", path))
 
 
 @query("walk_forward", f"WITH {_WALK} SELECT region, half, selected, {r('score')}, latest_outcome FROM w", "trajectory")
@@ -260,14 +262,14 @@ b AS (SELECT region, half, policy AS ex_post_best, value AS best FROM o QUALIFY
 SELECT b.region, b.half, selected, ex_post_best, {r('o.value', 'selected_value')}, {r('best - o.value', 'regret')}
 FROM b JOIN w USING (region, half) JOIN o ON o.region = b.region AND o.half = b.half AND o.policy = w.selected""", "trajectory")
 def walk_forward_regret(v: Views):
-    return shown(S.walk_forward_regret(candidates(v, "evaluation"), walked(v)))
+    return shown(S.walk_forward_regret(candidates(v, "evaluation", v.staged_trajectory), walked(v)))
 
 
 @query("stitch_inputs", f"""
 WITH {_WALK} SELECT e.region, e.target, e.half, e.policy, {r('e.actual_price', 'actual_price')}, {r('e.net', 'net')}
 FROM e JOIN w ON w.region = e.region AND w.half = e.half AND w.selected = e.policy""", "trajectory")
 def stitch_inputs(v: Views):
-    curves = v.trajectory.filter(F.col("policy").isin(*CURRENT)).select("region", "target", "policy", "actual_price", "net")
+    curves = v.staged_trajectory.filter(F.col("policy").isin(*CURRENT)).select("region", "target", "policy", "actual_price", "net")
     return shown(S.stitch_inputs(curves, walked(v)))
 
 
@@ -304,5 +306,6 @@ SELECT region, history, {rs('history_gain', 'selected_gain')}, {r('CASE WHEN abs
 def absorption(v: Views):
     from forelake.operators.describe import absorption as operator
 
-    values = evaluation_values(v).join(chosen(v).select("region", "selected"), "region")
+    path = v.staged_trajectory
+    values = evaluation_values(v, path).join(chosen(v, path).select("region", "selected"), "region")
     return shown(operator(values, "selected", "raw", HISTORY))

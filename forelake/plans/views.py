@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from forelake.functions.clock import floor_minutes, shift_minutes
 from forelake.functions.curves import gather_curves
 from forelake.operators.ledger import rebuild_inventory, with_cash
+from forelake.session import stage
 
 # The five regions and seven policies of the weekly panel.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -45,9 +46,12 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def vintages(self) -> DataFrame:
@@ -186,6 +190,21 @@ class Views:
         """Interior weeks 1..355, re-indexed from zero."""
         return self.panel_full.filter(F.col("day_idx").between(1, 355)).withColumn("day_idx", F.col("day_idx") - 1)
 
+    @cached_property
+    def staged_panel_full(self) -> DataFrame:
+        """The weekly panel written once: statistics read it several times, the line items are read once."""
+        return stage(self.panel_full)
+
+    @cached_property
+    def staged_panel(self) -> DataFrame:
+        full = self.staged_panel_full
+        return full.filter(F.col("day_idx").between(1, 355)).withColumn("day_idx", F.col("day_idx") - 1)
+
+    @cached_property
+    def staged_trajectory(self) -> DataFrame:
+        """The trajectory written once, for reports that read it several times."""
+        return stage(self.trajectory)
+
     @cached_property
     def trajectory(self) -> DataFrame:
         """Weekly charge/discharge path per region and policy with stock and cash."""
