@@ -41,7 +41,7 @@ def apply_bias(cells: DataFrame, bias: DataFrame, keys: Sequence[str] = ("step",
 
 def impute_with_indicators(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Median-filled copies of the features plus 0/1 indicators of missing values."""
-    medians = df.agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in features]).first().asDict()
+    medians = df.agg(*[F.percentile_approx(F.when(~F.isnan(f), F.col(f)), 0.5, 10_000).alias(f) for f in features]).first().asDict()
     filled = {f"{f}_filled": F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(medians[f] or 0.0)) for f in features}
     flags = {f"{f}_missing": (F.col(f).isNull() | F.isnan(f)).cast("double") for f in features}
     return df.withColumns({**filled, **flags}), [*filled, *flags]

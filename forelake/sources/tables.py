@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 def load_curves(
     spark: SparkSession, path: str, policies: Sequence[str] | None = None, cutoff: int | None = None, phase: str | None = None,
-    span: tuple[str, str] | None = None, columns: Sequence[str] | None = None, target: str = "target",
+    span: tuple[str, str] | None = None, columns: Sequence[str] | None = None, target: str = "target", policy_column: str = "policy",
+    cutoff_column: str = "cutoff_minutes", phase_column: str = "phase",
 ) -> DataFrame:
     """Parquet scan whose predicates and columns reach the reader."""
     df = spark.read.parquet(path)
     if policies is not None:
-        df = df.filter(F.col("policy").isin(*policies))
+        df = df.filter(F.col(policy_column).isin(*policies))
     if cutoff is not None:
-        df = df.filter(F.col("cutoff_minutes") == cutoff)
+        df = df.filter(F.col(cutoff_column) == cutoff)
     if phase is not None:
-        df = df.filter(F.col("phase") == phase)
+        df = df.filter(F.col(phase_column) == phase)
     if span is not None:
         start, end = (F.lit(x).cast("timestamp_ntz") for x in span)
         df = df.filter((F.col(target) >= start) & (F.col(target) < end))
@@ -64,7 +65,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 
 def general_format(column: str, digits: int = 12):
-    """Shortest decimal or exponent text with ``digits`` significant digits, trailing zeros removed."""
+    """Shortest decimal or exponent text with ``digits`` significant digits, trailing zeros removed.
+
+    An exact decimal tie rounds up.
+    """
     x = F.col(column).cast("double")
     size = F.abs(x)
     # Rounding to the kept digits may carry into the next power of ten.

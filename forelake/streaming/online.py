@@ -43,48 +43,40 @@ def online_moments(v: DataFrame, watermark: str = "12 hours", cutoff_min: int =
 
 
 MOMENT_ROWS = "region string, target timestamp, weight double, weighted double, n_versions long, late_versions long, inverse_lead double"
-MOMENT_STATE = "weight double, weighted double, n long, late long, seen array<long>"
+MOMENT_STATE = "weight double, weighted double, n long, late long"
 
 
 def expiring_moments(v: DataFrame, watermark: str = "10 minutes", cutoff_min: int = 60, delay_min: int = 0) -> DataFrame:
     """The same moments with per-target state that ends when the target passes.
 
     One row per target is emitted on expiry. Needs a state store with timers
-    (``RocksDBStateStoreProvider``). ``seen`` keeps the stamps of one target so a
-    replay is not added twice.
+    (``RocksDBStateStoreProvider``). Replays inside the watermark are dropped
+    upstream, older ones are late rows; the state of a target stays four numbers.
     """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
     import pandas as pd
-
-    cutoff_us, delay_us = cutoff_min * 60_000_000, delay_min * 60_000_000
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Moments(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.state = handle.getValueState("moments", MOMENT_STATE)
 
-        def handleInputRows(self, key, rows, timer_values):
-            target_us = pd.Timestamp(key[1]).value // 1000
-            total = self.state.get() if self.state.exists() else (0.0, 0.0, 0, 0, [])
-            weight, weighted, n, late, seen = total[0], total[1], total[2], total[3], set(total[4])
+        def handleInputRows(self, key, rows, timerValues):
+            known = self.state.exists()
+            weight, weighted, n, late = self.state.get() if known else (0.0, 0.0, 0, 0)
             for batch in rows:
-                for stamp, issue, forecast in zip(batch["as_of"], batch["nominal_issue"], batch["forecast"]):
-                    at = pd.Timestamp(stamp).value // 1000
-                    if at in seen:
-                        continue
-                    seen.add(at)
-                    if at + delay_us > target_us - cutoff_us:
-                        late += 1
-                        continue
-                    w = 60_000_000.0 / (target_us - pd.Timestamp(issue).value // 1000)
-                    weight, weighted, n = weight + w, weighted + w * forecast, n + 1
-            if not self.state.exists():
-                self.handle.registerTimer(target_us // 1000)
-            self.state.update((weight, weighted, n, late, sorted(seen)))
+                used = batch[batch["usable"]]
+                weight += float(used["w"].sum())
+                weighted += float((used["w"] * used["forecast"]).sum())
+                n += len(used)
+                late += len(batch) - len(used)
+            if not known:
+                self.handle.registerTimer(int(pd.Timestamp(key[1]).value // 1_000_000))
+            self.state.update((weight, weighted, n, late))
             return iter([])
 
-        def handleExpiredTimer(self, key, timer_values, expired):
-            weight, weighted, n, late, _ = self.state.get()
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            weight, weighted, n, late = self.state.get()
             self.state.clear()
             yield pd.DataFrame({
                 "region": [key[0]], "target": [pd.Timestamp(key[1])], "weight": [weight], "weighted": [weighted], "n_versions": [n],
@@ -94,7 +86,12 @@ def expiring_moments(v: DataFrame, watermark: str = "10 minutes", cutoff_min: in
         def close(self) -> None:
             pass
 
-    return v.withWatermark("as_of", watermark).groupBy("region", "target").transformWithStateInPandas(
+    lead = (F.unix_micros("target") - F.unix_micros("nominal_issue")) / F.lit(60_000_000.0)
+    once = (
+        usable(v, cutoff_min, delay_min).withColumn("w", F.try_divide(F.lit(1.0), lead))
+        .withWatermark("as_of", watermark).dropDuplicatesWithinWatermark(["region", "target", "as_of"])
+    )
+    return once.groupBy("region", "target").transformWithStateInPandas(
         statefulProcessor=Moments(), outputStructType=MOMENT_ROWS, outputMode="Append", timeMode="EventTime"
     )
 

@@ -1,0 +1,92 @@
+"""Residual models against closed forms."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from forelake.operators import features as X
+from forelake.operators import models as M
+
+
+@pytest.fixture(scope="module")
+def train(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 3)) * [1.0, 5.0, 0.2] + [0.0, 3.0, 1.0]
+    y = x @ [2.0, -0.5, 4.0] + 7 + rng.normal(size=400)
+    rows = [(int(k % 2), float(a), float(b), float(c), float(t), 0.0) for k, ((a, b, c), t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "step int, a double, b double, c double, actual double, price double"), x, y
+
+
+def test_ridge_equals_the_closed_form(train):
+    df, x, y = train
+    alpha = 25.0
+    model, scale = M.fit_ridge(df, ["a", "b", "c"], "actual", alpha)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    w = np.linalg.solve(z.T @ z + alpha * np.eye(3), z.T @ (y - y.mean()))
+    assert model.coefficients.toArray() == pytest.approx(w, rel=1e-6)
+    assert model.intercept == pytest.approx(y.mean(), rel=1e-6)
+    assert M.ridge_gradient(df, model, scale, ["a", "b", "c"], "actual", alpha) < 1e-5
+    got = M.predict_linear(df, model, ["a", "b", "c"], scale).agg(F.sum("prediction")).first()[0]
+    assert got == pytest.approx(float((z @ w + y.mean()).sum()), rel=1e-8)
+
+
+def test_ridge_grid_scales_the_penalty(train):
+    df, x, y = train
+    fits = M.fit_ridge_grid(df, ["a", "b", "c"], "actual", lambdas=(0.01, 1.0), steps=12)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for lam, (model, _) in fits.items():
+        w = np.linalg.solve(z.T @ z + 400 * 12 * lam * np.eye(3), z.T @ (y - y.mean()) / 100)
+        assert model.coefficients.toArray() == pytest.approx(w, rel=1e-6)
+
+
+def test_step_models_and_scoring(train):
+    df, _, _ = train
+    fits = M.fit_ridge_steps(df, ["a", "b", "c"], 1.0, steps=2)
+    assert set(fits) == {0, 1}
+    bias = M.fit_bias(df)
+    scored = M.apply_bias(df, bias)
+    residual = scored.groupBy("step").agg(F.avg(F.col("actual") - F.col("price")).alias("r")).collect()
+    assert all(abs(r["r"]) < 1e-9 for r in residual)
+    stacked = M.score_models(df.withColumn("policy", F.lit("raw")), {"bias": scored.withColumn("policy", F.lit(""))})
+    assert stacked.groupBy("policy").count().count() == 2
+
+
+def test_boosted_residuals_improve_on_bias(train):
+    df, _, y = train
+    model, columns = M.fit_gbt(df, ["a", "b", "c"], steps=2, rounds=10, min_leaf=10)
+    out = M.score_gbt(df, model, columns, steps=2)
+    mse = out.agg(F.avg((F.col("actual") - F.col("price")) ** 2)).first()[0]
+    assert mse < 0.7 * float(y.var())
+
+
+def test_missing_features_get_median_and_indicator(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),), (2.0,)], "x double")
+    filled, names = M.impute_with_indicators(df, ["x"])
+    rows = filled.select(*names).collect()
+    assert sorted(r["x_filled"] for r in rows) == [1.0, 2.0, 2.0, 2.0, 3.0] and sum(r["x_missing"] for r in rows) == 2
+
+
+def test_direct_horizon_models_and_leakage(spark):
+    from datetime import datetime, timedelta
+
+    rng = np.random.default_rng(5)
+    t0 = datetime(2022, 1, 1)
+    rows = [("A", t0 + timedelta(hours=k), float(30 + 10 * np.sin(k / 24 * 2 * np.pi) + rng.normal())) for k in range(420)]
+    prices = spark.createDataFrame(rows, "region string, target timestamp_ntz, price double")
+    fits = M.fit_direct_horizons(prices, horizons=2)
+    model, scale, columns = fits[1]
+    x = X.causal_features(prices, 1)
+    assert x.count() == 420 - 194
+    scored = M.predict_linear(x, model, columns, scale)
+    assert scored.filter("prediction is null").count() == 0
+    edge = t0 + timedelta(hours=300)
+    visible = prices.withColumn("visible", F.col("target") <= F.lit(edge - timedelta(hours=26)).cast("timestamp_ntz"))
+    changed = X.perturbation_leak_test(lambda p: X.causal_features(p, 1).filter(F.col("target") <= F.lit(edge).cast("timestamp_ntz")), visible, "visible")
+    assert changed.count() == 0
+    leaking = X.perturbation_leak_test(lambda p: X.causal_features(p, 1, delay=20, aligned=(48,)).filter(F.col("target") <= F.lit(edge).cast("timestamp_ntz")), visible, "visible")
+    assert leaking.count() > 0
+
+
+def test_one_hot(spark):
+    df = X.one_hot(spark.createDataFrame([(3,), (12,)], "month int"), "month", 12, first=1)
+    assert [r["month_02"] for r in df.orderBy("month").collect()] == [1.0, 0.0]
