@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forelake.functions.numeric import count_if, mc_error, mc_pvalue
@@ -37,33 +37,65 @@ def balance_panel(panel: DataFrame, keys: Sequence[str], members: DataFrame, day
 
 
 def phase_sizes(panel: DataFrame, phase: Sequence[str] = (), day: str = "day_idx") -> DataFrame:
+    """Days per phase."""
     return panel.groupBy(*phase).agg((F.max(day) + 1).cast("long").alias("_n"))
 
 
-def sampled_blocks(sizes: DataFrame, block: int, draws: int, seed: int = SEED, phase: Sequence[str] = ()) -> DataFrame:
-    """(phase, draw, blk, start, take): ``take`` days from ``start``, the last block shortened to fill n days."""
-    count = F.ceil(F.col("_n") / block).cast("int")
-    # Two expansions with a shuffle between, so blocks are generated in parallel.
-    by_draw = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition("draw")
-    rows = by_draw.withColumn("blk", F.explode(F.sequence(F.lit(0), count - 1)))
-    return rows.select(
-        *phase, "draw", "blk", "_n",
+def day_count(panel: DataFrame, day: str = "day_idx") -> int:
+    """Number of days of a panel without phases (runs a job returning one number)."""
+    return int(panel.agg(F.max(day)).first()[0]) + 1
+
+
+def _block_columns(block: int, seed: int) -> list[Column]:
+    return [
         block_start(seed, block, F.col("draw"), F.col("blk"), F.col("_n")).alias("start"),
         F.least(F.lit(block), F.col("_n") - F.col("blk") * block).cast("int").alias("take"),
+    ]
+
+
+def sampled_blocks(spark: SparkSession, n: int, block: int, draws: int, seed: int = SEED) -> DataFrame:
+    """(draw, blk, start, take): ``take`` days from ``start``, the last block shortened to fill n days.
+
+    A generated range, so its size is known to the optimizer, which then picks
+    broadcast or shuffle by the real number of blocks.
+    """
+    count = -(-n // block)
+    rows = spark.range(draws * count).select(
+        F.floor(F.col("id") / count).cast("int").alias("draw"), (F.col("id") % count).cast("int").alias("blk"), F.lit(n).cast("long").alias("_n")
     )
+    return rows.select("draw", "blk", "_n", *_block_columns(block, seed))
+
+
+def sampled_phase_blocks(sizes: DataFrame, block: int, draws: int, phase: Sequence[str], seed: int = SEED) -> DataFrame:
+    """The same per phase, each with its own number of days."""
+    count = F.ceil(F.col("_n") / block).cast("int")
+    # Two expansions with a shuffle between, so blocks are generated in parallel.
+    by_draw = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(*phase, "draw")
+    rows = by_draw.withColumn("blk", F.explode(F.sequence(F.lit(0), count - 1)))
+    # The optimizer cannot see how many rows the expansions make: never broadcast them.
+    return rows.select(*phase, "draw", "blk", "_n", *_block_columns(block, seed)).hint("merge")
+
+
+def _with_days(panel: DataFrame, block: int, draws: int, seed: int, phase: Sequence[str], day: str, days: int | None) -> tuple[DataFrame, DataFrame]:
+    """The panel with its number of days, and the sampled blocks."""
+    if phase:
+        sizes = phase_sizes(panel, phase, day)
+        return panel.join(sizes, list(phase)), sampled_phase_blocks(sizes, block, draws, phase, seed)
+    n = days or day_count(panel, day)
+    return panel.withColumn("_n", F.lit(n).cast("long")), sampled_blocks(panel.sparkSession, n, block, draws, seed)
 
 
 def block_bootstrap(panel: DataFrame, keys: Sequence[str], block: int = 7, draws: int = 200, seed: int = SEED,
-                    phase: Sequence[str] = (), day: str = "day_idx", value: str = "x") -> DataFrame:
+                    phase: Sequence[str] = (), day: str = "day_idx", value: str = "x", days: int | None = None) -> DataFrame:
     """Bootstrap means: (phase, keys, draw, mean), each over exactly n days.
 
     Sums of the next ``block`` days (and of the shorter last block) are attached
     to every possible start, so a sampled block costs one joined row per series.
     A series has one row per calendar day; its window is bounded by the calendar.
+    Without ``days`` the number of days is read from the panel first.
     """
     phase, keys = list(phase), [k for k in keys if k not in phase]
-    sizes = phase_sizes(panel, phase, day)
-    with_n = panel.join(sizes, phase) if phase else panel.withColumn("_n", sizes.scalar())
+    with_n, blocks = _with_days(panel, block, draws, seed, phase, day, days)
     wrapped = with_n.filter(F.col(day) < block).withColumn(day, F.col(day) + F.col("_n"))
     span = Window.partitionBy(*phase, *keys).orderBy(day).rowsBetween(0, block - 1)
     rest = F.pmod(F.col("_n"), F.lit(block)).cast("int")
@@ -75,10 +107,9 @@ def block_bootstrap(panel: DataFrame, keys: Sequence[str], block: int = 7, draws
         with_n.unionByName(wrapped)
         .withColumn("_next", F.collect_list(value).over(span))
         .filter(F.col(day) < F.col("_n"))
-        .select(*phase, *keys, F.col(day).alias("start"), total(F.col("_next")).alias("_full"),
+        .select(*phase, *keys, F.col(day).cast("long").alias("start"), total(F.col("_next")).alias("_full"),
                 total(F.slice("_next", 1, rest)).alias("_part"))
     )
-    blocks = sampled_blocks(sizes, block, draws, seed, phase)
     taken = F.when(F.col("take") == block, F.col("_full")).otherwise(F.col("_part"))
     return blocks.join(sums, [*phase, "start"]).groupBy(*phase, *keys, "draw").agg(
         (F.sum(taken) / F.max("_n")).alias("mean")
@@ -86,14 +117,14 @@ def block_bootstrap(panel: DataFrame, keys: Sequence[str], block: int = 7, draws
 
 
 def literal_bootstrap(panel: DataFrame, keys: Sequence[str], block: int, draws: int, seed: int = SEED,
-                      phase: Sequence[str] = (), day: str = "day_idx", value: str = "x") -> DataFrame:
+                      phase: Sequence[str] = (), day: str = "day_idx", value: str = "x", days: int | None = None) -> DataFrame:
     """The same means from every sampled day index written out; for checking."""
     phase, keys = list(phase), [k for k in keys if k not in phase]
-    blocks = sampled_blocks(phase_sizes(panel, phase, day), block, draws, seed, phase)
-    days = blocks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("take") - 1))).withColumn(
+    _, blocks = _with_days(panel, block, draws, seed, phase, day, days)
+    listed = blocks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("take") - 1))).withColumn(
         day, (F.col("start") + F.col("_k")) % F.col("_n")
     )
-    return days.join(panel, [*phase, day]).groupBy(*phase, *keys, "draw").agg(F.avg(value).alias("mean"))
+    return listed.join(panel, [*phase, day]).groupBy(*phase, *keys, "draw").agg(F.avg(value).alias("mean"))
 
 
 def literal_check(panel: DataFrame, keys: Sequence[str], block: int, draws: int = 3, seed: int = SEED,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forelake.functions.clock import minutes_between, shift_minutes
 from forelake.functions.curves import distance
+from forelake.functions.joins import join_small
 from forelake.functions.numeric import count_if, explode_values, share
 from forelake.functions.quantiles import exact_quantiles, series_position
 from forelake.functions.segments import segment_series
@@ -55,7 +56,7 @@ def event_triggers(panel: DataFrame, train_end: str, features: Sequence[str] = (
     long = train.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
     levels = exact_quantiles(long, [*keys, "_f"], "_v", [probability], ["_q"])
     thresholds = levels.groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == f, F.col("_q"))).alias(f"_t_{f}") for f in features])
-    joined = panel.join(thresholds, list(keys))
+    joined = join_small(panel, thresholds, keys)
     flags = {f"trigger_{f}": F.coalesce(F.col(f) >= F.col(f"_t_{f}"), F.lit(False)) for f in features}
     fired = F.lit(False)
     for name in flags:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forelake.functions.joins import join_small
 from forelake.operators.bootstrap import MODULUS, STEP_ONE, STEP_TWO
 from forelake.operators.clean import bound_prices
 
@@ -31,11 +32,8 @@ def fit_bias(train: DataFrame, keys: Sequence[str] = ("step",), price: str = "pr
 
 def apply_bias(cells: DataFrame, bias: DataFrame, keys: Sequence[str] = ("step",), price: str = "price", delivery: str | None = None,
                **bounds) -> DataFrame:
-    """Current price plus the step's bias, bounded when a delivery column is given.
-
-    ``bias`` has one row per step of the fixed horizon.
-    """
-    out = cells.join(F.broadcast(bias), list(keys)).withColumn(price, F.col(price) + F.col("bias")).drop("bias")
+    """Current price plus the step's bias, bounded when a delivery column is given."""
+    out = join_small(cells, bias, keys).withColumn(price, F.col(price) + F.col("bias")).drop("bias")
     return bound_prices(out, price, delivery, **bounds) if delivery else out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forelake.functions.clock import shift_minutes
+from forelake.functions.joins import join_small
 from forelake.functions.quantiles import series_position
 from forelake.operators.ledger import half_year, marked_value
 
@@ -162,12 +163,9 @@ def walk_forward_regret(evaluation: DataFrame, choices: DataFrame, keys: Sequenc
 
 
 def stitch_inputs(curves: DataFrame, choices: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
-    """Each half-year's rows from the policy chosen for it.
-
-    ``choices`` has one row per key and half-year, a table bounded by the calendar.
-    """
-    small = F.broadcast(choices.select(*keys, "half", F.col("selected").alias("policy")))
-    return curves.withColumn("half", half_year()).join(small, [*keys, "half", "policy"])
+    """Each half-year's rows from the policy chosen for it."""
+    picks = choices.select(*keys, "half", F.col("selected").alias("policy"))
+    return join_small(curves.withColumn("half", half_year()), picks, [*keys, "half", "policy"])
 
 
 def grid_compare(reports: DataFrame, comparator: str, baseline_setting: str, keys: Sequence[str] = ("region",), value: str = "value",

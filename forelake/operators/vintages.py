@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forelake.functions.clock import minutes_between, shift_minutes
 from forelake.functions.numeric import count_if
+from forelake.functions.quantiles import exact_quantiles
 from forelake.functions.segments import segment_series
 
 SERIES = ("region", "target")
@@ -277,14 +278,15 @@ def delayed_coherent_case(
 
 def complete_origins(long: DataFrame, steps: int = 12, keys: Sequence[str] = ("region", "origin"),
                      valid: str = "coherent_valid") -> DataFrame:
-    """Rows of origins with exactly ``steps`` rows, all valid."""
-    good = (
-        long.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), count_if(F.col(valid)).alias("_valid"))
-        .filter((F.col("_rows") == steps) & (F.col("_valid") == steps))
-        .select(*keys)
-    )
-    return long.join(good, list(keys), "left_semi")
+    """Rows of origins with exactly ``steps`` rows, all valid.
+
+    One shuffle; an origin has about ``steps`` rows.
+    """
+    origin = Window.partitionBy(*keys)
+    counted = long.withColumns({
+        "_rows": F.count(F.lit(1)).over(origin), "_valid": count_if(F.col(valid)).over(origin),
+    })
+    return counted.filter((F.col("_rows") == steps) & (F.col("_valid") == steps)).drop("_rows", "_valid")
 
 
 def pivot_steps(long: DataFrame, fields: Sequence[str], steps: int = 12,
@@ -325,18 +327,10 @@ def leakage_audit(q: DataFrame, keys: Sequence[str] = ("region",), cutoff: str =
 
 
 def delay_profile(v: DataFrame, keys: Sequence[str] = ("region",), probabilities: Sequence[float] = (0.01, 0.5, 0.99)) -> DataFrame:
-    """Exact distribution of publication delay (stamp minus nominal issue, minutes).
-
-    Delays are first counted per distinct minute value, so the percentile
-    buffers distinct values with frequencies rather than every row.
-    """
-    delay = minutes_between("as_of", "nominal_issue")
-    counted = v.groupBy(*keys, delay.alias("delay")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*keys).agg(
-        F.min("delay").alias("min"),
-        *[F.percentile("delay", F.lit(p), F.col("n")).alias(f"p{round(p * 100):02d}") for p in probabilities],
-        F.max("delay").alias("max"),
-    )
+    """Exact distribution of publication delay (stamp minus nominal issue, minutes)."""
+    delays = v.select(*keys, minutes_between("as_of", "nominal_issue").alias("delay"))
+    inner = exact_quantiles(delays, keys, "delay", probabilities, [f"p{round(p * 100):02d}" for p in probabilities])
+    return delays.groupBy(*keys).agg(F.min("delay").alias("min"), F.max("delay").alias("max")).join(inner, list(keys))
 
 
 def delay_feasibility(curves: DataFrame, delay_min: int = 30, query_time: str = "query_time",

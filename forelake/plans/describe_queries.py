@@ -9,7 +9,7 @@ from forelake.operators import models as M
 from forelake.operators import quality as Q
 from forelake.plans.registry import query, r, rs, shown
 from forelake.plans.views import EVENT_REGIONS, REGIONS, Views
-from forelake.sources.reports import version_retention
+from forelake.sources.reports import version_gaps, version_retention
 
 RAW_PANEL = "rp AS (SELECT region, day_idx, x FROM panel WHERE policy = 'raw')"
 
@@ -223,10 +223,17 @@ u AS (SELECT strftime(d, '%Y%m%d') AS day, CAST(h AS INTEGER) AS hour, count(DIS
   max(ver) - min(ver) + 1 - count(DISTINCT ver) AS gaps FROM f GROUP BY 1, 2)
 SELECT 'PriceReport' AS family, day, hour, numbered_versions, CAST(min_version AS INTEGER) AS min_version, CAST(max_version AS INTEGER) AS max_version, coalesce(gaps, 0) AS missing_versions, alias_present FROM u""")
 def version_retention_query(v: Views):
-    e = v.table("events")
-    name = F.concat(
-        F.lit("PUB_PriceReport_"), F.date_format("ts", "yyyyMMddHH"),
-        F.when(F.col("event_id") % 13 == 0, "").otherwise(F.concat(F.lit("_v"), (F.col("event_id") % 13).cast("string"))), F.lit(".xml"),
-    )
-    out = version_retention(e.select(name.alias("file_name")))
-    return out.withColumn("missing_versions", F.size("missing_versions").cast("long"))
+    return version_retention(report_names(v))
+
+
+def report_names(v: Views):
+    number = F.when(F.col("event_id") % 13 == 0, "").otherwise(F.concat(F.lit("_v"), (F.col("event_id") % 13).cast("string")))
+    return v.table("events").select(F.concat(F.lit("PUB_PriceReport_"), F.date_format("ts", "yyyyMMddHH"), number, F.lit(".xml")).alias("file_name"))
+
+
+@query("version_gaps", """
+WITH f AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS day, CAST(hour(ts) AS INTEGER) AS hour, CAST(event_id % 13 AS INTEGER) AS ver FROM events WHERE event_id % 13 <> 0),
+p AS (SELECT *, lag(ver) OVER (PARTITION BY day, hour ORDER BY ver) AS prev FROM f)
+SELECT 'PriceReport' AS family, day, hour, prev + 1 AS first_missing, ver - 1 AS last_missing FROM p WHERE ver - prev > 1""")
+def version_gaps_query(v: Views):
+    return version_gaps(report_names(v))

@@ -56,19 +56,18 @@ def regional(v: Views):
 
 
 def boot(panel, keys):
-    return B.block_bootstrap(panel, keys, BLOCK, DRAWS, SEED), B.points(panel, keys)
+    return B.block_bootstrap(panel, keys, BLOCK, DRAWS, SEED, days=N), B.points(panel, keys)
 
 
 @query("block_bootstrap", f"SELECT region, policy, draw, round(mean + 3e-6, 2) AS mean FROM ({draws_sql('panel', 'region, policy')})", "panel")
 def block_bootstrap(v: Views):
-    return shown(B.block_bootstrap(v.staged_panel, ["region", "policy"], BLOCK, DRAWS, SEED), 2)
+    return shown(B.block_bootstrap(v.staged_panel, ["region", "policy"], BLOCK, DRAWS, SEED, days=N), 2)
 
 
 @query("sampled_blocks", starts_sql(N))
 def sampled_blocks(v: Views):
     """Starts and lengths of every sampled block for the panel's own number of weeks."""
-    sizes = B.phase_sizes(v.staged_panel)
-    return B.sampled_blocks(sizes, BLOCK, DRAWS, SEED).select("draw", "blk", "start", "take")
+    return B.sampled_blocks(v.spark, B.day_count(v.panel), BLOCK, DRAWS, SEED).select("draw", "blk", "start", "take")
 
 
 @query("literal_check", f"SELECT count(*) AS compared, round(0 + 3e-8, 4) AS max_error FROM ({draws_sql('panel', 'region, policy', draws=3)})", "panel")
@@ -90,7 +89,7 @@ def totals(v: Views):
 
 def marked(v: Views):
     keys = ["region", "policy"]
-    return B.marked_draws(B.block_bootstrap(v.staged_panel, keys, BLOCK, DRAWS, SEED), totals(v), B.points(v.staged_panel, keys), keys, NOMINAL)
+    return B.marked_draws(B.block_bootstrap(v.staged_panel, keys, BLOCK, DRAWS, SEED, days=N), totals(v), B.points(v.staged_panel, keys), keys, NOMINAL)
 
 
 @query("percentile_ci", f"WITH {REGIONAL} SELECT region, {r('quantile_cont(mean, 0.025)', 'lo', 3)}, {r('quantile_cont(mean, 0.975)', 'hi', 3)} FROM dr GROUP BY 1", "panel")
@@ -283,7 +282,7 @@ fro AS (SELECT region, policy AS frozen FROM (SELECT region, policy, sum(x) + ma
 def _selection(v: Views):
     train = v.staged_panel.filter((F.col("day_idx") < TRAIN_N) & F.col("policy").isin(*CURRENT))
     boundary = v.staged_panel_full.filter("day_idx = 0").select("region", "policy", F.col("x").alias("boundary"))
-    chosen = I.reselect(B.block_bootstrap(train, ["region", "policy"], BLOCK, DRAWS, SEED + 207), boundary, TRAIN_N)
+    chosen = I.reselect(B.block_bootstrap(train, ["region", "policy"], BLOCK, DRAWS, SEED + 207, days=TRAIN_N), boundary, TRAIN_N)
     scores = train.groupBy("region", "policy").agg(F.sum("x").alias("s")).join(boundary, ["region", "policy"]).select(
         "region", "policy", (F.col("s") + F.col("boundary")).alias("value")
     )
@@ -332,7 +331,7 @@ def selection_uncertainty(v: Views):
     full = evaluation.groupBy("region", "policy").agg(F.sum("x").alias("s")).join(last, ["region", "policy"]).select(
         "region", "policy", "boundary", (F.col("s") + F.col("boundary")).alias("value")
     )
-    draws = B.block_bootstrap(evaluation, ["region", "policy"], BLOCK, DRAWS, SEED + 407)
+    draws = B.block_bootstrap(evaluation, ["region", "policy"], BLOCK, DRAWS, SEED + 407, days=EVAL_N)
     return shown(I.selection_uncertainty(chosen, draws, full, frozen, EVAL_N, _H), 2)
 
 

@@ -277,10 +277,15 @@ class Views:
         documents = self.table("documents")
         path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
         declared = documents.select(path.alias("path"), F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha256"), "doc_id")
-        kept = declared.filter(F.col("doc_id") % 10 != 0)
         changed = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256"))
-        extra = declared.filter(F.col("doc_id") % 50 == 3).withColumn("path", F.concat("path", F.lit("/extra")))
-        actual = kept.withColumn("sha256", changed).unionByName(extra).drop("doc_id")
+        copies = F.filter(
+            F.array(
+                F.struct((F.col("doc_id") % 10 != 0).alias("there"), F.col("path").alias("p"), changed.alias("s")),
+                F.struct((F.col("doc_id") % 50 == 3).alias("there"), F.concat("path", F.lit("/extra")).alias("p"), F.col("sha256").alias("s")),
+            ),
+            lambda c: c["there"],
+        )
+        actual = declared.select("bytes", F.explode(copies).alias("c")).select(F.col("c.p").alias("path"), "bytes", F.col("c.s").alias("sha256"))
         omitted = declared.filter(F.col("doc_id") % 20 == 0).select("path")
         return declared.drop("doc_id"), actual, omitted
 

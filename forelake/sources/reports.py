@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forelake.functions.segments import segment_series
 from forelake.operators.clean import coerce_drop, with_nominal_issue
 
 # Market regions, report columns and time pattern.
@@ -170,18 +171,27 @@ def parse_report_names(files: DataFrame) -> DataFrame:
     ).withColumn("is_alias", F.col("version").isNull())
 
 
-def version_retention(files: DataFrame) -> DataFrame:
-    """Per report unit: numbered versions kept, gaps between the ends, and whether the alias exists.
+UNIT = ("family", "day", "hour")
 
-    Versions are first reduced to one row each, so the set per unit is as long
-    as its version numbers.
-    """
-    versions = parse_report_names(files).groupBy("family", "day", "hour", "version").agg(F.count(F.lit(1)).alias("n"))
-    units = versions.groupBy("family", "day", "hour").agg(
+
+def version_retention(files: DataFrame) -> DataFrame:
+    """Per report unit: numbered versions kept, their ends, how many are missing between, and whether the alias exists."""
+    versions = parse_report_names(files).groupBy(*UNIT, "version").agg(F.count(F.lit(1)).alias("n"))
+    units = versions.groupBy(*UNIT).agg(
         F.count("version").alias("numbered_versions"), F.min("version").alias("min_version"), F.max("version").alias("max_version"),
-        F.sort_array(F.collect_list("version")).alias("_have"), F.max(F.col("version").isNull()).alias("alias_present"),
+        F.max(F.col("version").isNull()).alias("alias_present"),
+    )
+    missing = F.col("max_version") - F.col("min_version") + 1 - F.col("numbered_versions")
+    return units.withColumn("missing_versions", F.coalesce(missing, F.lit(0)))
+
+
+def version_gaps(files: DataFrame, target_rows: int | None = None) -> DataFrame:
+    """Runs of missing numbers between kept versions of a unit: first and last missing number."""
+    numbered = parse_report_names(files).filter("version is not null").withColumn("hour", F.coalesce("hour", F.lit(-1)))
+    kept = numbered.groupBy(*UNIT, "version").agg(F.count(F.lit(1)).alias("n"))
+    seg = segment_series(kept, UNIT, ["version"], before=1, position=F.col("version"), target_rows=target_rows)
+    found = seg.finish(seg.frame.withColumn("_prev", F.lag("version").over(seg.window)))
+    return found.filter(F.col("version") - F.col("_prev") > 1).select(
+        "family", "day", F.when(F.col("hour") >= 0, F.col("hour")).alias("hour"),
+        (F.col("_prev") + 1).alias("first_missing"), (F.col("version") - 1).alias("last_missing"),
     )
-    expected = F.when(F.col("min_version").isNotNull(), F.sequence("min_version", "max_version")).otherwise(F.array().cast("array<int>"))
-    return units.withColumn("missing_versions", F.array_except(expected, F.col("_have"))).drop("_have")
-
-

@@ -85,9 +85,11 @@ def test_xml_prices(spark, tmp_path):
 
 def test_version_names(spark):
     names = ["PUB_Zonal_2026090105_v1.xml", "PUB_Zonal_2026090105_v4.xml", "PUB_Zonal_2026090105.xml", "PUB_Zonal_20260902_v2.xml", "other.xml"]
-    got = {(r["day"], r["hour"]): r for r in R.version_retention(spark.createDataFrame([(n,) for n in names], "file_name string")).collect()}
+    files = spark.createDataFrame([(n,) for n in names], "file_name string")
+    got = {(r["day"], r["hour"]): r for r in R.version_retention(files).collect()}
     unit = got[("20260901", 5)]
-    assert unit["missing_versions"] == [2, 3] and unit["alias_present"] and unit["numbered_versions"] == 2
+    assert unit["missing_versions"] == 2 and unit["alias_present"] and unit["numbered_versions"] == 2
+    assert [tuple(r) for r in R.version_gaps(files).collect()] == [("Zonal", "20260901", 5, 2, 3)]
     assert not got[("20260902", None)]["alias_present"]
 
 
