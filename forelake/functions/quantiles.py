@@ -25,7 +25,7 @@ def exact_quantiles(
     Equal values are counted first; the wanted ranks are then read off running
     counts over sorted distinct values, in segments where a group is hot.
     """
-    names = list(names or [f"q{p:g}" for p in probabilities])
+    names = list(names or [f"q{p:g}".replace(".", "_") for p in probabilities])
     key_names = list(keys)
     counted = (
         df.filter(F.col(value).isNotNull())

@@ -162,23 +162,22 @@ def romano_wolf(draws: DataFrame, observed: DataFrame, label: str = "policy") ->
 def model_confidence_set(draws: DataFrame, observed: DataFrame, label: str = "policy") -> DataFrame:
     """Tmax elimination on losses (higher is worse); one row per model.
 
-    Each round is one aggregation over the draws, which are staged once; only a
-    few numbers per model reach the driver. At most k-1 rounds.
+    Errors are staged once as one row per draw and one column per model. A round
+    is two aggregations over that table; a few numbers per model reach the
+    driver, which decides the elimination. At most k-1 rounds.
     """
-    spark = draws.sparkSession
-    errors = stage(
-        draws.join(observed.select(label, "point"), label)
-        .select(label, "draw", (F.col("mean") - F.col("point")).alias("e"))
-    )
-    loss = {r[label]: r["point"] for r in observed.select(label, "point").collect()}
-    active = sorted(loss)
-    adjusted = {m: 1.0 for m in active}
-    rank = {m: 0 for m in active}
-    highest = 0.0
-    for step in range(1, len(active)):
-        kept = errors.filter(F.col(label).isin(*active))
-        centred = kept.withColumn("e", F.col("e") - F.avg("e").over(Window.partitionBy("draw")))
-        spread = {r[label]: r["se"] for r in centred.groupBy(label).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("se")).collect()}
+    loss = {r[label]: float(r["point"]) for r in observed.select(label, "point").collect()}
+    names = sorted(loss)
+    column = {m: f"e{k}" for k, m in enumerate(names)}
+    errors = stage(draws.groupBy("draw").agg(*[
+        (F.max(F.when(F.col(label) == m, F.col("mean"))) - loss[m]).alias(c) for m, c in column.items()
+    ]))
+    active, adjusted, rank, highest = list(names), dict.fromkeys(names, 1.0), dict.fromkeys(names, 0), 0.0
+    for step in range(1, len(names)):
+        centre = sum((F.col(column[m]) for m in active), F.lit(0.0)) / len(active)
+        centred = {m: F.col(column[m]) - centre for m in active}
+        row = errors.agg(*[F.sqrt(F.avg(e * e)).alias(column[m]) for m, e in centred.items()]).first()
+        spread = {m: row[column[m]] for m in active}
         grand = math.fsum(loss[m] for m in active) / len(active)
         gap = {m: loss[m] - grand for m in active}
         if all(abs(gap[m]) < 1e-13 and spread[m] < 1e-13 for m in active):
@@ -187,14 +186,15 @@ def model_confidence_set(draws: DataFrame, observed: DataFrame, label: str = "po
             raise ValueError("zero-variance model in a confidence-set round")
         t = {m: gap[m] / spread[m] for m in active}
         worst = max(active, key=lambda m: t[m])
-        se = F.element_at(F.create_map(*[F.lit(x) for m in active for x in (m, spread[m])]), F.col(label))
-        sims = centred.groupBy("draw").agg(F.max(F.col("e") / se).alias("s"))
-        row = sims.agg(F.count(F.lit(1)).alias("b"), count_if(F.col("s") >= t[worst]).alias("h")).first()
-        highest = max(highest, (1 + row["h"]) / (1 + row["b"]))
+        largest = F.greatest(*[e / spread[m] for m, e in centred.items()])
+        counted = errors.agg(F.count(F.lit(1)).alias("b"), count_if(largest >= t[worst]).alias("h")).first()
+        highest = max(highest, (1 + counted["h"]) / (1 + counted["b"]))
         adjusted[worst], rank[worst] = highest, step
         active.remove(worst)
-    rows = [(m, loss[m], rank[m], adjusted[m], adjusted[m] > 0.10, adjusted[m] > 0.05) for m in sorted(loss)]
-    return spark.createDataFrame(rows, f"{label} string, loss double, eliminated_at int, mcs_p double, retained_90 boolean, retained_95 boolean")
+    rows = [(m, loss[m], rank[m], adjusted[m], adjusted[m] > 0.10, adjusted[m] > 0.05) for m in names]
+    return draws.sparkSession.createDataFrame(
+        rows, f"{label} string, loss double, eliminated_at int, mcs_p double, retained_90 boolean, retained_95 boolean"
+    )
 
 
 def mean_equality_test(draws: DataFrame, observed: DataFrame, assets: Sequence[str], n: int, asset: str = "region") -> DataFrame:

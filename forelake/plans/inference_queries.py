@@ -11,7 +11,7 @@ from forelake.operators import describe as D
 from forelake.operators import inference as I
 from forelake.operators import selection as S
 from forelake.plans.registry import query, r, shown
-from forelake.plans.views import CURRENT, REGIONS, Views
+from forelake.plans.views import CURRENT, POLICIES, REGIONS, Views
 
 DRAWS, BLOCK, SEED, N, NOMINAL = 200, 7, B.SEED, 355, 357.0
 MODELS = ["sparse_equal", "inverse_lead", "current_smooth_a050"]
@@ -181,11 +181,28 @@ def romano_wolf(v: Views):
     return shown(I.romano_wolf(*boot(increments(v), ["policy"])), 3)
 
 
-@query("model_confidence_set")
+def _elimination_sql(models: int) -> str:
+    """Every round written out: active set, spreads, worst model, its p value."""
+    parts = [f"""ls AS (SELECT policy, day_idx, -sum(x) AS x FROM panel GROUP BY 1, 2), lo AS (SELECT policy, avg(x) AS loss FROM ls GROUP BY 1),
+er AS (SELECT policy, draw, mean - loss AS e FROM ({draws_sql('ls', 'policy')}) JOIN lo USING (policy)), a1 AS (SELECT policy FROM lo)"""]
+    for k in range(1, models):
+        parts.append(f"""c{k} AS (SELECT policy, draw, e - avg(e) OVER (PARTITION BY draw) AS e FROM er JOIN a{k} USING (policy)),
+s{k} AS (SELECT policy, sqrt(avg(e * e)) AS se FROM c{k} GROUP BY 1),
+w{k} AS (SELECT policy, t FROM (SELECT policy, (loss - (SELECT avg(loss) FROM lo JOIN a{k} USING (policy))) / se AS t FROM lo JOIN a{k} USING (policy) JOIN s{k} USING (policy)) ORDER BY t DESC LIMIT 1),
+p{k} AS (SELECT (1 + count(*) FILTER (WHERE m >= (SELECT t FROM w{k}))) / (1 + count(*)) AS p FROM (SELECT max(e / se) AS m FROM c{k} JOIN s{k} USING (policy) GROUP BY draw)),
+a{k + 1} AS (SELECT policy FROM a{k} WHERE policy <> (SELECT policy FROM w{k}))""")
+    rounds = " UNION ALL ".join(
+        f"SELECT policy, {k} AS k, greatest({', '.join(f'(SELECT p FROM p{j})' for j in range(1, k + 1))}) AS p FROM w{k}" for k in range(1, models)
+    )
+    return f"""WITH {', '.join(parts)}, al AS ({rounds} UNION ALL SELECT policy, 0, 1.0::DOUBLE FROM a{models})
+SELECT policy, {r('loss', 'loss', 3)}, CAST(k AS INTEGER) AS eliminated_at, {r('p', 'mcs_p', 3)}, p > 0.10 AS retained_90, p > 0.05 AS retained_95 FROM al JOIN lo USING (policy)"""
+
+
+@query("model_confidence_set", _elimination_sql(len(POLICIES)), "panel")
 def model_confidence_set(v: Views):
     """Losses are negative five-region sums per policy; eliminations run round by round."""
     loss = v.staged_panel.groupBy("policy", "day_idx").agg((-F.sum("x")).alias("x"))
-    return shown(I.model_confidence_set(*boot(loss, ["policy"])))
+    return shown(I.model_confidence_set(*boot(loss, ["policy"])), 3)
 
 
 @query("mean_equality_test")

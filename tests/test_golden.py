@@ -252,3 +252,43 @@ def test_walk_forward_uses_prior_outcomes_only(spark):
     got = {r["half"]: r for r in S.walk_forward(validation, evaluation).collect()}
     assert got["2024H1"]["selected"] == "raw" and got["2024H2"]["selected"] == "alt"
     assert got["2024H2"]["latest_outcome"] < datetime(2024, 7, 1) - timedelta(minutes=60)
+
+
+def test_mean_equality_matches_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    names, n = ["A", "B", "C"], 200
+    mu = np.array([1.0, 1.4, 0.8])
+    sims = mu + rng.normal(size=(300, 3)) * 0.2
+    draws = spark.createDataFrame([(a, k, float(sims[k, j])) for j, a in enumerate(names) for k in range(300)], "region string, draw int, mean double")
+    observed = spark.createDataFrame(list(zip(names, map(float, mu))), "region string, point double")
+    row = I.mean_equality_test(draws, observed, names, n).first()
+    a = np.column_stack([np.eye(2), -np.ones(2)])
+    v = np.sqrt(n) * (sims - mu) @ a.T
+    inverse = np.linalg.inv(np.cov(v, rowvar=False, ddof=1))
+    q = float(np.sqrt(n) * (a @ mu) @ inverse @ (np.sqrt(n) * (a @ mu)))
+    hits = int((np.einsum("bi,ij,bj->b", v, inverse, v) >= q).sum())
+    assert row["statistic"] == pytest.approx(q) and row["exceedances"] == hits
+
+
+def test_confidence_set_matches_a_direct_loop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    names, loss = ["a", "b", "c", "d"], np.array([0.0, 0.3, 1.1, 0.2])
+    sims = loss + rng.normal(size=(250, 4)) * 0.4
+    draws = spark.createDataFrame([(m, k, float(sims[k, j])) for j, m in enumerate(names) for k in range(250)], "policy string, draw int, mean double")
+    observed = spark.createDataFrame(list(zip(names, map(float, loss))), "policy string, point double")
+    got = {r["policy"]: r["mcs_p"] for r in I.model_confidence_set(draws, observed).collect()}
+    left, want, top = [0, 1, 2, 3], {}, 0.0
+    while len(left) > 1:
+        e = (sims - loss)[:, left]
+        e = e - e.mean(axis=1, keepdims=True)
+        se = np.sqrt((e ** 2).mean(axis=0))
+        t = (loss[left] - loss[left].mean()) / se
+        k = int(np.argmax(t))
+        top = max(top, (1 + int(((e / se).max(axis=1) >= t[k]).sum())) / 251)
+        want[names[left.pop(k)]] = top
+    want[names[left[0]]] = 1.0
+    assert got == pytest.approx(want)
