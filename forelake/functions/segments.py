@@ -95,7 +95,7 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def has_hot_series(df: DataFrame, keys: Sequence[str], target_rows: int) -> bool:
+def has_hot_series(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> bool:
     """Size check first, then one count job (see the module text)."""
     if target_rows >= TARGET_ROWS:
         size = input_bytes(df)

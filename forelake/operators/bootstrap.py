@@ -49,7 +49,7 @@ def day_count(panel: DataFrame, day: str = "day_idx") -> int:
 def _block_columns(block: int, seed: int) -> list[Column]:
     return [
         block_start(seed, block, F.col("draw"), F.col("blk"), F.col("_n")).alias("start"),
-        F.least(F.lit(block), F.col("_n") - F.col("blk") * block).cast("int").alias("take"),
+        F.least(F.lit(block), F.col("_n") - F.col("blk") * block).cast("long").alias("take"),
     ]
 
 
@@ -61,17 +61,17 @@ def sampled_blocks(spark: SparkSession, n: int, block: int, draws: int, seed: in
     """
     count = -(-n // block)
     rows = spark.range(draws * count).select(
-        F.floor(F.col("id") / count).cast("int").alias("draw"), (F.col("id") % count).cast("int").alias("blk"), F.lit(n).cast("long").alias("_n")
+        F.floor(F.col("id") / count).alias("draw"), (F.col("id") % count).alias("blk"), F.lit(n).cast("long").alias("_n")
     )
     return rows.select("draw", "blk", "_n", *_block_columns(block, seed))
 
 
 def sampled_phase_blocks(sizes: DataFrame, block: int, draws: int, phase: Sequence[str], seed: int = SEED) -> DataFrame:
     """The same per phase, each with its own number of days."""
-    count = F.ceil(F.col("_n") / block).cast("int")
+    count = F.ceil(F.col("_n") / block)
     # Two expansions with a shuffle between, so blocks are generated in parallel.
-    by_draw = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(*phase, "draw")
-    rows = by_draw.withColumn("blk", F.explode(F.sequence(F.lit(0), count - 1)))
+    by_draw = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>"))).repartition(*phase, "draw")
+    rows = by_draw.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)))
     # The optimizer cannot see how many rows the expansions make: never broadcast them.
     return rows.select(*phase, "draw", "blk", "_n", *_block_columns(block, seed)).hint("merge")
 
@@ -121,7 +121,7 @@ def literal_bootstrap(panel: DataFrame, keys: Sequence[str], block: int, draws:
     """The same means from every sampled day index written out; for checking."""
     phase, keys = list(phase), [k for k in keys if k not in phase]
     _, blocks = _with_days(panel, block, draws, seed, phase, day, days)
-    listed = blocks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("take") - 1))).withColumn(
+    listed = blocks.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("take") - 1))).withColumn(
         day, (F.col("start") + F.col("_k")) % F.col("_n")
     )
     return listed.join(panel, [*phase, day]).groupBy(*phase, *keys, "draw").agg(F.avg(value).alias("mean"))

@@ -145,7 +145,7 @@ def romano_wolf(draws: DataFrame, observed: DataFrame, label: str = "policy") ->
         "remaining_max": F.max("z").over(order.rowsBetween(0, Window.unboundedFollowing)),
     })
     counted = stepped.groupBy(label).agg(
-        F.max("step_rank").alias("step_rank"),
+        F.max("step_rank").cast("long").alias("step_rank"),
         F.max("point").alias("point"), F.max("se").alias("se"), F.max("t").alias("t"),
         F.count(F.lit(1)).alias("draws"),
         count_if(F.col("remaining_max") >= F.col("t")).alias("step_exceedances"),

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forelake.functions.clock import shift_minutes
 from forelake.functions.joins import join_small
 from forelake.operators.bootstrap import MODULUS, STEP_ONE, STEP_TWO
 from forelake.operators.clean import bound_prices
+from forelake.operators.features import causal_features
 
 
 def _hash_order(key: str, seed: int) -> Column:
@@ -45,40 +49,35 @@ def impute_with_indicators(df: DataFrame, features: Sequence[str]) -> tuple[Data
     return df.withColumns({**filled, **flags}), [*filled, *flags]
 
 
-def standardise(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
-    """Zero-mean, unit population-variance copies ``z_*``; constant columns keep scale 1."""
-    row = df.agg(
-        *[F.avg(f).alias(f"m_{k}") for k, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s_{k}") for k, f in enumerate(features)]
-    ).first()
-    scale = {f: (float(row[f"m_{k}"]), float(row[f"s_{k}"]) or 1.0) for k, f in enumerate(features)}
-    return apply_scale(df, scale), scale
-
-
 def apply_scale(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({f"z_{f}": (F.col(f) - m) / s for f, (m, s) in scale.items()})
 
 
-def fit_ridge(train: DataFrame, features: Sequence[str], label: str, alpha: float, standardised: bool = True):
-    """Ridge with unpenalised intercept and penalty ``alpha`` on the squared norm.
-
-    Returns (model, scale). Spark ML divides the label by its deviation before
-    penalising; the parameter undoes that.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    scale = None
-    columns = list(features)
-    data = train
-    if standardised:
-        data, scale = standardise(train, features)
-        columns = [f"z_{f}" for f in features]
-    n, sd = data.agg(F.count(label), F.stddev_pop(label)).first()
-    assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(data)
-    model = LinearRegression(
-        featuresCol="features", labelCol=label, predictionCol="prediction", regParam=alpha * float(sd) / n,
+def _fit_scaled(data: DataFrame, columns: Sequence[str], label: str, alpha: float, n: int, sd: float):
+    """Spark ML divides the label by its deviation before penalising; ``regParam`` undoes that."""
+    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(data)
+    return LinearRegression(
+        featuresCol="features", labelCol=label, predictionCol="prediction", regParam=alpha * sd / n,
         elasticNetParam=0.0, solver="normal", standardization=False,
     ).fit(assembled)
+
+
+def _moments(features: Sequence[str], label: str) -> list[Column]:
+    return [
+        F.count(label).alias("n"), F.stddev_pop(label).alias("sd"), *[F.avg(f).alias(f"m_{k}") for k, f in enumerate(features)],
+        *[F.stddev_pop(f).alias(f"s_{k}") for k, f in enumerate(features)],
+    ]
+
+
+def _scale(row, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    return {f: (float(row[f"m_{k}"]), float(row[f"s_{k}"]) or 1.0) for k, f in enumerate(features)}
+
+
+def fit_ridge(train: DataFrame, features: Sequence[str], label: str, alpha: float):
+    """Ridge on standardised features: intercept free, penalty ``alpha`` on the squared norm. Returns (model, scale)."""
+    row = train.agg(*_moments(features, label)).first()
+    scale = _scale(row, features)
+    model = _fit_scaled(apply_scale(train, scale), [f"z_{f}" for f in features], label, alpha, row["n"], float(row["sd"]))
     return model, scale
 
 
@@ -95,17 +94,25 @@ def predict_linear(df: DataFrame, model, features: Sequence[str], scale: dict |
 
 
 def fit_ridge_steps(train: DataFrame, features: Sequence[str], alpha: float, steps: int = 12, price: str = "price", actual: str = "actual") -> dict:
-    """One residual ridge per step of the fixed horizon."""
+    """One residual ridge per step of the fixed horizon; the scales of all steps come from one aggregation."""
     labelled = train.withColumn("_residual", F.col(actual) - F.col(price))
-    return {j: fit_ridge(labelled.filter(F.col("step") == j), features, "_residual", alpha) for j in range(steps)}
+    rows = {r["step"]: r for r in labelled.groupBy("step").agg(*_moments(features, "_residual")).collect()}
+    out = {}
+    for j in range(steps):
+        scale = _scale(rows[j], features)
+        data = apply_scale(labelled.filter(F.col("step") == j), scale)
+        out[j] = _fit_scaled(data, [f"z_{f}" for f in features], "_residual", alpha, rows[j]["n"], float(rows[j]["sd"])), scale
+    return out
 
 
 def fit_ridge_grid(train: DataFrame, features: Sequence[str], label: str, lambdas: Sequence[float] = (1e-4, 0.01, 1.0), steps: int = 12,
                    label_scale: float = 100.0) -> dict:
     """Ridge for each penalty n*steps*lambda with the label divided by ``label_scale``."""
     scaled = train.withColumn("_y", F.col(label) / label_scale)
-    n = scaled.count()
-    return {lam: fit_ridge(scaled, features, "_y", n * steps * lam) for lam in lambdas}
+    row = scaled.agg(*_moments(features, "_y")).first()
+    scale = _scale(row, features)
+    data, names = apply_scale(scaled, scale), [f"z_{f}" for f in features]
+    return {lam: (_fit_scaled(data, names, "_y", row["n"] * steps * lam, row["n"], float(row["sd"])), scale) for lam in lambdas}
 
 
 def ridge_gradient(train: DataFrame, model, scale, features: Sequence[str], label: str, alpha: float) -> float:
@@ -127,9 +134,6 @@ def ridge_gradient(train: DataFrame, model, scale, features: Sequence[str], labe
 def fit_direct_horizons(prices: DataFrame, horizons: int = 18, alpha: float = 100.0, train_end: str | None = None, step_min: int = 60,
                         price: str = "price", keys: Sequence[str] = ("region",), **features) -> dict:
     """One ridge per horizon on causal features; labels past ``train_end`` are purged."""
-    from forelake.functions.clock import shift_minutes
-    from forelake.operators.features import causal_features
-
     out = {}
     for h in range(horizons):
         x = causal_features(prices, h, step_min=step_min, price=price, keys=keys, **features)
@@ -149,9 +153,6 @@ def fit_gbt(train: DataFrame, features: Sequence[str], steps: int = 12, price: s
     Spark ML grows trees by depth and has no leaf penalty, so scores are close
     to, not equal to, a leaf-count learner.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     data = train.withColumns({"_residual": F.col(actual) - F.col(price), "lead_fraction": F.col("step") / (steps - 1)})
     columns = [*features, "lead_fraction"]
     assembled = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(data)
@@ -162,8 +163,6 @@ def fit_gbt(train: DataFrame, features: Sequence[str], steps: int = 12, price: s
 
 
 def score_gbt(cells: DataFrame, model, columns: Sequence[str], steps: int = 12, price: str = "price") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
     data = cells.withColumn("lead_fraction", F.col("step") / (steps - 1))
     assembled = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(data)
     scored = model.transform(assembled)

@@ -3,6 +3,10 @@
 A *vintage* table has one row per (region, target, as_of) after
 ``dedup_vintages``: the forecast for ``target`` as published at ``as_of`` by
 issue ``(seq, run_no)``. An *origin* decides for ``steps`` delivery targets.
+
+``hot`` answers beforehand whether any (region, target) is too large for one
+task (``segments.has_hot_series`` on the raw table, asked once); without it each
+operator checks its own input.
 """
 
 from __future__ import annotations
@@ -26,19 +30,19 @@ LABEL_BAND = (45, 450)
 HISTORY_BAND = (20, 645)
 
 
-def revisions(v: DataFrame, lags: Sequence[int] = REVISION_LAGS, target_rows: int | None = None) -> DataFrame:
+def revisions(v: DataFrame, lags: Sequence[int] = REVISION_LAGS, target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """Forecast minus the forecast 1/2/4/6 issues earlier for the same target."""
-    seg = segment_series(v, SERIES, ORDER, before=max(lags), target_rows=target_rows)
+    seg = segment_series(v, SERIES, ORDER, before=max(lags), target_rows=target_rows, hot=hot)
     diffs = {f"revision_{k}": F.col("forecast") - F.lag("forecast", k).over(seg.window) for k in lags}
     return seg.finish(seg.frame.withColumns(diffs))
 
 
-def rolling_revision(v: DataFrame, width: int = 6, target_rows: int | None = None) -> DataFrame:
+def rolling_revision(v: DataFrame, width: int = 6, target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """Rolling sum of absolute revisions and sample sd of revisions.
 
     The sum needs one defined revision in the window, the sd two.
     """
-    seg = segment_series(v, SERIES, ORDER, before=width, target_rows=target_rows)
+    seg = segment_series(v, SERIES, ORDER, before=width, target_rows=target_rows, hot=hot)
     with_step = seg.frame.withColumn("_d", F.col("forecast") - F.lag("forecast", 1).over(seg.window))
     frame = seg.window.rowsBetween(-(width - 1), 0)
     defined = F.count("_d").over(frame)
@@ -49,13 +53,13 @@ def rolling_revision(v: DataFrame, width: int = 6, target_rows: int | None = Non
     return seg.finish(out).drop("_d")
 
 
-def reversals(v: DataFrame, width: int = 6, count_undefined: bool = True, target_rows: int | None = None) -> DataFrame:
+def reversals(v: DataFrame, width: int = 6, count_undefined: bool = True, target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """Revision-direction changes over the last ``width`` issues.
 
     With ``count_undefined`` an undefined own or previous direction counts as a
     change unless the defined one is zero (the behaviour being matched).
     """
-    seg = segment_series(v, SERIES, ORDER, before=width + 1, target_rows=target_rows)
+    seg = segment_series(v, SERIES, ORDER, before=width + 1, target_rows=target_rows, hot=hot)
     signed = seg.frame.withColumn("_s", F.signum(F.col("forecast") - F.lag("forecast", 1).over(seg.window)))
     paired = signed.withColumn("_p", F.lag("_s", 1).over(seg.window))
     unknown = F.lit(count_undefined)
@@ -97,13 +101,13 @@ def _moment_features(total: dict[str, Column]) -> dict[str, Column]:
 
 
 def _running_moments(rows: DataFrame, order: Sequence[str], position: Column | None = None,
-                     lasts: dict[str, Column] | None = None, target_rows: int | None = None):
+                     lasts: dict[str, Column] | None = None, target_rows: int | None = None, hot: bool | None = None):
     terms = _moment_terms()
     lasts = lasts or {}
     carry = {k: ("sum", e) for k, e in terms.items()}
     carry["first_as_of"] = ("first", F.col("as_of"))
     carry.update({k: ("last", e) for k, e in lasts.items()})
-    seg = segment_series(rows, SERIES, order, carry=carry, position=position, target_rows=target_rows)
+    seg = segment_series(rows, SERIES, order, carry=carry, position=position, target_rows=target_rows, hot=hot)
     running = {f"_m_{k}": seg.running_sum(k, e) for k, e in terms.items()}
     running["first_as_of"] = seg.running_first("first_as_of", F.col("as_of"))
     running.update({k: seg.running_last(k, e) for k, e in lasts.items()})
@@ -113,25 +117,25 @@ def _running_moments(rows: DataFrame, order: Sequence[str], position: Column | N
     return tagged.withColumns(features).drop(*[f"_m_{k}" for k in terms])
 
 
-def cumulative_moments(v: DataFrame, target_rows: int | None = None) -> DataFrame:
+def cumulative_moments(v: DataFrame, target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """All-version running count, mean, population sd, inverse-lead means, first stamp."""
-    return _running_moments(v, ORDER, target_rows=target_rows)
+    return _running_moments(v, ORDER, target_rows=target_rows, hot=hot)
 
 
-def inverse_lead_mean(v: DataFrame, clock: str = "nominal", target_rows: int | None = None) -> DataFrame:
+def inverse_lead_mean(v: DataFrame, clock: str = "nominal", target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """Running mean weighted by 1/lead on the nominal or the archive clock."""
     column = {"nominal": "inverse_lead", "archive": "inverse_archive_lead"}[clock]
-    return cumulative_moments(v, target_rows).select(*v.columns, F.col(column))
+    return cumulative_moments(v, target_rows, hot).select(*v.columns, F.col(column))
 
 
 def sparse_constituents(v: DataFrame, lags: Sequence[int] = REVISION_LAGS, band=HISTORY_BAND,
-                        target_rows: int | None = None) -> DataFrame:
+                        target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """Sparse mean plus the price, stamp and lead of its earlier constituents.
 
     Only versions inside the lead band count as issues; the mean skips nulls.
     """
     inside = v.filter(minutes_between("target", "as_of").between(*band))
-    seg = segment_series(inside, SERIES, ORDER, before=max(lags), target_rows=target_rows)
+    seg = segment_series(inside, SERIES, ORDER, before=max(lags), target_rows=target_rows, hot=hot)
     w = seg.window
     lagged = {}
     for k in lags:
@@ -144,9 +148,9 @@ def sparse_constituents(v: DataFrame, lags: Sequence[int] = REVISION_LAGS, band=
     return out.withColumns({"sparse_equal": mean, **leads})
 
 
-def sparse_mean(v: DataFrame, offsets: Sequence[int] = SPARSE_OFFSETS, target_rows: int | None = None) -> DataFrame:
+def sparse_mean(v: DataFrame, offsets: Sequence[int] = SPARSE_OFFSETS, target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     lags = [k for k in offsets if k > 0]
-    return sparse_constituents(v, lags, target_rows=target_rows).select(*v.columns, "sparse_equal")
+    return sparse_constituents(v, lags, target_rows=target_rows, hot=hot).select(*v.columns, "sparse_equal")
 
 
 def explode_horizon(origins: DataFrame, steps: int = 12, step_min: int = 30) -> DataFrame:
@@ -164,7 +168,7 @@ def asof_join(
     left_on: str,
     right_on: str,
     payload: Sequence[str] | None = None,
-    target_rows: int | None = None,
+    target_rows: int | None = None, hot: bool | None = None,
 ) -> DataFrame:
     """Backward inclusive as-of join: the last version with ``right_on <= left_on``.
 
@@ -185,7 +189,7 @@ def asof_join(
         F.lit(None).cast(left.schema["_q"].dataType).alias("_q"),
     )
     seg = segment_series(
-        right.unionByName(left), by, ["_t", "_side"], carry={"v": ("last", F.col("_v"))}, target_rows=target_rows
+        right.unionByName(left), by, ["_t", "_side"], carry={"v": ("last", F.col("_v"))}, target_rows=target_rows, hot=hot
     )
     matched = seg.finish(seg.frame.withColumn("_m", seg.running_last("v", F.col("_v"))))
     names = {c: (f"{c}_version" if c in queries.columns else c) for c in payload}
@@ -194,7 +198,7 @@ def asof_join(
     )
 
 
-def history_asof(queries: DataFrame, v: DataFrame, cutoff: str = "cutoff", target_rows: int | None = None) -> DataFrame:
+def history_asof(queries: DataFrame, v: DataFrame, cutoff: str = "cutoff", target_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """Every all-version summary of (region, target) as known at each query's cutoff.
 
     Versions and queries share one sort; a query row contributes nothing to the
@@ -216,7 +220,7 @@ def history_asof(queries: DataFrame, v: DataFrame, cutoff: str = "cutoff", targe
     seen = _running_moments(
         version_rows.unionByName(query_rows), ["_t", "_side"],
         lasts={"latest_as_of": F.col("as_of"), "latest": F.col("forecast"), "latest_nominal_issue": F.col("nominal_issue")},
-        target_rows=target_rows,
+        target_rows=target_rows, hot=hot,
     )
     return seen.filter("_side = 1").select(
         *SERIES, "_q.*", "n_versions", "latest", "full_equal", "inverse_lead", "inverse_archive_lead", "sd",
@@ -226,7 +230,7 @@ def history_asof(queries: DataFrame, v: DataFrame, cutoff: str = "cutoff", targe
 
 def coherent_curve(
     origins: DataFrame, v: DataFrame, cutoff_min: int = 60, steps: int = 12, step_min: int = 30,
-    fields: Sequence[str] = ("forecast",), target_rows: int | None = None,
+    fields: Sequence[str] = ("forecast",), target_rows: int | None = None, hot: bool | None = None,
 ) -> DataFrame:
     """All steps of the one issue that was latest for step 0 at the cutoff.
 
@@ -235,7 +239,7 @@ def coherent_curve(
     """
     asked = origins.withColumn("cutoff", shift_minutes("target", -cutoff_min))
     issue = asof_join(asked, v.select(*SERIES, "as_of", "seq", "run_no"), SERIES, "cutoff", "as_of",
-                      ["as_of", "seq", "run_no"], target_rows).withColumnRenamed("as_of", "curve_as_of")
+                      ["as_of", "seq", "run_no"], target_rows, hot).withColumnRenamed("as_of", "curve_as_of")
     cells = explode_horizon(issue, steps, step_min)
     joined = cells.join(
         v.select(*SERIES, "seq", "run_no", F.col("as_of").alias("_cell_as_of"), *fields),

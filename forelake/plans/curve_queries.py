@@ -155,7 +155,8 @@ SELECT region, target, {rs('lag_0', 'lag_3', 'lag_8', 'mean_4', 'sd_4', 'mean_8'
   hour(t) AS hour, isodow(t) - 1 AS weekday, month(t) AS month, {r(f'sin((dayofyear(t) - 1) / 365.25 * {2 * math.pi})', 'year_sin')},
   {r(f'cos((dayofyear(t) - 1) / 365.25 * {2 * math.pi})', 'year_cos')} FROM f WHERE support IS NOT NULL""", "grid")
 def causal_features(v: Views):
-    return shown(features(v.grid.select("region", "target", "actual")))
+    out = features(v.grid.select("region", "target", "actual"))
+    return shown(out.withColumns({c: F.col(c).cast("long") for c in ("hour", "weekday", "month")}))
 
 
 @query("perturbation_leak_test", "SELECT count(*) AS changed_rows FROM grid WHERE false", "grid")
@@ -173,7 +174,8 @@ SELECT event_id, year(ts) AS year, month(ts) AS month, isodow(ts) - 1 AS weekday
   CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS weekend, {r(f'sin((hour(ts) + minute(ts) / 60.0) * {2 * math.pi / 24})', 'hour_sin')},
   {r(f'cos((dayofyear(ts) - 1) / 365.25 * {2 * math.pi})', 'doy_cos')} FROM events""")
 def calendar(v: Views):
-    return shown(X.calendar(v.table("events").select("event_id", "ts"), "ts").drop("ts", "hour_cos", "doy_sin"))
+    out = X.calendar(v.table("events").select("event_id", "ts"), "ts").drop("ts", "hour_cos", "doy_sin")
+    return shown(out.withColumns({c: F.col(c).cast("long") for c in ("year", "month", "weekday", "hour", "minute")}))
 
 
 @query("chronology", """

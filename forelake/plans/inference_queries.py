@@ -375,10 +375,14 @@ def selection_length(v: Views):
 
 
 def _annual_sql() -> str:
-    # Weeks 0..311 make six full 52-week years.
+    # Years of 52 weeks; the last one is shorter and has its own number of weeks.
     return f"""yr AS (SELECT region, 1995 + day_idx // 52 AS year, day_idx % 52 AS day_idx, x FROM (
-  SELECT day_idx, region, sum(CASE policy WHEN 'inverse_lead' THEN x ELSE -x END) AS x FROM panel WHERE policy IN ('inverse_lead', 'raw') AND day_idx < 312 GROUP BY 1, 2)),
-dr AS ({draws_sql('yr', 'year, region', 52)}), e AS (SELECT year, region, draw, mean, mean - point AS e, point FROM dr JOIN (SELECT year, region, avg(x) AS point FROM yr GROUP BY 1, 2) USING (year, region)),
+  SELECT day_idx, region, sum(CASE policy WHEN 'inverse_lead' THEN x ELSE -x END) AS x FROM panel WHERE policy IN ('inverse_lead', 'raw') GROUP BY 1, 2)),
+nn AS (SELECT year, count(DISTINCT day_idx) AS n FROM yr GROUP BY 1),
+st AS (SELECT year, n, draw, (((({SEED * 1_000_003 + BLOCK * 8_191}::BIGINT + draw * 131 + blk) % 2147483647) * 48271 + 12345) % 2147483647) * 69621 % 2147483647 % n AS start, least({BLOCK}, n - blk * {BLOCK}) AS take
+  FROM nn, range({DRAWS}) d(draw), range(8) b(blk) WHERE blk * {BLOCK} < n),
+dr AS (SELECT year, region, draw, avg(x) AS mean FROM (SELECT year, draw, (start + k) % n AS day_idx FROM st, range({BLOCK}) t(k) WHERE k < take) JOIN yr USING (year, day_idx) GROUP BY 1, 2, 3),
+e AS (SELECT year, region, draw, mean, mean - point AS e, point FROM dr JOIN (SELECT year, region, avg(x) AS point FROM yr GROUP BY 1, 2) USING (year, region)),
 h AS (SELECT year, region, max(point) AS point, count(*) AS draws, count(*) FILTER (WHERE e >= point) AS h1, count(*) FILTER (WHERE abs(e) >= abs(point)) AS h2, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM e GROUP BY 1, 2),
 p AS (SELECT *, (1 + h1) / (1 + draws) AS p1, (1 + h2) / (1 + draws) AS p2, year || '|' || region AS label FROM h),
 s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p1, label) + 1) * p1 AS s1, (count(*) OVER () - row_number() OVER (ORDER BY p2, label) + 1) * p2 AS s2 FROM p)"""
@@ -388,7 +392,7 @@ s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p1, label) + 1)
 WITH {_annual_sql()} SELECT year, region, {r('point', 'point', 2)}, draws, h1 AS one_sided_hits, h2 AS two_sided_hits, {r('p1', 'one_sided_p', 2)}, {r('p2', 'two_sided_p', 2)}, {r('lo', 'lo', 2)}, {r('hi', 'hi', 2)},
   {r('least(1, max(s1) OVER (ORDER BY p1, label ROWS UNBOUNDED PRECEDING))', 'holm_one', 2)}, {r('least(1, max(s2) OVER (ORDER BY p2, label ROWS UNBOUNDED PRECEDING))', 'holm_two', 2)} FROM s""", "panel")
 def annual_inference(v: Views):
-    yearly = regional(v).filter("day_idx < 312").withColumn("year", F.floor(F.col("day_idx") / 52) + 1995).withColumn("day_idx", F.col("day_idx") % 52)
+    yearly = regional(v).withColumn("year", F.floor(F.col("day_idx") / 52) + 1995).withColumn("day_idx", F.col("day_idx") % 52)
     return shown(I.annual_inference(yearly, "year", BLOCK, DRAWS, SEED).drop("monte_carlo_se"), 2)
 
 

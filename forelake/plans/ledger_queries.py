@@ -36,20 +36,25 @@ def chosen(v: Views, path=None):
 
 
 @query("daily_cash", f"""
-SELECT region, policy, CAST(target - INTERVAL 30 MINUTE AS DATE) AS execution_day, {r('sum(net)', 'net_cash')}, count(*) AS intervals FROM dispatch GROUP BY 1, 2, 3""",
+SELECT region, policy, date_trunc('day', target - INTERVAL 30 MINUTE) AS execution_day, {r('sum(net)', 'net_cash')}, count(*) AS intervals FROM dispatch GROUP BY 1, 2, 3""",
        "dispatch")
 def daily_cash(v: Views):
-    return shown(L.daily_cash(v.dispatch))
+    return _stamped(L.daily_cash(v.dispatch))
+
+
+def _stamped(daily):
+    """Days as midnight stamps, which both engines return alike."""
+    return shown(daily.withColumn("execution_day", F.col("execution_day").cast("timestamp_ntz")))
 
 
 DAILY = "daily AS (SELECT region, policy, CAST(target - INTERVAL 30 MINUTE AS DATE) AS execution_day, sum(net) AS net_cash FROM dispatch GROUP BY 1, 2, 3)"
 
 
 @query("interior_days", f"""
-WITH {DAILY} SELECT region, policy, execution_day, {r('net_cash')} FROM daily
+WITH {DAILY} SELECT region, policy, CAST(execution_day AS TIMESTAMP) AS execution_day, {r('net_cash')} FROM daily
 WHERE execution_day > (SELECT min(execution_day) FROM daily) AND execution_day < (SELECT max(execution_day) FROM daily)""", "dispatch")
 def interior_days(v: Views):
-    return shown(L.interior_days(L.daily_cash(v.dispatch).drop("intervals")))
+    return _stamped(L.interior_days(L.daily_cash(v.dispatch).drop("intervals")))
 
 
 @query("with_cash", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forelake.functions.clock import shift_minutes
 from forelake.functions.numeric import count_if
+from forelake.functions.segments import has_hot_series
 from forelake.operators import clean as C
 from forelake.operators import describe as D
 from forelake.operators import vintages as V
@@ -46,9 +47,11 @@ def history(v: Views):
 
 def flagship(v: Views):
     """Accuracy of history averages known at each decision cutoff."""
+    # Counted before de-duplication, which only lowers the counts.
+    hot = has_hot_series(v.vintages_raw, V.SERIES)
     vintages = C.dedup_vintages(v.vintages_raw)
     labelled = horizon(v).join(v.actuals, ["region", "target"])
-    seen = V.history_asof(labelled, vintages).filter("latest is not null")
+    seen = V.history_asof(labelled, vintages, hot=hot).filter("latest is not null")
     rules = F.array(*[
         F.struct(F.lit(p).alias("policy"), F.col(c).alias("price"))
         for p, c in (("raw", "latest"), ("full_equal", "full_equal"), ("inverse_lead", "inverse_lead"))
@@ -312,8 +315,8 @@ def generated_vintages(v: Views):
 
 
 @query("lead_average_renorm", f"""
-WITH p AS (SELECT event_type AS region, {'time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP $$2000-01-01$$)'.replace('$$', chr(39))} AS target,
-  avg(value) FILTER (WHERE user_id % 9 = 0) AS lead1, avg(value) FILTER (WHERE user_id % 9 = 1) AS lead2, avg(value) FILTER (WHERE user_id % 9 = 2) AS lead3
+WITH p AS (SELECT event_type AS region, {'time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP $$2000-01-01$$)'.replace('$$', chr(39))} AS target,
+  avg(value) FILTER (WHERE user_id % 3 = 0) AS lead1, avg(value) FILTER (WHERE user_id % 3 = 1) AS lead2, avg(value) FILTER (WHERE user_id % 3 = 2) AS lead3
   FROM events GROUP BY 1, 2)
 SELECT region, target, {r('(coalesce(lead1, 0) + coalesce(lead2, 0) + coalesce(lead3, 0)) / nullif((lead1 IS NOT NULL)::INT + (lead2 IS NOT NULL)::INT + (lead3 IS NOT NULL)::INT, 0)', 'lead_equal')},
   {r('(coalesce(lead1, 0) + coalesce(lead2, 0) / 2 + coalesce(lead3, 0) / 3) / nullif((lead1 IS NOT NULL)::INT + (lead2 IS NOT NULL)::INT / 2.0 + (lead3 IS NOT NULL)::INT / 3.0, 0)', 'lead_inverse')}
@@ -321,7 +324,7 @@ FROM p""")
 def lead_average_renorm(v: Views):
     from forelake.functions.clock import floor_minutes
 
-    prices = v.table("events").groupBy(F.col("event_type").alias("region"), floor_minutes("ts", 240).alias("target")).agg(*[
-        F.avg(F.when(F.col("user_id") % 9 == k, F.col("value"))).alias(f"lead{k + 1}") for k in range(3)
+    prices = v.table("events").groupBy(F.col("event_type").alias("region"), floor_minutes("ts", 30).alias("target")).agg(*[
+        F.avg(F.when(F.col("user_id") % 3 == k, F.col("value"))).alias(f"lead{k + 1}") for k in range(3)
     ])
     return shown(V.lead_average_renorm(prices, ["lead1", "lead2", "lead3"]).drop("lead1", "lead2", "lead3"))
