@@ -97,6 +97,9 @@ def fit_ridge_steps(train: DataFrame, features: Sequence[str], alpha: float, ste
     """One residual ridge per step of the fixed horizon; the scales of all steps come from one aggregation."""
     labelled = train.withColumn("_residual", F.col(actual) - F.col(price))
     rows = {r["step"]: r for r in labelled.groupBy("step").agg(*_moments(features, "_residual")).collect()}
+    absent = [j for j in range(steps) if j not in rows]
+    if absent:
+        raise ValueError(f"no training rows for steps {absent}")
     out = {}
     for j in range(steps):
         scale = _scale(rows[j], features)

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest test tables."""
+"""Every registered query against its SQL: on the smallest test tables, or the next size where curves need denser events."""
 
 from pathlib import Path
 
@@ -7,25 +7,29 @@ from compare import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-FOLDER = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables absent")
+SMALL, DENSE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not Path(DENSE).exists(), reason="test tables absent")
+# Twelve-step curves are incomplete on the smallest tables; models need them.
+ON_CURVES = {name for name in queries() if "wide_cells AS" in oracle_sql().get(name, "wide_cells AS")}
 
 
 @pytest.fixture(scope="module")
-def duck():
-    con = connect(FOLDER)
-    yield con
-    con.close()
+def engines():
+    cons = {folder: connect(folder) for folder in (SMALL, DENSE)}
+    yield cons
+    for con in cons.values():
+        con.close()
 
 
 @pytest.mark.parametrize("name", list(queries()))
-def test_query(spark, duck, name):
-    got = queries()[name](spark, FOLDER).toPandas()
+def test_query(spark, engines, name):
+    folder = DENSE if name in ON_CURVES else SMALL
+    got = queries()[name](spark, folder).toPandas()
     sql = oracle_sql().get(name)
     if sql is None:
         assert len(got)
     else:
-        assert difference(got, duck.execute(sql).df()) == ""
+        assert difference(got, engines[folder].execute(sql).df()) == ""
 
 
 def test_entry(spark):
