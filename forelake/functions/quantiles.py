@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forelake.functions.segments import segment_series
@@ -40,8 +40,11 @@ def exact_quantiles(
         target_rows=target_rows,
     )
     placed = seg.finish(seg.frame.withColumn("_upto", seg.running_sum("c", F.col("_c"))))
-    totals = counted.groupBy(*key_names).agg(F.sum("_c").alias("_n"))
-    ranked = placed.join(totals, key_names)
+    if seg.split:
+        ranked = placed.join(counted.groupBy(*key_names).agg(F.sum("_c").alias("_n")), key_names)
+    else:
+        # Same partitioning as the running counts: no further shuffle, no second scan.
+        ranked = placed.withColumn("_n", F.max("_upto").over(Window.partitionBy(*key_names)))
     found = []
     for k, p in enumerate(probabilities):
         rank = F.lit(float(p)) * (F.col("_n") - 1)

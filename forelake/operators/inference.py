@@ -41,11 +41,12 @@ def bh(df: DataFrame, family: Sequence[str], p: str = "p", label: str = "label",
 def _studentised(draws: DataFrame, observed: DataFrame, label: str) -> DataFrame:
     """Draws with point, error, fixed standard error and t statistic per label."""
     joined = draws.join(observed.select(label, "point"), label).withColumn("err", F.col("mean") - F.col("point"))
-    se = joined.groupBy(label).agg(F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("se"))
-    checked = se.withColumn("se", F.when(F.col("se") > 1e-14, F.col("se")).otherwise(
-        F.raise_error(F.lit("comparison without bootstrap variance")).cast("double")
-    ))
-    return joined.join(checked, label).withColumn("t", F.col("point") / F.col("se"))
+    # A label has one row per draw.
+    se = F.sqrt(F.avg(F.col("err") * F.col("err")).over(Window.partitionBy(label)))
+    failed = F.raise_error(F.lit("comparison without bootstrap variance")).cast("double")
+    return joined.withColumn("se", se).withColumn(
+        "se", F.when(F.col("se") > 1e-14, F.col("se")).otherwise(failed)
+    ).withColumn("t", F.col("point") / F.col("se"))
 
 
 def _p_columns(name: str, hits: Column, draws: Column) -> dict[str, Column]:

@@ -63,8 +63,8 @@ def daily_cash(traj: DataFrame, keys: Sequence[str] = SERIES, interval_min: int
 def interior_days(daily: DataFrame, keys: Sequence[str] = (), day: str = "execution_day") -> DataFrame:
     """Drop the first and last calendar day of each phase (or of the table)."""
     if not keys:
-        first, last = daily.agg(F.min(day)).scalar(), daily.agg(F.max(day)).scalar()
-        return daily.filter((F.col(day) > first) & (F.col(day) < last))
+        ends = daily.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
+        return daily.filter((F.col(day) > ends["first"]) & (F.col(day) < ends["last"]))
     ends = daily.groupBy(*keys).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
     inner = (F.col(day) > F.col("_first")) & (F.col(day) < F.col("_last"))
     return daily.join(ends, list(keys)).filter(inner).drop("_first", "_last")

@@ -171,9 +171,10 @@ def stitch_inputs(curves: DataFrame, choices: DataFrame, keys: Sequence[str] = (
 def grid_compare(reports: DataFrame, comparator: str, baseline_setting: str, keys: Sequence[str] = ("region",), value: str = "value",
                  nominal_days: float = 974.0) -> DataFrame:
     """Each setting's value minus the same-setting comparator and minus the policy's own baseline."""
-    same = reports.groupBy(*keys, "setting").agg(F.max(F.when(F.col("policy") == comparator, F.col(value))).alias("_c"))
-    own = reports.filter(F.col("setting") == baseline_setting).groupBy(*keys, "policy").agg(F.max(value).alias("_b"))
-    joined = reports.join(same, [*keys, "setting"]).join(own, [*keys, "policy"])
+    # Reports are one row per policy and setting; both windows hold a short list.
+    same = F.max(F.when(F.col("policy") == comparator, F.col(value))).over(Window.partitionBy(*keys, "setting"))
+    own = F.max(F.when(F.col("setting") == baseline_setting, F.col(value))).over(Window.partitionBy(*keys, "policy"))
+    joined = reports.withColumns({"_c": same, "_b": own})
     gain = F.col(value) - F.col("_c")
     return joined.select(
         *keys, "setting", "policy", value, gain.alias("minus_comparator"), (F.col(value) - F.col("_b")).alias("minus_own_baseline"),

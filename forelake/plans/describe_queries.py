@@ -110,7 +110,8 @@ def corr_pearson(v: Views):
 WITH {RAW_PANEL}, k AS (SELECT region, day_idx, rank() OVER (PARTITION BY region ORDER BY x) + (count(*) OVER (PARTITION BY region, x) - 1) / 2.0 AS x FROM rp)
 SELECT a.region AS asset, b.region AS other, {r('corr(a.x, b.x)', 'correlation')} FROM k a JOIN k b USING (day_idx) GROUP BY 1, 2""", "panel")
 def corr_spearman(v: Views):
-    return shown(D.corr_matrix(raw_panel(v), REGIONS, "spearman"))
+    daily = v.staged_panel.filter("policy = 'raw'").select("region", "day_idx", "x")
+    return shown(D.corr_matrix(daily, REGIONS, "spearman"))
 
 
 @query("corr_prices", f"""
@@ -139,7 +140,7 @@ t AS (SELECT policy, var_pop(x) AS total FROM panel GROUP BY 1)
 SELECT policy, n, {r('"within"', '"within"', 1)}, {r('between_', '"between"', 1)}, {r('grand_mean', 'grand_mean', 1)}, {r('total', 'total', 1)}, {r('between_ / total', 'between_share', 1)},
   {r('"within" / total', 'within_share', 1)}, {r('0', 'residual', 1)} FROM s JOIN t USING (policy)""", "panel")
 def variance_decomposition(v: Views):
-    return shown(D.variance_decomposition(v.panel, ["policy"]), 1)
+    return shown(D.variance_decomposition(v.staged_panel, ["policy"]), 1)
 
 
 @query("daily_descriptives", f"""

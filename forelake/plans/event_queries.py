@@ -98,7 +98,7 @@ WITH {_ELIGIBLE} SELECT el.region, count(*) AS starts, min(first_target) AS firs
   {r('max(g.raw / 100)', 'max_stock')}, {r('min(g.actual)', 'min_price')}, {r('max(g.actual)', 'max_price')}, {r('quantile_cont(revision_absolute_mean, 0.5)', 'median_revision')}
 FROM el JOIN pnl ON pnl.region = el.region AND pnl.target = el.first_target JOIN grid g ON g.region = el.region AND g.target = el.first_target GROUP BY 1""", "curves_wide grid")
 def start_ranges(v: Views):
-    return shown(E.start_ranges(features(v)))
+    return shown(E.start_ranges(stage(features(v))))
 
 
 _PROBES = """ends AS (SELECT region, event_id, branch, sum(net) AS net_cash, arg_max(soc_end, step) AS final_stock, arg_max(actual_price, step) AS last_price,
@@ -122,7 +122,7 @@ WITH {_PROBES} SELECT region, branch, count(*) AS probes, {r('avg(marked_delta)'
   count(*) FILTER (WHERE marked_delta > 0.01) AS positive, count(*) FILTER (WHERE marked_delta < -0.01) AS negative,
   count(*) FILTER (WHERE abs(first_action_delta) > 0.1) AS material_first_changes, {r('quantile_cont(marked_delta, 0.5)', 'median')} FROM pr GROUP BY 1, 2""", "branches")
 def probe_distribution(v: Views):
-    return shown(E.probe_distribution(E.probe_summary(v.branches, step_min=10080)))
+    return shown(E.probe_distribution(stage(E.probe_summary(v.branches, step_min=10080))))
 
 
 _SEP = "greatest(raw_lower - history_upper, history_lower - raw_upper)"
@@ -181,9 +181,10 @@ starts AS (SELECT region, event_id, threshold, first_target, cash_delta, stock_d
 
 
 def sales(v: Views):
-    weekly = v.trajectory.groupBy("region", "target").agg(F.max("actual_price").alias("curve"))
+    path = v.staged_trajectory
+    weekly = path.groupBy("region", "target").agg(F.max("actual_price").alias("curve"))
     ahead = K.gather_curves(weekly, ["curve"], steps=12, step_min=7 * 1440)
-    return E.delayed_sale(v.branches, ahead, same_stock=0.5, margin=0.5)
+    return E.delayed_sale(v.branch_windows(path), ahead, same_stock=0.5, margin=0.5)
 
 
 @query("delayed_sale", f"""

@@ -232,12 +232,16 @@ class Views:
 
     @cached_property
     def branches(self) -> DataFrame:
+        return self.branch_windows(self.trajectory)
+
+    @staticmethod
+    def branch_windows(path: DataFrame) -> DataFrame:
         """48-week windows of three policies read as probe branches with a common start."""
         names = F.when(F.col("policy") == "raw", "raw_rolling").when(
             F.col("policy") == "sparse_equal", "history_rolling"
         ).when(F.col("policy") == "inverse_lead", "one_history_then_raw")
         windows = (
-            self.trajectory.withColumn("branch", names)
+            path.withColumn("branch", names)
             .filter("branch is not null and day_idx < 336")
             .select(
                 "region", F.floor(F.col("day_idx") / 48).alias("event_id"), "branch",
