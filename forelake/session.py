@@ -27,15 +27,25 @@ def build_session(app_name: str = "forelake", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; see ``stage``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder (runs a job).
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is made only
-    where nothing is configured, which is the case in local tests.
+    The folder comes from ``spark.checkpoint.dir``. A session that runs in one
+    process (``local[n]``) may go without the setting and gets a temporary folder;
+    any other master must name a folder that driver and executors share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
