@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forelake.llm import langid, linededup, mixing, packing, simhash
+from forelake.llm import fingerprints, langid, licenses, linededup, mixing, neighbours, packing, pages, simhash, substrings
 from forelake.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LINE_SQL = f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -69,5 +73,45 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op4_simhash, op5_mixing, op6_language)}
-SQL = {"op2_line_dedup": _LINE_SQL, "op5_mixing": _MIX_SQL}
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+_NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licenses.TEMPLATES.items())
+_LICENSE_SQL = f"""
+WITH words AS (
+    SELECT 0 AS kind, doc_id, NULL AS license, [lower(x) for x in regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')] AS w FROM documents
+    UNION ALL SELECT 1, NULL, name, [lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9]+')] FROM (VALUES {_NOTICES}) AS t(name, text)),
+runs AS (
+    SELECT kind, doc_id, license, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS s,
+           unnest(range(0, len(w) - 4)) AS pos
+    FROM words WHERE len(w) >= 5),
+notices AS (SELECT DISTINCT license, s FROM runs WHERE kind = 1),
+sized AS (SELECT license, count(*) AS n, pow(2, ceil(log2(count(*))))::BIGINT AS half FROM notices GROUP BY license),
+hits AS (
+    SELECT r.doc_id, n.license, z.n, z.half, r.s, r.pos // z.half - b.back AS win
+    FROM runs r JOIN notices n USING (s) JOIN sized z ON z.license = n.license CROSS JOIN (VALUES (0), (1)) AS b(back)
+    WHERE r.kind = 0),
+counted AS (
+    SELECT doc_id, license, n, win * half AS start, count(DISTINCT s) AS matched FROM hits WHERE win >= 0
+    GROUP BY doc_id, license, n, win, half HAVING count(DISTINCT s) >= n * 0.8),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY matched DESC, start) AS place FROM counted)
+SELECT doc_id, license, matched, n AS template_shingles, matched::DOUBLE / n AS containment, start AS first_shingle FROM best WHERE place = 1
+"""
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_neighbours, op4_simhash, op5_mixing, op6_language, op7_html, op8_license_scan, op9_suffix_dedup, op10_fingerprints)}
+SQL = {"op8_license_scan": _LICENSE_SQL, "op2_line_dedup": _LINE_SQL, "op5_mixing": _MIX_SQL}
