@@ -24,7 +24,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling hash's base and of its inverse, modulo 2**64."""
     if _POWERS.get(0, (np.empty(0),))[0].size < n:
         size = 1 << max(16, n.bit_length())
-        _POWERS[0] = tuple(np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
+        factors = np.ones((2, size), np.uint64)
+        factors[0, 1:], factors[1, 1:] = _BASE, pow(_BASE, -1, 2**64)
+        _POWERS[0] = tuple(np.cumprod(factors, axis=1))
     up, down = _POWERS[0]
     return up[:n], down[:n]
 
