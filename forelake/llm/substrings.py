@@ -246,15 +246,17 @@ def repeated_stretches(texts: DataFrame, length: int = LENGTH, together: int = T
     counted before anything is compared; different ones are compared bytewise.
     """
     reach = length - length // 2
-    found = stage(anchor_rows(texts, length))
+    found = anchor_rows(texts, length)
     keys = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").drop("n")
     again = found.join(keys, "key")
     place = F.struct("doc", "sig", "pos")
-    groups = again.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.first("alike").alias("alike"))
+    # Grouped by a struct, so that rows are dealt anew and the join before may split a hot key.
+    pair = F.struct("key", "context").alias("pair")
+    groups = again.groupBy(pair).agg(F.count("*").alias("n"), F.min(place).alias("one"), F.first("alike").alias("alike")).select("pair.*", "n", "one", "alike")
     repeated = groups.where("n > 1").select("key", "context")
     equal = again.join(repeated, ["key", "context"]).select("doc", "sig", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("stop"))
     mixed = groups.where("NOT alike").select("key", "one.*", (F.col("n") == 1).alias("once"))
-    contexts = _context_rows(texts, mixed, length).distinct()
+    contexts = _context_rows(texts, mixed, length)
     many = stage(mixed.groupBy("key").count().where(F.col("count") > together).select("key"))
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = _compare(contexts.join(many, "key", "left_anti").repartition(tasks, "key").sortWithinPartitions("key"), length)
