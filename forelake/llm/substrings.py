@@ -247,8 +247,9 @@ def repeated_stretches(texts: DataFrame, length: int = LENGTH, together: int = T
     """
     reach = length - length // 2
     found = anchor_rows(texts, length)
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").drop("n")
-    again = found.join(keys, "key")
+    # Both are parts of the anchors, far smaller than the texts; with them written, anchors are computed twice in all.
+    keys = stage(found.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").drop("n"))
+    again = stage(found.join(keys, "key"))
     place = F.struct("doc", "sig", "pos")
     # Grouped by a struct, so that rows are dealt anew and the join before may split a hot key.
     pair = F.struct("key", "context").alias("pair")
