@@ -17,13 +17,16 @@ END_ID = 2
 #: Documents that one packing task gets on average; it keeps six numbers for each of their pieces.
 DOCS_PER_TASK = 100_000
 #: Distinct words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 #: The splitting rule of the tokenizer's file, for texts in which every character is Latin-1.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9\xb2\xb3\xb9\xbc-\xbea-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
 
+#: A worker's encoders by path; its later tasks find the ids of frequent pieces there.
+_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+
 
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
@@ -36,6 +39,8 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
 
     import numpy as np
 
+    if path in _ENCODERS:
+        return _ENCODERS[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -59,6 +64,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         ids.update(zip(new, map(pack, tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return b"".join(map(ids.__getitem__, pieces))
 
+    _ENCODERS[path] = encode
     return encode
 
 
