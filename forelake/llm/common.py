@@ -34,15 +34,14 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], chu
     (group, chunk) are combined before the shuffle; a window over chunks gives
     each chunk its start, and rows are only sorted inside (group, chunk).
     """
-    keys = [*group, chunk]
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*keys).agg(F.sum(value).alias("__total")).select(*keys, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
-    rows = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = F.lit(True)
-    for k in keys:
-        same = same & rows[k].eqNullSafe(starts[k])
-    return rows.join(starts, same).select(*[rows[c] for c in df.columns], (F.col("__inside") + F.col("__start")).cast("long").alias(out))
+    # One struct as key: rows that a join has gathered by group are dealt out anew.
+    cell, lane = F.struct(*group, chunk), F.struct(*group)
+    inside = Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__lane").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(cell.alias("__cell"), lane.alias("__lane"), chunk).agg(F.sum(value).alias("__total"))
+    starts = totals.select("__cell", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
+    rows = df.withColumn("__cell", cell).withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(starts, "__cell").select(*df.columns, (F.col("__inside") + F.col("__start")).cast("long").alias(out))
 
 
 def connected(links: DataFrame, left: str, right: str) -> DataFrame:
