@@ -113,7 +113,7 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: in
     random = np.random.default_rng(seed)
     languages = sorted(set(labels))
     spans, lengths = to_spans(texts, span)
-    target = np.array([languages.index(x) for x, k in zip(labels, lengths, strict=True) for _ in range(k)])
+    target = np.array([languages.index(x) for x, k in zip(labels, lengths, strict=True) for _ in range(k)], dtype=np.int64)
     used = _LETTER_BYTE[spans]
     draw = lambda *shape: random.normal(0, 1 / np.sqrt(hidden), shape).astype(np.float32)
     net = Network(Direction(draw(3 * hidden, 256), draw(3 * hidden, hidden)), Direction(draw(3 * hidden, 256), draw(3 * hidden, hidden)), draw(len(languages), 2 * hidden + 1), languages)

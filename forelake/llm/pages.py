@@ -178,7 +178,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Pages are put in order of host and URL path; each is paired with the nearer of
     its two neighbours of the same host (longest common path; a copy of the page is
-    passed over). Their lines are aligned by longest common subsequence, on 64-bit
+    passed over, whole copies beforehand). Their lines are aligned by longest common subsequence, on 64-bit
     line hashes. Shared lines go, unless the page's own markup holds them inside an
     article: there, passages shared with other articles are text. Parts that are
     named as menus, headers, footers, sidebars, notices, adverts, forms or comments
@@ -196,13 +196,14 @@ def extract(pages: DataFrame) -> DataFrame:
             keys = [line_keys(body_lines(h.as_py())) for h in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.list_(pa.int64()))], names=["host", "path", "page_id", "sig", "keys"])
 
-    hashed = rows.select("host", "path", "page_id", "sig", "html").mapInArrow(hash_lines, "host string, path string, page_id long, sig long, keys array<long>").dropDuplicates(["page_id", "sig"])
+    hashed = rows.select("host", "path", "page_id", "sig", "html").mapInArrow(hash_lines, "host string, path string, page_id long, sig long, keys array<long>").withColumn("mark", F.xxhash64("keys"))
+    # Pages of a host with equal lines stand in the order once, so that every neighbour differs.
+    distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys")).alias("one")).select("host", "one.path", "mark", "one.keys")
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = following(hashed, ["host", "path", "page_id", "sig"], tasks)
-    slim = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.struct(F.col(f"{c}.host").alias("host"), F.col(f"{c}.path").alias("path"), F.col(f"{c}.keys").alias("keys")))
-    own = F.struct("page_id", "sig")
-    same = lambda c: F.struct(f"{c}.page_id", f"{c}.sig") != own
-    near = near.select("page_id", "sig", F.when(same("before"), slim("before")).alias("before"), F.when(same("after"), slim("after")).alias("after")).withColumnsRenamed({"page_id": "near_id", "sig": "near_sig"})
+    near = following(distinct, ["host", "path", "mark"], tasks)
+    slim = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.mark") != F.col("mark")), F.struct(F.col(f"{c}.host").alias("host"), F.col(f"{c}.path").alias("path"), F.col(f"{c}.keys").alias("keys")))
+    near = near.select("host", "mark", slim("before").alias("before"), slim("after").alias("after"))
+    near = hashed.select("page_id", "sig", "host", "mark").distinct().join(near, ["host", "mark"]).select(F.col("page_id").alias("near_id"), F.col("sig").alias("near_sig"), "before", "after")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
