@@ -3,8 +3,8 @@
 A panel has one row per (series, day) with a gap-free ``day_idx`` from 0; every
 series of a phase has every day. All series of a phase share the sampled days.
 
-Block starts come from integer arithmetic on (seed, block length, draw, block
-number), so they do not depend on partitioning and any engine can repeat them.
+Block starts are a hash of the counter (seed, block length, draw, block number),
+so they do not depend on partitioning and any engine can repeat them.
 """
 
 from __future__ import annotations
@@ -16,19 +16,18 @@ from pyspark.sql import functions as F
 
 from forelake.functions.numeric import count_if, mc_error, mc_pvalue
 
-# Modulus and multipliers of the start sequence.
-MODULUS = 2_147_483_647
-DRAW_KEY = (1_000_003, 8_191, 131)
-STEP_ONE, STEP_ADD, STEP_TWO = 48_271, 12_345, 69_621
 SEED = 20261001
 
 
+def counter_hash(*parts) -> Column:
+    """Evenly distributed integer below 2**52 from a counter: leading digits of its MD5."""
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def block_start(seed: int, block: int, draw: Column, blk: Column, n: Column) -> Column:
     """Start day in 0..n-1 of one block of one draw."""
-    a, b, c = DRAW_KEY
-    base = F.lit(seed * a + block * b).cast("long") + draw.cast("long") * c + blk.cast("long")
-    first = ((base % MODULUS) * STEP_ONE + STEP_ADD) % MODULUS
-    return (first * STEP_TWO % MODULUS) % n
+    return counter_hash(seed, block, draw, blk) % n
 
 
 def balance_panel(panel: DataFrame, keys: Sequence[str], members: DataFrame, day: str = "day_idx", value: str = "x") -> DataFrame:

@@ -11,21 +11,17 @@ from pyspark.sql import functions as F
 
 from forelake.functions.clock import shift_minutes
 from forelake.functions.joins import join_small
-from forelake.operators.bootstrap import MODULUS, STEP_ONE, STEP_TWO
+from forelake.operators.bootstrap import counter_hash
 from forelake.operators.clean import bound_prices
 from forelake.operators.features import causal_features
 
 
-def _hash_order(key: str, seed: int) -> Column:
-    return (((F.col(key).cast("long") % MODULUS) * STEP_ONE + seed) % MODULUS) * STEP_TWO % MODULUS
-
-
 def sample_rows(df: DataFrame, n: int, seed: int, key: str, order: Sequence[str]) -> DataFrame:
     """``n`` rows drawn without replacement by hashed key, returned in time order.
 
     ``limit`` after a sort is a distributed top-n; ``key`` is a unique integer.
     """
-    picked = df.withColumn("_h", _hash_order(key, seed)).orderBy("_h", key).limit(n)
+    picked = df.withColumn("_h", counter_hash(seed, F.col(key).cast("long"))).orderBy("_h", key).limit(n)
     return picked.drop("_h").orderBy(*order)
 
 

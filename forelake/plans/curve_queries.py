@@ -275,6 +275,6 @@ def overlay_source_query(v: Views):
 
 
 @query("sample_rows", """
-SELECT o_orderkey, o_orderdate FROM orders ORDER BY (((o_orderkey % 2147483647) * 48271 + 20260901) % 2147483647) * 69621 % 2147483647, o_orderkey LIMIT 500""")
+SELECT o_orderkey, o_orderdate FROM orders ORDER BY ('0x' || substr(md5(concat_ws('|', 20260901, o_orderkey)), 1, 13))::BIGINT, o_orderkey LIMIT 500""")
 def sample_rows_query(v: Views):
     return sample_rows(v.table("orders").select("o_orderkey", "o_orderdate"), 500, 20260901, "o_orderkey", ["o_orderdate", "o_orderkey"])

@@ -19,9 +19,12 @@ LIST = "(" + ", ".join(f"'{m}'" for m in MODELS) + ")"
 CURRENT_LIST = "(" + ", ".join(f"'{m}'" for m in CURRENT) + ")"
 
 
+def hash_sql(seed: int, block: int) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {seed}, {block}, draw, blk)), 1, 13))::BIGINT"
+
+
 def starts_sql(n: int, block: int = BLOCK, seed: int = SEED, draws: int = DRAWS) -> str:
-    base = seed * 1_000_003 + block * 8_191
-    return (f"SELECT draw, blk, (((({base}::BIGINT + draw * 131 + blk) % 2147483647) * 48271 + 12345) % 2147483647) * 69621 % 2147483647 % {n} AS start, "
+    return (f"SELECT draw, blk, {hash_sql(seed, block)} % {n} AS start, "
             f"least({block}, {n} - blk * {block}) AS take FROM range({draws}) d(draw), range({-(-n // block)}) b(blk)")
 
 
@@ -379,7 +382,7 @@ def _annual_sql() -> str:
     return f"""yr AS (SELECT region, 1995 + day_idx // 52 AS year, day_idx % 52 AS day_idx, x FROM (
   SELECT day_idx, region, sum(CASE policy WHEN 'inverse_lead' THEN x ELSE -x END) AS x FROM panel WHERE policy IN ('inverse_lead', 'raw') GROUP BY 1, 2)),
 nn AS (SELECT year, count(DISTINCT day_idx) AS n FROM yr GROUP BY 1),
-st AS (SELECT year, n, draw, (((({SEED * 1_000_003 + BLOCK * 8_191}::BIGINT + draw * 131 + blk) % 2147483647) * 48271 + 12345) % 2147483647) * 69621 % 2147483647 % n AS start, least({BLOCK}, n - blk * {BLOCK}) AS take
+st AS (SELECT year, n, draw, {hash_sql(SEED, BLOCK)} % n AS start, least({BLOCK}, n - blk * {BLOCK}) AS take
   FROM nn, range({DRAWS}) d(draw), range(8) b(blk) WHERE blk * {BLOCK} < n),
 dr AS (SELECT year, region, draw, avg(x) AS mean FROM (SELECT year, draw, (start + k) % n AS day_idx FROM st, range({BLOCK}) t(k) WHERE k < take) JOIN yr USING (year, day_idx) GROUP BY 1, 2, 3),
 e AS (SELECT year, region, draw, mean, mean - point AS e, point FROM dr JOIN (SELECT year, region, avg(x) AS point FROM yr GROUP BY 1, 2) USING (year, region)),
