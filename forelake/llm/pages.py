@@ -156,7 +156,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.substring(rest, F.length(host) + 1, F.lit(2**31 - 1))
 
 
-def _nearest(path: str, others: list[dict | None], host: str, lines: list[Line], keys: list[int]) -> set[int]:
+def _nearest(path: str, others: list[dict | None], lines: list[Line], keys: list[int]) -> set[int]:
     """Indices of the lines shared with the nearest page of the host that is no copy."""
 
     def common(o: dict) -> int:
@@ -166,7 +166,7 @@ def _nearest(path: str, others: list[dict | None], host: str, lines: list[Line],
         return k
 
     total = sum(len(x.text) for x in lines)
-    for o in sorted((o for o in others if o and o["host"] == host), key=lambda o: -common(o)):
+    for o in sorted((o for o in others if o), key=lambda o: -common(o)):
         shared = aligned(keys, o["keys"])
         if sum(len(lines[i].text) for i in shared) < COPY_SHARE * total:
             return set(shared)
@@ -201,19 +201,21 @@ def extract(pages: DataFrame) -> DataFrame:
     distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys")).alias("one")).select("host", "one.path", "mark", "one.keys")
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = following(distinct, ["host", "path", "mark"], tasks)
-    slim = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.mark") != F.col("mark")), F.struct(F.col(f"{c}.host").alias("host"), F.col(f"{c}.path").alias("path"), F.col(f"{c}.keys").alias("keys")))
+    slim = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.mark") != F.col("mark")), F.struct(F.col(f"{c}.path").alias("path"), F.col(f"{c}.keys").alias("keys")))
     near = near.select("host", "mark", slim("before").alias("before"), slim("after").alias("after"))
     near = hashed.select("page_id", "sig", "host", "mark").distinct().join(near, ["host", "mark"]).select(F.col("page_id").alias("near_id"), F.col("sig").alias("near_sig"), "before", "after")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for host, path, source, before, after in zip(*[batch.column(i) for i in range(2, 7)], strict=True):
+            for path, source, before, after in zip(*[batch.column(i) for i in range(2, 6)], strict=True):
                 lines = body_lines(source.as_py())
-                shared = _nearest(path.as_py(), [before.as_py(), after.as_py()], host.as_py(), lines, line_keys(lines))
+                shared = _nearest(path.as_py(), [before.as_py(), after.as_py()], lines, line_keys(lines))
                 texts.append("\n".join(x.text for i, x in enumerate(lines) if x.main or i not in shared))
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lengths)], names=["page_id", "url", "text", "n_chars"])
 
+    # Host and path follow from the URL; they need no place in the shuffle of the pages.
+    rows = rows.select("page_id", "url", "sig", "html")
     paired = rows.join(near, rows["page_id"].eqNullSafe(near["near_id"]) & (rows["sig"] == near["near_sig"]), "left")
-    return paired.select("page_id", "url", "host", "path", "html", "before", "after").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    return paired.select("page_id", "url", path.alias("path"), "html", "before", "after").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
