@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from forelake.functions.clock import shift_minutes
 from forelake.functions.joins import join_small
+from forelake.functions.quantiles import exact_quantiles
 from forelake.operators.bootstrap import counter_hash
 from forelake.operators.clean import bound_prices
 from forelake.operators.features import causal_features
@@ -37,11 +38,24 @@ def apply_bias(cells: DataFrame, bias: DataFrame, keys: Sequence[str] = ("step",
     return bound_prices(out, price, delivery, **bounds) if delivery else out
 
 
-def impute_with_indicators(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Median-filled copies of the features plus 0/1 indicators of missing values."""
-    medians = df.agg(*[F.percentile_approx(F.when(~F.isnan(f), F.col(f)), 0.5, 10_000).alias(f) for f in features]).first().asDict()
-    filled = {f"{f}_filled": F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(medians[f] or 0.0)) for f in features}
-    flags = {f"{f}_missing": (F.col(f).isNull() | F.isnan(f)).cast("double") for f in features}
+def _present(feature: str) -> Column:
+    return F.when(~F.isnan(feature), F.col(feature).cast("double"))
+
+
+def fit_imputer(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, bool]]:
+    """Exact median of each feature (0 if it has no value) and whether the table misses any of it."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), _present(f).alias("v")) for f in features])
+    long = train.select(F.explode(cells).alias("_c")).select("_c.*")
+    # One row per feature.
+    medians = {r["feature"]: r["median"] for r in exact_quantiles(long, ["feature"], "v", [0.5], ["median"]).collect()}
+    gaps = train.agg(*[F.max(_present(f).isNull()).alias(f) for f in features]).first()
+    return {f: (medians.get(f, 0.0), bool(gaps[f])) for f in features}
+
+
+def apply_imputer(df: DataFrame, fitted: dict[str, tuple[float, bool]]) -> tuple[DataFrame, list[str]]:
+    """Copies filled with the fitted medians, and 0/1 indicators of the features that were missing at the fit."""
+    filled = {f"{f}_filled": F.coalesce(_present(f), F.lit(median)) for f, (median, _) in fitted.items()}
+    flags = {f"{f}_missing": _present(f).isNull().cast("double") for f, (_, gap) in fitted.items() if gap}
     return df.withColumns({**filled, **flags}), [*filled, *flags]
 
 

@@ -349,9 +349,15 @@ def delay_feasibility(curves: DataFrame, delay_min: int = 30, query_time: str =
 
 
 def training_panel(v: DataFrame, actuals: DataFrame, band=LABEL_BAND) -> DataFrame:
-    """Labelled versions inside the lead band; labels are unique per (region, target)."""
+    """Labelled versions inside the lead band; two labels of one (region, target) fail the job."""
     inside = v.filter(minutes_between("target", "as_of").between(*band))
-    return inside.join(actuals, list(SERIES), "inner")
+    rest = F.struct(*[c for c in actuals.columns if c not in SERIES])
+    kind = actuals.select(rest.alias("r")).schema["r"].dataType
+    # Grouped by the join's own keys: no shuffle of its own.
+    counted = actuals.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), F.first(rest).alias("_r"))
+    twice = F.raise_error(F.lit("more than one label of a region and target")).cast(kind)
+    labels = counted.select(*SERIES, F.when(F.col("_n") == 1, F.col("_r")).otherwise(twice).alias("_r")).select(*SERIES, "_r.*")
+    return inside.join(labels, list(SERIES), "inner")
 
 
 def vintages_for_targets(v: DataFrame, skip_months: Sequence[str] = ()) -> DataFrame:

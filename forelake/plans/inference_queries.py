@@ -58,13 +58,13 @@ def regional(v: Views):
     return v.staged_panel.filter(F.col("policy").isin("inverse_lead", "raw")).groupBy("region", "day_idx").agg(x)
 
 
-def boot(panel, keys):
-    return B.block_bootstrap(panel, keys, BLOCK, DRAWS, SEED, days=N), B.points(panel, keys)
+def boot(v: Views, panel, keys):
+    return B.block_bootstrap(panel, keys, BLOCK, DRAWS, SEED, days=v.weeks), B.points(panel, keys)
 
 
 @query("block_bootstrap", f"SELECT region, policy, draw, round(mean + 3e-6, 2) AS mean FROM ({draws_sql('panel', 'region, policy')})", "panel")
 def block_bootstrap(v: Views):
-    return shown(B.block_bootstrap(v.staged_panel, ["region", "policy"], BLOCK, DRAWS, SEED, days=N), 2)
+    return shown(B.block_bootstrap(v.staged_panel, ["region", "policy"], BLOCK, DRAWS, SEED, days=v.weeks), 2)
 
 
 @query("sampled_blocks", starts_sql(N))
@@ -92,17 +92,17 @@ def totals(v: Views):
 
 def marked(v: Views):
     keys = ["region", "policy"]
-    return B.marked_draws(B.block_bootstrap(v.staged_panel, keys, BLOCK, DRAWS, SEED, days=N), totals(v), B.points(v.staged_panel, keys), keys, NOMINAL)
+    return B.marked_draws(B.block_bootstrap(v.staged_panel, keys, BLOCK, DRAWS, SEED, days=v.weeks), totals(v), B.points(v.staged_panel, keys), keys, NOMINAL)
 
 
 @query("percentile_ci", f"WITH {REGIONAL} SELECT region, {r('quantile_cont(mean, 0.025)', 'lo', 3)}, {r('quantile_cont(mean, 0.975)', 'hi', 3)} FROM dr GROUP BY 1", "panel")
 def percentile_ci(v: Views):
-    return shown(B.percentile_ci(boot(regional(v), ["region"])[0], ["region"]), 3)
+    return shown(B.percentile_ci(boot(v, regional(v), ["region"])[0], ["region"]), 3)
 
 
 @query("basic_ci", f"WITH {REGIONAL} SELECT region, {r('max(point) - quantile_cont(e, 0.95)', 'lo', 3)}, {r('max(point) - quantile_cont(e, 0.05)', 'hi', 3)} FROM e GROUP BY 1", "panel")
 def basic_ci(v: Views):
-    return shown(B.basic_ci(*boot(regional(v), ["region"]), ["region"]), 3)
+    return shown(B.basic_ci(*boot(v, regional(v), ["region"]), ["region"]), 3)
 
 
 _TESTS = f"""{REGIONAL}, h AS (SELECT region, max(point) AS point, count(*) AS draws, count(*) FILTER (WHERE e >= point) AS one_sided_hits, count(*) FILTER (WHERE abs(e) >= abs(point)) AS two_sided_hits FROM e GROUP BY 1),
@@ -112,12 +112,12 @@ ts AS (SELECT *, (1 + one_sided_hits) / (1 + draws) AS p1, (1 + two_sided_hits)
 @query("centered_tests", f"""
 WITH {_TESTS} SELECT region, {r('point', 'point', 3)}, draws, one_sided_hits, two_sided_hits, {r('p1', 'one_sided_p')}, {r('p2', 'two_sided_p')}, {r('sqrt(p1 * (1 - p1) / (1 + draws))', 'monte_carlo_se')} FROM ts""", "panel")
 def centered_tests(v: Views):
-    out = B.centered_tests(*boot(regional(v), ["region"]), ["region"])
+    out = B.centered_tests(*boot(v, regional(v), ["region"]), ["region"])
     return shown(out.withColumn("point", F.round(F.col("point") + 3e-7, 3)))
 
 
 def _adjusted(v: Views):
-    tests = B.centered_tests(*boot(regional(v), ["region"]), ["region"])
+    tests = B.centered_tests(*boot(v, regional(v), ["region"]), ["region"])
     return tests.select(F.lit("regional").alias("family"), F.col("region").alias("label"), F.col("two_sided_p").alias("p"))
 
 
@@ -155,8 +155,8 @@ WITH {_GAINS} SELECT k.family, k.scope, best_rule, {r('best_gain', 'best_gain',
 FROM k LEFT JOIN hm USING (family, scope)""", "panel")
 def reality_check(v: Views):
     rules = v.staged_panel.filter(F.col("policy").isin(*CURRENT))
-    draws, observed = boot(rules, ["region", "policy"])
-    return shown(I.reality_check(draws, observed, "raw", CURRENT[1:], N), 2)
+    draws, observed = boot(v, rules, ["region", "policy"])
+    return shown(I.reality_check(draws, observed, "raw", CURRENT[1:], v.weeks), 2)
 
 
 _THRESHOLD = math.sqrt(2 * math.log(math.log(N)))
@@ -171,7 +171,7 @@ SELECT {r('statistic')}, draws, lower_exceedances, consistent_exceedances, upper
   {', '.join(r(f'(1 + {k}_exceedances) / (1 + draws)', f'{k}_p') + ', ' + r(f'sqrt((1 + {k}_exceedances) / (1 + draws) * (1 - (1 + {k}_exceedances) / (1 + draws)) / (1 + draws))', f'{k}_se') for k in ('lower', 'consistent', 'upper'))}
 FROM c""", "panel")
 def spa(v: Views):
-    return shown(I.spa(*boot(increments(v), ["policy"]), N))
+    return shown(I.spa(*boot(v, increments(v), ["policy"]), v.weeks))
 
 
 @query("romano_wolf", f"""
@@ -181,7 +181,7 @@ p AS (SELECT *, (1 + step_exceedances) / (1 + draws) AS step_p, (1 + individual_
 SELECT policy, step_rank, {r('point', 'point', 3)}, {r('se', 'se', 3)}, {r('t', 't', 3)}, draws, step_exceedances, individual_exceedances, {r('individual_p', 'individual_p', 3)}, {r('step_p', 'step_p', 3)},
   {r('max(step_p) OVER (ORDER BY step_rank ROWS UNBOUNDED PRECEDING)', 'adjusted_p', 3)} FROM p""", "panel")
 def romano_wolf(v: Views):
-    return shown(I.romano_wolf(*boot(increments(v), ["policy"])), 3)
+    return shown(I.romano_wolf(*boot(v, increments(v), ["policy"])), 3)
 
 
 def _elimination_sql(models: int) -> str:
@@ -205,19 +205,19 @@ SELECT policy, {r('loss', 'loss', 3)}, CAST(k AS INTEGER) AS eliminated_at, {r('
 def model_confidence_set(v: Views):
     """Losses are negative five-region sums per policy; eliminations run round by round."""
     loss = v.staged_panel.groupBy("policy", "day_idx").agg((-F.sum("x")).alias("x"))
-    return shown(I.model_confidence_set(*boot(loss, ["policy"])), 3)
+    return shown(I.model_confidence_set(*boot(v, loss, ["policy"])), 3)
 
 
 @query("mean_equality_test")
 def mean_equality_test(v: Views):
     """Do the five regions share one mean increment."""
-    return shown(I.mean_equality_test(*boot(regional(v), ["region"]), REGIONS, N))
+    return shown(I.mean_equality_test(*boot(v, regional(v), ["region"]), REGIONS, v.weeks))
 
 
 @query("bootstrap_covariance", f"""
 WITH {REGIONAL} SELECT a.region AS asset, b.region AS other, {r('covar_samp(a.mean, b.mean)', 'covariance', 1)} FROM dr a JOIN dr b USING (draw) GROUP BY 1, 2""", "panel")
 def bootstrap_covariance(v: Views):
-    draws, _ = boot(regional(v), ["region"])
+    draws, _ = boot(v, regional(v), ["region"])
     return shown(D.covariance_table(draws, REGIONS, index=("draw",), value="mean"), 1)
 
 
@@ -225,7 +225,7 @@ def bootstrap_covariance(v: Views):
 WITH {REGIONAL} SELECT region, {r('stddev_samp(e)', 'se', 2)}, {', '.join(r(f'(quantile_cont(e, {1 - a}) - quantile_cont(e, {round(1 - p / 100, 2)})) * 365', f"mde{p}_alpha{str(a).replace('.', '_')}", 2) for a in (0.05, 0.025) for p in (80, 90))}
 FROM e GROUP BY 1""", "panel")
 def precision_mde(v: Views):
-    return shown(I.precision_mde(*boot(regional(v), ["region"]), ["region"]), 2)
+    return shown(I.precision_mde(*boot(v, regional(v), ["region"]), ["region"]), 2)
 
 
 MARGINS = (100_000.0, 1_000_000.0, 5_000_000.0)
@@ -238,14 +238,14 @@ c AS (SELECT region, margin, max(point) AS point, count(*) AS draws, (1 + count(
 SELECT region, margin, {r('point', 'point', 3)}, draws, {r('lower_p', 'lower_p', 3)}, {r('upper_p', 'upper_p', 3)}, {r('lo', 'basic90_lo', 3)}, {r('hi', 'basic90_hi', 3)}, {r('greatest(lower_p, upper_p)', 'tost_p', 3)},
   greatest(lower_p, upper_p) < 0.05 AS equivalent, lo > -margin / 365 AND hi < margin / 365 AS interval_inside FROM c""", "panel")
 def tost(v: Views):
-    return shown(I.tost(*boot(regional(v), ["region"]), ["region"], MARGINS), 3)
+    return shown(I.tost(*boot(v, regional(v), ["region"]), ["region"], MARGINS), 3)
 
 
 @query("simultaneous_lower", f"""
 WITH {STUDENT}, c AS (SELECT quantile_cont(m, 0.95) AS critical FROM (SELECT max(err / se) AS m FROM z GROUP BY draw))
 SELECT policy, {r('point', 'point', 3)}, {r('se', 'se', 3)}, {r('critical', 'critical', 3)}, {r('point - critical * se', 'lower', 3)} FROM ob JOIN se USING (policy), c""", "panel")
 def simultaneous_lower(v: Views):
-    return shown(I.simultaneous_lower(*boot(increments(v), ["policy"])), 3)
+    return shown(I.simultaneous_lower(*boot(v, increments(v), ["policy"])), 3)
 
 
 @query("ratio_interval", f"""
@@ -254,7 +254,7 @@ c AS (SELECT quantile_cont(den, 0.025) AS lo, quantile_cont(den, 0.975) AS hi, q
 SELECT {r('lo', 'denominator_lo', 3)}, {r('hi', 'denominator_hi', 3)}, {r('s', 'nonpositive_share', 3)}, lo > 0 OR hi < 0 AS excludes_zero,
   {r('CASE WHEN lo > 0 OR hi < 0 THEN a END', 'ratio_lo', 3)}, {r('CASE WHEN lo > 0 OR hi < 0 THEN b END', 'ratio_hi', 3)} FROM c""", "panel")
 def ratio_interval(v: Views):
-    draws, _ = boot(increments(v), ["policy"])
+    draws, _ = boot(v, increments(v), ["policy"])
     wide = draws.groupBy("draw").agg(
         F.max(F.when(F.col("policy") == "current_smooth_a050", F.col("mean"))).alias("num"),
         F.max(F.when(F.col("policy") == "inverse_lead", F.col("mean"))).alias("den"),
@@ -266,7 +266,7 @@ _CI = f"""{REGIONAL}, q AS (SELECT region AS scope, max(point) AS point, quantil
 
 
 def scoped_ci(v: Views):
-    draws, observed = boot(regional(v), ["region"])
+    draws, observed = boot(v, regional(v), ["region"])
     return observed.join(B.percentile_ci(draws, ["region"]), "region").select(F.col("region").alias("scope"), "point", "lo", "hi")
 
 
@@ -291,7 +291,7 @@ def break_even(v: Views):
 # Selection on weeks 0..154, evaluation on weeks 155..354 (re-indexed).
 TRAIN_N, EVAL_N = 155, 200
 _RESELECT = f"""tr AS (SELECT * FROM panel WHERE day_idx < {TRAIN_N} AND policy IN {CURRENT_LIST}), evl AS (SELECT region, policy, day_idx - {TRAIN_N} AS day_idx, x FROM panel WHERE day_idx >= {TRAIN_N}),
-bt AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = 0), be AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = 356),
+bt AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = 0), be AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = (SELECT max(day_idx) FROM panel_full)),
 dt AS ({draws_sql('tr', 'region, policy', TRAIN_N, seed=SEED + 207)}),
 pick AS (SELECT region, draw, policy AS selected FROM (SELECT region, policy, draw, {TRAIN_N} * mean + boundary AS value FROM dt JOIN bt USING (region, policy))
   QUALIFY row_number() OVER (PARTITION BY region, draw ORDER BY value DESC, policy = 'raw' DESC, policy DESC) = 1),
@@ -347,7 +347,8 @@ SELECT metric, {r('quantile_cont(v, 0.025)', 'p025', 2)}, {r('quantile_cont(v, 0
 def selection_uncertainty(v: Views):
     chosen, frozen = _selection(v)
     evaluation = v.staged_panel.filter(F.col("day_idx") >= TRAIN_N).withColumn("day_idx", F.col("day_idx") - TRAIN_N)
-    last = v.staged_panel_full.filter("day_idx = 356").select("region", "policy", F.col("x").alias("boundary"))
+    full = v.staged_panel_full
+    last = full.filter(F.col("day_idx") == full.agg(F.max("day_idx")).scalar()).select("region", "policy", F.col("x").alias("boundary"))
     full = evaluation.groupBy("region", "policy").agg(F.sum("x").alias("s")).join(last, ["region", "policy"]).select(
         "region", "policy", "boundary", (F.col("s") + F.col("boundary")).alias("value")
     )

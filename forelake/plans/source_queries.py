@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from forelake.functions.clock import floor_minutes, shift_minutes
 from forelake.plans.registry import query, r, shown
 from forelake.plans.views import BUCKET30, EVENT_REGIONS, Views
-from forelake.sources.reports import read_actuals, read_vintages
+from forelake.sources.reports import parse_report, read_actuals, read_vintages
 from forelake.sources.tables import load_curves
 
 
@@ -40,6 +40,20 @@ def read_vintages_query(v: Views):
     return shown(read_vintages(raw_report(v), EVENT_REGIONS).drop("seq", "run"))
 
 
+@query("read_report", """
+SELECT event_type || ' "' || event_id || '", ' || user_id AS REGIONID, CAST(event_id * 3 AS VARCHAR) AS RRP, CAST(event_id % 2 AS VARCHAR) AS FLAG FROM events""")
+def read_report_query(v: Views):
+    """Report lines of several files, every second of which orders its columns otherwise."""
+    e = v.table("events").withColumn("file", (F.col("user_id") % 10).cast("string"))
+    other = F.col("file").cast("int") % 2 == 1
+    name = F.concat(F.lit('"'), "event_type", F.lit(' ""'), F.col("event_id").cast("string"), F.lit('"", '), F.col("user_id").cast("string"), F.lit('"'))
+    rrp, flag = (F.col("event_id") * 3).cast("string"), (F.col("event_id") % 2).cast("string")
+    keys = F.lit("PREDISPATCH,REGION_PRICES,1")
+    rows = e.select("file", F.when(other, F.concat_ws(",", F.lit("D"), keys, name, flag, rrp)).otherwise(F.concat_ws(",", F.lit("D"), keys, rrp, name, flag)).alias("value"))
+    heads = e.select("file").distinct().select("file", F.when(other, F.concat_ws(",", F.lit("I"), keys, F.lit("REGIONID,FLAG,RRP"))).otherwise(F.concat_ws(",", F.lit("I"), keys, F.lit("RRP,REGIONID,FLAG"))).alias("value"))
+    return parse_report(rows.unionByName(heads), "PREDISPATCH", "REGION_PRICES", ["REGIONID", "RRP", "FLAG"])
+
+
 @query("read_actuals", f"""
 SELECT region, target, {r('actual')}, CASE WHEN target <= TIMESTAMP '2024-01-15' THEN 'report' ELSE 'curated' END AS source FROM actuals
 WHERE target > TIMESTAMP '2024-01-15' OR hour(target) <> 8""", "actuals")

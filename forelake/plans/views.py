@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from forelake.functions.clock import floor_minutes, shift_minutes
 from forelake.functions.curves import gather_curves
+from forelake.operators.bootstrap import day_count
 from forelake.operators.ledger import rebuild_inventory, with_cash
 from forelake.session import stage
 
@@ -40,6 +41,13 @@ def _policy_sql(index: str) -> str:
     return "list_extract([" + ", ".join(f"'{p}'" for p in POLICIES) + f"], CAST({index} AS INTEGER))"
 
 
+def interior_weeks(full: DataFrame) -> DataFrame:
+    """Weeks between the first and the last of the table, numbered from zero."""
+    ends = full.agg(F.struct(F.min("day_idx").alias("first"), F.max("day_idx").alias("last"))).scalar()
+    day = F.col("day_idx")
+    return full.filter((day > ends["first"]) & (day < ends["last"])).withColumn("day_idx", day - ends["first"] - 1)
+
+
 class Views:
     """Lazily built views over one folder of test tables."""
 
@@ -187,8 +195,8 @@ class Views:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Interior weeks 1..355, re-indexed from zero."""
-        return self.panel_full.filter(F.col("day_idx").between(1, 355)).withColumn("day_idx", F.col("day_idx") - 1)
+        """All weeks but the first and the last, re-indexed from zero."""
+        return interior_weeks(self.panel_full)
 
     @cached_property
     def staged_panel_full(self) -> DataFrame:
@@ -197,8 +205,12 @@ class Views:
 
     @cached_property
     def staged_panel(self) -> DataFrame:
-        full = self.staged_panel_full
-        return full.filter(F.col("day_idx").between(1, 355)).withColumn("day_idx", F.col("day_idx") - 1)
+        return interior_weeks(self.staged_panel_full)
+
+    @cached_property
+    def weeks(self) -> int:
+        """Number of weeks of the panel."""
+        return day_count(self.staged_panel)
 
     @cached_property
     def staged_trajectory(self) -> DataFrame:
@@ -236,13 +248,13 @@ class Views:
 
     @staticmethod
     def branch_windows(path: DataFrame) -> DataFrame:
-        """48-week windows of three policies read as probe branches with a common start."""
+        """48-week windows (the last one as long as the data) of three policies read as probe branches with a common start."""
         names = F.when(F.col("policy") == "raw", "raw_rolling").when(
             F.col("policy") == "sparse_equal", "history_rolling"
         ).when(F.col("policy") == "inverse_lead", "one_history_then_raw")
         windows = (
             path.withColumn("branch", names)
-            .filter("branch is not null and day_idx < 336")
+            .filter("branch is not null")
             .select(
                 "region", F.floor(F.col("day_idx") / 48).alias("event_id"), "branch",
                 (F.col("day_idx") % 48).alias("step"), "target", "actual_price", "charge", "discharge", "net",
@@ -357,7 +369,9 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
     SELECT day_idx, region, policy FROM (SELECT DISTINCT day_idx FROM line_cells), {_values(REGIONS, 'region')}, {_values(POLICIES, 'policy')}"""),
     "panel_full": ("skeleton", """
     SELECT s.day_idx, s.region, s.policy, coalesce(x, 0) AS x FROM skeleton s LEFT JOIN line_cells USING (day_idx, region, policy)"""),
-    "panel": ("panel_full", "SELECT day_idx - 1 AS day_idx, region, policy, x FROM panel_full WHERE day_idx BETWEEN 1 AND 355"),
+    "panel": ("panel_full", """
+    SELECT day_idx - first - 1 AS day_idx, region, policy, x FROM panel_full, (SELECT min(day_idx) AS first, max(day_idx) AS last FROM panel_full)
+    WHERE day_idx > first AND day_idx < last"""),
     "flows": ("skeleton", f"""
     SELECT *, CASE WHEN day_idx % 2 = 0 THEN mw ELSE 0 END AS charge, CASE WHEN day_idx % 2 = 0 THEN 0 ELSE mw END AS discharge FROM (
       SELECT s.region, s.policy, s.day_idx, TIMESTAMP '{FIRST_WEEK}' + INTERVAL 7 DAY * CAST(s.day_idx + 1 AS INTEGER) AS target,
@@ -375,7 +389,7 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
     {_stock_sql('region, event_id, branch')} FROM (
       SELECT region, day_idx // 48 AS event_id, CASE policy WHEN 'raw' THEN 'raw_rolling' WHEN 'sparse_equal' THEN 'history_rolling' ELSE 'one_history_then_raw' END AS branch,
         day_idx % 48 AS step, target, actual_price, charge, discharge, net, flow
-      FROM trajectory WHERE policy IN ('raw', 'sparse_equal', 'inverse_lead') AND day_idx < 336)"""),
+      FROM trajectory WHERE policy IN ('raw', 'sparse_equal', 'inverse_lead'))"""),
     "states": ("curves_wide", """
     SELECT region, target, ur AS u_raw_at_raw, us AS u_history_at_raw, ur2 AS u_raw_at_history, us2 AS u_history_at_history,
       ur - hr AS raw_lower, ur + hr AS raw_upper, us - hs AS history_lower, us + hs AS history_upper FROM (

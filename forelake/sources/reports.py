@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from forelake.functions.segments import segment_series
 from forelake.operators.clean import coerce_drop, with_nominal_issue
+from forelake.session import stage
 
 # Market regions, report columns and time pattern.
 REGIONS = ("NSW1", "QLD1", "SA1", "TAS1", "VIC1")
@@ -20,26 +20,46 @@ HOURLY_HEADER = "Date,Hour,HOEP"
 REPORT_KINDS = ("kind", "table", "report", "version")
 
 
-def read_report_csv(spark: SparkSession, path: str | Sequence[str], table: str, report: str, columns: Sequence[str], max_fields: int = 200) -> DataFrame:
-    """Data rows of one table and report, all strings.
+def read_report_csv(spark: SparkSession, path: str | Sequence[str], table: str, report: str, columns: Sequence[str]) -> DataFrame:
+    """Data rows of one table and report from text files, all strings; see ``parse_report``."""
+    lines = spark.read.text([path] if isinstance(path, str) else list(path))
+    return parse_report(lines.select(F.col("_metadata.file_path").alias("file"), "value"), table, report, columns)
 
-    Records start with a kind: C comment, I header, D data. The header names the
-    data columns; its first four fields are the record keys. A missing column
-    fails before any data is read.
+
+def csv_fields(line: Column) -> Column:
+    """The fields of a CSV line, however many; quotes around a field go and doubled ones inside become one."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    inside = lambda x: F.replace(F.regexp_extract(x, r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
+    return F.transform(parts, lambda x: F.when(x.rlike(r'(?s)^".*"$'), inside(x)).otherwise(x))
+
+
+def parse_report(lines: DataFrame, table: str, report: str, columns: Sequence[str]) -> DataFrame:
+    """Data rows of one table and report from lines (``file``, ``value``), all strings.
+
+    Records start with a kind: C comment, I header, D data. A file's own header
+    names its data columns, so files may order them differently; the first four
+    fields are the record keys. A file whose header lacks a column, or which holds
+    two different headers, fails before any data is read; data without a header in
+    its file fail the job. Absent text is an empty string, not null.
     """
-    wide = T.StructType([T.StructField(f"_f{k}", T.StringType()) for k in range(max_fields)])
-    paths = [path] if isinstance(path, str) else list(path)
-    rows = spark.read.csv(paths, schema=wide, header=False, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
-    header = rows.filter((F.col("_f0") == "I") & (F.col("_f1") == table) & (F.col("_f2") == report)).limit(1).collect()
-    if not header:
+    fields = lines.select("file", csv_fields(F.col("value")).alias("_f")).filter(
+        F.get("_f", F.lit(0)).isin("I", "D") & (F.get("_f", F.lit(1)) == table) & (F.get("_f", F.lit(2)) == report)
+    )
+    kind = F.get("_f", F.lit(0))
+    own = F.slice("_f", 5, F.greatest(F.size("_f") - 4, F.lit(0)))
+    names = F.concat(F.array(*[F.lit(k) for k in REPORT_KINDS]), own).alias("_names")
+    # One row per file.
+    heads = stage(fields.filter(kind == "I").select("file", names).groupBy("file").agg(F.min("_names").alias("_names"), F.max("_names").alias("_other")))
+    if heads.isEmpty():
         raise ValueError(f"no header record for {table}/{report}")
-    names = list(REPORT_KINDS) + list(header[0])[4:]
-    missing = [c for c in columns if c not in names]
-    if missing:
-        raise ValueError(f"missing columns {missing}")
-    data = rows.filter((F.col("_f0") == "D") & (F.col("_f1") == table) & (F.col("_f2") == report))
-    # Absent text is an empty string, not null.
-    return data.select(*[F.coalesce(F.col(f"_f{names.index(c)}"), F.lit("")).alias(c) for c in columns])
+    missing = F.array_except(F.array(*[F.lit(c) for c in columns]), "_names")
+    fault = heads.select("file", missing.alias("missing"), (F.col("_names") != F.col("_other")).alias("two")).filter("two or size(missing) > 0").first()
+    if fault:
+        raise ValueError(f"different headers in {fault['file']}" if fault["two"] else f"missing columns {fault['missing']} in {fault['file']}")
+    rows = fields.filter(kind == "D").join(heads.select("file", "_names"), "file", "left")
+    unnamed = F.raise_error(F.concat(F.lit("no header record in "), F.col("file"))).cast("array<string>")
+    found = rows.withColumn("_names", F.coalesce("_names", unnamed))
+    return found.select(*[F.coalesce(F.get("_f", F.array_position("_names", c).cast("int") - 1), F.lit("")).alias(c) for c in columns])
 
 
 def resolve_month_files(files: DataFrame, table: str, months: Sequence[str]) -> DataFrame:

@@ -27,13 +27,15 @@ def usable(v: DataFrame, cutoff_min: int = 60, delay_min: int = 0) -> DataFrame:
 def online_moments(v: DataFrame, watermark: str = "12 hours", cutoff_min: int = 60, delay_min: int = 0) -> DataFrame:
     """Running inverse-lead mean per delivery target: two moments of state per target.
 
-    A replayed version is dropped by its key before it is added. ``target`` is a
-    window end, so its state is released once the watermark passes it. Late
-    versions are counted, not used.
+    A replayed version is dropped by its key before it is added. The watermark runs
+    on ``target``: once a target lies more than ``watermark`` behind the latest one
+    seen, its state is released and further versions of it are ignored. Choose it
+    longer than the span of targets that one issue covers. Versions after the
+    cutoff are counted, not used.
     """
     lead = (F.unix_micros("target") - F.unix_micros("nominal_issue")) / F.lit(60_000_000.0)
     weight = F.when(F.col("usable"), F.try_divide(F.lit(1.0), lead))
-    once = usable(v, cutoff_min, delay_min).withWatermark("as_of", watermark).dropDuplicatesWithinWatermark(["region", "target", "as_of"])
+    once = usable(v, cutoff_min, delay_min).withWatermark("target", watermark).dropDuplicatesWithinWatermark(["region", "target", "as_of"])
     return once.groupBy("region", "target").agg(
         F.sum(weight).alias("weight"),
         F.sum(weight * F.col("forecast")).alias("weighted"),

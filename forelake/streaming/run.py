@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forelake import session
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder (a temporary one only where none is set)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = base or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder under the cluster's checkpoint folder; see ``session.shared_folder``."""
+    base = spark.sparkContext.getCheckpointDir() or session.shared_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -61,9 +61,15 @@ def test_boosted_residuals_improve_on_bias(train):
 
 def test_missing_features_get_median_and_indicator(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),), (2.0,)], "x double")
-    filled, names = M.impute_with_indicators(df, ["x"])
+    fitted = M.fit_imputer(df, ["x"])
+    filled, names = M.apply_imputer(df, fitted)
     rows = filled.select(*names).collect()
     assert sorted(r["x_filled"] for r in rows) == [1.0, 2.0, 2.0, 2.0, 3.0] and sum(r["x_missing"] for r in rows) == 2
+    # Another table takes the fitted median, not its own.
+    other = M.apply_imputer(spark.createDataFrame([(None,), (50.0,)], "x double"), fitted)[0]
+    assert sorted(r["x_filled"] for r in other.collect()) == [2.0, 50.0]
+    whole = M.fit_imputer(df.filter("x > 0 and not isnan(x)"), ["x"])
+    assert M.apply_imputer(df, whole)[1] == ["x_filled"]
 
 
 def test_direct_horizon_models_and_leakage(spark):

@@ -33,6 +33,23 @@ def test_record_typed_report(spark, tmp_path):
     assert got["QLD1"]["run_no"] == -1.0
 
 
+def test_report_files_with_their_own_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("C,x\nI,T,R,1,REGIONID,RRP,FLAG\nD,T,R,1,NSW1,55,0\n")
+    (tmp_path / "b.csv").write_text('I,T,R,1,REGIONID,FLAG,RRP\nD,T,R,1,"a ""b"", c",1,99\nD,T,R,1,QLD1\n')
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    got = R.read_report_csv(spark, paths, "T", "R", ["RRP", "REGIONID", "FLAG"])
+    assert sorted(map(tuple, got.collect())) == [("", "QLD1", ""), ("55", "NSW1", "0"), ("99", 'a "b", c', "1")]
+    wide = ",".join(f"c{k}" for k in range(400))
+    (tmp_path / "w.csv").write_text(f"I,T,R,1,{wide}\nD,T,R,1,{wide}\n")
+    assert R.read_report_csv(spark, str(tmp_path / "w.csv"), "T", "R", ["c399"]).first()["c399"] == "c399"
+    with pytest.raises(ValueError, match="missing columns .*b.csv"):
+        (tmp_path / "b.csv").write_text("I,T,R,1,REGIONID,FLAG\n")
+        R.read_report_csv(spark, paths, "T", "R", ["RRP"])
+    (tmp_path / "c.csv").write_text("D,T,R,1,NSW1,0\n")
+    with pytest.raises(Exception, match="no header record in"):
+        R.read_report_csv(spark, [paths[0], str(tmp_path / "c.csv")], "T", "R", ["REGIONID"]).collect()
+
+
 def test_month_files(spark):
     names = ["PUBLIC_DVD_PREDISPATCHPRICE_202401010000.zip", "PUBLIC_DVD_PREDISPATCHPRICE_D_202401010000.zip", "PUBLIC_DVD_TRADINGPRICE_202401010000.zip"]
     files = spark.createDataFrame([(n,) for n in names], "file_name string")

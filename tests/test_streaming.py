@@ -57,6 +57,17 @@ def test_online_moments_equal_the_batch_mean(spark, folder):
         assert got[key]["late_versions"] == 9 - n
 
 
+def test_online_moments_release_passed_targets(spark, tmp_path):
+    for day in range(4):
+        rows = [("A", T0 + timedelta(days=day, hours=h), T0 + timedelta(days=day, hours=h - 2), T0 + timedelta(days=day, hours=h - 3), 1.0) for h in range(5)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/part{day}"))
+    live = O.online_moments(stream(spark, str(tmp_path / "in/*")), watermark="6 hours")
+    query = live.writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [[op.numRowsTotal for op in p.stateOperators] for p in query.recentProgress if p.stateOperators]
+    assert len(held) >= 4 and max(held[-1]) <= 10
+
+
 def test_expiring_state_emits_each_target_once(spark, folder):
     try:
         live = O.expiring_moments(stream(spark, folder), watermark="10 minutes")
