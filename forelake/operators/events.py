@@ -15,6 +15,7 @@ from forelake.functions.quantiles import exact_quantiles, series_position
 from forelake.functions.segments import segment_series
 from forelake.operators.ledger import DT, ETA
 from forelake.operators.selection import sample_linspace
+from forelake.session import stage
 
 # Thresholds of the action-range counts and of the delayed-sale rule.
 MATERIAL = (0.05, 0.1, 0.2)
@@ -269,8 +270,17 @@ def delayed_sale(
 
 
 def failure_frequency(starts: DataFrame, asset: str = "region") -> DataFrame:
-    """Opportunity and failure windows per asset and overall, by threshold."""
+    """Opportunity and failure windows per asset and overall, by threshold.
+
+    The pooled median is read from running counts, as its group grows with the events.
+    """
+    starts = stage(starts.select("threshold", asset, "opportunities", "failure", "marked_delta", "window_loss", "cash_delta"))
     failed = F.when(F.col("failure"), F.col("marked_delta"))
+    middle = ["marked_delta", [0.5], ["failed_marked_median"]]
+    failures = starts.filter("failure")
+    medians = exact_quantiles(failures, ["threshold", asset], *middle).withColumnRenamed(asset, "scope").unionByName(
+        exact_quantiles(failures, ["threshold"], *middle).withColumn("scope", F.lit(ALL_SELECTED))
+    )
     grouped = starts.groupingSets([[F.col("threshold"), F.col(asset)], [F.col("threshold")]], F.col("threshold"), F.col(asset)).agg(
         F.when(F.grouping(asset) == 1, F.lit(ALL_SELECTED)).otherwise(F.col(asset)).alias("scope"),
         F.count(F.lit(1)).alias("windows"),
@@ -279,12 +289,11 @@ def failure_frequency(starts: DataFrame, asset: str = "region") -> DataFrame:
         share(F.col("failure")).alias("failure_share"),
         F.sum(failed).alias("failed_marked_sum"),
         F.avg(failed).alias("failed_marked_mean"),
-        F.percentile(failed, F.lit(0.5)).alias("failed_marked_median"),
         F.min(failed).alias("failed_marked_worst"),
         count_if(F.col("window_loss")).alias("loss_windows"),
         F.sum(F.when(F.col("failure"), F.col("cash_delta"))).alias("failed_cash_sum"),
     )
-    return grouped.drop(asset)
+    return grouped.drop(asset).join(medians, ["threshold", "scope"], "left")
 
 
 def start_features(events: DataFrame, panel: DataFrame, raw_curves: DataFrame, alternate_curves: DataFrame,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forelake.functions.numeric import count_if
@@ -62,27 +62,34 @@ def reconcile_manifest(declared: DataFrame, actual: DataFrame, omitted: DataFram
     """State of every declared or present path.
 
     ``declared`` and ``actual`` hold (path, bytes, sha256); ``omitted`` lists
-    declared paths a checkout may leave out.
+    declared paths a checkout may leave out. One row per path: a path listed
+    twice is verified only if all its rows agree.
+
+    Rows are dealt by the lower-cased path, which serves both the paths and their
+    collisions: one shuffle.
     """
-    collide = declared.groupBy(F.lower("path").alias("_low")).agg(F.count(F.lit(1)).alias("_same"))
-    d = declared.withColumn("_low", F.lower("path")).join(collide, "_low").drop("_low").withColumn("_d", F.lit(1))
-    p = actual.select(F.col("path"), F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"), F.lit(1).alias("_p"))
-    joined = d.join(p, "path", "full_outer")
-    allowed = F.lit(False)
-    if omitted is not None:
-        joined = joined.join(omitted.select("path", F.lit(1).alias("_o")).distinct(), "path", "left")
-        allowed = F.col("_o").isNotNull()
-    same = F.col("bytes").eqNullSafe(F.col("_bytes")) & F.col("sha256").eqNullSafe(F.col("_sha"))
+    sides = [(declared, "d"), (actual, "p")] + ([(omitted, "o")] if omitted is not None else [])
+    rows = None
+    for df, side in sides:
+        content = F.struct("bytes", "sha256") if side != "o" else F.lit(None).cast("struct<bytes:bigint,sha256:string>")
+        part = df.select("path", content.cast("struct<bytes:bigint,sha256:string>").alias("_content"), F.lit(side).alias("_side"))
+        rows = part if rows is None else rows.unionByName(part)
+    low = F.lower("path")
+    paths = rows.repartition(low).groupBy(low.alias("_low"), "path").agg(
+        *[F.max(F.col("_side") == side).alias(f"_{side}") for side in "dpo"],
+        F.min("_content").eqNullSafe(F.max("_content")).alias("_alike"),
+    )
+    spelled = count_if(F.col("_d")).over(Window.partitionBy("_low"))
     state = (
-        F.when(F.col("_d").isNotNull() & unsafe_name("path"), "unsafe_name")
-        .when(F.col("_same") > 1, "case_collision")
-        .when(F.col("_d").isNull(), "unexpected")
-        .when(F.col("_p").isNull() & allowed, "omitted")
-        .when(F.col("_p").isNull(), "missing")
-        .when(~same, "mismatch")
+        F.when(F.col("_d") & unsafe_name("path"), "unsafe_name")
+        .when(F.col("_d") & (F.col("_spelled") > 1), "case_collision")
+        .when(~F.col("_d") & F.col("_p"), "unexpected")
+        .when(F.col("_d") & ~F.col("_p") & F.col("_o"), "omitted")
+        .when(F.col("_d") & ~F.col("_p"), "missing")
+        .when(~F.col("_alike"), "mismatch")
         .otherwise("verified")
     )
-    return joined.select("path", state.alias("state"))
+    return paths.withColumn("_spelled", spelled).filter(F.col("_d") | F.col("_p")).select("path", state.alias("state"))
 
 
 def manifest_status(states: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forelake.functions.numeric import count_if
 from forelake.operators import describe as D
 from forelake.operators import models as M
 from forelake.operators import quality as Q
@@ -164,9 +165,13 @@ def bias_corrector(v: Views):
 
 
 @query("fingerprint", """
-SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), 1, 13) AS BIGINT)) AS VARCHAR) AS digest FROM orders""")
+SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18, 2)), CAST(o_orderdate AS DATE), o_orderpriority)), 1, 13) AS BIGINT)) AS VARCHAR) AS digest
+FROM orders""")
 def fingerprint(v: Views):
-    return Q.fingerprint(v.table("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
+    """All columns; prices and dates in a form that both engines write alike."""
+    orders = v.table("orders")
+    alike = {"o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.to_date("o_orderdate")}
+    return Q.fingerprint(orders.withColumns(alike))
 
 
 _DIFF_B = "b AS (SELECT region, target, CASE WHEN hour(target) = 6 THEN actual + 0.5 ELSE actual END AS actual, CASE WHEN hour(target) = 8 THEN NULL ELSE raw END AS raw FROM grid WHERE hour(target) <> 4)"
@@ -187,10 +192,11 @@ def table_diff(v: Views):
     return shown(Q.table_diff(a, b, ["region", "target"]))
 
 
-_RECONCILE = """j AS (SELECT coalesce(d.path, p.path) AS path, CASE WHEN d.path IS NULL THEN 'unexpected'
-  WHEN p.path IS NULL AND regexp_extract(d.path, '[0-9]+')::BIGINT % 20 = 0 THEN 'omitted' WHEN p.path IS NULL THEN 'missing'
+_RECONCILE = """same AS (SELECT lower(path) AS low, count(*) AS spelled FROM declared GROUP BY 1),
+j AS (SELECT coalesce(d.path, p.path) AS path, CASE WHEN d.path LIKE '%/../%' THEN 'unsafe_name' WHEN spelled > 1 THEN 'case_collision' WHEN d.path IS NULL THEN 'unexpected'
+  WHEN p.path IS NULL AND d.doc_id % 20 = 0 THEN 'omitted' WHEN p.path IS NULL THEN 'missing'
   WHEN d.bytes IS DISTINCT FROM p.bytes OR d.sha256 IS DISTINCT FROM p.sha256 THEN 'mismatch' ELSE 'verified' END AS state
-  FROM declared d FULL JOIN present p ON d.path = p.path)"""
+  FROM declared d FULL JOIN present p ON d.path = p.path LEFT JOIN same ON low = lower(d.path))"""
 
 
 @query("reconcile_manifest", f"WITH {_RECONCILE} SELECT path, state FROM j", "declared present")
@@ -201,21 +207,31 @@ def reconcile_manifest(v: Views):
 @query("manifest_status", f"""
 WITH {_RECONCILE} SELECT count(*) FILTER (WHERE state = 'verified') AS verified, count(*) FILTER (WHERE state = 'mismatch') AS mismatch,
   count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE state = 'omitted') AS omitted, count(*) FILTER (WHERE state = 'unexpected') AS unexpected,
-  0::BIGINT AS unsafe_name, 0::BIGINT AS case_collision, 'FAIL' AS status FROM j""", "declared present")
+  count(*) FILTER (WHERE state = 'unsafe_name') AS unsafe_name, count(*) FILTER (WHERE state = 'case_collision') AS case_collision,
+  CASE WHEN bool_or(state NOT IN ('verified', 'omitted')) THEN 'FAIL' WHEN bool_or(state = 'omitted') THEN 'INCOMPLETE_CHECKOUT' ELSE 'PASS' END AS status FROM j""", "declared present")
 def manifest_status(v: Views):
     return Q.manifest_status(Q.reconcile_manifest(*v.manifest))
 
 
 @query("check_table", """
-SELECT 'orders_key_unique' AS name, CAST(count(*) - count(DISTINCT o_orderkey) AS DOUBLE) AS value, 0::DOUBLE AS tolerance, true AS pass FROM orders
-UNION ALL SELECT 'discount_in_range', CAST(count(*) FILTER (WHERE l_discount < 0 OR l_discount > 0.1) AS DOUBLE), 0::DOUBLE, true FROM lineitem
-UNION ALL SELECT 'price_positive_share_gap', CAST(count(*) FILTER (WHERE l_extendedprice < 50000) AS DOUBLE) / count(*) * 0 + 1, 0.5, false FROM lineitem""")
+WITH c AS (SELECT 'orders_key_unique' AS name, CAST(count(*) - count(DISTINCT o_orderkey) AS DOUBLE) AS value, 0::DOUBLE AS tolerance FROM orders
+UNION ALL SELECT 'line_order_unique', CAST(count(*) - count(DISTINCT l_orderkey) AS DOUBLE), 0::DOUBLE FROM lineitem
+UNION ALL SELECT 'discount_in_range', CAST(count(*) FILTER (WHERE l_discount < 0 OR l_discount > 0.1) AS DOUBLE), 0::DOUBLE FROM lineitem
+UNION ALL SELECT 'high_discount_share', CAST(count(*) FILTER (WHERE l_discount > 0.05) AS DOUBLE) / count(*), 0.25 FROM lineitem)
+SELECT *, value <= tolerance AS pass FROM c""")
 def check_table(v: Views):
-    line = v.table("lineitem")
-    unique = v.table("orders").groupBy("o_orderkey").agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.sum("extra").alias("value"))
-    outside = line.agg(F.count(F.when((F.col("l_discount") < 0) | (F.col("l_discount") > 0.1), 1)).alias("value"))
-    gap = line.agg((F.count(F.lit(1)) / F.count(F.lit(1))).alias("value"))
-    return Q.check_table([("orders_key_unique", unique, 0.0), ("discount_in_range", outside, 0.0), ("price_positive_share_gap", gap, 0.5)])
+    """Four checks of the data; orders with several lines and the share of high discounts break two of them."""
+    line, discount = v.table("lineitem"), F.col("l_discount")
+
+    def repeated(table, key):
+        return table.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.sum("extra").alias("value"))
+
+    outside = line.agg(count_if((discount < 0) | (discount > 0.1)).alias("value"))
+    high = line.agg((count_if(discount > 0.05) / F.count(F.lit(1))).alias("value"))
+    return Q.check_table([
+        ("orders_key_unique", repeated(v.table("orders"), "o_orderkey"), 0.0), ("line_order_unique", repeated(line, "l_orderkey"), 0.0),
+        ("discount_in_range", outside, 0.0), ("high_discount_share", high, 0.25),
+    ])
 
 
 @query("version_retention", """

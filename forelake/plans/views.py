@@ -65,7 +65,7 @@ class Views:
     def vintages(self) -> DataFrame:
         return self.table("events").select(
             F.col("event_type").alias("region"),
-            shift_minutes(floor_minutes("ts", 240), (F.col("user_id") % 3 + 1) * 240).alias("target"),
+            shift_minutes(floor_minutes("ts", 240), (F.col("user_id") % 12 + 1) * 240).alias("target"),
             F.col("ts").alias("as_of"),
             floor_minutes("ts", 30).alias("nominal_issue"),
             F.col("event_id").alias("seq"),
@@ -94,19 +94,22 @@ class Views:
 
     @cached_property
     def issues(self) -> DataFrame:
-        """Four-hourly issues, each publishing three targets under one stamp."""
+        """Four-hourly issues, each publishing 13 targets under one stamp; some cells are left out, some have no sparse forecast."""
         bucket = floor_minutes("ts", 240)
-        grouped = self.table("events").groupBy(
-            F.col("event_type").alias("region"), bucket.alias("bucket"), (F.col("user_id") % 3).alias("k")
-        ).agg(F.avg("value").alias("forecast"))
-        return grouped.select(
+        grouped = self.table("events").groupBy(F.col("event_type").alias("region"), bucket.alias("bucket")).agg(
+            F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")
+        )
+        cells = grouped.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(12)))).filter((F.col("n") * 13 + F.col("k")) % 61 != 0)
+        forecast = F.col("mean") * (1 + F.col("k") / 100)
+        return cells.select(
             "region",
             shift_minutes("bucket", (F.col("k") + 1) * 240).alias("target"),
             shift_minutes("bucket", 60).alias("as_of"),
             shift_minutes("bucket", 30).alias("nominal_issue"),
             F.date_format("bucket", "yyyyMMddHH").alias("seq"),
             F.lit(1).alias("run_no"),
-            "forecast",
+            forecast.alias("forecast"),
+            F.when((F.col("n") * 7 + F.col("k")) % 67 != 0, forecast - 1).alias("sparse_equal"),
         )
 
     @cached_property
@@ -289,9 +292,16 @@ class Views:
 
     @cached_property
     def manifest(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Declared files, present files and the paths a checkout may leave out."""
+        """Declared files (some with unsafe or colliding names), present files and the paths a checkout may leave out."""
         documents = self.table("documents")
-        path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
+        number = F.col("doc_id")
+        name = (
+            F.when(number % 97 == 5, F.concat(F.lit("../"), number))
+            .when(number % 40 == 11, F.concat(F.lit("x"), F.floor(number / 40)))
+            .when(number % 40 == 12, F.concat(F.lit("X"), F.floor(number / 40)))
+            .otherwise(number.cast("string"))
+        )
+        path = F.concat(F.lit("docs/"), name)
         declared = documents.select(path.alias("path"), F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha256"), "doc_id")
         changed = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256"))
         copies = F.filter(
@@ -326,7 +336,7 @@ def _stock_sql(keys: str) -> str:
 VIEW_SQL: dict[str, tuple[str, str]] = {
     # name: (views needed, text)
     "vintages": ("", f"""
-    SELECT event_type AS region, {_BUCKET4} + INTERVAL 4 HOUR * (user_id % 3 + 1) AS target, ts AS as_of,
+    SELECT event_type AS region, {_BUCKET4} + INTERVAL 4 HOUR * (user_id % 12 + 1) AS target, ts AS as_of,
       {BUCKET30} AS nominal_issue, event_id AS seq, CAST(event_id % 7 AS INTEGER) AS run_no, value AS forecast
     FROM events"""),
     "vintages_raw": ("vintages", """
@@ -336,9 +346,9 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
     SELECT event_type AS region, {_BUCKET4} + INTERVAL 4 HOUR AS target, avg(value) AS actual FROM events GROUP BY 1, 2"""),
     "origins": ("actuals", "SELECT region, target FROM actuals"),
     "issues": ("", f"""
-    SELECT region, bucket + INTERVAL 4 HOUR * (k + 1) AS target, bucket + INTERVAL 60 MINUTE AS as_of,
-      bucket + INTERVAL 30 MINUTE AS nominal_issue, strftime(bucket, '%Y%m%d%H') AS seq, 1 AS run_no, forecast
-    FROM (SELECT event_type AS region, {_BUCKET4} AS bucket, user_id % 3 AS k, avg(value) AS forecast FROM events GROUP BY 1, 2, 3)"""),
+    SELECT region, bucket + INTERVAL 4 HOUR * (k + 1) AS target, bucket + INTERVAL 60 MINUTE AS as_of, bucket + INTERVAL 30 MINUTE AS nominal_issue,
+      strftime(bucket, '%Y%m%d%H') AS seq, 1 AS run_no, mean * (1 + k / 100) AS forecast, CASE WHEN (n * 7 + k) % 67 <> 0 THEN mean * (1 + k / 100) - 1 END AS sparse_equal
+    FROM (SELECT event_type AS region, {_BUCKET4} AS bucket, avg(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2), range(13) t(k) WHERE (n * 13 + k) % 61 <> 0"""),
     "grid": ("", f"""
     SELECT event_type AS region, {_BUCKET2} + INTERVAL 2 HOUR AS target, avg(value) AS actual,
       coalesce(avg(value) FILTER (WHERE event_id % 2 = 0), avg(value)) AS raw,
@@ -398,7 +408,9 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
         greatest(-1, least(1, (raw[1] - list_sum(raw) / 12) / 50 + 0.1)) AS ur2,
         greatest(-1, least(1, (sparse_equal[1] - list_sum(sparse_equal) / 12) / 50 + 0.1)) AS us2,
         abs(raw[2] - raw[1]) / 400 AS hr, abs(sparse_equal[2] - sparse_equal[1]) / 400 AS hs FROM curves_wide)"""),
-    "declared": ("", "SELECT 'docs/' || doc_id AS path, n_chars AS bytes, sha256(text) AS sha256, doc_id FROM documents"),
+    "declared": ("", """
+    SELECT 'docs/' || CASE WHEN doc_id % 97 = 5 THEN '../' || doc_id WHEN doc_id % 40 = 11 THEN 'x' || (doc_id // 40) WHEN doc_id % 40 = 12 THEN 'X' || (doc_id // 40)
+      ELSE CAST(doc_id AS VARCHAR) END AS path, n_chars AS bytes, sha256(text) AS sha256, doc_id FROM documents"""),
     "present": ("declared", """
     SELECT path, bytes, CASE WHEN doc_id % 7 = 0 THEN sha256(sha256 || 'x') ELSE sha256 END AS sha256 FROM declared WHERE doc_id % 10 <> 0
     UNION ALL SELECT path || '/extra', bytes, sha256 FROM declared WHERE doc_id % 50 = 3"""),

@@ -13,7 +13,7 @@ from forelake.operators import vintages as V
 from forelake.plans.registry import query, r, rs, shown
 from forelake.plans.views import Views
 
-STEPS, STEP_MIN, CUTOFF = 3, 240, 60
+STEPS, STEP_MIN, CUTOFF = 12, 240, 60
 W = "OVER (PARTITION BY region, target ORDER BY as_of, seq, run_no)"
 W_RUN = "OVER (PARTITION BY region, target ORDER BY as_of, seq, run_no ROWS UNBOUNDED PRECEDING)"
 W6 = "OVER (PARTITION BY region, target ORDER BY as_of, seq, run_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
@@ -288,30 +288,32 @@ def unpivot_steps(v: Views):
 
 
 @query("delayed_case", f"""
-WITH sent AS (SELECT region, target - INTERVAL 4 HOUR * s AS origin, as_of, nominal_issue, seq, run_no FROM issues, range({STEPS}) t(s)),
+WITH sent AS (SELECT region, target - INTERVAL 4 HOUR * s AS origin, as_of, nominal_issue, seq, run_no FROM issues, range({STEPS}) t(s) WHERE sparse_equal IS NOT NULL),
 cases AS (SELECT region, origin, as_of, seq, run_no FROM sent
   WHERE as_of + INTERVAL 30 MINUTE <= origin - INTERVAL 60 MINUTE AND nominal_issue <= origin - INTERVAL 60 MINUTE
   GROUP BY ALL HAVING count(*) = {STEPS})
 SELECT region, origin, as_of, seq, run_no FROM cases QUALIFY row_number() OVER (PARTITION BY region, origin ORDER BY as_of DESC, seq DESC, run_no DESC) = 1""",
        "issues")
 def delayed_case(v: Views):
-    return V.delayed_coherent_case(v.issues, 30, CUTOFF, STEPS, STEP_MIN, fields=("forecast",))
+    return V.delayed_coherent_case(v.issues, 30, CUTOFF, STEPS, STEP_MIN)
 
 
 @query("generated_vintages", f"""
-WITH p AS (SELECT region, bucket AS origin, k AS horizon, avg(value) AS prediction FROM (
-  SELECT event_type AS region, (epoch_us(ts) // 7200000000) AS bucket, user_id % 18 AS k, value FROM events) GROUP BY 1, 2, 3),
-s AS (SELECT region, origin + a AS origin, horizon - a AS step, a AS age, prediction FROM p, range(3) t(a) WHERE horizon - a BETWEEN 0 AND 11)
-SELECT region, origin, step, {r('max(prediction) FILTER (WHERE age = 0)', 'raw')}, {r('avg(prediction) FILTER (WHERE age IN (0, 2))', 'sparse_equal')},
+WITH p AS (SELECT region, bucket AS origin, k AS horizon, mean * (1 + k / 50) AS prediction FROM (
+  SELECT event_type AS region, (epoch_us(ts) // 7200000000) AS bucket, avg(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2), range(18) t(k) WHERE (n + k) % 23 <> 0),
+s AS (SELECT region, origin + a AS origin, horizon - a AS step, a AS age, prediction FROM p, range(7) t(a) WHERE horizon - a BETWEEN 0 AND 11)
+SELECT region, origin, step, {r('max(prediction) FILTER (WHERE age = 0)', 'raw')}, {r('avg(prediction) FILTER (WHERE age IN (0, 1, 2, 4, 6))', 'sparse_equal')},
   {r('sum(prediction / (step + 1 + age)) / sum(1.0 / (step + 1 + age))', 'inverse_lead')}
-FROM s GROUP BY region, origin, step HAVING count(*) = 3""")
+FROM s GROUP BY region, origin, step HAVING count(*) = 7""")
 def generated_vintages(v: Views):
     from forelake.functions.clock import epoch_us
 
-    predictions = v.table("events").groupBy(
-        F.col("event_type").alias("region"), F.floor(epoch_us("ts") / 7_200_000_000).alias("origin"), (F.col("user_id") % 18).alias("horizon")
-    ).agg(F.avg("value").alias("prediction"))
-    return shown(V.generated_vintage_curves(predictions, ages=(0, 1, 2), sparse_ages=(0, 2)))
+    issued = v.table("events").groupBy(F.col("event_type").alias("region"), F.floor(epoch_us("ts") / 7_200_000_000).alias("origin")).agg(
+        F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")
+    )
+    horizons = issued.withColumn("horizon", F.explode(F.sequence(F.lit(0), F.lit(17)))).filter((F.col("n") + F.col("horizon")) % 23 != 0)
+    predictions = horizons.select("region", "origin", "horizon", (F.col("mean") * (1 + F.col("horizon") / 50)).alias("prediction"))
+    return shown(V.generated_vintage_curves(predictions).withColumn("step", F.col("step").cast("long")))
 
 
 @query("lead_average_renorm", f"""
