@@ -156,7 +156,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.substring(rest, F.length(host) + 1, F.lit(2**31 - 1))
 
 
-def _nearest(path: str, others: list[dict | None], lines: list[Line], keys: list[int]) -> set[int]:
+def _nearest(path: str, others: list[dict | None], keys: list[int], sizes: list[int]) -> list[int]:
     """Indices of the lines shared with the nearest page of the host that is no copy."""
 
     def common(o: dict) -> int:
@@ -165,12 +165,19 @@ def _nearest(path: str, others: list[dict | None], lines: list[Line], keys: list
             k += 1
         return k
 
-    total = sum(len(x.text) for x in lines)
+    total = sum(sizes)
     for o in sorted((o for o in others if o), key=lambda o: -common(o)):
         shared = aligned(keys, o["keys"])
-        if sum(len(lines[i].text) for i in shared) < COPY_SHARE * total:
-            return set(shared)
-    return set()
+        if sum(sizes[i] for i in shared) < COPY_SHARE * total:
+            return shared
+    return []
+
+
+def _bitmap(places: list[int]) -> bytes:
+    bits = 0
+    for i in places:
+        bits |= 1 << i
+    return bits.to_bytes(-(-bits.bit_length() // 8), "little")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -179,7 +186,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Pages are put in order of host and URL path; each is paired with the nearer of
     its two neighbours of the same host (longest common path; a copy of the page is
     passed over, whole copies beforehand). Their lines are aligned by longest common subsequence, on 64-bit
-    line hashes. Shared lines go, unless the page's own markup holds them inside an
+    line hashes, where the neighbours meet; only a bitmap of shared lines returns to the
+    page. Shared lines go, unless the page's own markup holds them inside an
     article: there, passages shared with other articles are text. Parts that are
     named as menus, headers, footers, sidebars, notices, adverts, forms or comments
     go with their markup. Line breaks and block elements separate lines.
@@ -193,29 +201,35 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [line_keys(body_lines(h.as_py())) for h in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.list_(pa.int64()))], names=["host", "path", "page_id", "sig", "keys"])
+            lines = [body_lines(h.as_py()) for h in batch.column(4)]
+            keys, sizes = pa.array([line_keys(x) for x in lines], pa.list_(pa.int64())), pa.array([[len(y.text) for y in x] for x in lines], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], keys, sizes], names=["host", "path", "page_id", "sig", "keys", "sizes"])
 
-    hashed = rows.select("host", "path", "page_id", "sig", "html").mapInArrow(hash_lines, "host string, path string, page_id long, sig long, keys array<long>").withColumn("mark", F.xxhash64("keys"))
+    hashed = rows.select("host", "path", "page_id", "sig", "html").mapInArrow(hash_lines, "host string, path string, page_id long, sig long, keys array<long>, sizes array<int>").withColumn("mark", F.xxhash64("keys"))
     # Pages of a host with equal lines stand in the order once, so that every neighbour differs.
-    distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys")).alias("one")).select("host", "one.path", "mark", "one.keys")
+    distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys", "sizes")).alias("one")).select("host", "one.path", "mark", "one.keys", "one.sizes")
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = following(distinct, ["host", "path", "mark"], tasks)
     slim = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.mark") != F.col("mark")), F.struct(F.col(f"{c}.path").alias("path"), F.col(f"{c}.keys").alias("keys")))
-    near = near.select("host", "mark", slim("before").alias("before"), slim("after").alias("after"))
-    near = hashed.select("page_id", "sig", "host", "mark").distinct().join(near, ["host", "mark"]).select(F.col("page_id").alias("near_id"), F.col("sig").alias("near_sig"), "before", "after")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = [_bitmap(_nearest(p.as_py(), [b.as_py(), a.as_py()], k.as_py(), s.as_py())) for p, k, s, b, a in zip(*batch.columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.binary())], names=["host", "mark", "shared"])
+
+    near = near.select("host", "mark", "path", "keys", "sizes", slim("before").alias("before"), slim("after").alias("after")).mapInArrow(align, "host string, mark long, shared binary")
+    near = hashed.select("page_id", "sig", "host", "mark").distinct().join(near, ["host", "mark"]).select(F.col("page_id").alias("near_id"), F.col("sig").alias("near_sig"), "shared")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for path, source, before, after in zip(*[batch.column(i) for i in range(2, 6)], strict=True):
-                lines = body_lines(source.as_py())
-                shared = _nearest(path.as_py(), [before.as_py(), after.as_py()], lines, line_keys(lines))
-                texts.append("\n".join(x.text for i, x in enumerate(lines) if x.main or i not in shared))
+            for source, marks in zip(*batch.columns[2:4], strict=True):
+                shared = int.from_bytes(marks.as_py() or b"", "little")
+                texts.append("\n".join(x.text for i, x in enumerate(body_lines(source.as_py())) if x.main or not shared >> i & 1))
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lengths)], names=["page_id", "url", "text", "n_chars"])
 
     # Host and path follow from the URL; they need no place in the shuffle of the pages.
     rows = rows.select("page_id", "url", "sig", "html")
     paired = rows.join(near, rows["page_id"].eqNullSafe(near["near_id"]) & (rows["sig"] == near["near_sig"]), "left")
-    return paired.select("page_id", "url", path.alias("path"), "html", "before", "after").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    return paired.select("page_id", "url", "html", "shared").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
