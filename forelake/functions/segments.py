@@ -12,14 +12,14 @@ Segments are equal-width in time, twice: bins that are still too full are cut
 again over their own span. The cuts depend only on exact counts, minima and
 maxima, so a recomputed task sees the same segments.
 
-Whether a table has hot series is decided when the plan is built. Input files
-small enough for one task need no cut. Otherwise one count over the key columns
-(a map-side combined aggregate) looks for hot series. Without any, the plan is
-the plain one: one shuffle, one sort. Callers that already know a table is even
-pass ``hot=False`` and skip the check.
-
-The broadcast tables hold one row per hot series or overfull bin, at most
-``rows / target_rows`` rows in all.
+Whether a table has hot series is decided when the plan is built, by row counts
+alone: one count over the key columns, a map-side combined aggregate. Without a
+hot series, the plan is the plain one: one shuffle, one sort. Callers that already
+know a table is even pass ``hot=False`` and skip the check.
+
+The tables of hot series and overfull bins hold at most ``rows / target_rows``
+rows. No join is forced: adaptive execution broadcasts them by their measured
+bytes, or shuffles and splits skewed keys.
 """
 
 from __future__ import annotations
@@ -35,9 +35,6 @@ from forelake.functions.clock import epoch_us
 SEGMENT = "_segment"
 HALO = "_halo"
 TARGET_ROWS = 2_000_000
-MAX_BINS = 1024
-# Input files below this size fit one task even if they were a single series.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -79,28 +76,17 @@ class SegmentedFrame:
 
 
 def _bins(count: Column, target_rows: int) -> Column:
-    return F.least(F.lit(MAX_BINS), (F.ceil(count / F.lit(target_rows)) * 4).cast("int")).cast("long")
+    return (F.ceil(count / F.lit(target_rows)) * 4).cast("long")
 
 
 def _bin_of(lo: Column, hi: Column, bins: Column) -> Column:
-    return F.floor(((F.col("_pos") - lo) * bins) / (hi - lo + 1))
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Total size of the tables under ``df`` as the optimizer sees it; None where it cannot be read."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:
-        return None
+    # In double, so that positions times bins cannot overflow; still growing with the position.
+    at, first, last = (c.cast("double") for c in (F.col("_pos"), lo, hi))
+    return F.floor((at - first) / (last - first + 1) * bins)
 
 
 def has_hot_series(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> bool:
-    """Size check first, then one count job (see the module text)."""
-    if target_rows >= TARGET_ROWS:
-        size = input_bytes(df)
-        if size is not None and size <= SMALL_INPUT_BYTES:
-            return False
+    """One count job over the keys (see the module text)."""
     return not hot_series(df, keys, target_rows).isEmpty()
 
 
@@ -117,7 +103,7 @@ def _tag(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
         .filter(F.col("_n") > target_rows)
         .select(*keys, "_lo", "_hi", _bins(F.col("_n"), target_rows).alias("_bins"))
     )
-    first = df.join(F.broadcast(hot), list(keys), "left").withColumn(
+    first = df.join(hot, list(keys), "left").withColumn(
         "_bin", _bin_of(F.col("_lo"), F.col("_hi"), F.col("_bins"))
     ).drop("_lo", "_hi", "_bins")
     full = (
@@ -127,13 +113,14 @@ def _tag(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
         .filter(F.col("_n") > target_rows)
         .select(*keys, "_bin", "_lo", "_hi", _bins(F.col("_n"), target_rows).alias("_bins"))
     )
-    second = first.join(F.broadcast(full), [*keys, "_bin"], "left").withColumn(
+    second = first.join(full, [*keys, "_bin"], "left").withColumn(
         "_sub", F.coalesce(_bin_of(F.col("_lo"), F.col("_hi"), F.col("_bins")), F.lit(0))
     )
     return second.select(
         *df.columns,
         F.col("_bin").isNotNull().alias("_hot"),
-        F.coalesce(F.col("_bin") * MAX_BINS + F.col("_sub"), F.lit(0)).cast("long").alias(SEGMENT),
+        # Both parts are bin numbers of one series, far below 2**31.
+        F.coalesce(F.shiftleft(F.col("_bin").cast("long"), 31) + F.col("_sub"), F.lit(0)).cast("long").alias(SEGMENT),
     )
 
 

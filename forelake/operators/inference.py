@@ -363,7 +363,7 @@ def selection_uncertainty(chosen: DataFrame, eval_draws: DataFrame, eval_boundar
     )
 
 
-def selection_length(choices: DataFrame, draws: DataFrame, observed: DataFrame, values: DataFrame, histories: Sequence[str],
+def selection_length(choices: DataFrame, draws: DataFrame, values: DataFrame, histories: Sequence[str],
                      base: str = "raw", nominal_days: float = 974.0, keys: Sequence[str] = ("region",)) -> DataFrame:
     """Per selection period: value of the choice against raw and the history rules, with intervals.
 

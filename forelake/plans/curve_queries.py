@@ -141,7 +141,7 @@ _FEATURES = """SELECT region, target,
   avg(actual) OVER (w ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) AS mean_4, stddev_pop(actual) OVER (w ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) AS sd_4,
   avg(actual) OVER (w ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING) AS mean_8, stddev_pop(actual) OVER (w ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING) AS sd_8,
   lag(actual, 3) OVER w AS aligned_6, lag(actual, 7) OVER w AS aligned_10,
-  lag(actual, 10) OVER w AS support, target + INTERVAL 6 HOUR AS t
+  lag(actual, 10) OVER w AS support, lag(target, 2) OVER w AS newest, target + INTERVAL 6 HOUR AS t
   FROM grid WINDOW w AS (PARTITION BY region ORDER BY target)"""
 
 
@@ -159,14 +159,19 @@ def causal_features(v: Views):
     return shown(out.withColumns({c: F.col(c).cast("long") for c in ("hour", "weekday", "month")}))
 
 
-@query("perturbation_leak_test", "SELECT count(*) AS changed_rows FROM grid WHERE false", "grid")
+@query("perturbation_leak_test", f"""
+WITH f AS ({_FEATURES}), o AS (SELECT 'causal' AS build, 4 AS hours UNION ALL SELECT 'leaking', 24)
+SELECT build, 2 * count(*) FILTER (WHERE support IS NOT NULL AND newest > TIMESTAMP '2024-01-15' AND target <= TIMESTAMP '2024-01-15' + INTERVAL 1 HOUR * CAST(hours AS INTEGER)) AS changed_rows FROM f, o GROUP BY 1""", "grid")
 def perturbation_leak_test(v: Views):
-    """Prices after mid-January are shifted; features of origins before must not change."""
+    """Prices after mid-January are shifted: features of origins within the delay stay, those of the day after change."""
     edge = F.lit("2024-01-15").cast("timestamp_ntz")
     prices = v.grid.select("region", "target", "actual", (F.col("target") <= edge).alias("visible"))
-    build = lambda p: features(p).filter(F.col("target") <= shift_minutes(edge, 240))
-    changed = X.perturbation_leak_test(build, prices, "visible", "actual")
-    return changed.agg(F.count(F.lit(1)).alias("changed_rows"))
+
+    def changed(name, minutes):
+        rows = X.perturbation_leak_test(lambda p: features(p).filter(F.col("target") <= shift_minutes(edge, minutes)), prices, "visible", "actual")
+        return rows.agg(F.lit(name).alias("build"), F.count(F.lit(1)).alias("changed_rows"))
+
+    return changed("causal", 240).unionByName(changed("leaking", 1440))
 
 
 @query("calendar", f"""
@@ -239,13 +244,16 @@ def idle_guard(v: Views):
     return shown(C.idle_guard(curves, flows=["charge"], steps=12).drop("curve"))
 
 
-@query("finite_audit", """
-SELECT 'l_quantity' AS "column", count(*) FILTER (WHERE q IS NULL) AS nulls, count(*) FILTER (WHERE isnan(q)) AS non_finite, count(*) FILTER (WHERE NOT isnan(q) AND q < 0) AS negative
-FROM (SELECT CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 'NaN'::DOUBLE WHEN l_orderkey % 7 = 0 THEN -l_quantity ELSE l_quantity END AS q FROM lineitem)""")
+_NUMERIC = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+
+
+@query("finite_audit", "WITH q AS (SELECT * REPLACE (CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 'NaN'::DOUBLE WHEN l_orderkey % 7 = 0 THEN -l_quantity ELSE l_quantity END AS l_quantity) FROM lineitem) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) FILTER (WHERE isnan({c}::DOUBLE)) AS non_finite, count(*) FILTER (WHERE NOT isnan({c}::DOUBLE) AND {c} < 0) AS negative FROM q""" for c in _NUMERIC))
 def finite_audit(v: Views):
+    """All numeric columns, with nulls, NaN and negative values planted in one."""
     k = F.col("l_orderkey")
     q = F.when(k % 11 == 0, None).when(k % 13 == 0, F.lit(float("nan"))).when(k % 7 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return C.finite_audit(v.table("lineitem").select(q.alias("l_quantity")))
+    return C.finite_audit(v.table("lineitem").withColumn("l_quantity", q))
 
 
 @query("coerce_drop", f"""

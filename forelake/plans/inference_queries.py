@@ -14,7 +14,7 @@ from forelake.plans.registry import query, r, shown
 from forelake.plans.views import CURRENT, POLICIES, REGIONS, Views
 
 DRAWS, BLOCK, SEED, N, NOMINAL = 200, 7, B.SEED, 355, 357.0
-MODELS = ["sparse_equal", "inverse_lead", "current_smooth_a050"]
+MODELS = [p for p in POLICIES if p != "raw"]
 LIST = "(" + ", ".join(f"'{m}'" for m in MODELS) + ")"
 CURRENT_LIST = "(" + ", ".join(f"'{m}'" for m in CURRENT) + ")"
 
@@ -375,7 +375,7 @@ def selection_length(v: Views):
     offered = F.filter(F.array(*[F.struct(F.lit(n).alias("period"), F.lit(k).alias("stop")) for n, k in _LENGTHS]), lambda p: F.col("day_idx") < p["stop"])
     scores = v.staged_panel.filter(F.col("policy").isin(*CURRENT)).withColumn("_p", F.explode(offered)).groupBy("region", "policy", F.col("_p.period").alias("period")).agg(F.sum("x").alias("value"))
     choices = S.select_policy(scores, ["region", "period"])
-    return shown(I.selection_length(choices, marked(v), None, totals(v), ["inverse_lead"], nominal_days=NOMINAL), 2)
+    return shown(I.selection_length(choices, marked(v), totals(v), ["inverse_lead"], nominal_days=NOMINAL), 2)
 
 
 def _annual_sql() -> str:
@@ -408,9 +408,9 @@ def _table_part(block: int) -> str:
 @query("contrast_table", f"""
 WITH ct AS (SELECT region, day_idx, 'S_minus_R' AS contrast, sum(CASE policy WHEN 'sparse_equal' THEN x ELSE -x END) AS x FROM panel WHERE policy IN ('sparse_equal', 'raw') GROUP BY 1, 2
   UNION ALL SELECT region, day_idx, 'IL_minus_S', sum(CASE policy WHEN 'inverse_lead' THEN x ELSE -x END) FROM panel WHERE policy IN ('inverse_lead', 'sparse_equal') GROUP BY 1, 2)
-SELECT region, contrast, {r('point', 'point', 2)}, {r('lo', 'lo', 2)}, {r('hi', 'hi', 2)}, block FROM ({_table_part(7)} UNION ALL {_table_part(28)})""", "panel")
+SELECT region, contrast, {r('point', 'point', 2)}, {r('lo', 'lo', 2)}, {r('hi', 'hi', 2)}, block FROM ({_table_part(7)} UNION ALL {_table_part(14)} UNION ALL {_table_part(28)})""", "panel")
 def contrast_table(v: Views):
     pairs = [("S_minus_R", "sparse_equal", "raw"), ("IL_minus_S", "inverse_lead", "sparse_equal")]
-    return shown(I.contrast_table(v.staged_panel, pairs, [7, 28], DRAWS, SEED), 2)
+    return shown(I.contrast_table(v.staged_panel, pairs, [7, 14, 28], DRAWS, SEED), 2)
 
 

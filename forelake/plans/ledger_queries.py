@@ -93,14 +93,23 @@ def episode_metrics(v: Views):
 
 
 @query("trajectory_audit", f"""
-WITH p AS (SELECT *, lag(soc_end) OVER (PARTITION BY region, policy ORDER BY target) AS prev FROM trajectory)
-SELECT region, policy, {r('max(abs(soc_end - soc_start - flow))', 'max_balance_error')}, {r('max(abs(soc_start - prev))', 'max_continuity_error')},
+WITH b AS (SELECT * REPLACE (CASE WHEN day_idx % 50 = 7 THEN soc_end + 0.25 ELSE soc_end END AS soc_end, CASE WHEN day_idx % 60 = 11 THEN charge + 1.5 ELSE charge END AS charge,
+  CASE WHEN day_idx % 70 = 13 THEN net + 1 ELSE net END AS net) FROM trajectory),
+p AS (SELECT *, lag(soc_end) OVER (PARTITION BY region, policy ORDER BY target) AS prev FROM b)
+SELECT region, policy, {r('max(abs(soc_end - soc_start - (0.91 * charge * 0.5 - discharge * 0.5 / 0.91)))', 'max_balance_error')}, {r('max(abs(soc_start - prev))', 'max_continuity_error')},
   count(*) FILTER (WHERE charge > 1e-6 AND discharge > 1e-6) AS mode_violations,
   count(*) FILTER (WHERE soc_start < -1e-6 OR soc_start > 2 + 1e-6 OR soc_end < -1e-6 OR soc_end > 2 + 1e-6 OR charge < -1e-6 OR discharge < -1e-6 OR charge > 1 + 1e-6 OR discharge > 1 + 1e-6) AS bounds_violations,
   {r('max(abs(cashflow - actual_price * (discharge - charge) * 0.5))', 'max_cash_error')}, {r('max(abs(wear - 2.5 * (charge + discharge)))', 'max_wear_error')},
   {r('max(abs(net - (cashflow - wear)))', 'max_net_error')} FROM p GROUP BY 1, 2""", "trajectory")
 def trajectory_audit(v: Views):
-    return shown(L.trajectory_audit(v.trajectory, hot=False))
+    """Trajectories with planted breaks of stock, power and cash."""
+    day = F.col("day_idx")
+    broken = v.trajectory.withColumns({
+        "soc_end": F.col("soc_end") + F.when(day % 50 == 7, 0.25).otherwise(0.0),
+        "charge": F.col("charge") + F.when(day % 60 == 11, 1.5).otherwise(0.0),
+        "net": F.col("net") + F.when(day % 70 == 13, 1.0).otherwise(0.0),
+    })
+    return shown(L.trajectory_audit(broken))
 
 
 def _contrast_sql(signed: str, policies: str) -> str:

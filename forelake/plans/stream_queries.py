@@ -23,7 +23,7 @@ def live_versions(v: Views):
     """The vintages view with event-time columns."""
     return live_events(v).select(
         F.col("event_type").alias("region"),
-        (F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 14400) * 14400) + F.make_dt_interval(hours=((F.col("user_id") % 3 + 1) * 4).cast("int"))).alias("target"),
+        (F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 14400) * 14400) + F.make_dt_interval(hours=((F.col("user_id") % 12 + 1) * 4).cast("int"))).alias("target"),
         F.col("ts").alias("as_of"),
         F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 1800) * 1800).alias("nominal_issue"),
         F.col("value").alias("forecast"),
