@@ -18,8 +18,7 @@ hot series, the plan is the plain one: one shuffle, one sort. Callers that alrea
 know a table is even pass ``hot=False`` and skip the check.
 
 The tables of hot series and overfull bins hold at most ``rows / target_rows``
-rows. No join is forced: adaptive execution broadcasts them by their measured
-bytes, or shuffles and splits skewed keys.
+rows; ``join_small`` measures them before it broadcasts.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from forelake.functions.clock import epoch_us
+from forelake.functions.joins import join_small
 
 SEGMENT = "_segment"
 HALO = "_halo"
@@ -103,7 +103,7 @@ def _tag(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
         .filter(F.col("_n") > target_rows)
         .select(*keys, "_lo", "_hi", _bins(F.col("_n"), target_rows).alias("_bins"))
     )
-    first = df.join(hot, list(keys), "left").withColumn(
+    first = join_small(df, hot, list(keys), "left").withColumn(
         "_bin", _bin_of(F.col("_lo"), F.col("_hi"), F.col("_bins"))
     ).drop("_lo", "_hi", "_bins")
     full = (
@@ -113,7 +113,7 @@ def _tag(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
         .filter(F.col("_n") > target_rows)
         .select(*keys, "_bin", "_lo", "_hi", _bins(F.col("_n"), target_rows).alias("_bins"))
     )
-    second = first.join(full, [*keys, "_bin"], "left").withColumn(
+    second = join_small(first, full, [*keys, "_bin"], "left").withColumn(
         "_sub", F.coalesce(_bin_of(F.col("_lo"), F.col("_hi"), F.col("_bins")), F.lit(0))
     )
     return second.select(
