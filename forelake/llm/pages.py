@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forelake.functions.joins import join_small
+from forelake.llm.common import stage
 from forelake.llm.fingerprints import following
 
 # Elements of HTML by role.
@@ -34,6 +36,8 @@ _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _INLINES, _VOIDS, _ASIDES, _MARKED = set(_INLINE), set(_VOID), set(_ASIDE), set(_MARKS)
 #: Two pages that share this part of their characters are copies and tell nothing about the frame around a text.
 COPY_SHARE = 0.6
+#: Shared lines in article or main are text if differencing finds them on at most one in so many pages of the host.
+FEW_PAGES = 4
 
 
 @dataclass
@@ -98,10 +102,14 @@ def page_lines(source: str) -> list[Line]:
 
 
 def body_lines(source: str) -> list[Line]:
-    """Lines that may be text: none beside it, and only those in article or main if a page has such lines."""
-    lines = [x for x in page_lines(source) if not x.beside]
-    inner = [x for x in lines if x.main]
-    return inner or lines
+    """Lines that may be text: none beside it."""
+    return [x for x in page_lines(source) if not x.beside]
+
+
+def text_lines(lines: list[Line], gone: int) -> list[str]:
+    """Text of the lines that no bit of ``gone`` marks; only those in article or main if a page has such lines."""
+    inner = any(x.main for x in lines)
+    return [x.text for i, x in enumerate(lines) if not gone >> i & 1 and (x.main or not inner)]
 
 
 def line_keys(lines: list[Line]) -> list[int]:
@@ -180,6 +188,19 @@ def _bitmap(places: list[int]) -> bytes:
     return bits.to_bytes(-(-bits.bit_length() // 8), "little")
 
 
+def with_frame(near: DataFrame) -> DataFrame:
+    """``near`` with ``spared``, the places of doubted lines that few pages of their host share, for ``places`` and ``lines``.
+
+    The lines that are not few are a short list per host: each takes up a quarter of its pages.
+    """
+    hosts = near.groupBy("host").agg(F.count("*").alias("pages"))
+    found = near.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    frame = join_small(found, hosts, ["host"]).where(F.col("n") * FEW_PAGES > F.col("pages"))
+    frame = frame.groupBy("host").agg(F.collect_list("line").alias("frame"))
+    few = F.filter(F.arrays_zip("places", "lines"), lambda x: ~F.array_contains(F.coalesce("frame", F.array().cast("array<long>")), x["lines"]))
+    return join_small(near, frame, ["host"], "left").select("host", "mark", "shared", F.transform(few, lambda x: x["places"]).alias("spared"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page.
 
@@ -187,8 +208,9 @@ def extract(pages: DataFrame) -> DataFrame:
     its two neighbours of the same host (longest common path; a copy of the page is
     passed over, whole copies beforehand). Their lines are aligned by longest common subsequence, on 64-bit
     line hashes, where the neighbours meet; only a bitmap of shared lines returns to the
-    page. Shared lines go, unless the page's own markup holds them inside an
-    article: there, passages shared with other articles are text. Parts that are
+    page. Shared lines go. Those inside article or main stay if differencing finds the
+    line on few pages of the host (a quarter at most, copies counted once): passages that
+    recur in some articles are text, a frame is on most pages. Parts that are
     named as menus, headers, footers, sidebars, notices, adverts, forms or comments
     go with their markup. Line breaks and block elements separate lines.
 
@@ -203,33 +225,45 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             lines = [body_lines(h.as_py()) for h in batch.column(4)]
             keys, sizes = pa.array([line_keys(x) for x in lines], pa.list_(pa.int64())), pa.array([[len(y.text) for y in x] for x in lines], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], keys, sizes], names=["host", "path", "page_id", "sig", "keys", "sizes"])
+            main = pa.array([_bitmap([i for i, y in enumerate(x) if y.main]) for x in lines], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], keys, sizes, main], names=["host", "path", "page_id", "sig", "keys", "sizes", "main"])
 
-    hashed = rows.select("host", "path", "page_id", "sig", "html").mapInArrow(hash_lines, "host string, path string, page_id long, sig long, keys array<long>, sizes array<int>").withColumn("mark", F.xxhash64("keys"))
+    hashed = rows.select("host", "path", "page_id", "sig", "html").mapInArrow(hash_lines, "host string, path string, page_id long, sig long, keys array<long>, sizes array<int>, main binary").withColumn("mark", F.xxhash64("keys", "main"))
     # Pages of a host with equal lines stand in the order once, so that every neighbour differs.
-    distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys", "sizes")).alias("one")).select("host", "one.path", "mark", "one.keys", "one.sizes")
+    distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys", "sizes", "main")).alias("one")).select("host", "one.path", "mark", "one.keys", "one.sizes", "one.main")
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = following(distinct, ["host", "path", "mark"], tasks)
     slim = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.mark") != F.col("mark")), F.struct(F.col(f"{c}.path").alias("path"), F.col(f"{c}.keys").alias("keys")))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = [_bitmap(_nearest(p.as_py(), [b.as_py(), a.as_py()], k.as_py(), s.as_py())) for p, k, s, b, a in zip(*batch.columns[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.binary())], names=["host", "mark", "shared"])
-
-    near = near.select("host", "mark", "path", "keys", "sizes", slim("before").alias("before"), slim("after").alias("after")).mapInArrow(align, "host string, mark long, shared binary")
-    near = hashed.select("page_id", "sig", "host", "mark").distinct().join(near, ["host", "mark"]).select(F.col("page_id").alias("near_id"), F.col("sig").alias("near_sig"), "shared")
+            shared, places, lines = [], [], []
+            for path, keys, sizes, main, before, after in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                found = _nearest(path, [before, after], keys, sizes)
+                inside = int.from_bytes(main, "little")
+                doubted = [i for i in found if inside >> i & 1]
+                shared.append(_bitmap(found))
+                places.append(doubted)
+                lines.append([keys[i] for i in doubted])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64()))], names=["host", "mark", "shared", "places", "lines"])
+
+    near = near.select("host", "mark", "path", "keys", "sizes", "main", slim("before").alias("before"), slim("after").alias("after"))
+    near = stage(near.mapInArrow(align, "host string, mark long, shared binary, places array<int>, lines array<long>"))
+    near = with_frame(near)
+    near = hashed.select("page_id", "sig", "host", "mark").distinct().join(near, ["host", "mark"]).select(F.col("page_id").alias("near_id"), F.col("sig").alias("near_sig"), "shared", "spared")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, marks in zip(*batch.columns[2:4], strict=True):
-                shared = int.from_bytes(marks.as_py() or b"", "little")
-                texts.append("\n".join(x.text for i, x in enumerate(body_lines(source.as_py())) if x.main or not shared >> i & 1))
+            for source, marks, spared in zip(*(c.to_pylist() for c in batch.columns[2:5]), strict=True):
+                gone = int.from_bytes(marks or b"", "little")
+                for i in spared or ():
+                    gone &= ~(1 << i)
+                texts.append("\n".join(text_lines(body_lines(source), gone)))
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lengths)], names=["page_id", "url", "text", "n_chars"])
 
     # Host and path follow from the URL; they need no place in the shuffle of the pages.
     rows = rows.select("page_id", "url", "sig", "html")
     paired = rows.join(near, rows["page_id"].eqNullSafe(near["near_id"]) & (rows["sig"] == near["near_sig"]), "left")
-    return paired.select("page_id", "url", "html", "shared").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    return paired.select("page_id", "url", "html", "shared", "spared").mapInArrow(difference, "page_id long, url string, text string, n_chars long")

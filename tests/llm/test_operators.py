@@ -258,6 +258,20 @@ def test_pages(spark):
     assert got[1][0] == "two & co\nText of two" and got[5] == ("Own <text>\nmore", 15) and got[4] == got[None] == ("", 0)
 
 
+def _page_texts(spark, pages_of):
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages_of)]
+    return [r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_pages_difference_inside_articles(spark):
+    """A block that every article repeats goes; a passage that two of ten articles share stays."""
+    own = lambda i: f"<p>Report {i} tells of {i} ships, their {i} captains and what they carried to port {i}." * 2
+    quote = "<p>A passage that both quote."
+    got = _page_texts(spark, [(f"http://h.org/{i}", f"<main>{own(i)}{quote if i in (4, 5) else ''}<p>Read our letter</main>") for i in range(10)])
+    line = "Report {0} tells of {0} ships, their {0} captains and what they carried to port {0}."
+    assert got == ["\n".join([line.format(i)] * 2 + ["A passage that both quote."] * (i in (4, 5))) for i in range(10)]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
