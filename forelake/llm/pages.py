@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forelake.functions.joins import join_small
@@ -34,12 +34,20 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _SPLIT = re.compile(r"[^a-z]+")
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _INLINES, _VOIDS, _ASIDES, _MARKED = set(_INLINE), set(_VOID), set(_ASIDE), set(_MARKS)
-#: Two pages that share this part of their characters are copies and tell nothing about the frame around a text.
-COPY_SHARE = 0.6
-#: Shared lines in article or main are text if differencing finds them on at most one in so many pages of the host.
+#: Two pages are near copies, which tell nothing about the frame around a text, if they leave less than this part of the smaller one's characters unshared.
+OWN_SHARE = 0.1
+#: From this shared part on, a pair may as well be two versions of a text: the host's other pages decide about its shared lines.
+DOUBT_SHARE = 0.6
+#: Shared lines in article or main, or in doubt, are text if differencing finds them on at most one in so many pages of the host.
 FEW_PAGES = 4
 
 
+_PAGE = "struct<path:string,keys:array<bigint>,total:bigint>"
+_RUN = f"struct<path:string,keys:array<bigint>,sizes:array<int>,main:binary,copies:array<boolean>,before:{_PAGE},after:{_PAGE}>"
+_PAGE_ARROW = pa.struct({"path": pa.string(), "keys": pa.list_(pa.int64()), "total": pa.int64()})
+_RUN_ARROW = pa.struct({"path": pa.string(), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "main": pa.binary(), "copies": pa.list_(pa.bool_()), "before": _PAGE_ARROW, "after": _PAGE_ARROW})
+
+
 @dataclass
 class Line:
     text: str
@@ -164,8 +172,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.substring(rest, F.length(host) + 1, F.lit(2**31 - 1))
 
 
-def _nearest(path: str, others: list[dict | None], keys: list[int], sizes: list[int]) -> list[int]:
-    """Indices of the lines shared with the nearest page of the host that is no copy."""
+def _nearest(path: str, others: list[dict | None], keys: list[int], sizes: list[int]) -> tuple[list[int], list[bool]]:
+    """Indices of the lines shared with the nearest page of the host that is no near copy, and which of ``others`` are near copies."""
 
     def common(o: dict) -> int:
         k = 0
@@ -173,12 +181,14 @@ def _nearest(path: str, others: list[dict | None], keys: list[int], sizes: list[
             k += 1
         return k
 
-    total = sum(sizes)
-    for o in sorted((o for o in others if o), key=lambda o: -common(o)):
-        shared = aligned(keys, o["keys"])
-        if sum(sizes[i] for i in shared) < COPY_SHARE * total:
-            return shared
-    return []
+    total, copies, nearest = sum(sizes), [], ([], -1)
+    for o in others:
+        shared = aligned(keys, o["keys"]) if o else []
+        smaller = min(total, o["total"]) if o else 0
+        copies.append(bool(o) and smaller - sum(sizes[i] for i in shared) < OWN_SHARE * smaller)
+        if o and not copies[-1] and common(o) > nearest[1]:
+            nearest = shared, common(o)
+    return nearest[0], copies
 
 
 def _bitmap(places: list[int]) -> bytes:
@@ -188,6 +198,28 @@ def _bitmap(places: list[int]) -> bytes:
     return bits.to_bytes(-(-bits.bit_length() // 8), "little")
 
 
+def beside_runs(runs: DataFrame, tasks: int) -> DataFrame:
+    """``runs`` with the pages before and after each row's run of near copies, null at the ends of a host.
+
+    The first row of a run knows the page before it, the last row the page after it.
+    Both are carried along ranges of rows; what goes over the edge of a range meets
+    in one small table.
+    """
+    order = ["host", "path", "mark"]
+    held = lambda c, i: F.when(~F.col("copies")[i], F.struct("host", F.col(c).alias("page")))
+    rows = stage(runs.repartitionByRange(tasks, *order).withColumn("__part", F.spark_partition_id()).withColumn("before", held("before", 0)).withColumn("after", held("after", 1)))
+    down, up = Window.partitionBy("__part").orderBy(*order), Window.partitionBy("__part").orderBy(*[F.desc(c) for c in order])
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order))
+    ends = rows.groupBy("__part").agg(F.max_by("before", at("before")).alias("b"), F.min_by("after", at("after")).alias("a"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    # One row per range.
+    ends = ends.select("__part", F.last("b", True).over(earlier(Window.orderBy("__part"))).alias("__b"), F.last("a", True).over(earlier(Window.orderBy(F.desc("__part")))).alias("__a"))
+    found = rows.withColumn("before", F.last("before", True).over(so_far(down))).withColumn("after", F.last("after", True).over(so_far(up))).join(ends, "__part")
+    page = lambda c, carried: F.when(F.coalesce(c, carried)["host"] == F.col("host"), F.coalesce(c, carried)["page"])
+    return found.withColumn("before", page("before", "__b")).withColumn("after", page("after", "__a"))
+
+
 def with_frame(near: DataFrame) -> DataFrame:
     """``near`` with ``spared``, the places of doubted lines that few pages of their host share, for ``places`` and ``lines``.
 
@@ -205,10 +237,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page.
 
     Pages are put in order of host and URL path; each is paired with the nearer of
-    its two neighbours of the same host (longest common path; a copy of the page is
-    passed over, whole copies beforehand). Their lines are aligned by longest common subsequence, on 64-bit
+    its two neighbours of the same host (longest common path). Whole copies are
+    collapsed beforehand; where all neighbours are near copies, the run of near copies is
+    passed over and the pages before and after it are taken. Their lines are aligned by longest common subsequence, on 64-bit
     line hashes, where the neighbours meet; only a bitmap of shared lines returns to the
-    page. Shared lines go. Those inside article or main stay if differencing finds the
+    page. Shared lines go. Those inside article or main, or of a pair that shares
+    most of its characters, stay if differencing finds the
     line on few pages of the host (a quarter at most, copies counted once): passages that
     recur in some articles are text, a frame is on most pages. Parts that are
     named as menus, headers, footers, sidebars, notices, adverts, forms or comments
@@ -230,25 +264,34 @@ def extract(pages: DataFrame) -> DataFrame:
 
     hashed = rows.select("host", "path", "page_id", "sig", "html").mapInArrow(hash_lines, "host string, path string, page_id long, sig long, keys array<long>, sizes array<int>, main binary").withColumn("mark", F.xxhash64("keys", "main"))
     # Pages of a host with equal lines stand in the order once, so that every neighbour differs.
-    distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys", "sizes", "main")).alias("one")).select("host", "one.path", "mark", "one.keys", "one.sizes", "one.main")
+    distinct = hashed.groupBy("host", "mark").agg(F.min(F.struct("path", "keys", "sizes", "main")).alias("one")).select("host", "one.path", "mark", "one.keys", "one.sizes", "one.main", F.aggregate("one.sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = following(distinct, ["host", "path", "mark"], tasks)
-    slim = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.mark") != F.col("mark")), F.struct(F.col(f"{c}.path").alias("path"), F.col(f"{c}.keys").alias("keys")))
+    slim = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.mark") != F.col("mark")), F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("path", "keys", "total")]))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, places, lines = [], [], []
+            shared, places, lines, unsettled, runs = [], [], [], [], []
             for path, keys, sizes, main, before, after in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                found = _nearest(path, [before, after], keys, sizes)
+                found, copies = _nearest(path, [before, after], keys, sizes)
                 inside = int.from_bytes(main, "little")
-                doubted = [i for i in found if inside >> i & 1]
+                doubt = sum(sizes[i] for i in found) >= DOUBT_SHARE * sum(sizes)
+                doubted = [i for i in found if doubt or inside >> i & 1]
                 shared.append(_bitmap(found))
                 places.append(doubted)
                 lines.append([keys[i] for i in doubted])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64()))], names=["host", "mark", "shared", "places", "lines"])
-
-    near = near.select("host", "mark", "path", "keys", "sizes", "main", slim("before").alias("before"), slim("after").alias("after"))
-    near = stage(near.mapInArrow(align, "host string, mark long, shared binary, places array<int>, lines array<long>"))
+                unsettled.append(any(copies) and all(c or not o for c, o in zip(copies, (before, after), strict=True)))
+                # Rows of a run bring what stands beside it.
+                before, after = (None if c else o for c, o in zip(copies, (before, after), strict=True))
+                runs.append({"path": path, "keys": keys, "sizes": sizes, "main": main, "copies": copies, "before": before, "after": after} if any(copies) else None)
+            columns = [*batch.columns[:2], pa.array(shared, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64())), pa.array(unsettled, pa.bool_()), pa.array(runs, _RUN_ARROW)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "mark", "shared", "places", "lines", "unsettled", "run"])
+
+    page, out = ["host", "mark", "path", "keys", "sizes", "main"], f"host string, mark long, shared binary, places array<int>, lines array<long>, unsettled boolean, run {_RUN}"
+    first = stage(near.select(*page, slim("before").alias("before"), slim("after").alias("after")).mapInArrow(align, out))
+    runs = beside_runs(first.where("run is not null").select("host", "mark", "unsettled", "run.*"), tasks)
+    second = runs.where("unsettled").select(*page, "before", "after").mapInArrow(align, out)
+    near = stage(first.where("not unsettled").unionByName(second).drop("unsettled", "run"))
     near = with_frame(near)
     near = hashed.select("page_id", "sig", "host", "mark").distinct().join(near, ["host", "mark"]).select(F.col("page_id").alias("near_id"), F.col("sig").alias("near_sig"), "shared", "spared")
 

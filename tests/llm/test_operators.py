@@ -272,6 +272,26 @@ def test_pages_difference_inside_articles(spark):
     assert got == ["\n".join([line.format(i)] * 2 + ["A passage that both quote."] * (i in (4, 5))) for i in range(10)]
 
 
+def test_pages_lose_a_frame_larger_than_their_text(spark):
+    """Seventy per cent of each page are an unmarked menu and footer."""
+    menu, foot = "".join(f"<div>Menu entry number {k}</div>" for k in range(10)), "<div>All rights reserved by the house</div>"
+    text = lambda i: f"Story {i} is short and has number {i} in it, {i} times over, and ends."
+    got = _page_texts(spark, [(f"http://h.org/s/{i}", f"{menu}<p>{text(i)}</p>{foot}") for i in range(6)])
+    assert got == [text(i) for i in range(6)]
+
+
+def test_pages_pass_over_a_run_of_near_copies(spark):
+    """Five versions of a page that differ in a date stand next to each other by URL."""
+    menu = "".join(f"<div>Menu entry number {k}</div>" for k in range(4))
+    body = [f"Paragraph {k} of the long text tells at some length what happened on day {k} of the voyage." for k in range(8)]
+    page = lambda date, lines: f"{menu}<p>{date}</p>" + "".join(f"<p>{x}</p>" for x in lines)
+    other = [[f"Tale {i} speaks of other matters, {k} in number, and of {i} things." for k in range(5)] for i in range(3)]
+    pages_of = [(f"http://h.org/m/print{i}", page(f"Day {i}", body)) for i in range(5)]
+    pages_of += [(f"http://h.org/{c}", page(f"Seen {i}", other[i])) for i, c in enumerate("ayz")]
+    got = _page_texts(spark, pages_of)
+    assert got == ["\n".join([f"Day {i}", *body]) for i in range(5)] + ["\n".join([f"Seen {i}", *other[i]]) for i in range(3)]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
