@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,23 @@ _MARKS = (
     "subscription signup login sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended comment comments "
     "commentlist respond reply replies disqus discussion pagination pager search searchform widget alert toast skip hidden complementary contentinfo navigation dialog form"
 ).split()
+#: What may stand before or after such a word in one class token; "has-sidebar" or "social-site" name something else.
+_FILLERS = (
+    "site page main global primary secondary post entry left right top bottom first last list box block area slot unit link links button buttons bar icons item items section inner text "
+    "fixed sticky mobile desktop small large icon title"
+).split()
+_NOT_LAST = ("site", "page", "main", "post", "entry", "text")
+#: Marks that go for an article, too: other texts than the page's own.
+_CARDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment comments commentlist respond reply replies disqus discussion".split())
 _HEADER = ("header", "head", "pageheader")
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg|math|object|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+_CARD_TAGS = set("nav footer aside dialog menu menuitem".split())
+_OPEN_TEXT = set("p pre blockquote".split())
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_INLINES, _VOIDS, _ASIDES, _MARKED = set(_INLINE), set(_VOID), set(_ASIDE), set(_MARKS)
+_INLINES, _VOIDS, _ASIDES, _MARKED, _FILLED = set(_INLINE), set(_VOID), set(_ASIDE), set(_MARKS), set(_MARKS) | set(_FILLERS) | set(_HEADER)
+_NAMES = _MARKED | set(_HEADER)
 #: Two pages are near copies, which tell nothing about the frame around a text, if they leave less than this part of the smaller one's characters unshared.
 OWN_SHARE = 0.1
 #: From this shared part on, a pair may as well be two versions of a text: the host's other pages decide about its shared lines.
@@ -55,17 +67,43 @@ class Line:
     beside: bool  # inside a part that is named as no text
 
 
+@dataclass
+class Part:
+    """An element that is named as no text."""
+
+    card: bool  # holds other texts, so that articles inside are beside as well
+    form: bool
+    text: bool = False  # a form with a paragraph, article or main inside is a wrapper of the page
+
+
+def _marks(attributes: str) -> set[str]:
+    """Words of _MARKS and _HEADER that are class, id or role tokens, alone or with fillers only ("site-footer")."""
+    found: set[str] = set()
+    for v in _NAMED.finditer(attributes):
+        for token in (v[1] or v[2] or v[3] or "").split():
+            words = [w for w in _SPLIT.split(_CASE.sub("-", token).lower()) if w]
+            if words and words[-1] not in _NOT_LAST and _FILLED.issuperset(words):
+                found |= _NAMES.intersection(words)
+    return found
+
+
 def page_lines(source: str) -> list[Line]:
     """The page's blocks in order, white space folded, references decoded; scripts and styles are left out."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, main, beside
+    stack: list[tuple[str, bool, tuple[Part, ...]]] = []  # name, main, parts around it
     held: list[str] = []
+    around: list[tuple[Part, ...]] = []
 
     def flush() -> None:
         words = html.unescape("".join(held)).split()
         held.clear()
         if words:
-            lines.append(Line(" ".join(words), *(stack[-1][1:] if stack else (False, False))))
+            main, parts = stack[-1][1:] if stack else (False, ())
+            if parts and parts[-1].form:
+                inside = takewhile(lambda s: s[0] != "form", reversed(stack))
+                parts[-1].text |= any(s[0] in _OPEN_TEXT for s in inside)
+            lines.append(Line(" ".join(words), main, False))
+            around.append(parts)
 
     at = 0
     for m in _SKIP.finditer(source):
@@ -89,23 +127,32 @@ def page_lines(source: str) -> list[Line]:
                         del stack[depth:]
                     break
         elif name not in _VOIDS and not m[4].endswith("/"):
-            main, beside = stack[-1][1:] if stack else (False, False)
+            main, parts = stack[-1][1:] if stack else (False, ())
             if name == "p":  # a paragraph ends an open one
                 while stack and (stack[-1][0] in _INLINES or stack[-1][0] == "p"):
                     if stack.pop()[0] == "p":
                         break
-                main, beside = stack[-1][1:] if stack else (False, False)
-            words = {w for v in _NAMED.finditer(m[4]) for w in _SPLIT.split(_CASE.sub("-", v[1] or v[2] or v[3] or "").lower())} if m[4] else set()
-            if name in ("article", "main") and not words & _MARKED:
-                main = True
+                main, parts = stack[-1][1:] if stack else (False, ())
+            marks = _marks(m[4]) if m[4] else set()
+            if name == "main" or (name == "article" and not marks & _CARDS and not any(x.card for x in parts)):
+                # A mark on what contains the text does not reach it.
+                for part in parts:
+                    part.text = True
+                main, parts = True, ()
+            elif name == "h1" and not any(x.card for x in parts):
+                parts = ()
             elif name not in ("html", "body"):
-                named = bool(words & _MARKED) or (not main and (name == "header" or any(w in _HEADER for w in words)))
-                if named and name in _INLINES and not beside:
+                named = bool(marks & _MARKED) or (not main and (name == "header" or bool(marks)))
+                if named and name in _INLINES and not parts:
                     flush()
-                beside = beside or name in _ASIDES or named
-            stack.append((name, main, beside))
+                if name in _ASIDES or named:
+                    form = name == "form" and not marks - {"form"}
+                    parts = (*parts, Part(bool(marks & _CARDS) or name in _CARD_TAGS, form))
+            stack.append((name, main, parts))
     held.append(source[at:])
     flush()
+    for line, parts in zip(lines, around, strict=True):
+        line.beside = any(not (x.form and x.text) for x in parts)
     return lines
 
 
@@ -246,7 +293,8 @@ def extract(pages: DataFrame) -> DataFrame:
     line on few pages of the host (a quarter at most, copies counted once): passages that
     recur in some articles are text, a frame is on most pages. Parts that are
     named as menus, headers, footers, sidebars, notices, adverts, forms or comments
-    go with their markup. Line breaks and block elements separate lines.
+    go with their markup, but not an article, main or h1 inside (unless in comments, adverts,
+    related texts or a nav, footer or aside element), and no form that holds paragraphs. Line breaks and block elements separate lines.
 
     Null html counts as empty and gives an empty text. Null URLs are one host with
     empty path. Repeated rows are copies of each other. Empty tables give no rows.

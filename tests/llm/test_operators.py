@@ -292,6 +292,20 @@ def test_pages_pass_over_a_run_of_near_copies(spark):
     assert got == ["\n".join([f"Day {i}", *body]) for i in range(5)] + ["\n".join([f"Seen {i}", *other[i]]) for i in range(3)]
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout has-sidebar"><article>{}</article></div>', '<main class="content-with-sidebar">{}</main>', '<div id="social-site"><article>{}</article></div>',
+    '<form action="/p.aspx"><article>{}</article></form>', '<form action="/p.aspx"><div>{}</div></form>', '<div class="layout has-sidebar">{}</div>', '<div class="widget"><main>{}</main></div>',
+])
+def test_page_wrappers_hold_text(wrapper):
+    lines = pages.body_lines(wrapper.format("<h1>Title</h1><p>Some text</p>"))
+    assert pages.text_lines(lines, 0) == ["Title", "Some text"]
+
+
+def test_page_parts_beside_text():
+    beside = '<div class="site-footer">a</div><div class="ad-slot-1">b</div><ul id="mainMenu"><li>c</ul><form><label>d</label><p></form><div class="comment-list"><article><p>e</p></article></div><aside><article>f</article></aside>'
+    assert pages.text_lines(pages.body_lines(f"<p>Text</p>{beside}<p>more"), 0) == ["Text", "more"]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
