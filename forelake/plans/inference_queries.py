@@ -92,7 +92,7 @@ def totals(v: Views):
 
 def marked(v: Views):
     keys = ["region", "policy"]
-    return B.marked_draws(B.block_bootstrap(v.staged_panel, keys, BLOCK, DRAWS, SEED, days=v.weeks), totals(v), B.points(v.staged_panel, keys), keys, NOMINAL)
+    return B.marked_draws(B.block_bootstrap(v.staged_panel, keys, BLOCK, DRAWS, SEED, days=v.weeks), totals(v), B.points(v.staged_panel, keys), keys, float(v.nominal_weeks))
 
 
 @query("percentile_ci", f"WITH {REGIONAL} SELECT region, {r('quantile_cont(mean, 0.025)', 'lo', 3)}, {r('quantile_cont(mean, 0.975)', 'hi', 3)} FROM dr GROUP BY 1", "panel")
@@ -288,7 +288,8 @@ def break_even(v: Views):
     return shown(D.break_even(scoped_ci(v)), 2)
 
 
-# Selection on weeks 0..154, evaluation on weeks 155..354 (re-indexed).
+# Selection on the weeks up to VALIDATION_END, evaluation on the later ones (re-indexed). The SQL texts
+# hold the test tables' lengths; the plans read theirs from the panel.
 TRAIN_N, EVAL_N = 155, 200
 _RESELECT = f"""tr AS (SELECT * FROM panel WHERE day_idx < {TRAIN_N} AND policy IN {CURRENT_LIST}), evl AS (SELECT region, policy, day_idx - {TRAIN_N} AS day_idx, x FROM panel WHERE day_idx >= {TRAIN_N}),
 bt AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = 0), be AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = (SELECT max(day_idx) FROM panel_full)),
@@ -300,9 +301,10 @@ fro AS (SELECT region, policy AS frozen FROM (SELECT region, policy, sum(x) + ma
 
 
 def _selection(v: Views):
-    train = v.staged_panel.filter((F.col("day_idx") < TRAIN_N) & F.col("policy").isin(*CURRENT))
-    boundary = v.staged_panel_full.filter("day_idx = 0").select("region", "policy", F.col("x").alias("boundary"))
-    chosen = I.reselect(B.block_bootstrap(train, ["region", "policy"], BLOCK, DRAWS, SEED + 207, days=TRAIN_N), boundary, TRAIN_N)
+    n, full = v.train_weeks, v.staged_panel_full
+    train = v.staged_panel.filter((F.col("day_idx") < n) & F.col("policy").isin(*CURRENT))
+    boundary = full.filter(F.col("day_idx") == full.agg(F.min("day_idx")).scalar()).select("region", "policy", F.col("x").alias("boundary"))
+    chosen = I.reselect(B.block_bootstrap(train, ["region", "policy"], BLOCK, DRAWS, SEED + 207, days=n), boundary, n)
     scores = train.groupBy("region", "policy").agg(F.sum("x").alias("s")).join(boundary, ["region", "policy"]).select(
         "region", "policy", (F.col("s") + F.col("boundary")).alias("value")
     )
@@ -346,14 +348,15 @@ d AS (SELECT draw, {_sums('value', 'f')}, {_sums('score', 'b')} FROM j GROUP BY
 SELECT metric, {r('quantile_cont(v, 0.025)', 'p025', 2)}, {r('quantile_cont(v, 0.5)', 'median', 2)}, {r('quantile_cont(v, 0.975)', 'p975', 2)}, {r('avg(v)', 'mean', 2)} FROM m GROUP BY 1""", "panel panel_full")
 def selection_uncertainty(v: Views):
     chosen, frozen = _selection(v)
-    evaluation = v.staged_panel.filter(F.col("day_idx") >= TRAIN_N).withColumn("day_idx", F.col("day_idx") - TRAIN_N)
+    first, n = v.train_weeks, v.weeks - v.train_weeks
+    evaluation = v.staged_panel.filter(F.col("day_idx") >= first).withColumn("day_idx", F.col("day_idx") - first)
     full = v.staged_panel_full
     last = full.filter(F.col("day_idx") == full.agg(F.max("day_idx")).scalar()).select("region", "policy", F.col("x").alias("boundary"))
     full = evaluation.groupBy("region", "policy").agg(F.sum("x").alias("s")).join(last, ["region", "policy"]).select(
         "region", "policy", "boundary", (F.col("s") + F.col("boundary")).alias("value")
     )
-    draws = B.block_bootstrap(evaluation, ["region", "policy"], BLOCK, DRAWS, SEED + 407, days=EVAL_N)
-    return shown(I.selection_uncertainty(chosen, draws, full, frozen, EVAL_N, _H), 2)
+    draws = B.block_bootstrap(evaluation, ["region", "policy"], BLOCK, DRAWS, SEED + 407, days=n)
+    return shown(I.selection_uncertainty(chosen, draws, full, frozen, n, _H), 2)
 
 
 _LENGTHS = [("first_half", 78), ("full", 155)]
@@ -372,10 +375,11 @@ SELECT region, period, selected, {r('c', 'selected_value', 2)}, {r('b', 'base_va
   {r(f'(h - c) / {NOMINAL}', 'inverse_lead_minus_selected_per_day', 2)}, {r('CASE WHEN abs(h - b) > 1e-12 THEN (c - b) / (h - b) END', 'inverse_lead_absorption', 2)},
   {r('a1', 'selected_minus_base_lo', 2)}, {r('a2', 'selected_minus_base_hi', 2)}, {r('b1', 'inverse_lead_minus_selected_lo', 2)}, {r('b2', 'inverse_lead_minus_selected_hi', 2)} FROM v JOIN q USING (region, period)""", "panel panel_full")
 def selection_length(v: Views):
-    offered = F.filter(F.array(*[F.struct(F.lit(n).alias("period"), F.lit(k).alias("stop")) for n, k in _LENGTHS]), lambda p: F.col("day_idx") < p["stop"])
+    lengths = [("first_half", -(-v.train_weeks // 2)), ("full", v.train_weeks)]
+    offered = F.filter(F.array(*[F.struct(F.lit(n).alias("period"), F.lit(k).alias("stop")) for n, k in lengths]), lambda p: F.col("day_idx") < p["stop"])
     scores = v.staged_panel.filter(F.col("policy").isin(*CURRENT)).withColumn("_p", F.explode(offered)).groupBy("region", "policy", F.col("_p.period").alias("period")).agg(F.sum("x").alias("value"))
     choices = S.select_policy(scores, ["region", "period"])
-    return shown(I.selection_length(choices, marked(v), totals(v), ["inverse_lead"], nominal_days=NOMINAL), 2)
+    return shown(I.selection_length(choices, marked(v), totals(v), ["inverse_lead"], nominal_days=float(v.nominal_weeks)), 2)
 
 
 def _annual_sql() -> str:

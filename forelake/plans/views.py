@@ -6,6 +6,7 @@ text for the check engine.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -215,6 +216,23 @@ class Views:
         """Number of weeks of the panel."""
         return day_count(self.staged_panel)
 
+    @cached_property
+    def _week_ends(self) -> tuple[int, int]:
+        """First and last week of the panel, both partly covered."""
+        return tuple(self.staged_panel_full.agg(F.min("day_idx"), F.max("day_idx")).first())
+
+    @cached_property
+    def nominal_weeks(self) -> int:
+        """Number of weeks with the first and the last."""
+        first, last = self._week_ends
+        return last - first + 1
+
+    @cached_property
+    def train_weeks(self) -> int:
+        """Number of the panel's weeks that end by ``VALIDATION_END``; the later ones evaluate."""
+        ended = (date.fromisoformat(VALIDATION_END) - date.fromisoformat(FIRST_WEEK)).days // 7
+        return max(0, min(ended - self._week_ends[0] - 1, self.weeks))
+
     @cached_property
     def staged_trajectory(self) -> DataFrame:
         """The trajectory written once, for reports that read it several times."""
