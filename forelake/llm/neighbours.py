@@ -114,11 +114,24 @@ def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate((vectors, rest[:, None]), axis=1)
 
 
+def slack(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+    """How far two roundings of the same product can lie apart, per row of ``lefts``, with room for both products of a comparison."""
+    longest = np.sqrt(np.einsum("ij,ij->i", rights, rights).max())
+    return 8 * (rights.shape[1] + 2) * np.finfo(np.float64).eps * longest * np.sqrt(np.einsum("ij,ij->i", lefts, lefts))
+
+
+def reaching(near: np.ndarray, most: int, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every product that may be among the ``most`` largest of its row, all ties with the last included."""
+    most = min(most, near.shape[1])
+    last = -np.partition(-near, most - 1, axis=1)[:, most - 1]
+    return np.nonzero(near >= (last - margin)[:, None])
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, leaf: int = LEAF, share: float = SEARCH_SHARE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each query row.
 
     ``queries`` is a condition on ``id``. Equal vectors form one class, kept with its
-    k + 1 smallest ids (no more can rank). The planes of the forest come from a
+    k + 1 smallest ids, each at most k times (no more can rank). The planes of the forest come from a
     bounded sample; every class goes to its leaf in every tree, large leaves in
     parts. A query opens leaves by one priority queue over all trees until they hold
     ``share`` of all rows. Candidates are scored in double precision; each task keeps
@@ -131,7 +144,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
     mark = F.xxhash64("vec")
-    ranked = rows.withColumn("mark", mark).withColumn("n", F.row_number().over(Window.partitionBy("mark", "vec").orderBy("id"))).where(F.col("n") <= k + 1)
+    by_id = Window.partitionBy("mark", "vec").orderBy("id")
+    ranked = rows.withColumn("mark", mark).withColumn("n", F.dense_rank().over(by_id)).withColumn("copy", F.row_number().over(by_id) - F.rank().over(by_id)).where((F.col("n") <= k + 1) & (F.col("copy") < k))
     classes = stage(ranked.groupBy("mark", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("class", F.col("ids")[0]).drop("mark"))
     asked = stage(rows.where(queries).select("id", "vec"))
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
@@ -214,11 +228,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
                     own, rights = ids[start:stop], points[start:stop]
                     for at in range(0, len(names), 1024):
                         near = lefts[at : at + 1024] @ rights.T
-                        most = min(k + 9, near.shape[1])
-                        top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+                        row, column = reaching(near, k + 1, slack(lefts[at : at + 1024], rights))
                         # The same sum for a pair, whichever leaf it met in.
-                        exact = np.einsum("qd,qtd->qt", lefts[at : at + 1024], rights[top])
-                        keep(names[at : at + 1024], own[top], exact)
+                        exact = np.concatenate([np.einsum("nd,nd->n", lefts[at + row[i : i + 8192]], rights[column[i : i + 8192]]) for i in range(0, len(row), 8192)])
+                        ends = np.searchsorted(row, np.arange(1, len(near)))
+                        keep(names[at : at + 1024], np.split(own[column], ends), np.split(exact, ends))
                     if len(best) > 50_000:
                         yield from flush()
         yield from flush()

@@ -195,6 +195,17 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest(df.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_ties_go_to_smaller_ids(spark):
+    """One hundred distinct vectors have the same product with the query; 25 rows of the query's id share its vector."""
+    k = 20
+    tied = [(1000 - i, [0.5] + [1.0 if j == i else 0.0 for j in range(100)]) for i in range(100)]
+    got = neighbours.nearest(spark.createDataFrame([(5000, [1.0] + [0.0] * 100), *tied], "vec_id long, embedding array<double>"), F.col("id") == 5000, k=k, share=50.0)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == list(range(901, 901 + k))
+    rows = [(1, [1.0, 0.0])] * 25 + [(2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 1, k=k, share=50.0)
+    assert {r["vec_id"] for r in got.collect()} >= {2, 3}
+
+
 def test_mix_meets_targets(docs, texts, empty):
     rows, pieces = mixing.mix(docs)
     got = mixing.taken(rows, pieces).collect()
