@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forelake.llm import fingerprints, langid, licenses, linededup, mixing, neighbours, packing, pages, simhash, substrings
-from forelake.llm.common import table
+from forelake.llm import fingerprints, langid, licenses, linededup, mixing, neighbours, packing, pages, pivots, resampling, runs, simhash, substrings
+from forelake.llm.common import WORD, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,5 +113,55 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_neighbours, op4_simhash, op5_mixing, op6_language, op7_html, op8_license_scan, op9_suffix_dedup, op10_fingerprints)}
-SQL = {"op8_license_scan": _LICENSE_SQL, "op2_line_dedup": _LINE_SQL, "op5_mixing": _MIX_SQL}
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+_TOP_SQL = """
+WITH kept AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM kept q JOIN kept c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 20
+"""
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the checksum of the id is a multiple of 10, words from a place on repeat the words that start there."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", text.alias("text"), h.alias("h")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    unit = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    # Runs ascend by start and period, so the first of equal exponents stays.
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    rows = found.withColumn("best", best)
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")], exponent.cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_neighbours, op4_simhash, op5_mixing, op6_language, op7_html, op8_license_scan, op9_suffix_dedup, op10_fingerprints, op11_exact_top_k, op12_periodic_runs, op13_resampling)}
+SQL = {"op8_license_scan": _LICENSE_SQL, "op2_line_dedup": _LINE_SQL, "op5_mixing": _MIX_SQL, "op11_exact_top_k": _TOP_SQL}
