@@ -11,8 +11,10 @@ MIN_CHARS = 10
 #: A key is split over several tasks from this share of the lines on, as seen in the plan sample.
 HOT_SHARE = 1 / 1000
 #: Documents of the plan sample, and tasks that share a hot key's rows.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 8_000
 SPREAD = 64
+#: Leading bits of a hash that name its range.
+RANGE_BITS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,12 +41,13 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, sig, pos) of each line whose key an earlier document holds.
 
-    Hashes are range-partitioned with a secondary sort by document and position,
+    Hashes are even over 64 bits, so equal ranges of them need no sampled bounds:
+    lines are dealt out by the leading bits and sorted by hash, document and position,
     so that the first document of a key streams past before its other lines. A key
     that the plan sample shows to be hot is spread over ``SPREAD`` tasks by
     document. Lines after their task's first document of the key are settled
     there; only the lines of each task's first document go to a second, small
-    comparison. The sample decides where rows go, never what is dropped.
+    comparison. Every line is hashed and sent once. The sample decides where rows go, never what is dropped.
     """
     lines = line_hashes(docs, min_chars)
     sample = docs.sample(min(1.0, SAMPLE_DOCS / max(1, docs.count())), seed=7)
@@ -53,14 +56,16 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # At most 1 / HOT_SHARE rows, whatever the table's size.
     hot = counts.where(F.col("count") >= least).select("h1", "h2", F.lit(True).alias("hot"))
     lines = lines.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0)))
+    lines = lines.withColumn("range", F.shiftright("h1", 64 - RANGE_BITS).cast("int"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.repartitionByRange(tasks, "h1", "h2", "part").sortWithinPartitions("h1", "h2", "part", "doc", "pos")
-    stream = Window.partitionBy("h1", "h2", "part").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = dealt.withColumn("first", F.first("doc").over(stream))
-    settled = dealt.where("doc > first").select("doc", "sig", "pos")
+    # Clustered by range and part, so the window below needs no further exchange.
+    dealt = lines.repartition(tasks, "range", "part")
+    stream = Window.partitionBy("range", "part", "h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.withColumn("first", F.first("doc").over(stream)).where("hot or doc > first")
+    found = stage(found.select("doc", "sig", "pos", "h1", "h2", (F.col("doc") > F.col("first")).alias("settled")))
     again = Window.partitionBy("h1", "h2")
-    undecided = dealt.where("hot and doc = first").withColumn("first", F.min("doc").over(again)).where("doc > first").select("doc", "sig", "pos")
-    return settled.unionByName(undecided)
+    undecided = found.where("not settled").withColumn("first", F.min("doc").over(again)).where("doc > first")
+    return found.where("settled").select("doc", "sig", "pos").unionByName(undecided.select("doc", "sig", "pos"))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
