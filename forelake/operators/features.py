@@ -71,6 +71,41 @@ def causal_features(
     })
 
 
+def direct_features(
+    prices: DataFrame, horizons: int = 18, delay: int = 26, lags: Sequence[int] = (0, 24, 48, 168),
+    widths: Sequence[int] = (24, 168), aligned: Sequence[int] = (48, 168), step_min: int = 60,
+    keys: Sequence[str] = ("region",), ts: str = "target", price: str = "price", target_rows: int | None = None,
+) -> DataFrame:
+    """The features of ``causal_features`` for all horizons at once, with their labels.
+
+    A row per origin holds the lags and widths, which no horizon changes, and arrays over the
+    horizons: ``aligned_a`` (price ``a`` steps before each target) and ``labels``
+    (price at each target; shorter at the end of a series). One window pass for all horizons.
+    Origins whose look-back is not gap-free, by its oldest stamp, are dropped; labels
+    are null if a stamp among them is missing.
+    """
+    if any(a - (horizons - 1) < delay for a in aligned):
+        raise ValueError("target-aligned lag reaches past the availability delay")
+    reach = max(delay + max(*lags, *widths), *aligned)
+    seg = segment_series(prices.select(*keys, ts, price), keys, [ts], before=reach, after=horizons - 1, target_rows=target_rows)
+    w, value = seg.window, F.col(price).cast("double")
+    columns = {f"lag_{k}": F.lag(value, delay + k).over(w) for k in lags}
+    for width in widths:
+        frame = w.rowsBetween(-(delay + width - 1), -delay)
+        columns[f"mean_{width}"] = F.avg(value).over(frame)
+        columns[f"sd_{width}"] = F.stddev_pop(value).over(frame)
+    # Structs, as a list leaves out nulls.
+    cell = F.struct(F.col(ts).alias("t"), value.alias("p"))
+    for a in aligned:
+        columns[f"aligned_{a}"] = F.collect_list(cell).over(w.rowsBetween(-a, horizons - 1 - a))["p"]
+    columns["_ahead"] = F.collect_list(cell).over(w.rowsBetween(0, horizons - 1))
+    columns["_oldest"] = F.lag(ts, reach).over(w)
+    out = seg.finish(seg.frame.withColumns(columns)).filter(F.col("_oldest") == shift_minutes(ts, -reach * step_min))
+    last = F.element_at("_ahead", -1)["t"]
+    labels = F.when(last == F.col(ts) + F.make_dt_interval(mins=(F.size("_ahead") - 1) * step_min), F.col("_ahead.p"))
+    return out.withColumn("labels", labels).drop("_ahead", "_oldest", price)
+
+
 def perturbation_leak_test(
     build: Callable[[DataFrame], DataFrame], prices: DataFrame, visible: str, price: str = "price", shift: float = 98765.4321,
 ) -> DataFrame:

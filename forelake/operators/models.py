@@ -1,20 +1,22 @@
-"""Residual models over curve tables with Spark ML, and fixed-seed sampling."""
+"""Residual models over curve tables, and fixed-seed sampling."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forelake.functions.clock import shift_minutes
 from forelake.functions.joins import join_small
 from forelake.functions.quantiles import exact_quantiles
 from forelake.operators.bootstrap import counter_hash
 from forelake.operators.clean import bound_prices
-from forelake.operators.features import causal_features
+from forelake.operators.features import direct_features
+from forelake.operators.gram import DirectRidge, Linear, direct_sums, fit_direct, moment_sums, solve_ridge
+
+from forelake.session import stage
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str, order: Sequence[str]) -> DataFrame:
@@ -59,36 +61,17 @@ def apply_imputer(df: DataFrame, fitted: dict[str, tuple[float, bool]]) -> tuple
     return df.withColumns({**filled, **flags}), [*filled, *flags]
 
 
-def apply_scale(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
-    return df.withColumns({f"z_{f}": (F.col(f) - m) / s for f, (m, s) in scale.items()})
-
-
-def _fit_scaled(data: DataFrame, columns: Sequence[str], label: str, alpha: float, n: int, sd: float):
-    """Spark ML divides the label by its deviation before penalising; ``regParam`` undoes that."""
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(data)
-    return LinearRegression(
-        featuresCol="features", labelCol=label, predictionCol="prediction", regParam=alpha * sd / n,
-        elasticNetParam=0.0, solver="normal", standardization=False,
-    ).fit(assembled)
-
-
-def _moments(features: Sequence[str], label: str) -> list[Column]:
-    return [
-        F.count(label).alias("n"), F.stddev_pop(label).alias("sd"), *[F.avg(f).alias(f"m_{k}") for k, f in enumerate(features)],
-        *[F.stddev_pop(f).alias(f"s_{k}") for k, f in enumerate(features)],
-    ]
-
-
-def _scale(row, features: Sequence[str]) -> dict[str, tuple[float, float]]:
-    return {f: (float(row[f"m_{k}"]), float(row[f"s_{k}"]) or 1.0) for k, f in enumerate(features)}
+def _scales(model: Linear, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    return {f: (float(m), float(s)) for f, m, s in zip(features, model.mean, model.scale, strict=True)}
 
 
 def fit_ridge(train: DataFrame, features: Sequence[str], label: str, alpha: float):
     """Ridge on standardised features: intercept free, penalty ``alpha`` on the squared norm. Returns (model, scale)."""
-    row = train.agg(*_moments(features, label)).first()
-    scale = _scale(row, features)
-    model = _fit_scaled(apply_scale(train, scale), [f"z_{f}" for f in features], label, alpha, row["n"], float(row["sd"]))
-    return model, scale
+    sums = moment_sums(train, features, label)
+    if not sums:
+        raise ValueError("no training rows")
+    model = solve_ridge(sums[0], alpha)
+    return model, _scales(model, features)
 
 
 def predict_linear(df: DataFrame, model, features: Sequence[str], scale: dict | None = None, name: str = "prediction") -> DataFrame:
@@ -104,28 +87,55 @@ def predict_linear(df: DataFrame, model, features: Sequence[str], scale: dict |
 
 
 def fit_ridge_steps(train: DataFrame, features: Sequence[str], alpha: float, steps: int = 12, price: str = "price", actual: str = "actual") -> dict:
-    """One residual ridge per step of the fixed horizon; the scales of all steps come from one aggregation."""
-    labelled = train.withColumn("_residual", F.col(actual) - F.col(price))
-    rows = {r["step"]: r for r in labelled.groupBy("step").agg(*_moments(features, "_residual")).collect()}
-    absent = [j for j in range(steps) if j not in rows]
+    """One residual ridge per step of the fixed horizon; the sums of all steps come from one aggregation."""
+    sums = moment_sums(train.withColumn("_residual", F.col(actual) - F.col(price)), features, "_residual", "step")
+    absent = [j for j in range(steps) if j not in sums]
     if absent:
         raise ValueError(f"no training rows for steps {absent}")
-    out = {}
-    for j in range(steps):
-        scale = _scale(rows[j], features)
-        data = apply_scale(labelled.filter(F.col("step") == j), scale)
-        out[j] = _fit_scaled(data, [f"z_{f}" for f in features], "_residual", alpha, rows[j]["n"], float(rows[j]["sd"])), scale
-    return out
+    fits = {j: solve_ridge(sums[j], alpha) for j in range(steps)}
+    return {j: (fit, _scales(fit, features)) for j, fit in fits.items()}
+
+
+def fit_step_imputer(train: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(step, {feature}_median) with the exact median of each step (0 if it has no value), and the features that are missing anywhere."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), _present(f).alias("v")) for f in features])
+    long = train.select("step", F.explode(cells).alias("_c")).select("step", "_c.*")
+    medians = exact_quantiles(long, ["step", "feature"], "v", [0.5], ["median"])
+    wide = medians.groupBy("step").agg(*[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"{f}_median") for f in features])
+    gaps = train.agg(*[F.max(_present(f).isNull()).alias(f) for f in features]).first()
+    return wide, [f for f in features if gaps[f]]
+
+
+def apply_step_imputer(df: DataFrame, medians: DataFrame, gaps: Sequence[str], features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Copies filled with their step's median, and 0/1 indicators of the features that were missing at the fit."""
+    filled = {f"{f}_filled": F.coalesce(_present(f), F.col(f"{f}_median"), F.lit(0.0)) for f in features}
+    flags = {f"{f}_missing": _present(f).isNull().cast("double") for f in gaps}
+    # One row per step.
+    rows = df.join(F.broadcast(medians), "step", "left").withColumns({**filled, **flags})
+    return rows.drop(*[f"{f}_median" for f in features]), [*filled, *flags]
+
+
+def fit_imputed_ridge_steps(train: DataFrame, features: Sequence[str], alpha: float, steps: int = 12, price: str = "price", actual: str = "actual") -> tuple[dict, tuple, list[str]]:
+    """Residual ridges of all steps on median-filled features and missing indicators.
+
+    Returns the fits, the imputer's (medians, gaps) and the columns it makes. The sums of all
+    steps come from one aggregation over the filled rows; an indicator that never
+    varies within a step has weight 0 there.
+    """
+    medians, gaps = fit_step_imputer(train, features)
+    medians = stage(medians)
+    filled, columns = apply_step_imputer(train, medians, gaps, features)
+    return fit_ridge_steps(filled, columns, alpha, steps, price, actual), (medians, gaps), columns
 
 
 def fit_ridge_grid(train: DataFrame, features: Sequence[str], label: str, lambdas: Sequence[float] = (1e-4, 0.01, 1.0), steps: int = 12,
                    label_scale: float = 100.0) -> dict:
-    """Ridge for each penalty n*steps*lambda with the label divided by ``label_scale``."""
-    scaled = train.withColumn("_y", F.col(label) / label_scale)
-    row = scaled.agg(*_moments(features, "_y")).first()
-    scale = _scale(row, features)
-    data, names = apply_scale(scaled, scale), [f"z_{f}" for f in features]
-    return {lam: (_fit_scaled(data, names, "_y", row["n"] * steps * lam, row["n"], float(row["sd"])), scale) for lam in lambdas}
+    """Ridge for each penalty n*steps*lambda with the label divided by ``label_scale``; all penalties use the same sums."""
+    sums = moment_sums(train.withColumn("_y", F.col(label) / label_scale), features, "_y")
+    if not sums:
+        raise ValueError("no training rows")
+    fits = {lam: solve_ridge(sums[0], sums[0][0, 0] * steps * lam) for lam in lambdas}
+    return {lam: (fit, _scales(fit, features)) for lam, fit in fits.items()}
 
 
 def ridge_gradient(train: DataFrame, model, scale, features: Sequence[str], label: str, alpha: float) -> float:
@@ -145,18 +155,14 @@ def ridge_gradient(train: DataFrame, model, scale, features: Sequence[str], labe
 
 
 def fit_direct_horizons(prices: DataFrame, horizons: int = 18, alpha: float = 100.0, train_end: str | None = None, step_min: int = 60,
-                        price: str = "price", keys: Sequence[str] = ("region",), **features) -> dict:
-    """One ridge per horizon on causal features; labels past ``train_end`` are purged."""
-    out = {}
-    for h in range(horizons):
-        x = causal_features(prices, h, step_min=step_min, price=price, keys=keys, **features)
-        label = prices.select(*keys, shift_minutes("target", -h * step_min).alias("target"), F.col(price).alias("_y"))
-        train = x.join(label, [*keys, "target"])
-        if train_end:
-            train = train.filter(shift_minutes("target", (horizons - 1) * step_min) < F.lit(train_end).cast("timestamp_ntz"))
-        columns = [c for c in train.columns if c.startswith(("lag_", "mean_", "sd_", "aligned_", "year_"))]
-        out[h] = (*fit_ridge(train, columns, "_y", alpha), columns)
-    return out
+                        only: Sequence[str] | None = None, **features) -> tuple[DataFrame, DirectRidge]:
+    """One ridge per horizon on causal features and the target's calendar, all from one aggregation.
+
+    Returns the feature frame and the fits. Origins with a label at or past ``train_end`` are purged.
+    """
+    frame = direct_features(prices, horizons, step_min=step_min, **features)
+    sums = direct_sums(frame, horizons, train_end, step_min, features.get("ts", "target"))
+    return frame, fit_direct(frame, sums, alpha, step_min, only)
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], steps: int = 12, price: str = "price", actual: str = "actual", rounds: int = 80,

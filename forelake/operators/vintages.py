@@ -377,30 +377,50 @@ def vintages_for_targets(v: DataFrame, skip_months: Sequence[str] = ()) -> DataF
 def generated_vintage_curves(
     predictions: DataFrame, ages: Sequence[int] = tuple(range(7)), sparse_ages: Sequence[int] = SPARSE_OFFSETS,
     steps: int = 12, keys: Sequence[str] = ("region",),
+) -> DataFrame:
+    """``vintage_curves`` from one row per (keys, issued hour index ``origin``, ``horizon``) with a ``prediction``."""
+    by_horizon = F.map_from_entries(F.collect_list(F.struct("horizon", "prediction")))
+    issued = predictions.filter(F.col("horizon").between(0, steps + max(ages) - 1)).groupBy(*keys, "origin").agg(by_horizon.alias("_m"))
+    listed = F.transform(F.sequence(F.lit(0), F.lit(steps + max(ages) - 1)), lambda h: F.try_element_at("_m", h))
+    return vintage_curves(issued.select(*keys, "origin", listed.alias("predictions")), ages, sparse_ages, steps, keys)
+
+
+def vintage_curves(
+    issued: DataFrame, ages: Sequence[int] = tuple(range(7)), sparse_ages: Sequence[int] = SPARSE_OFFSETS, steps: int = 12,
+    keys: Sequence[str] = ("region",), step_min: int | None = None, target_rows: int | None = None,
 ) -> DataFrame:
     """Averages over model vintages of several ages aligned to one delivery.
 
-    ``predictions`` has (keys, issued hour index ``origin``, ``horizon``,
-    ``prediction``). The vintage of age ``a`` for step ``j`` was issued at
-    ``origin - a`` for horizon ``j + a``. Each prediction is sent to the
-    (origin, step) cells it serves, then combined in one aggregation.
+    ``issued`` has one row per (keys, ``origin``) with an array ``predictions`` over horizons;
+    ``origin`` is a stamp on a grid of ``step_min`` minutes, or an integer if that is None. The
+    vintage of age ``a`` for step ``j`` was issued ``a`` steps before ``origin`` for horizon ``j + a``. Each
+    origin reads the rows before it through a window, by their stamps, so no row is copied. Cells that lack
+    a prediction of any age are left out.
     """
-    served = predictions.withColumn("age", F.explode(F.array(*[F.lit(a) for a in ages]))).select(
-        *keys,
-        (F.col("origin") + F.col("age")).alias("origin"),
-        (F.col("horizon") - F.col("age")).alias("step"),
-        "age",
-        "prediction",
-    ).filter(F.col("step").between(0, steps - 1))
-    weight = 1.0 / (F.col("step") + 1 + F.col("age"))
-    sparse = F.col("age").isin(*sparse_ages)
-    cells = served.groupBy(*keys, "origin", "step").agg(
-        F.max(F.when(F.col("age") == 0, F.col("prediction"))).alias("raw"),
-        F.avg(F.when(sparse, F.col("prediction"))).alias("sparse_equal"),
-        (F.sum(weight * F.col("prediction")) / F.sum(weight)).alias("inverse_lead"),
-        F.count(F.lit(1)).alias("_ages"),
+    position = None if step_min else F.col("origin")
+    seg = segment_series(issued.select(*keys, "origin", "predictions"), keys, ["origin"], before=max(ages), position=position, target_rows=target_rows)
+    near = F.collect_list(F.struct("origin", "predictions")).over(seg.window.rowsBetween(-max(ages), 0))
+    rows = seg.finish(seg.frame.withColumn("_near", near)).drop("predictions")
+
+    def vintage(x):
+        gone = minutes_between("origin", x["origin"]) / step_min if step_min else F.col("origin") - x["origin"]
+        return F.struct(gone.cast("int").alias("age"), x["predictions"].alias("p"))
+
+    rows = rows.withColumn("_v", F.filter(F.transform("_near", vintage), lambda x: x["age"].isin(*ages))).filter(F.size("_v") == len(ages))
+    cells = rows.select(*keys, "origin", "_v", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    at = F.transform("_v", lambda x: F.struct(x["age"].alias("age"), F.get(x["p"], F.col("step") + x["age"]).alias("p")))
+    cells = cells.select(*keys, "origin", "step", at.alias("_c")).filter(F.forall("_c", lambda x: x["p"].isNotNull()))
+
+    def total(value, chosen=None):
+        return F.aggregate(F.filter("_c", chosen) if chosen else F.col("_c"), F.lit(0.0), lambda s, x: s + value(x))
+
+    weight = lambda x: 1.0 / (F.col("step") + 1 + x["age"])
+    sparse = lambda x: x["age"].isin(*sparse_ages)
+    return cells.select(
+        *keys, "origin", "step", F.filter("_c", lambda x: x["age"] == 0)[0]["p"].alias("raw"),
+        (total(lambda x: x["p"], sparse) / len(sparse_ages)).alias("sparse_equal"),
+        (total(lambda x: weight(x) * x["p"]) / total(weight)).alias("inverse_lead"),
     )
-    return cells.filter(F.col("_ages") == len(ages)).drop("_ages")
 
 
 def lead_average_renorm(df: DataFrame, prices: Sequence[str]) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forelake.functions.segments import segment_series
 from forelake.operators import describe as D
+from forelake.operators import features as X
+from forelake.operators import gram as G
 from forelake.operators import models as M
-from forelake.plans.registry import query, r, shown
+from forelake.operators import vintages as V
+from forelake.plans.registry import query, r, rs, shown
 from forelake.plans.views import Views
 from forelake.session import stage
 
@@ -90,19 +94,69 @@ def boosted_residuals(v: Views):
     return shown(D.forecast_metrics(M.score_models(test, {"boosted": M.score_gbt(test, model, columns)})))
 
 
-@query("direct_horizons")
+@query("impute_ridge", f"""
+WITH c AS (SELECT step, CASE WHEN (step + day(origin)) % 5 <> 0 THEN price END AS x, actual - price AS y FROM curve_cells WHERE policy = 'raw' AND origin < TIMESTAMP '{SPLIT}'),
+m AS (SELECT step, quantile_cont(x, 0.5) AS median FROM c GROUP BY 1),
+f AS (SELECT step, coalesce(x, median, 0) AS x, (x IS NULL)::INT::DOUBLE AS g, y FROM c JOIN m USING (step)),
+t AS (SELECT step, count(*) AS n, avg(y) AS intercept, coalesce(covar_pop(x, g) / nullif(stddev_pop(x) * stddev_pop(g), 0), 0) * count(*) AS xg,
+  coalesce(count(*) * covar_pop(x, y) / nullif(stddev_pop(x), 0), 0) AS xy, coalesce(count(*) * covar_pop(g, y) / nullif(stddev_pop(g), 0), 0) AS gy,
+  CASE WHEN stddev_pop(x) > 0 THEN count(*) ELSE 0 END + 50 AS xx, CASE WHEN stddev_pop(g) > 0 THEN count(*) ELSE 0 END + 50 AS gg FROM f GROUP BY 1)
+SELECT step, {r('(xy * gg - gy * xg) / (xx * gg - xg * xg)', 'weight')}, {r('(gy * xx - xy * xg) / (xx * gg - xg * xg)', 'missing_weight')}, {r('intercept')} FROM t""", "curve_cells")
+def impute_ridge(v: Views):
+    """Step ridges on a feature with gaps: its median-filled copy and its missing indicator, all steps from one aggregation."""
+    train, _ = halves(cells(v))
+    gappy = train.withColumn("x", F.when((F.col("step") + F.day("origin")) % 5 != 0, F.col("price")))
+    fits, _, _ = M.fit_imputed_ridge_steps(gappy, ["x"], 50.0)
+    rows = [(j, float(m.coefficients[0]), float(m.coefficients[1]), m.intercept) for j, (m, _) in fits.items()]
+    return shown(v.spark.createDataFrame(rows, "step long, weight double, missing_weight double, intercept double"))
+
+
+DIRECT_END = "2024-01-27"
+_DIRECT = f"""
+slots AS (SELECT region, unnest(generate_series(lo, hi, INTERVAL 2 HOUR)) AS target FROM (SELECT DISTINCT region FROM grid), (SELECT min(target) AS lo, max(target) AS hi FROM grid)),
+price AS (SELECT region, target, coalesce(last_value(actual IGNORE NULLS) OVER (PARTITION BY region ORDER BY target), 0) AS p FROM slots LEFT JOIN grid USING (region, target)),
+asked AS (SELECT region, target AS origin, lag(p, 26) OVER w AS x FROM price WINDOW w AS (PARTITION BY region ORDER BY target) QUALIFY lag(target, 194) OVER w IS NOT NULL),
+pairs AS (SELECT a.region, a.origin, h AS horizon, x, p AS y FROM asked a, range(18) t(h) JOIN price ON price.region = a.region AND price.target = a.origin + INTERVAL 2 HOUR * h),
+fits AS (SELECT horizon, count(*) AS train_rows, avg(y) AS intercept, avg(x) AS m, stddev_pop(x) AS s, count(*) * covar_pop(x, y) / stddev_pop(x) / (count(*) + 100) AS w
+  FROM pairs WHERE origin + INTERVAL 34 HOUR < TIMESTAMP '{DIRECT_END}' GROUP BY 1)"""
+
+
+def full_prices(v: Views):
+    """Two-hourly price without gaps: a slot without one keeps the last known."""
+    grid = v.grid.select("region", "target", "actual")
+    ends = grid.agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+    regions = grid.select("region").distinct()
+    # One row of ends; a series' slots come from its region's row.
+    slots = regions.join(F.broadcast(ends)).select("region", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 2 HOURS"))).alias("target"))
+    both = slots.join(grid, ["region", "target"], "left")
+    seg = segment_series(both, ["region"], ["target"], carry={"p": ("last", F.col("actual"))})
+    rows = seg.finish(seg.frame.withColumn("price", F.coalesce(seg.running_last("p", F.col("actual")), F.lit(0.0))))
+    return stage(rows.select("region", "target", "price"))
+
+
+@query("direct_horizons", f"""
+WITH {_DIRECT} SELECT horizon, train_rows, {r('intercept')}, {r('w', 'lag_weight')}, true AS stationary FROM fits""", "grid")
 def direct_horizons(v: Views):
-    """Direct ridge per horizon on causal features of the two-hourly price."""
-    from forelake.operators.features import causal_features
-
-    shape = dict(delay=2, lags=(0, 3, 8), widths=(4, 8), aligned=(6, 10), step_min=120, price="actual")
-    prices = stage(v.grid.select("region", "target", "actual"))
-    fits = M.fit_direct_horizons(prices, horizons=3, train_end=SPLIT, **shape)
-    out = None
-    for h, (model, scale, columns) in fits.items():
-        x = M.predict_linear(causal_features(prices, h, **shape), model, columns, scale)
-        part = x.filter(F.col("target") >= F.lit(SPLIT).cast("timestamp_ntz")).groupBy("region").agg(
-            F.count("prediction").alias("n"), F.avg("prediction").alias("mean_prediction")
-        ).withColumn("horizon", F.lit(h))
-        out = part if out is None else out.unionByName(part)
-    return shown(out)
+    """Direct ridges of 18 horizons on all features and the calendar, and on the latest price alone, from one aggregation.
+
+    The second fit has a closed form; the first is checked for stationarity over its training rows.
+    """
+    frame = stage(X.direct_features(full_prices(v), step_min=120))
+    sums = G.direct_sums(frame, 18, DIRECT_END, 120)
+    whole, single = G.fit_direct(frame, sums, 100.0, 120), G.fit_direct(frame, sums, 100.0, 120, ["lag_0"])
+    worst = G.direct_gradient(frame, whole, 100.0, DIRECT_END)
+    rows = [(h, a.rows, a.intercept, float(b.coefficients[0]), bool(worst[h] < 1e-4)) for h, (a, b) in enumerate(zip(whole.horizons, single.horizons, strict=True))]
+    return shown(v.spark.createDataFrame(rows, "horizon long, train_rows long, intercept double, lag_weight double, stationary boolean"))
+
+
+@query("generated_vintages", f"""
+WITH {_DIRECT}, p AS (SELECT region, origin, horizon, intercept + w * (x - m) / s AS prediction FROM asked, fits),
+s AS (SELECT region, origin + INTERVAL 2 HOUR * a AS origin, horizon - a AS step, a AS age, prediction FROM p, range(7) t(a) WHERE horizon - a BETWEEN 0 AND 11),
+c AS (SELECT region, origin, step, max(prediction) FILTER (WHERE age = 0) AS raw, avg(prediction) FILTER (WHERE age IN (0, 1, 2, 4, 6)) AS sparse_equal,
+  sum(prediction / (step + 1 + age)) / sum(1.0 / (step + 1 + age)) AS inverse_lead FROM s GROUP BY region, origin, step HAVING count(*) = 7)
+SELECT region, origin, step, {rs('raw', 'sparse_equal', 'inverse_lead')} FROM c WHERE origin <= (SELECT max(origin) FROM asked)""", "grid")
+def generated_vintages(v: Views):
+    """Vintages of ages 0 to 6 that 18 fitted direct horizons issue, averaged per delivery."""
+    frame, fits = M.fit_direct_horizons(full_prices(v), train_end=DIRECT_END, step_min=120, only=["lag_0"])
+    issued = G.predict_direct(frame, fits).withColumnRenamed("target", "origin")
+    return shown(V.vintage_curves(issued, step_min=120).withColumn("step", F.col("step").cast("long")))

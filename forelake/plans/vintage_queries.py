@@ -298,24 +298,6 @@ def delayed_case(v: Views):
     return V.delayed_coherent_case(v.issues, 30, CUTOFF, STEPS, STEP_MIN)
 
 
-@query("generated_vintages", f"""
-WITH p AS (SELECT region, bucket AS origin, k AS horizon, mean * (1 + k / 50) AS prediction FROM (
-  SELECT event_type AS region, (epoch_us(ts) // 7200000000) AS bucket, avg(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2), range(18) t(k) WHERE (n + k) % 23 <> 0),
-s AS (SELECT region, origin + a AS origin, horizon - a AS step, a AS age, prediction FROM p, range(7) t(a) WHERE horizon - a BETWEEN 0 AND 11)
-SELECT region, origin, step, {r('max(prediction) FILTER (WHERE age = 0)', 'raw')}, {r('avg(prediction) FILTER (WHERE age IN (0, 1, 2, 4, 6))', 'sparse_equal')},
-  {r('sum(prediction / (step + 1 + age)) / sum(1.0 / (step + 1 + age))', 'inverse_lead')}
-FROM s GROUP BY region, origin, step HAVING count(*) = 7""")
-def generated_vintages(v: Views):
-    from forelake.functions.clock import epoch_us
-
-    issued = v.table("events").groupBy(F.col("event_type").alias("region"), F.floor(epoch_us("ts") / 7_200_000_000).alias("origin")).agg(
-        F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")
-    )
-    horizons = issued.withColumn("horizon", F.explode(F.sequence(F.lit(0), F.lit(17)))).filter((F.col("n") + F.col("horizon")) % 23 != 0)
-    predictions = horizons.select("region", "origin", "horizon", (F.col("mean") * (1 + F.col("horizon") / 50)).alias("prediction"))
-    return shown(V.generated_vintage_curves(predictions).withColumn("step", F.col("step").cast("long")))
-
-
 @query("lead_average_renorm", f"""
 WITH p AS (SELECT event_type AS region, {'time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP $$2000-01-01$$)'.replace('$$', chr(39))} AS target,
   avg(value) FILTER (WHERE user_id % 3 = 0) AS lead1, avg(value) FILTER (WHERE user_id % 3 = 1) AS lead2, avg(value) FILTER (WHERE user_id % 3 = 2) AS lead3
