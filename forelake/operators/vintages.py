@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from forelake.functions.clock import minutes_between, shift_minutes
 from forelake.functions.numeric import count_if
 from forelake.functions.quantiles import exact_quantiles
+from forelake.functions.curves import gather_curves
 from forelake.functions.segments import segment_series
 
 SERIES = ("region", "target")
@@ -259,22 +260,18 @@ def delayed_coherent_case(
 ) -> DataFrame:
     """Per origin, the latest issue received with an extra delay that is complete for all steps.
 
-    Each version row offers itself to the origins it could serve; an issue is
-    complete when all steps arrived. Two aggregations, no join, no ranking.
+    Within an issue each version reads the next ``steps`` targets; an issue is complete for an
+    origin when all are there once and in time. The winner is an aggregate: no join, no
+    ranking, and no version is copied.
     """
-    usable = v.dropna(subset=list(fields)).withColumn(
-        "step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
-    ).withColumn("origin", shift_minutes("target", F.col("step") * -step_min))
-    received = shift_minutes("as_of", delay_min) <= shift_minutes("origin", -cutoff_min)
-    issued = F.col("nominal_issue") <= shift_minutes("origin", -cutoff_min)
-    cases = (
-        usable.filter(received & issued)
-        .groupBy("region", "origin", "as_of", "seq", "run_no")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") == steps)
-    )
+    issue = ("region", "as_of", "seq", "run_no")
+    usable = v.dropna(subset=list(fields)).select(*issue, "target", "nominal_issue")
+    kept = gather_curves(usable, ["nominal_issue"], steps, step_min, issue)
+    cutoff = shift_minutes("target", -cutoff_min)
+    received = shift_minutes("as_of", delay_min) <= cutoff
+    cases = kept.filter(received & F.forall("nominal_issue", lambda n: n <= cutoff))
     best = F.max(F.struct("as_of", "seq", "run_no")).alias("best")
-    return cases.groupBy("region", "origin").agg(best).select(
+    return cases.groupBy("region", F.col("target").alias("origin")).agg(best).select(
         "region", "origin", F.col("best.as_of").alias("as_of"), F.col("best.seq").alias("seq"),
         F.col("best.run_no").alias("run_no"),
     )

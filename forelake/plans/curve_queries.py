@@ -233,14 +233,9 @@ def grid_gaps(v: Views):
 WITH w AS (SELECT region, origin, count(*) AS n, max(raw) FILTER (WHERE step = 0) AS first FROM wide_cells GROUP BY 1, 2)
 SELECT region, origin AS target, n = 12 AS current_complete, {r('CASE WHEN n = 12 THEN coalesce(first, 0) / 100 ELSE 0 END', 'charge')} FROM w""", "wide_cells")
 def idle_guard(v: Views):
-    sent = v.grid.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(11)))).groupBy(
-        "region", shift_minutes("target", F.col("_s") * -120).alias("target")
-    ).agg(F.array_sort(F.collect_list(F.struct("_s", "raw"))).alias("c"))
-    first = F.element_at(F.filter("c", lambda x: x["_s"] == 0), 1)["raw"]
-    curves = sent.select(
-        "region", "target", F.col("c.raw").alias("curve"),
-        F.when(F.exists("c", lambda x: x["_s"] == 0), first / 100).otherwise(0.0).alias("charge"),
-    )
+    sent = K.gather_partial_curves(v.grid.select("region", "target", "raw"), ["raw"], steps=12, step_min=120)
+    first = F.when(F.col("step")[0] == 0, F.col("raw")[0] / 100).otherwise(0.0)
+    curves = sent.select("region", "target", F.col("raw").alias("curve"), first.alias("charge"))
     return shown(C.idle_guard(curves, flows=["charge"], steps=12).drop("curve"))
 
 
