@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from forelake.functions.joins import join_small
 from forelake.functions.segments import segment_series
 from forelake.operators.clean import coerce_drop, with_nominal_issue
 from forelake.session import stage
@@ -27,10 +29,18 @@ def read_report_csv(spark: SparkSession, path: str | Sequence[str], table: str,
 
 
 def csv_fields(line: Column) -> Column:
-    """The fields of a CSV line, however many; quotes around a field go and doubled ones inside become one."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    inside = lambda x: F.replace(F.regexp_extract(x, r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
-    return F.transform(parts, lambda x: F.when(x.rlike(r'(?s)^".*"$'), inside(x)).otherwise(x))
+    """The fields of a CSV line, however many; quotes around a field go and doubled ones inside become one.
+
+    Linear in the line: the line is split at quotes, and only commas in the parts
+    outside them become field ends. The mark for these is told from text by escaping its first character.
+    """
+    escaped = F.replace(line, F.lit("\x01"), F.lit("\x01\x02"))
+    outside = F.transform(F.split(escaped, '"', -1), lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit("\x01\x03"))).otherwise(part))
+    parts = F.split(F.array_join(outside, '"'), "\x01\x03", -1)
+    quoted = lambda x: (F.length(x) >= 2) & F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"'))
+    inside = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    plain = F.transform(parts, lambda x: F.when(quoted(x), inside(x)).otherwise(x))
+    return F.transform(plain, lambda x: F.replace(x, F.lit("\x01\x02"), F.lit("\x01")))
 
 
 def parse_report(lines: DataFrame, table: str, report: str, columns: Sequence[str]) -> DataFrame:
@@ -56,7 +66,7 @@ def parse_report(lines: DataFrame, table: str, report: str, columns: Sequence[st
     fault = heads.select("file", missing.alias("missing"), (F.col("_names") != F.col("_other")).alias("two")).filter("two or size(missing) > 0").first()
     if fault:
         raise ValueError(f"different headers in {fault['file']}" if fault["two"] else f"missing columns {fault['missing']} in {fault['file']}")
-    rows = fields.filter(kind == "D").join(heads.select("file", "_names"), "file", "left")
+    rows = join_small(fields.filter(kind == "D"), heads.select("file", "_names"), ["file"], "left")
     unnamed = F.raise_error(F.concat(F.lit("no header record in "), F.col("file"))).cast("array<string>")
     found = rows.withColumn("_names", F.coalesce("_names", unnamed))
     return found.select(*[F.coalesce(F.get("_f", F.array_position("_names", c).cast("int") - 1), F.lit("")).alias(c) for c in columns])
@@ -75,18 +85,6 @@ def resolve_month_files(files: DataFrame, table: str, months: Sequence[str]) ->
     return counted.select("month", one.alias("file_name"))
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, name, size of the files under a folder, without reading their content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"))
-
-
-def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, bytes and sha256 of whole files; one file must fit in a task's memory."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def read_vintages(raw: DataFrame, regions: Sequence[str] = REGIONS) -> DataFrame:
     """Typed forecast versions: normal runs of the market regions, published before their target."""
     normal = raw.filter(F.col("REGIONID").isin(*regions) & (F.col("INTERVENTION") == "0"))
@@ -125,31 +123,50 @@ def read_actuals(pre: DataFrame, post: DataFrame, switch: str, regions: Sequence
 
 
 def read_hourly_prices(spark: SparkSession, paths: str | Sequence[str], utc_offset_hours: int = -5) -> DataFrame:
-    """Hourly price CSV with a free-text preamble.
+    """Hourly price CSV files with a free-text preamble; a file is read whole to number its lines. See ``parse_hourly``."""
+    texts = spark.read.text([paths] if isinstance(paths, str) else list(paths), wholetext=True)
+    lines = texts.select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n", -1).alias("_l")).select("file", F.posexplode("_l").alias("line", "value"))
+    return parse_hourly(lines, utc_offset_hours)
+
+
+def parse_hourly(lines: DataFrame, utc_offset_hours: int = -5) -> DataFrame:
+    """Hourly prices from lines (``file``, ``line`` number, ``value``).
 
-    Data rows start with a date; everything before the header is ignored. Bad
-    numbers and hours outside 1..24 fail the job; blank forecasts stay null.
+    A file's first line that starts with the header names its columns and ends its
+    preamble, however long; the lines after it with a first field are data. A file without a
+    header, bad dates and numbers and hours outside 1..24 fail the job; blank forecasts stay null.
     """
     from forelake.operators.clean import hour_ending_clock
 
-    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    data = lines.filter(F.col("value").rlike(r'^"?\d{4}-\d{2}-\d{2}"?,'))
-    fields = F.from_csv("value", F.lit("day string, hour string, hoep string, lead1 string, lead2 string, lead3 string"))
-    parsed = data.select(fields.alias("r")).select("r.*")
-
-    def number(c: str, required: bool):
-        text = F.trim(F.col(c))
+    is_head = F.startswith("value", F.lit(HOURLY_HEADER))
+    # One row per file.
+    heads = stage(lines.groupBy("file").agg(F.min(F.when(is_head, F.struct("line", "value"))).alias("_h")))
+    bare = heads.filter("_h is null").first()
+    if bare:
+        raise ValueError(f"no price header in {bare['file']}")
+    named = heads.select("file", F.col("_h.line").alias("_start"), F.transform(csv_fields(F.col("_h.value")), F.trim).alias("_names"))
+    data = join_small(lines, named, ["file"]).filter(F.col("line") > F.col("_start")).withColumn("_f", csv_fields(F.col("value"))).filter(F.trim(F.get("_f", F.lit(0))) != "")
+
+    def field(name: str) -> Column:
+        # A column that the header lacks reads as null.
+        at = F.array_position("_names", name)
+        return F.trim(F.when(at > 0, F.get("_f", at.cast("int") - 1)))
+
+    def number(name: str, required: bool) -> Column:
+        text = field(name)
         blank = text.isNull() | (text == "")
         value = F.replace(text, F.lit(","), F.lit("")).try_cast("double")
-        bad = F.raise_error(F.concat(F.lit(f"bad number in {c}: "), F.coalesce(text, F.lit("null")))).cast("double")
+        bad = F.raise_error(F.concat(F.lit(f"bad number in {name}: "), F.coalesce(text, F.lit("null")))).cast("double")
         checked = F.when(value.isNotNull(), value).otherwise(bad)
         return checked if required else F.when(~blank, checked)
 
-    hour = F.trim("hour").try_cast("int")
+    hour = field("Hour").try_cast("int")
     hour = F.when(hour.between(1, 24), hour).otherwise(F.raise_error(F.lit("hour outside 1..24")).cast("int"))
-    typed = parsed.select(
-        F.to_date("day").alias("day"), hour.alias("hour"), number("hoep", True).alias("price"),
-        *[number(f"lead{k}", False).alias(f"lead{k}") for k in (1, 2, 3)],
+    day = field("Date").try_cast("date")
+    day = F.when(day.isNotNull(), day).otherwise(F.raise_error(F.concat(F.lit("bad date: "), field("Date"))).cast("date"))
+    typed = data.select(
+        "file", day.alias("day"), hour.alias("hour"), number("HOEP", True).alias("price"),
+        *[number(f"Hour {k} Predispatch", False).alias(f"lead{k}") for k in (1, 2, 3)],
     )
     return hour_ending_clock(typed, utc_offset_hours=utc_offset_hours)
 
@@ -158,13 +175,33 @@ def read_hourly_prices(spark: SparkSession, paths: str | Sequence[str], utc_offs
 HOURLY_NODE = "PricingHour INT, ZonalPrice DOUBLE, LossPriceCapped DOUBLE, CongestionPriceCapped DOUBLE"
 INTERVAL_NODE = "Interval INT, LmpCap DOUBLE, LossPriceCap DOUBLE, CongestionPriceCap DOUBLE, Flag STRING"
 HEADER_NODE = "CreatedAt STRING, DocRevision STRING"
+XML_BODY = ("DocBody",)
 
 
-def read_xml_prices(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    """One row per ``row_tag`` node with its source file."""
-    return spark.read.format("xml").options(rowTag=row_tag, ignoreNamespace="true", ignoreSurroundingSpaces="true").schema(schema).load(path).withColumn(
-        "file_name", F.col("_metadata.file_name")
-    )
+def read_xml_prices(spark: SparkSession, path: str, row_tag: str, schema: str, parents: Sequence[str] = XML_BODY) -> DataFrame:
+    """One row per ``row_tag`` node with its source file; every file is one document. See ``parse_xml_prices``."""
+    texts = spark.read.text(path, wholetext=True)
+    return parse_xml_prices(texts.select(F.col("_metadata.file_name").alias("file_name"), "value"), row_tag, schema, parents)
+
+
+def parse_xml_prices(docs: DataFrame, row_tag: str, schema: str, parents: Sequence[str] = XML_BODY) -> DataFrame:
+    """One row per ``row_tag`` node below ``parents`` of whole documents (``file_name``, ``value``).
+
+    Leaves are read as text and then typed: blank or malformed numbers are null, so
+    a bad leaf costs neither its node nor its document. Namespaces are ignored. A document
+    that is not well-formed fails the job; one without such nodes gives no rows.
+    """
+    fields = StructType.fromDDL(schema).fields
+    inner = f"{row_tag} ARRAY<STRUCT<{', '.join(f'{f.name}: STRING' for f in fields)}>>"
+    for name in reversed(parents):
+        inner = f"{name} STRUCT<{inner.replace(' ', ': ', 1)}>"
+    options = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = docs.select("file_name", F.from_xml("value", f"{inner}, _broken STRING", options).alias("_d"))
+    broken = F.raise_error(F.concat(F.lit("not well-formed: "), F.col("file_name"))).cast("boolean")
+    whole = parsed.filter(F.when(F.col("_d._broken").isNotNull(), broken).otherwise(F.lit(True)))
+    nodes = whole.select("file_name", F.explode(".".join(["_d", *parents, row_tag])).alias("_n"))
+    typed = [F.trim(f"_n.{f.name}").try_cast(f.dataType).alias(f.name) for f in fields]
+    return nodes.select(*typed, "file_name")
 
 
 def xml_leaf_counts(nodes: DataFrame) -> DataFrame:

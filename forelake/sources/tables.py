@@ -46,6 +46,15 @@ def overlay_sources(sources: Sequence[DataFrame], keys: Sequence[str], span: tup
     return stacked.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"_f.{c}").alias(c) for c in columns])
 
 
+#: Microseconds, which the default JSON text cuts off.
+JSON_STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that ``write_table`` wrote as JSON."""
+    return spark.read.schema(schema).options(**JSON_STAMPS).json(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), significant_digits: int = 12) -> None:
     """Write once; an existing target is an error. CSV floats get ``%.12g``-style text."""
     if fmt == "csv":
@@ -59,7 +68,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     elif fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "json":
-        writer.json(path)
+        writer.options(**JSON_STAMPS).json(path)
     else:
         raise ValueError(f"unknown format {fmt}")
 

@@ -114,6 +114,82 @@ def session_events(triggers: DataFrame, gap: str = "4 hours", keys: Sequence[str
     ).select(*keys, "first_target", "last_target", F.col("_s.end").alias("event_end"), "triggers")
 
 
+REVISION_ROWS = "region string, target timestamp, as_of timestamp, seq long, abs_revision double, revision_sd double"
+
+
+def rolling_revisions(v: DataFrame, width: int = 6, watermark: str = "10 minutes") -> DataFrame:
+    """``vintages.rolling_revision`` as a stream: each version with the last ``width`` revisions of its target.
+
+    Versions (region, target, as_of, seq, forecast) wait until the watermark passes their stamp, so that
+    none can come before them any more; then they leave in order, and the target
+    keeps a ring of its last revisions and its last price. A replay inside the watermark is dropped by
+    its key, an older one is a late row. The state of a target ends when the target
+    passes. Needs a state store with timers (``RocksDBStateStoreProvider``).
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Revisions(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "us long, seq long, forecast double")
+            self.ring = handle.getListState("ring", "d double")
+            self.last = handle.getValueState("last", "forecast double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for batch in rows:
+                for row in zip(batch["us"].tolist(), batch["seq"].tolist(), batch["forecast"].tolist()):
+                    self.waiting.appendValue(row)
+            self._wait(key, timerValues)
+            return iter([])
+
+        def _wait(self, key, timerValues) -> None:
+            """A timer at the first version that waits, or at the target if none does."""
+            first = min((w[0] for w in self.waiting.get()), default=None)
+            now = timerValues.getCurrentWatermarkInMs()
+            end = pd.Timestamp(key[1]).value // 1_000_000
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if first is None and now >= end:
+                self.ring.clear()
+                self.last.clear()
+                return
+            self.handle.registerTimer(int(max(now + 1, end if first is None else -(-first // 1000))))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            limit = timerValues.getCurrentWatermarkInMs() * 1000
+            rows = sorted(self.waiting.get())
+            final = [r for r in rows if r[0] <= limit]
+            held, ring = [r for r in rows if r[0] > limit], [r[0] for r in self.ring.get()]
+            last = self.last.get()[0] if self.last.exists() else None
+            out = []
+            for us, seq, forecast in final:
+                # The first version has no revision; it takes a place in the window all the same.
+                ring = [*ring, None if last is None else forecast - last][-width:]
+                last = forecast
+                known = np.array([d for d in ring if d is not None])
+                out.append((us, seq, float(np.abs(known).sum()) if len(known) else None, float(known.std(ddof=1)) if len(known) > 1 else None))
+            if final:
+                self.waiting.clear()
+                if held:
+                    self.waiting.put(held)
+                self.ring.put([(d,) for d in ring])
+                self.last.update((last,))
+            self._wait(key, timerValues)
+            if out:
+                us, seq, total, sd = zip(*out)
+                yield pd.DataFrame({"region": key[0], "target": pd.Timestamp(key[1]), "as_of": pd.to_datetime(list(us), unit="us"), "seq": list(seq), "abs_revision": list(total), "revision_sd": list(sd)})
+
+        def close(self) -> None:
+            pass
+
+    once = v.withColumn("us", F.unix_micros("as_of")).withWatermark("as_of", watermark).dropDuplicatesWithinWatermark(["region", "target", "as_of", "seq"])
+    return once.groupBy("region", "target").transformWithStateInPandas(
+        statefulProcessor=Revisions(), outputStructType=REVISION_ROWS, outputMode="Append", timeMode="EventTime"
+    )
+
+
 def sliding_revisions(revised: DataFrame, span: str = "3 hours", slide: str = "30 minutes", keys: Sequence[str] = SERIES, watermark: str = "3 hours") -> DataFrame:
     """Count and mean absolute revision over recent time.
 

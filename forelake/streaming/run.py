@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, keys: list[str] | None = None, mode: str = "append", tick: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, keys: list[str] | None = None, mode: str = "append", tick: str | None = None, feed: Iterable[Callable[[], None]] = ()) -> DataFrame:
     """Drain ``stream`` into Parquet and return the written table.
 
     In update mode every micro-batch writes its changed rows; the latest row per
     key is kept. With ``tick`` the stream runs on that interval until it has
-    caught up, and one more batch fires due timers.
+    caught up, and one more batch fires due timers. Each step of ``feed`` adds
+    input; after it the stream goes on from its checkpoint.
     """
     spark = stream.sparkSession
     out = shared_folder(spark, "stream")
@@ -33,12 +35,15 @@ def run_available(stream: DataFrame, keys: list[str] | None = None, mode: str =
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write)
     query = query.trigger(processingTime=tick) if tick else query.trigger(availableNow=True)
-    running = query.start()
-    if tick:
-        running.processAllAvailable()
-        running.stop()
-    else:
-        running.awaitTermination()
+    for more in (None, *feed):
+        if more:
+            more()
+        running = query.start()
+        if tick:
+            running.processAllAvailable()
+            running.stop()
+        else:
+            running.awaitTermination()
     table = spark.read.schema(_with_batch(stream)).parquet(f"{out}/table")
     if mode != "update":
         return table.drop("batch_id")

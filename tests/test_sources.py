@@ -96,7 +96,7 @@ def test_xml_prices(spark, tmp_path):
     assert [(r["PricingHour"], r["ZonalPrice"]) for r in nodes.orderBy("PricingHour").collect()] == [(1, 30.5), (2, None)]
     counts = {r["leaf"]: (r["nodes"], r["nonempty"]) for r in R.xml_leaf_counts(nodes).collect()}
     assert counts["ZonalPrice"] == (2, 1) and counts["PricingHour"] == (2, 2)
-    head = R.read_xml_prices(spark, str(tmp_path / "h.xml"), "DocHeader", R.HEADER_NODE).first()
+    head = R.read_xml_prices(spark, str(tmp_path / "h.xml"), "DocHeader", R.HEADER_NODE, parents=()).first()
     assert head["DocRevision"] == "1"
 
 
@@ -158,3 +158,51 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     other = df.withColumn("x", F.when(F.col("id") == 50, -1).otherwise(F.col("x")))
     a, b, c = (Q.fingerprint(d).first() for d in (df, same, other))
     assert a == b and a != c
+
+
+def test_csv_fields_of_long_and_awkward_lines(spark):
+    import csv
+
+    lines = ['a,b', '', ',', '"a,b",c', '"x""y,z",,"",q', '"",""""', 'a"b,c', 'é,"\x01,\x02",\x01\x03', '"a"b,c"d"']
+    got = spark.createDataFrame([(x,) for x in lines], "v string").select(R.csv_fields(F.col("v"))).collect()
+    plain = [next(csv.reader([x])) if x else [""] for x in lines]
+    for line, row, want in zip(lines, got, plain):
+        if line not in ('a"b,c', '"a"b,c"d"'):
+            assert row[0] == want, line
+    # A stray quote shields the commas after it up to the next one; such fields keep their quotes.
+    assert got[6][0] == ['a"b,c'] and got[8][0] == ['"a"b,c"d"'.split(",")[0], 'c"d"']
+
+    def seconds(n):
+        import time
+
+        df = spark.createDataFrame([(",".join(f'"a{k},""b"' for k in range(n)),)], "v string").coalesce(1)
+        started = time.perf_counter()
+        fields = df.select(R.csv_fields(F.col("v"))).first()[0]
+        assert len(fields) == n and fields[n - 1] == f'a{n - 1},"b'
+        return time.perf_counter() - started
+
+    seconds(100)
+    assert seconds(100_000) < 40 * max(0.25, seconds(10_000))
+
+
+def test_hourly_lines_of_files_with_their_own_preambles(spark):
+    rows = [("a", 0, "2024-01-01,1,a note"), ("a", 1, "Date,Hour,HOEP,Hour 2 Predispatch"), ("a", 2, "2024-01-01,1,5,7"), ("a", 3, ""), ("b", 0, "Date,Hour,HOEP"), ("b", 1, '"2024-01-02",24,"1,000.5"')]
+    lines = spark.createDataFrame(rows, "file string, line int, value string")
+    got = {r["file"]: r for r in R.parse_hourly(lines).collect()}
+    assert len(got) == 2 and got["a"]["lead2"] == 7.0 and got["a"]["lead1"] is None and got["b"]["price"] == 1000.5
+    with pytest.raises(ValueError, match="no price header in c"):
+        R.parse_hourly(lines.union(spark.createDataFrame([("c", 0, "x")], lines.schema)))
+    with pytest.raises(Exception, match="bad date"):
+        R.parse_hourly(lines.union(spark.createDataFrame([("a", 9, "01/02/2024,1,5,7")], lines.schema))).collect()
+
+
+def test_xml_rules_for_bad_leaves_and_documents(spark):
+    body = "<D xmlns='u'><DocBody>{}</DocBody></D>"
+    node = "<HourlyPriceComponents><PricingHour>{}</PricingHour><ZonalPrice>{}</ZonalPrice></HourlyPriceComponents>"
+    docs = [("a", body.format(node.format(1, "x1") + node.format("one", " 2.5 "))), ("b", body.format("")), ("c", "<D/>")]
+    df = spark.createDataFrame(docs, "file_name string, value string")
+    got = [(r["file_name"], r["PricingHour"], r["ZonalPrice"]) for r in R.parse_xml_prices(df, "HourlyPriceComponents", R.HOURLY_NODE).collect()]
+    assert sorted(got, key=str) == [("a", 1, None), ("a", None, 2.5)]
+    broken = spark.createDataFrame([("bad", "<D><DocBody>")], df.schema)
+    with pytest.raises(Exception, match="not well-formed: bad"):
+        R.parse_xml_prices(df.union(broken), "HourlyPriceComponents", R.HOURLY_NODE).collect()

@@ -111,3 +111,25 @@ def test_sliding_revisions(spark, tmp_path):
     live = O.sliding_revisions(spark.readStream.schema(schema).parquet(str(tmp_path / "r")), watermark="0 minutes")
     got = {r["as_of"]: r["revisions"] for r in run_available(live).collect()}
     assert got[T0 + timedelta(hours=3)] == 6
+
+
+def test_last_six_revisions_equal_the_batch_form(spark, tmp_path):
+    """Three micro-batches, the rows of each out of order, with replayed and late rows."""
+    rows = [(*r[:3], k, r[4]) for k, r in enumerate(versions())]
+    schema = "region string, target timestamp, as_of timestamp, seq long, forecast double"
+    third = len(rows) // 3
+    late = [(r, t, a, seq + 1000, f + 500) for r, t, a, seq, f in rows[:10]]
+    parts = [rows[:third], rows[third : 2 * third] + rows[third - 15 : third], rows[2 * third :] + late]
+    # One last row far ahead lets the watermark pass all others.
+    parts[2].append(("Z", T0 + timedelta(days=9), T0 + timedelta(days=8), 9999, 1.0))
+    folder = str(tmp_path / "in")
+    write = lambda k: spark.createDataFrame(parts[k][::-1], schema).write.parquet(f"{folder}/{k}")
+    write(0)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/*")
+    out = run_available(O.rolling_revisions(live, watermark="5 minutes"), feed=[lambda: write(1), lambda: write(2)])
+    got = {(r["region"], r["target"], r["seq"]): (r["abs_revision"], r["revision_sd"]) for r in out.collect()}
+    naive = spark.createDataFrame(rows, schema).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("target", "as_of")}).withColumn("run_no", F.lit(0))
+    want = {(r["region"], r["target"], r["seq"]): (r["abs_revision"], r["revision_sd"]) for r in V.rolling_revision(naive).collect()}
+    assert set(got) == set(want)
+    for key, (total, sd) in want.items():
+        assert got[key][0] == pytest.approx(total) and got[key][1] == pytest.approx(sd)
