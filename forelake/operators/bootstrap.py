@@ -9,9 +9,11 @@ so they do not depend on partitioning and any engine can repeat them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forelake.functions.numeric import count_if, mc_error, mc_pvalue
@@ -30,11 +32,6 @@ def block_start(seed: int, block: int, draw: Column, blk: Column, n: Column) ->
     return counter_hash(seed, block, draw, blk) % n
 
 
-def balance_panel(panel: DataFrame, keys: Sequence[str], members: DataFrame, day: str = "day_idx", value: str = "x") -> DataFrame:
-    """Zero for days on which a listed series has no row. ``members`` holds (day, keys)."""
-    return members.join(panel, [day, *keys], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
-
-
 def phase_sizes(panel: DataFrame, phase: Sequence[str] = (), day: str = "day_idx") -> DataFrame:
     """Days per phase."""
     return panel.groupBy(*phase).agg((F.max(day) + 1).cast("long").alias("_n"))
@@ -84,35 +81,78 @@ def _with_days(panel: DataFrame, block: int, draws: int, seed: int, phase: Seque
     return panel.withColumn("_n", F.lit(n).cast("long")), sampled_blocks(panel.sparkSession, n, block, draws, seed)
 
 
-def block_bootstrap(panel: DataFrame, keys: Sequence[str], block: int = 7, draws: int = 200, seed: int = SEED,
+def draw_counts(blocks: DataFrame, n: int, draws: int) -> np.ndarray:
+    """draws x days: how often each draw takes each day. Read from the sampled blocks, which the calendar and ``draws`` bound."""
+    table = blocks.select("draw", "start", "take").toArrow()
+    draw, start, take = (table.column(c).to_numpy() for c in ("draw", "start", "take"))
+    # A block adds one from its start on and takes it back after its end; ends past the calendar wrap.
+    edges = np.zeros((draws, 2 * n + 1), np.int32)
+    np.add.at(edges, (draw, start), 1)
+    np.add.at(edges, (draw, start + take), -1)
+    taken = np.cumsum(edges, axis=1)[:, : 2 * n]
+    return (taken[:, :n] + taken[:, n:]).astype(np.int16)
+
+
+#: Draws and series of one step of the product.
+DRAW_STEP, SERIES_STEP = 500, 64
+
+
+def block_bootstrap(panel: DataFrame, keys: Sequence[str], block: int = 7, draws: int = 10_000, seed: int = SEED,
                     phase: Sequence[str] = (), day: str = "day_idx", value: str = "x", days: int | None = None) -> DataFrame:
     """Bootstrap means: (phase, keys, draw, mean), each over exactly n days.
 
-    Sums of the next ``block`` days (and of the shorter last block) are attached
-    to every possible start, so a sampled block costs one joined row per series.
-    A series has one row per calendar day; its window is bounded by the calendar.
-    Without ``days`` the number of days is read from the panel first.
+    A draw is a row of counts: how often it takes each day. Counts do not depend on the
+    panel's size (draws x days, two bytes each), so every task gets them, and the means of a series are one
+    matrix product over its days, in steps of draws. The panel is shuffled once, by series; a
+    series has one row per calendar day. Without ``days`` the number of days is read from the panel
+    first. Missing days and null values count as zero.
     """
     phase, keys = list(phase), [k for k in keys if k not in phase]
-    with_n, blocks = _with_days(panel, block, draws, seed, phase, day, days)
-    wrapped = with_n.filter(F.col(day) < block).withColumn(day, F.col(day) + F.col("_n"))
-    span = Window.partitionBy(*phase, *keys).orderBy(day).rowsBetween(0, block - 1)
-    rest = F.pmod(F.col("_n"), F.lit(block)).cast("int")
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
-    sums = (
-        with_n.unionByName(wrapped)
-        .withColumn("_next", F.collect_list(value).over(span))
-        .filter(F.col(day) < F.col("_n"))
-        .select(*phase, *keys, F.col(day).cast("long").alias("start"), total(F.col("_next")).alias("_full"),
-                total(F.slice("_next", 1, rest)).alias("_part"))
-    )
-    taken = F.when(F.col("take") == block, F.col("_full")).otherwise(F.col("_part"))
-    return blocks.join(sums, [*phase, "start"]).groupBy(*phase, *keys, "draw").agg(
-        (F.sum(taken) / F.max("_n")).alias("mean")
-    )
+    spark = panel.sparkSession
+    counts: list[np.ndarray] = []
+    if phase:
+        # One row per phase.
+        sizes = phase_sizes(panel, phase, day).collect()
+        if not sizes:
+            return panel.select(*phase, *keys, F.lit(0).cast("long").alias("draw"), F.lit(0.0).alias("mean")).limit(0)
+        kinds = ", ".join(f"{c} {dict(panel.dtypes)[c]}" for c in phase)
+        rows = spark.createDataFrame([(*[r[c] for c in phase], i) for i, r in enumerate(sizes)], f"{kinds}, _p int")
+        for r in sizes:
+            of = rows.filter(F.col("_p") == len(counts)).withColumn("_n", F.lit(r["_n"]).cast("long"))
+            counts.append(draw_counts(sampled_phase_blocks(of, block, draws, phase, seed), r["_n"], draws))
+        numbered = panel.join(F.broadcast(rows), phase)
+    else:
+        n = days or day_count(panel, day)
+        counts.append(draw_counts(sampled_blocks(spark, n, block, draws, seed), n, draws))
+        numbered = panel.withColumn("_p", F.lit(0))
+    names = [*phase, *keys]
+    cells = F.collect_list(F.struct(F.col(day).cast("long").alias("d"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x")))
+    series = numbered.groupBy("_p", *names).agg(cells.alias("_c")).select("_p", "_c.d", "_c.x", *names)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), SERIES_STEP):
+                part = batch.slice(start, SERIES_STEP)
+                own = part.column(0).to_numpy()
+                for p in np.unique(own).tolist():
+                    rows = part.filter(pa.array(own == p))
+                    taken = shared.value[p]
+                    n = taken.shape[1]
+                    x = np.zeros((len(rows), n))
+                    at = np.repeat(np.arange(len(rows)), rows.column(1).value_lengths().to_numpy())
+                    when, what = rows.column(1).flatten().to_numpy(), rows.column(2).flatten().to_numpy()
+                    known = when < n
+                    np.add.at(x, (at[known], when[known]), what[known])
+                    for first in range(0, draws, DRAW_STEP):
+                        step = taken[first : first + DRAW_STEP].astype(np.float64)
+                        means = x @ step.T / n
+                        which = pa.array(np.repeat(np.arange(len(rows)), len(step)))
+                        draw = np.tile(np.arange(first, first + len(step)), len(rows))
+                        yield pa.RecordBatch.from_arrays([*[c.take(which) for c in rows.columns[3:]], pa.array(draw), pa.array(means.ravel())], names=[*names, "draw", "mean"])
+
+    schema = ", ".join(f"`{c}` {dict(numbered.dtypes)[c]}" for c in names) + ("," if names else "") + " draw long, mean double"
+    return series.mapInArrow(run, schema)
 
 
 def literal_bootstrap(panel: DataFrame, keys: Sequence[str], block: int, draws: int, seed: int = SEED,

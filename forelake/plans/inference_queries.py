@@ -13,7 +13,7 @@ from forelake.operators import selection as S
 from forelake.plans.registry import query, r, shown
 from forelake.plans.views import CURRENT, POLICIES, REGIONS, Views
 
-DRAWS, BLOCK, SEED, N, NOMINAL = 200, 7, B.SEED, 355, 357.0
+DRAWS, BLOCK, SEED, N, NOMINAL = 10_000, 7, B.SEED, 355, 357.0
 MODELS = [p for p in POLICIES if p != "raw"]
 LIST = "(" + ", ".join(f"'{m}'" for m in MODELS) + ")"
 CURRENT_LIST = "(" + ", ".join(f"'{m}'" for m in CURRENT) + ")"
