@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -11,9 +11,15 @@ from forelake.operators import describe as D
 from forelake.operators import inference as I
 from forelake.operators import selection as S
 from forelake.plans.registry import query, r, shown
-from forelake.plans.views import CURRENT, POLICIES, REGIONS, Views
-
-DRAWS, BLOCK, SEED, N, NOMINAL = 10_000, 7, B.SEED, 355, 357.0
+from forelake.plans.views import CURRENT, FIRST_WEEK, POLICIES, REGIONS, VALIDATION_END, Views
+
+DRAWS, BLOCK, SEED = 10_000, 7, B.SEED
+# Lengths of the panel, read from it by the SQL texts as by the plans.
+N = "(SELECT max(day_idx) + 1 FROM panel)"
+NOMINAL = "(SELECT (max(day_idx) - min(day_idx) + 1)::DOUBLE FROM panel_full)"
+_ENDED = (date.fromisoformat(VALIDATION_END) - date.fromisoformat(FIRST_WEEK)).days // 7
+TRAIN_N = f"(SELECT greatest(0, least({_ENDED} - min(day_idx) - 1, max(day_idx) - min(day_idx) - 1)) FROM panel_full)"
+EVAL_N = f"({N} - {TRAIN_N})"
 MODELS = [p for p in POLICIES if p != "raw"]
 LIST = "(" + ", ".join(f"'{m}'" for m in MODELS) + ")"
 CURRENT_LIST = "(" + ", ".join(f"'{m}'" for m in CURRENT) + ")"
@@ -23,14 +29,14 @@ def hash_sql(seed: int, block: int) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {seed}, {block}, draw, blk)), 1, 13))::BIGINT"
 
 
-def starts_sql(n: int, block: int = BLOCK, seed: int = SEED, draws: int = DRAWS) -> str:
-    return (f"SELECT draw, blk, {hash_sql(seed, block)} % {n} AS start, "
-            f"least({block}, {n} - blk * {block}) AS take FROM range({draws}) d(draw), range({-(-n // block)}) b(blk)")
+def starts_sql(n: str, block: int = BLOCK, seed: int = SEED, draws: int = DRAWS) -> str:
+    return (f"SELECT draw, blk, {hash_sql(seed, block)} % n AS start, least({block}, n - blk * {block}) AS take, n "
+            f"FROM range({draws}) d(draw), (SELECT n, unnest(range((n + {block} - 1) // {block})) AS blk FROM (SELECT {n} AS n))")
 
 
-def draws_sql(source: str, keys: str, n: int = N, block: int = BLOCK, seed: int = SEED, draws: int = DRAWS) -> str:
+def draws_sql(source: str, keys: str, n: str = N, block: int = BLOCK, seed: int = SEED, draws: int = DRAWS) -> str:
     """Every sampled day written out, then averaged."""
-    return (f"SELECT {keys}, draw, avg(x) AS mean FROM (SELECT draw, (start + k) % {n} AS day_idx FROM ({starts_sql(n, block, seed, draws)}), range({block}) t(k) WHERE k < take) "
+    return (f"SELECT {keys}, draw, avg(x) AS mean FROM (SELECT draw, (start + k) % n AS day_idx FROM ({starts_sql(n, block, seed, draws)}), range({block}) t(k) WHERE k < take) "
             f"JOIN {source} USING (day_idx) GROUP BY {keys}, draw")
 
 
@@ -67,7 +73,7 @@ def block_bootstrap(v: Views):
     return shown(B.block_bootstrap(v.staged_panel, ["region", "policy"], BLOCK, DRAWS, SEED, days=v.weeks), 2)
 
 
-@query("sampled_blocks", starts_sql(N))
+@query("sampled_blocks", f"SELECT draw, blk, start, take FROM ({starts_sql(N)})", "panel")
 def sampled_blocks(v: Views):
     """Starts and lengths of every sampled block for the panel's own number of weeks."""
     return B.sampled_blocks(v.spark, B.day_count(v.panel), BLOCK, DRAWS, SEED).select("draw", "blk", "start", "take")
@@ -159,15 +165,15 @@ def reality_check(v: Views):
     return shown(I.reality_check(draws, observed, "raw", CURRENT[1:], v.weeks), 2)
 
 
-_THRESHOLD = math.sqrt(2 * math.log(math.log(N)))
+_THRESHOLD = f"sqrt(2 * ln(ln({N})))"
 
 
 @query("spa", f"""
 WITH {STUDENT}, d AS (SELECT draw, greatest(0, max(t)) AS statistic, greatest(0, max((err + least(point, 0)) / se)) AS lo,
-  greatest(0, max((err + CASE WHEN t <= -{_THRESHOLD!r} THEN point ELSE 0 END) / se)) AS co, greatest(0, max(err / se)) AS up FROM z GROUP BY 1),
+  greatest(0, max((err + CASE WHEN t <= -{_THRESHOLD} THEN point ELSE 0 END) / se)) AS co, greatest(0, max(err / se)) AS up FROM z GROUP BY 1),
 c AS (SELECT max(statistic) AS statistic, count(*) AS draws, count(*) FILTER (WHERE lo >= statistic) AS lower_exceedances, count(*) FILTER (WHERE co >= statistic) AS consistent_exceedances,
   count(*) FILTER (WHERE up >= statistic) AS upper_exceedances FROM d)
-SELECT {r('statistic')}, draws, lower_exceedances, consistent_exceedances, upper_exceedances, {r(repr(_THRESHOLD), 'recenter_threshold')},
+SELECT {r('statistic')}, draws, lower_exceedances, consistent_exceedances, upper_exceedances, {r(_THRESHOLD, 'recenter_threshold')},
   {', '.join(r(f'(1 + {k}_exceedances) / (1 + draws)', f'{k}_p') + ', ' + r(f'sqrt((1 + {k}_exceedances) / (1 + draws) * (1 - (1 + {k}_exceedances) / (1 + draws)) / (1 + draws))', f'{k}_se') for k in ('lower', 'consistent', 'upper'))}
 FROM c""", "panel")
 def spa(v: Views):
@@ -288,9 +294,7 @@ def break_even(v: Views):
     return shown(D.break_even(scoped_ci(v)), 2)
 
 
-# Selection on the weeks up to VALIDATION_END, evaluation on the later ones (re-indexed). The SQL texts
-# hold the test tables' lengths; the plans read theirs from the panel.
-TRAIN_N, EVAL_N = 155, 200
+# Selection on the weeks up to VALIDATION_END, evaluation on the later ones (re-indexed).
 _RESELECT = f"""tr AS (SELECT * FROM panel WHERE day_idx < {TRAIN_N} AND policy IN {CURRENT_LIST}), evl AS (SELECT region, policy, day_idx - {TRAIN_N} AS day_idx, x FROM panel WHERE day_idx >= {TRAIN_N}),
 bt AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = 0), be AS (SELECT region, policy, x AS boundary FROM panel_full WHERE day_idx = (SELECT max(day_idx) FROM panel_full)),
 dt AS ({draws_sql('tr', 'region, policy', TRAIN_N, seed=SEED + 207)}),
@@ -359,7 +363,7 @@ def selection_uncertainty(v: Views):
     return shown(I.selection_uncertainty(chosen, draws, full, frozen, n, _H), 2)
 
 
-_LENGTHS = [("first_half", 78), ("full", 155)]
+_LENGTHS = [("first_half", f"({TRAIN_N} + 1) // 2"), ("full", TRAIN_N)]
 
 
 @query("selection_length", f"""
