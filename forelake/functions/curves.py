@@ -64,7 +64,7 @@ def prefix(c, n: int) -> Column:
 def mix(a, b, head: int = 8) -> Column:
     """First ``head`` steps from ``a``, the rest from ``b``."""
     a, b = as_col(a), as_col(b)
-    return F.concat(F.slice(a, 1, head), F.slice(b, head + 1, 1_000))
+    return F.concat(F.slice(a, 1, head), F.slice(b, F.lit(head + 1), F.greatest(F.size(b), F.lit(0))))
 
 
 def distance(a, b) -> Column:

@@ -23,10 +23,6 @@ def rounded(value, digits: int = 6) -> Column:
     return F.round(as_col(value) + F.lit(3.0 * 10.0 ** -(digits + 4)), digits)
 
 
-def clamp(value, low, high) -> Column:
-    return F.least(F.greatest(as_col(value), F.lit(low)), F.lit(high))
-
-
 def share(condition: Column) -> Column:
     """Fraction of non-null rows for which ``condition`` holds."""
     return F.avg(condition.cast("double"))

@@ -118,11 +118,6 @@ def chronology_violations(
     return joined.withColumn("violation", problem).filter("violation is not null").select(*keys, "violation")
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key values that occur more than once."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 def phase_split(
     df: DataFrame,
     boundaries: Sequence[tuple[str, str, str]],
@@ -239,12 +234,3 @@ def eligible(v: DataFrame, origin: str = "origin", cutoff_min: int = 60, delay_m
     received = shift_minutes("as_of", delay_min) <= shift_minutes(origin, -cutoff_min)
     issued = F.col("nominal_issue") <= shift_minutes(origin, -nominal_cutoff_min)
     return v.filter(received & issued)
-
-
-def raise_on_rows(df: DataFrame, message: str) -> None:
-    """Fail when a violations table has a row (runs a job that stops at the first)."""
-    rows = df.limit(1).collect()
-    if rows:
-        raise ValueError(f"{message}: {rows[0].asDict()}")
-
-

@@ -122,8 +122,3 @@ def incremental_blend(df: DataFrame, base: str, increments: Sequence[str], alpha
                 ))
     rest = [c for c in df.columns if c not in (base, *increments)]
     return df.select(*rest, F.explode(F.array(*options)).alias("_b")).select(*rest, "_b.*")
-
-
-def scenario_rows(df: DataFrame, name: str, values: Sequence) -> DataFrame:
-    """Repeat every row for a short list of scenario values."""
-    return df.withColumn(name, explode_values(values))

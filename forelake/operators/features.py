@@ -31,14 +31,6 @@ def calendar(df: DataFrame, ts: str = "target") -> DataFrame:
     })
 
 
-def one_hot(df: DataFrame, column: str, levels: int, first: int = 0, prefix: str | None = None) -> DataFrame:
-    """0/1 columns for a small integer column."""
-    prefix = prefix or column
-    return df.withColumns({
-        f"{prefix}_{j:02d}": (F.col(column) == j + first).cast("double") for j in range(levels)
-    })
-
-
 def causal_features(
     prices: DataFrame, horizon: int, delay: int = 26, lags: Sequence[int] = (0, 24, 48, 168),
     widths: Sequence[int] = (24, 168), aligned: Sequence[int] = (48, 168), step_min: int = 60,

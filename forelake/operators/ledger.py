@@ -235,11 +235,6 @@ def half_year(ts: str = "target") -> Column:
     return F.concat(F.year(t).cast("string"), F.lit("H"), F.ceil(F.quarter(t) / 2).cast("string"))
 
 
-def quarter_of_year(ts: str = "target") -> Column:
-    t = F.col(ts)
-    return F.concat(F.year(t).cast("string"), F.lit("Q"), F.quarter(t).cast("string"))
-
-
 def period_value(traj: DataFrame, period: Column, keys: Sequence[str] = SERIES) -> DataFrame:
     """Value re-marked at the ends of every sub-period."""
     return marked_value(traj.withColumn("period", period), [*keys, "period"])

@@ -19,13 +19,25 @@ from forelake.operators.gram import DirectRidge, Linear, direct_sums, fit_direct
 from forelake.session import stage
 
 
+#: Leading hash values that ``sample_rows`` counts.
+HASH_BINS = 4096
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, key: str, order: Sequence[str]) -> DataFrame:
-    """``n`` rows drawn without replacement by hashed key, returned in time order.
+    """``n`` rows drawn without replacement by hashed key, returned in time order; ``key`` is a unique integer.
 
-    ``limit`` after a sort is a distributed top-n; ``key`` is a unique integer.
+    Hashes are even, so counts per leading bits (one row for each of ``HASH_BINS``) tell which bins are
+    drawn whole; only the bin that holds the n-th hash is sorted for its first rows.
     """
-    picked = df.withColumn("_h", counter_hash(seed, F.col(key).cast("long"))).orderBy("_h", key).limit(n)
-    return picked.drop("_h").orderBy(*order)
+    marked = df.withColumn("_h", counter_hash(seed, F.col(key).cast("long"))).withColumn("_b", F.floor(F.col("_h") / (2**52 // HASH_BINS)).cast("int"))
+    edge, before = HASH_BINS, 0
+    for row in marked.groupBy("_b").count().orderBy("_b").collect():
+        if before + row["count"] >= n:
+            edge = row["_b"]
+            break
+        before += row["count"]
+    last = marked.filter(F.col("_b") == edge).orderBy("_h", key).limit(n - before)
+    return marked.filter(F.col("_b") < edge).unionByName(last).drop("_h", "_b").orderBy(*order)
 
 
 def fit_bias(train: DataFrame, keys: Sequence[str] = ("step",), price: str = "price", actual: str = "actual") -> DataFrame:

@@ -169,28 +169,30 @@ def asof_join(
     left_on: str,
     right_on: str,
     payload: Sequence[str] | None = None,
-    target_rows: int | None = None, hot: bool | None = None,
+    target_rows: int | None = None, hot: bool | None = None, ties: Sequence[str] = (),
 ) -> DataFrame:
     """Backward inclusive as-of join: the last version with ``right_on <= left_on``.
 
     Versions and queries are stacked and sorted once per key; every query takes
-    the last version before it. Versions sort before queries at equal times.
-    Versions must be unique per (by, right_on). Queries without a version keep
-    null payload columns.
+    the last version before it. Versions sort before queries at equal times. Of versions with
+    one stamp the greatest by ``ties``, then by the payload, counts, so the result does not depend on row
+    order. Queries without a version keep null payload columns.
     """
     payload = list(payload or [c for c in versions.columns if c not in by])
+    # Sorted by as well, so that the greatest of equal stamps comes last.
+    value = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(ties)], *payload)
     left = queries.select(
         *by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"),
-        F.lit(None).cast(versions.select(F.struct(*payload)).schema[0].dataType).alias("_v"),
+        F.lit(None).cast(versions.select(value).schema[0].dataType).alias("_v"),
         F.struct(*queries.columns).alias("_q"),
     )
     right = versions.select(
         *by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"),
-        F.struct(*payload).alias("_v"),
+        value.alias("_v"),
         F.lit(None).cast(left.schema["_q"].dataType).alias("_q"),
     )
     seg = segment_series(
-        right.unionByName(left), by, ["_t", "_side"], carry={"v": ("last", F.col("_v"))}, target_rows=target_rows, hot=hot
+        right.unionByName(left), by, ["_t", "_side", "_v"], carry={"v": ("last", F.col("_v"))}, target_rows=target_rows, hot=hot
     )
     matched = seg.finish(seg.frame.withColumn("_m", seg.running_last("v", F.col("_v"))))
     names = {c: (f"{c}_version" if c in queries.columns else c) for c in payload}

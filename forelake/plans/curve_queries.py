@@ -137,21 +137,21 @@ def cap_bound(v: Views):
 
 _SPAN = 8
 _FEATURES = """SELECT region, target,
-  lag(actual, 2) OVER w AS lag_0, lag(actual, 5) OVER w AS lag_3, lag(actual, 10) OVER w AS lag_8,
-  avg(actual) OVER (w ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) AS mean_4, stddev_pop(actual) OVER (w ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) AS sd_4,
-  avg(actual) OVER (w ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING) AS mean_8, stddev_pop(actual) OVER (w ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING) AS sd_8,
-  lag(actual, 3) OVER w AS aligned_6, lag(actual, 7) OVER w AS aligned_10,
-  lag(actual, 10) OVER w AS support, lag(target, 2) OVER w AS newest, target + INTERVAL 6 HOUR AS t
+  lag(actual, 26) OVER w AS lag_0, lag(actual, 50) OVER w AS lag_24, lag(actual, 74) OVER w AS lag_48, lag(actual, 194) OVER w AS lag_168,
+  avg(actual) OVER (w ROWS BETWEEN 49 PRECEDING AND 26 PRECEDING) AS mean_24, stddev_pop(actual) OVER (w ROWS BETWEEN 49 PRECEDING AND 26 PRECEDING) AS sd_24,
+  avg(actual) OVER (w ROWS BETWEEN 193 PRECEDING AND 26 PRECEDING) AS mean_168, stddev_pop(actual) OVER (w ROWS BETWEEN 193 PRECEDING AND 26 PRECEDING) AS sd_168,
+  lag(actual, 45) OVER w AS aligned_48, lag(actual, 165) OVER w AS aligned_168,
+  lag(actual, 194) OVER w AS support, lag(target, 26) OVER w AS newest, target + INTERVAL 6 HOUR AS t
   FROM grid WINDOW w AS (PARTITION BY region ORDER BY target)"""
 
 
 def features(prices):
-    return X.causal_features(prices, 3, delay=2, lags=(0, 3, 8), widths=(4, 8), aligned=(6, 10), step_min=120, price="actual")
+    return X.causal_features(prices, 3, step_min=120, price="actual")
 
 
 @query("causal_features", f"""
 WITH f AS ({_FEATURES})
-SELECT region, target, {rs('lag_0', 'lag_3', 'lag_8', 'mean_4', 'sd_4', 'mean_8', 'sd_8', 'aligned_6', 'aligned_10')},
+SELECT region, target, {rs('lag_0', 'lag_24', 'lag_48', 'lag_168', 'mean_24', 'sd_24', 'mean_168', 'sd_168', 'aligned_48', 'aligned_168')},
   hour(t) AS hour, isodow(t) - 1 AS weekday, month(t) AS month, {r(f'sin((dayofyear(t) - 1) / 365.25 * {2 * math.pi})', 'year_sin')},
   {r(f'cos((dayofyear(t) - 1) / 365.25 * {2 * math.pi})', 'year_cos')} FROM f WHERE support IS NOT NULL""", "grid")
 def causal_features(v: Views):
@@ -160,18 +160,18 @@ def causal_features(v: Views):
 
 
 @query("perturbation_leak_test", f"""
-WITH f AS ({_FEATURES}), o AS (SELECT 'causal' AS build, 4 AS hours UNION ALL SELECT 'leaking', 24)
-SELECT build, 2 * count(*) FILTER (WHERE support IS NOT NULL AND newest > TIMESTAMP '2024-01-15' AND target <= TIMESTAMP '2024-01-15' + INTERVAL 1 HOUR * CAST(hours AS INTEGER)) AS changed_rows FROM f, o GROUP BY 1""", "grid")
+WITH f AS ({_FEATURES}), o AS (SELECT 'causal' AS build, 52 AS hours UNION ALL SELECT 'leaking', 72)
+SELECT build, 2 * count(*) FILTER (WHERE support IS NOT NULL AND newest > TIMESTAMP '2024-01-22' AND target <= TIMESTAMP '2024-01-22' + INTERVAL 1 HOUR * CAST(hours AS INTEGER)) AS changed_rows FROM f, o GROUP BY 1""", "grid")
 def perturbation_leak_test(v: Views):
-    """Prices after mid-January are shifted: features of origins within the delay stay, those of the day after change."""
-    edge = F.lit("2024-01-15").cast("timestamp_ntz")
+    """Prices from a day on are shifted: features of origins within the delay stay, those of the day after change."""
+    edge = F.lit("2024-01-22").cast("timestamp_ntz")
     prices = v.grid.select("region", "target", "actual", (F.col("target") <= edge).alias("visible"))
 
     def changed(name, minutes):
         rows = X.perturbation_leak_test(lambda p: features(p).filter(F.col("target") <= shift_minutes(edge, minutes)), prices, "visible", "actual")
         return rows.agg(F.lit(name).alias("build"), F.count(F.lit(1)).alias("changed_rows"))
 
-    return changed("causal", 240).unionByName(changed("leaking", 1440))
+    return changed("causal", 52 * 60).unionByName(changed("leaking", 72 * 60))
 
 
 @query("calendar", f"""

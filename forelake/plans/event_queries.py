@@ -25,7 +25,7 @@ _ELIGIBLE = f"""{_SESSIONS},
 pos AS (SELECT region, target AS first_target, row_number() OVER (PARTITION BY region ORDER BY target) - 1 AS first_pos, count(*) OVER (PARTITION BY region) AS n FROM pnl),
 fit AS (SELECT ses.*, first_pos, row_number() OVER (PARTITION BY region ORDER BY first_target) - 1 AS i, count(*) OVER (PARTITION BY region) AS m
   FROM ses JOIN pos USING (region, first_target) WHERE first_pos + 48 <= n),
-el AS (SELECT * FROM fit WHERE i IN (SELECT CAST(round_even(CASE WHEN j = 4 THEN m - 1 ELSE j * ((m - 1) / 4.0::DOUBLE) END, 0) AS BIGINT) FROM range(5) t(j)))"""
+el AS (SELECT * FROM fit WHERE i IN (SELECT CAST(round_even(CASE WHEN j = 19 THEN m - 1 ELSE j * ((m - 1) / 19.0::DOUBLE) END, 0) AS BIGINT) FROM range(20) t(j)))"""
 
 
 def panel(v: Views):
@@ -39,7 +39,7 @@ def triggers(rows):
 
 
 def events(rows):
-    return E.eligible_events(E.event_sessions(triggers(rows)), rows, pick=5)
+    return E.eligible_events(E.event_sessions(triggers(rows)), rows)
 
 
 @query("event_triggers", f"""

@@ -90,7 +90,7 @@ def ridge_gradient(v: Views):
 def boosted_residuals(v: Views):
     """Held-out accuracy of a boosted residual model shared over steps."""
     train, test = halves(cells(v))
-    model, columns = M.fit_gbt(train, ["price", "other"], rounds=10, min_leaf=50)
+    model, columns = M.fit_gbt(train, ["price", "other"])
     return shown(D.forecast_metrics(M.score_models(test, {"boosted": M.score_gbt(test, model, columns)})))
 
 

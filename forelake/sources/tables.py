@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forelake.functions.numeric import nan_to_null
+
 
 def load_curves(
     spark: SparkSession, path: str, policies: Sequence[str] | None = None, cutoff: int | None = None, phase: str | None = None,
     span: tuple[str, str] | None = None, columns: Sequence[str] | None = None, target: str = "target", policy_column: str = "policy",
     cutoff_column: str = "cutoff_minutes", phase_column: str = "phase",
 ) -> DataFrame:
-    """Parquet scan whose predicates and columns reach the reader."""
+    """Parquet scan whose predicates and columns reach the reader; NaN becomes null, so that it joins no average."""
     df = spark.read.parquet(path)
     if policies is not None:
         df = df.filter(F.col(policy_column).isin(*policies))
@@ -24,7 +26,7 @@ def load_curves(
     if span is not None:
         start, end = (F.lit(x).cast("timestamp_ntz") for x in span)
         df = df.filter((F.col(target) >= start) & (F.col(target) < end))
-    return df.select(*columns) if columns else df
+    return nan_to_null(df.select(*columns) if columns else df)
 
 
 def overlay_sources(sources: Sequence[DataFrame], keys: Sequence[str], span: tuple[str, str] | None = None, target: str = "target") -> DataFrame:

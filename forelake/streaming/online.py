@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 SERIES = ("region", "target")
 
 
-def event_time(df: DataFrame, *columns: str) -> DataFrame:
-    """Naive columns as UTC event times."""
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
-
-
 def usable(v: DataFrame, cutoff_min: int = 60, delay_min: int = 0) -> DataFrame:
     """Flag versions that arrive (with ``delay_min``) no later than ``target - cutoff``."""
     arrival = F.col("as_of") + F.expr(f"INTERVAL {int(delay_min)} MINUTES")

@@ -263,3 +263,17 @@ def test_mean_equality_matches_numpy(spark):
     q = float(np.sqrt(n) * (a @ mu) @ inverse @ (np.sqrt(n) * (a @ mu)))
     hits = int((np.einsum("bi,ij,bj->b", v, inverse, v) >= q).sum())
     assert row["statistic"] == pytest.approx(q) and row["exceedances"] == hits
+
+
+@pytest.mark.parametrize("target_rows", [None, 3])
+def test_asof_join_settles_versions_with_one_stamp(spark, target_rows):
+    from datetime import datetime
+
+    t = [datetime(2024, 1, 1, h) for h in range(6)]
+    versions = [("a", t[1], 5, 1.0), ("a", t[1], 7, 0.5), ("a", t[1], 6, 9.0), ("a", t[3], 1, 2.0), ("a", t[3], 1, 3.0), ("a", t[0], 1, 4.0)]
+    asked = spark.createDataFrame([("a", x) for x in t], "k string, at timestamp_ntz")
+    want = [4.0, 0.5, 0.5, 3.0, 3.0, 3.0]
+    for rows in (versions, versions[::-1]):
+        v = spark.createDataFrame(rows, "k string, stamp timestamp_ntz, seq int, x double")
+        got = V.asof_join(asked, v, ["k"], "at", "stamp", ["x"], target_rows=target_rows, ties=["seq"])
+        assert [r["x"] for r in got.orderBy("at").collect()] == want

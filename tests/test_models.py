@@ -183,6 +183,27 @@ def test_vintages_of_fitted_horizons(spark):
     assert gone.count() == len(got) - 7 * 12
 
 
-def test_one_hot(spark):
-    df = X.one_hot(spark.createDataFrame([(3,), (12,)], "month int"), "month", 12, first=1)
-    assert [r["month_02"] for r in df.orderBy("month").collect()] == [1.0, 0.0]
+def test_more_rounds_fit_held_out_steps_better(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 2))
+    y = np.sin(2 * x[:, 0]) * 5 + (x[:, 1] > 0) * 3 + rng.normal(size=3000) * 0.3
+    rows = [(int(k % 2), float(a), float(b), float(t), 0.0, k) for k, ((a, b), t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "step int, a double, b double, actual double, price double, k int")
+    train, test = df.filter("k < 2000"), df.filter("k >= 2000")
+
+    def error(rounds):
+        model, columns = M.fit_gbt(train, ["a", "b"], steps=2, rounds=rounds)
+        return M.score_gbt(test, model, columns, steps=2).agg(F.avg((F.col("actual") - F.col("price")) ** 2)).first()[0]
+
+    raw, few, many = float((y[2000:] ** 2).mean()), error(10), error(80)
+    assert many < 0.8 * few < 0.8 * raw
+
+
+def test_sampled_rows_are_those_of_smallest_hash(spark):
+    from forelake.operators.bootstrap import counter_hash
+
+    df = spark.range(20_000).withColumn("t", -F.col("id"))
+    want = [r["id"] for r in df.orderBy(counter_hash(3, F.col("id")), "id").limit(700).collect()]
+    got = [r["id"] for r in M.sample_rows(df, 700, 3, "id", ["t"]).collect()]
+    assert got == sorted(want, reverse=True)
+    assert M.sample_rows(df, 30_000, 3, "id", ["t"]).count() == 20_000 and M.sample_rows(df.limit(0), 5, 3, "id", ["t"]).count() == 0

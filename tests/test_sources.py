@@ -206,3 +206,10 @@ def test_xml_rules_for_bad_leaves_and_documents(spark):
     broken = spark.createDataFrame([("bad", "<D><DocBody>")], df.schema)
     with pytest.raises(Exception, match="not well-formed: bad"):
         R.parse_xml_prices(df.union(broken), "HourlyPriceComponents", R.HOURLY_NODE).collect()
+
+
+def test_nan_in_a_source_reads_as_null(spark, tmp_path):
+    rows = [("A", datetime(2024, 1, 1), float("nan"), "x"), ("A", datetime(2024, 1, 2), 2.0, "y")]
+    spark.createDataFrame(rows, "region string, target timestamp_ntz, p_01 double, note string").write.parquet(str(tmp_path / "c"))
+    df = T.load_curves(spark, str(tmp_path / "c"), span=("2024-01-01", "2024-02-01"))
+    assert df.agg(F.avg("p_01"), F.max("p_01"), F.count("note")).first() == (2.0, 2.0, 2)
