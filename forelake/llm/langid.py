@@ -179,8 +179,16 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, stretches: int = STRETCHES, span: int = SPAN) -> tuple[list[bytes], list[str]]:
     """Stretches of labelled documents: at most docs_per_language * stretches * span characters per language."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(place)).where(F.col("place") <= docs_per_language).select("doc_id", "lang").distinct()
+    order = F.md5(F.col("doc_id").cast("string"))
+    # Counts per language and leading digits tell which digits hold the sample, so only these rows are ranked, however large a language is.
+    head = F.substring(order, 1, 3).alias("head")
+    counts = labelled.select("lang", head).groupBy("lang", "head").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("lang").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = counts.withColumn("before", before).where(F.col("before") < docs_per_language).groupBy("lang").agg(F.max("head").alias("edge"))
+    place = Window.partitionBy("lang").orderBy("order", "doc_id")
+    # One row per language.
+    near = labelled.select("doc_id", "lang", order.alias("order"), head).join(F.broadcast(edges), "lang").where(F.col("head") <= F.col("edge"))
+    chosen = near.withColumn("place", F.row_number().over(place)).where(F.col("place") <= docs_per_language).select("doc_id", "lang").distinct()
     step = F.greatest(F.lit(0), F.length("text") - span) / max(1, stretches - 1)
     pieces = F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), lambda i: F.substring(F.col("text"), (F.floor(step * i) + 1).cast("int"), F.lit(span)))
     # Bounded by docs_per_language rows for each language.

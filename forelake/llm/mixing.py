@@ -125,12 +125,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 
 def taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``rows`` with ``taken``: the words that the mix takes of each document, repeats counted."""
-    words = pieces.groupBy("row").agg(F.sum("length").alias("taken"))
+    """``rows`` with ``taken`` (the words that the mix takes of each document, repeats counted) and ``slot`` (the first that serves it, null if none does)."""
+    words = pieces.groupBy("row").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot"))
     return rows.join(words, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, with all their columns.
 

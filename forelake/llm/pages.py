@@ -115,6 +115,9 @@ def page_lines(source: str) -> list[Line]:
             if m[1] and m[1].lower() not in _INLINES:
                 held.append(" ")
             continue
+        if name == "br":  # white space inside its block
+            held.append(" ")
+            continue
         if name not in _INLINES or name in _ASIDES:
             flush()
         if m[2]:

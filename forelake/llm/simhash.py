@@ -16,30 +16,38 @@ from forelake.llm.common import LAST_ID, connected, doc_key, stage
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
+#: Bands of minima, and minima of a band, that make texts candidates of an exact comparison; rounds of a band's first text.
+BANDS, BAND_ROWS, ROUNDS = 16, 5, 3
 #: Fingerprints of one index leaf group, and the fan-out of the nodes above.
 CHUNK, FAN = 2048, 16
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash: a bit is 1 if it is set in over half the shingles' XXH64; no words: 0."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; fewer words than a shingle has: of the whole sequence; no words: none."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII alone
-    if not tokens:
-        return 0
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if tokens else [], dtype=np.uint64)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     ends = (starts + lengths)[words - 1 :].tolist()
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends, strict=False)], dtype=np.uint64)
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends, strict=False)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash: a bit is 1 if it is set in over half the hashes; none: 0."""
     votes = np.zeros(64, np.int64)
-    for part in np.array_split(hashes, -(-len(hashes) // 65536)):
+    for part in np.array_split(hashes, -(-len(hashes) // 65536) or 1):
         votes += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int("".join("1" if 2 * v > len(hashes) else "0" for v in votes.tolist()), 2)
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc, fp): the document key and its fingerprint as a signed long, for every row."""
 
@@ -280,10 +288,114 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     return prints.join(named, "fp").select(known("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key per band from the minima of ``BAND_ROWS`` multiplicative orders each; texts of resemblance J agree in one with chance J ** BAND_ROWS."""
+    odd = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for part in np.array_split(hashes, -(-len(hashes) // 4096) or 1):
+        if len(part):
+            least = np.minimum(least, np.multiply.outer(odd, part).min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + row
+    return keys
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(sig, fp, bands) of every text (sig, text): SimHash and band keys from one pass over its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
+            prints = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            bands = [band_keys(h).view(np.int64).tolist() if len(h) else [] for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(bands, pa.list_(pa.int64()))], names=["sig", "fp", "bands"])
+
+    return texts.mapInArrow(run, "sig long, fp long, bands array<long>")
+
+
+def resembling(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The ``pairs`` (a, b, ...) of texts whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+    columns = list(pairs.columns)
+    asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    # Copies are combined before the shuffle.
+    texts = texts.join(asked, "sig", "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column(len(columns)), batch.column(len(columns) + 1), strict=True):
+                x, y = (np.unique(shingle_hashes(t.as_py(), words)) for t in (one, other))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
+
+    kinds = dict(pairs.dtypes)
+    left = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("one")), "a")
+    both = left.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("other")), "b")
+    return both.select(*columns, "one", "other").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def resemblance_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b) of components whose texts resemble each other by ``least`` or more.
+
+    classes: sig, bands, component; texts: sig, text, copies as they come. Texts of different components that share a band key are
+    candidates. Of each key the first text is compared with all others, exactly; then the first that
+    is like none so far, with all but the firsts before it. So a round costs as many pairs as it has
+    texts and no group is paired with itself. After ``ROUNDS`` rounds the texts of a key that are like none
+    are compared in a row, each with the one before.
+    """
+    rows = classes.select("component", "sig", F.explode("bands").alias("key"))
+    # One text of a component per key; combined before the shuffle.
+    left = stage(rows.groupBy("key", "component").agg(F.min("sig").alias("sig")).withColumn("linked", F.lit(False)))
+    links = None
+    for number in range(ROUNDS + 1):
+        if number < ROUNDS:
+            heads = left.groupBy("key").agg(F.min(F.when(~F.col("linked"), F.col("sig"))).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null").drop("n")
+            members = stage(left.join(heads, "key").where("sig != b").select("key", "component", F.col("sig").alias("a"), "b", "linked"))
+        else:
+            before = F.lag("sig").over(Window.partitionBy("key").orderBy("sig"))
+            members = stage(left.where("not linked").withColumn("b", before).where("b is not null").select("key", "component", F.col("sig").alias("a"), "b", "linked"))
+        if members.isEmpty():
+            break
+        alike = stage(resembling(members.select("a", "b").distinct(), texts, words, least))
+        links = alike if links is None else links.unionByName(alike)
+        now = members.join(alike.distinct().withColumn("same", F.lit(True)), ["a", "b"], "left")
+        left = stage(now.select("key", "component", F.col("a").alias("sig"), (F.col("linked") | F.col("same").isNotNull()).alias("linked")))
+    if links is None:
+        return classes.select(F.col("component").alias("a"), F.col("component").alias("b")).limit(0)
+    known = classes.select("sig", "component")
+    found = links.distinct().join(known.withColumnsRenamed({"sig": "a", "component": "one"}), "a").join(known.withColumnsRenamed({"sig": "b", "component": "other"}), "b")
+    return found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).where("a != b").distinct()
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: the smallest doc_id of each component stays.
 
-    All columns stay. Rows equal in id and text become one; see ``near_duplicates``.
+    Texts are linked if their fingerprints differ in at most ``max_bits`` bits and, with
+    ``least``, also if their shingle sets have that Jaccard similarity (found with chance
+    1 - (1 - J ** BAND_ROWS) ** BANDS, verified exactly). All columns stay. Rows equal in id and text
+    become one, the least by its other columns, so reruns agree; of different texts that share the kept
+    id all stay. Null ids count as larger than any other.
     """
-    keep = near_duplicates(docs, words, max_bits).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    # Copies meet here, by checksum, in small rows.
+    made = sketches(rows.select("sig", "text"), words).groupBy("sig").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    firsts = rows.groupBy("sig").agg(F.min("doc").alias("first"))
+    prints = stage(made.join(firsts, "sig"))
+    classes = stage(prints.groupBy("fp").agg(F.min("first").alias("first")))
+    reached = connected(near_links(classes, max_bits), "a", "b")
+    rooted = stage(prints.join(reached, prints["fp"] == reached["node"], "left").select("sig", "first", "bands", F.coalesce("root", "fp").alias("component")))
+    if least:
+        links = stage(resemblance_links(rooted, rows.select("sig", "text"), words, least))
+        if not links.isEmpty():
+            wider = connected(links, "a", "b").select(F.col("node").alias("component"), "root")
+            rooted = rooted.join(wider, "component", "left").select("sig", "first", F.coalesce("root", "component").alias("component"))
+    # The component's rows of the smallest id stay; null ids stay only where no other is.
+    least_id = rooted.groupBy("component").agg(F.min("first").alias("keep"))
+    keep = rooted.join(least_id, "component").where("first = keep").select(F.col("keep").alias("__doc"), F.col("sig").alias("__sig"))
+    marked = docs.withColumns({"__doc": doc_key(), "__sig": F.xxhash64(text)}).join(keep, ["__doc", "__sig"], "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = marked.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest")) if rest else marked.select("doc_id", "text").distinct()
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c).alias(c) for c in docs.columns])
