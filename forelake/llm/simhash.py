@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forelake.functions.joins import join_small
 from forelake.llm.common import LAST_ID, connected, doc_key, stage
 
 SHINGLE_WORDS = 3
@@ -318,8 +319,8 @@ def resembling(pairs: DataFrame, texts: DataFrame, words: int, least: float) ->
     """The ``pairs`` (a, b, ...) of texts whose sets of shingles have a Jaccard similarity of ``least`` or more."""
     columns = list(pairs.columns)
     asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    # Copies are combined before the shuffle.
-    texts = texts.join(asked, "sig", "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
+    # Few texts are candidates, so only theirs are shuffled while the list is small enough to broadcast; copies are combined before.
+    texts = join_small(texts, asked, ["sig"], "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,5 +398,7 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX
     keep = rooted.join(least_id, "component").where("first = keep").select(F.col("keep").alias("__doc"), F.col("sig").alias("__sig"))
     marked = docs.withColumns({"__doc": doc_key(), "__sig": F.xxhash64(text)}).join(keep, ["__doc", "__sig"], "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = marked.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest")) if rest else marked.select("doc_id", "text").distinct()
+    # Grouped where the join has put them: the texts are shuffled once.
+    same = ("__doc", "__sig", "doc_id", "text")
+    kept = marked.groupBy(*same).agg(F.min(F.struct(*rest)).alias("__rest")) if rest else marked.select(*same).distinct()
     return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c).alias(c) for c in docs.columns])
