@@ -17,10 +17,18 @@ K = 20
 TREES, LEAF = 16, 50
 #: Vectors from which the forest's planes are drawn; all vectors are indexed.
 SAMPLE = 20_000
-#: Rows in the leaves a query opens, over all trees, as a share of all rows.
-SEARCH_SHARE = 1.5
-#: Rows of one leaf that a task meets; larger leaves are split.
-LEAF_ROWS = 20_000
+#: Share of the true neighbours that the search is set to find.
+RECALL = 0.95
+#: Queries whose true neighbours are found by reading all rows, to set the search.
+PILOT = 64
+#: Numbers of trees that the pilot tries, up to all.
+FORESTS = (2, 4, 8, 16)
+#: Rows of neighbouring leaves that a task holds at once; larger leaves are split.
+BUNDLE_ROWS = 20_000
+#: Parts in which the ids of one vector are first cut to the smallest.
+ID_PARTS = 32
+#: Hits that a task gathers before it cuts them to the best of each query, and queries whose best it holds.
+GATHERED, HELD_QUERIES = 400_000, 50_000
 
 
 @dataclass
@@ -79,21 +87,60 @@ def open_leaves(forest: list[Tree], sizes: list[np.ndarray], query: np.ndarray,
     beyond a plane is opened before a far one, whichever tree it belongs to.
     """
     margins = [(t.normals @ query - t.offsets).tolist() for t in forest]
+    low, high = [t.low.tolist() for t in forest], [t.high.tolist() for t in forest]
     queue = [(-np.inf, number, 0 if len(t.offsets) else -1) for number, t in enumerate(forest)]
     heapq.heapify(queue)
     opened = []
     while queue and rows > 0:
         worst, number, node = heapq.heappop(queue)
-        if node < 0:
-            opened.append((number, -1 - node))
-            rows -= sizes[number][-1 - node]
-            continue
-        margin = margins[number][node]
-        heapq.heappush(queue, (max(worst, -margin), number, int(forest[number].high[node])))
-        heapq.heappush(queue, (max(worst, margin), number, int(forest[number].low[node])))
+        # The near side of every plane keeps the priority and is walked down at once.
+        while node >= 0:
+            margin = margins[number][node]
+            near, far = (high, low) if margin > 0 else (low, high)
+            heapq.heappush(queue, (max(worst, abs(margin)), number, far[number][node]))
+            node = near[number][node]
+        opened.append((number, -1 - node))
+        rows -= sizes[number][-1 - node]
     return opened
 
 
+def least_search(forest: list[Tree], sizes: list[np.ndarray], queries: np.ndarray, of: np.ndarray, neighbours: np.ndarray, recall: float) -> tuple[int, int]:
+    """(trees, rows): the least number of rows to open that reaches ``recall``, and with how many trees.
+
+    ``neighbours`` are true neighbours of ``queries[of]``. One is found as soon as any
+    of its leaves is opened, so the rows opened before that, over all pairs, give the
+    rows that any recall takes.
+    """
+    where = [tree.route(neighbours) for tree in forest]
+    best = (len(forest), int(sum(s.sum() for s in sizes)))
+    for trees in sorted({min(n, len(forest)) for n in FORESTS}):
+        before = np.full(len(of), np.inf)
+        for number, query in enumerate(queries):
+            opened = open_leaves(forest[:trees], sizes, query, np.inf)
+            held = np.array([sizes[t][x] for t, x in opened])
+            start = [np.zeros(len(s), np.int64) for s in sizes[:trees]]
+            for (t, x), rows in zip(opened, np.cumsum(held) - held, strict=True):
+                start[t][x] = rows
+            own = np.flatnonzero(of == number)
+            for t in range(trees):
+                before[own] = np.minimum(before[own], start[t][where[t][own]])
+        rows = int(np.sort(before)[int(np.ceil(recall * len(of))) - 1]) + 1
+        if rows < best[1]:
+            best = (trees, rows)
+    return best
+
+
+def bundles(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bundle and number of bundles of each leaf: runs of leaves of at most ``most`` rows, larger leaves alone in several parts."""
+    first, parts, number, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for leaf, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            number, held = number + 1, 0
+        first[leaf], parts[leaf] = number, max(1, -(-size // most))
+        number, held = (number + parts[leaf], 0) if parts[leaf] > 1 else (number, held + size)
+    return first, parts
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, vec): vectors of finite numbers, not all zero, of the most frequent size."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") > 0))
@@ -120,22 +167,125 @@ def slack(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
     return 8 * (rights.shape[1] + 2) * np.finfo(np.float64).eps * longest * np.sqrt(np.einsum("ij,ij->i", lefts, lefts))
 
 
-def reaching(near: np.ndarray, most: int, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every product that may be among the ``most`` largest of its row, all ties with the last included."""
-    most = min(most, near.shape[1])
-    last = -np.partition(-near, most - 1, axis=1)[:, most - 1]
+def reaching(near: np.ndarray, most: int, margin: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every product that may be among the ``most`` largest of its row, all ties with the last included.
+
+    ``known``: a score that ``most`` others of the row's query reach already, or minus infinity.
+    """
+    last, new = known.copy(), np.isneginf(known)
+    if new.any():
+        most = min(most, near.shape[1])
+        last[new] = -np.partition(-near[new], most - 1, axis=1)[:, most - 1]
     return np.nonzero(near >= (last - margin)[:, None])
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, leaf: int = LEAF, share: float = SEARCH_SHARE, sample: int = SAMPLE) -> DataFrame:
+class Best:
+    """The ``most`` best classes of each query, from hits that are gathered and cut together."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.hits = most, 0, []
+        self.queries, self.last = np.empty(0, np.int64), np.empty(0)
+
+    def add(self, queries: np.ndarray, classes: np.ndarray, scores: np.ndarray) -> bool:
+        """True once enough hits are gathered for a cut."""
+        self.hits.append((queries, classes, scores))
+        self.size += len(queries)
+        return self.size > GATHERED
+
+    def cut(self) -> None:
+        """Leave each query's best, each class once; ties to smaller ids."""
+        if not self.hits:
+            return
+        q, v, s = (np.concatenate(c) for c in zip(*self.hits, strict=True))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        new = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))
+        q, v, s = q[new], v[new], s[new]
+        self.queries, start, count = np.unique(q, return_index=True, return_counts=True)
+        keep = np.arange(len(q)) - np.repeat(start, count) < self.most
+        full = count >= self.most
+        self.last = np.where(full, s[np.where(full, start + self.most - 1, start)], -np.inf)
+        self.hits, self.size = [(q[keep], v[keep], s[keep])], 0
+
+    def known(self, queries: np.ndarray) -> np.ndarray:
+        """The score of each query's last kept class, as of the last cut."""
+        if not len(self.queries):
+            return np.full(len(queries), -np.inf)
+        at = np.minimum(np.searchsorted(self.queries, queries), len(self.queries) - 1)
+        return np.where(self.queries[at] == queries, self.last[at], -np.inf)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        for q, v, s in self.hits:
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "class", "score"])
+        self.__init__(self.most)
+
+
+def score_pairs(best: Best, ids: np.ndarray, lefts: np.ndarray, own: np.ndarray, rights: np.ndarray) -> bool:
+    """Gather each query's best among ``rights``; True once enough hits are gathered."""
+    full = False
+    for at in range(0, len(ids), 1024):
+        block, names = lefts[at : at + 1024], ids[at : at + 1024]
+        row, column = reaching(block @ rights.T, best.most, slack(block, rights), best.known(names))
+        # The same sum for a pair, whichever leaf it met in.
+        exact = [np.einsum("nd,nd->n", block[row[i : i + 8192]], rights[column[i : i + 8192]]) for i in range(0, len(row), 8192)]
+        full = best.add(names[row], own[column], np.concatenate(exact or [np.empty(0)]))
+    return full
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(class, ids, vec): each distinct vector once, with its k + 1 smallest ids, each at most k times.
+
+    Rows equal in vector and id are counted before the shuffle. The ids of a vector are cut in
+    ``ID_PARTS`` parts first, so one task meets only a bounded number for a common vector.
+    """
+    counted = rows.groupBy(F.xxhash64("vec").alias("mark"), "vec", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    some = Window.partitionBy("mark", "vec", F.pmod(F.xxhash64("id"), F.lit(ID_PARTS))).orderBy("id")
+    every = Window.partitionBy("mark", "vec").orderBy("id")
+    least = counted.withColumn("n", F.row_number().over(some)).where(F.col("n") <= k + 1)
+    least = least.withColumn("n", F.row_number().over(every)).where(F.col("n") <= k + 1)
+    ids = F.array_sort(F.flatten(F.collect_list(F.array_repeat("id", F.col("copies")))))
+    return least.groupBy("mark", "vec").agg(ids.alias("ids")).select(F.col("ids")[0].alias("class"), "ids", "vec")
+
+
+def true_neighbours(classes: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """(query, vec): the ``k`` nearest of all classes for each of a few queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The best of this task, as (query, score, class, vec), cut after each batch.
+        best = None
+        for batch in batches:
+            points, names, alone = _matrix(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy() == 1
+            near = queries @ points.T
+            near[(ids[:, None] == names[None, :]) & alone[None, :]] = -np.inf
+            most = min(k, near.shape[1])
+            row, at = np.repeat(np.arange(len(ids)), most), np.argpartition(-near, most - 1, axis=1)[:, :most].ravel()
+            found = (row, near[row, at], names[at], points[at])
+            best = found if best is None else tuple(np.concatenate(c) for c in zip(best, found, strict=True))
+            order = np.lexsort((best[2], -best[1], best[0]))
+            best = tuple(c[order] for c in best)
+            start = np.searchsorted(best[0], best[0])
+            best = tuple(c[np.arange(len(order)) - start < k] for c in best)
+        if best is not None:
+            there = np.isfinite(best[1])
+            yield pa.RecordBatch.from_arrays([pa.array(best[0][there].astype(np.int32)), pa.array(best[1][there]), pa.array(best[2][there]), pa.array(list(best[3][there]), pa.list_(pa.float64()))], names=["query", "score", "class", "vec"])
+
+    hits = classes.select("class", F.size("ids"), "vec").mapInArrow(run, "query int, score double, class long, vec array<double>")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
+    return hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("query", "vec")
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", trees: int = TREES, leaf: int = LEAF, share: float | None = None, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each query row.
 
     ``queries`` is a condition on ``id``. Equal vectors form one class, kept with its
     k + 1 smallest ids, each at most k times (no more can rank). The planes of the forest come from a
-    bounded sample; every class goes to its leaf in every tree, large leaves in
-    parts. A query opens leaves by one priority queue over all trees until they hold
-    ``share`` of all rows. Candidates are scored in double precision; each task keeps
-    the best k + 1 classes of a query. Ties go to smaller ids.
+    bounded sample; every class goes to its leaf in every tree. A query opens leaves by
+    one priority queue over all trees until they hold enough rows: a ``share`` of all,
+    or, if none is given, what brings ``recall`` to the true neighbours of ``PILOT``
+    queries, with as many trees as need the fewest rows. Neighbouring leaves
+    lie in bundles of bounded size; a bundle's rows are held while the queries that
+    open leaves of it pass, each once. Candidates are scored in double precision;
+    each task keeps the best k + 1 classes of a query. Ties go to smaller ids.
 
     Vectors that are null, zero or hold null or non-finite components take no part,
     nor do null ids and vectors of another size than most. Rows that share an id are
@@ -143,19 +293,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
-    mark = F.xxhash64("vec")
-    by_id = Window.partitionBy("mark", "vec").orderBy("id")
-    ranked = rows.withColumn("mark", mark).withColumn("n", F.dense_rank().over(by_id)).withColumn("copy", F.row_number().over(by_id) - F.rank().over(by_id)).where((F.col("n") <= k + 1) & (F.col("copy") < k))
-    classes = stage(ranked.groupBy("mark", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("class", F.col("ids")[0]).drop("mark"))
+    classes = stage(distinct_vectors(rows, k))
     asked = stage(rows.where(queries).select("id", "vec"))
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     count, longest = classes.agg(F.count("*"), F.max(length)).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not count:
-        return spark.createDataFrame([], schema)
-    # Bounded by ``sample`` vectors.
+    # Bounded by ``PILOT`` and ``sample`` vectors.
+    pilot = asked.orderBy(F.xxhash64("id"), "id").limit(PILOT).toArrow()
+    if not count or not pilot.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = classes.orderBy(F.xxhash64("class")).limit(sample).select("vec").toArrow()
-    points = _lifted(np.concatenate([_matrix(c) for c in drawn.column(0).chunks]), longest)
+    points = _lifted(_gathered(drawn.column(0)), longest)
     forest = [grow(points, leaf, np.random.default_rng(number)) for number in range(trees)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,77 +316,99 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
     # One row per leaf of the forest.
     for row in index.groupBy("tree", "leaf").count().collect():
         sizes[row["tree"]][row["leaf"]] = row["count"]
-    parts = [-(-s // LEAF_ROWS) for s in sizes]
+    if share is None:
+        some = _gathered(pilot.column(1))
+        # k rows per pilot query.
+        true = true_neighbours(classes, pilot.column(0).to_numpy(), some, k).toArrow()
+        if true.num_rows:
+            flat = np.concatenate((some, np.zeros((len(some), 1))), axis=1)
+            used, budget = least_search(forest, sizes, flat, true.column(0).to_numpy(), _lifted(_gathered(true.column(1)), longest), recall)
+            forest, sizes = forest[:used], sizes[:used]
+        else:
+            budget = count
+    else:
+        budget = share * count
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = min(BUNDLE_ROWS, max(leaf, -(-count * len(forest) // tasks)))
+    first, parts, total = [], [], 0
+    for held in sizes:
+        own, number = bundles(held, most)
+        first.append(own + total)
+        parts.append(number)
+        total += int((own + number).max())
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _matrix(batch.column(1))
             points = np.concatenate((points, np.zeros((len(points), 1))), axis=1)
-            found = [(row, t, x, part) for row, point in enumerate(points) for t, x in open_leaves(forest, sizes, point, share * count) for part in range(parts[t][x])]
-            for at in range(0, len(found), 5000):
-                row, tree, where, part = (np.array(c) for c in zip(*found[at : at + 5000], strict=True))
-                kinds = (pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip((tree, where, part), kinds, strict=True)], pa.array(np.zeros(len(row), np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["tree", "leaf", "part", "kind", "id", "vec"])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(points), 64):
+                found = []
+                for row in range(at, min(at + 64, len(points))):
+                    opened: dict[int, list[int]] = {}
+                    for t, x in open_leaves(forest, sizes, points[row], budget):
+                        for part in range(parts[t][x]):
+                            opened.setdefault(int(first[t][x]) + part, []).append(x)
+                    found += [(row, bundle, leaves) for bundle, leaves in opened.items()]
+                row, bundle, leaves = zip(*found, strict=True)
+                own = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(bundle, pa.int32()), pa.array(np.ones(len(row), np.int32)), pa.array(np.full(len(row), -1, np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.array(leaves, pa.list_(pa.int32()))], names=_MET)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tree, where, own = (batch.column(i).to_numpy() for i in range(3))
-            many = np.array([parts[t][x] for t, x in zip(tree, where, strict=True)])
-            part = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.maximum(1, many).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part.astype(np.int32)), pa.array(np.ones(len(own), np.int32)), batch.column(2), batch.column(3)], names=["tree", "leaf", "part", "kind", "id", "vec"])
+            start, many = (np.array([c[t][x] for t, x in zip(tree, where, strict=True)], np.int64) for c in (first, parts))
+            part = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % many.astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((start + part.astype(np.int64)).astype(np.int32)), pa.array(np.zeros(len(own), np.int32)), batch.column(1), batch.column(2), batch.column(3), pa.nulls(len(own), pa.list_(pa.int32()))], names=_MET)
 
-    columns = "tree int, leaf int, part int, kind int, id long, vec array<double>"
-    visits = asked.mapInArrow(visit, columns)
-    stored = index.join(classes.select("class", "vec"), "class").select("tree", "leaf", "class", "vec").mapInArrow(split, columns)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = visits.unionByName(stored).repartition(tasks, "tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind")
+    columns = "bundle int, kind int, leaf int, id long, vec array<double>, leaves array<int>"
+    stored = index.where(F.col("tree") < len(forest)).join(classes.select("class", "vec"), "class").select("tree", "leaf", "class", "vec").mapInArrow(deal, columns)
+    met = asked.mapInArrow(visit, columns).unionByName(stored)
+    met = met.repartition(min(tasks, total), "bundle").sortWithinPartitions("bundle", "kind", "leaf")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        asked_ids, asked_vectors, leaf_key = [], [], None
-
-        def keep(ids: np.ndarray, values: np.ndarray, scores: np.ndarray) -> None:
-            for q, v, s in zip(ids.tolist(), values, scores, strict=True):
-                if q in best:
-                    v, s = np.concatenate((best[q][0], v)), np.concatenate((best[q][1], s))
-                    v, first = np.unique(v, return_index=True)
-                    s = s[first]
-                order = np.lexsort((v, -s))[: k + 1]
-                best[q] = (v[order], s[order])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if best:
-                n = [len(v) for v, _ in best.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), n)), pa.array(np.concatenate([v for v, _ in best.values()])), pa.array(np.concatenate([s for _, s in best.values()]))], names=["query_id", "class", "score"])
-                best.clear()
-
+        best, now, held = Best(k + 1), None, []
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            kind, ids, points = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _matrix(batch.column(5))
-            edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1) | (np.diff(kind) != 0)) + 1
+            bundle, kind, leaf, ids = (batch.column(i).to_numpy() for i in range(4))
+            points = _matrix(batch.column(4))
+            edges = np.flatnonzero((np.diff(bundle) != 0) | (np.diff(kind) != 0)) + 1
             for start, stop in zip([0, *edges], [*edges, len(ids)], strict=True):
-                if leaf_key != (now := tuple(keys[start])):
-                    leaf_key, asked_ids, asked_vectors = now, [], []
+                if bundle[start] != now:
+                    now, held = bundle[start], []
                 if kind[start] == 0:
-                    asked_ids.append(ids[start:stop])
-                    asked_vectors.append(points[start:stop])
-                elif asked_ids:
-                    names, lefts = np.concatenate(asked_ids), np.concatenate(asked_vectors)
-                    own, rights = ids[start:stop], points[start:stop]
-                    for at in range(0, len(names), 1024):
-                        near = lefts[at : at + 1024] @ rights.T
-                        row, column = reaching(near, k + 1, slack(lefts[at : at + 1024], rights))
-                        # The same sum for a pair, whichever leaf it met in.
-                        exact = np.concatenate([np.einsum("nd,nd->n", lefts[at + row[i : i + 8192]], rights[column[i : i + 8192]]) for i in range(0, len(row), 8192)])
-                        ends = np.searchsorted(row, np.arange(1, len(near)))
-                        keep(names[at : at + 1024], np.split(own[column], ends), np.split(exact, ends))
-                    if len(best) > 50_000:
-                        yield from flush()
-        yield from flush()
+                    held.append((leaf[start:stop], ids[start:stop], points[start:stop]))
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(c) for c in zip(*held, strict=True))]
+                wanted = batch.column(5).slice(start, stop - start)
+                asking = np.repeat(np.arange(start, stop), wanted.value_lengths().to_numpy())
+                flat = wanted.flatten().to_numpy()
+                order = np.argsort(flat, kind="stable")
+                for one, row in zip(*_runs(flat[order], asking[order]), strict=True):
+                    low, high = np.searchsorted(held[0][0], [one, one + 1])
+                    if low < high and score_pairs(best, ids[row], points[row], held[0][1][low:high], held[0][2][low:high]):
+                        best.cut()
+                if len(best.queries) > HELD_QUERIES:
+                    yield from best.flush()
+        yield from best.flush()
 
     hits = met.mapInArrow(score, "query_id long, class long, score double").dropDuplicates(["query_id", "class"])
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
-    hits = hits.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
+    hits = hits.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
     members = hits.join(classes.select("class", "ids"), "class").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+_MET = ["bundle", "kind", "leaf", "id", "vec", "leaves"]
+
+
+def _gathered(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([_matrix(c) for c in column.chunks])
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each key of a sorted array with the values that stand at it."""
+    own, start = np.unique(keys, return_index=True)
+    return own, np.split(values, start[1:])

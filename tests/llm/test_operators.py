@@ -206,6 +206,54 @@ def test_neighbours_ties_go_to_smaller_ids(spark):
     assert {r["vec_id"] for r in got.collect()} >= {2, 3}
 
 
+def test_neighbours_search_follows_the_data(spark, monkeypatch):
+    """Vectors in clusters need few rows opened; the pilot finds how many, and recall holds against brute force."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(60, 16))[rng.integers(0, 60, 4000)] + 0.1 * rng.normal(size=(4000, 16))
+    asked = []
+    least = neighbours.least_search
+
+    def spied(*args):
+        asked.append(least(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(neighbours, "least_search", spied)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert asked[0][1] < 0.5 * len(points)
+    hits = 0
+    for q, found in got.items():
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        hits += len(found & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 200 and hits >= 0.9 * 20 * len(got)
+
+
+def test_neighbours_common_vector_and_clashing_columns(spark):
+    """A third of all rows hold one vector; extra columns carry the operator's own names; large leaves go in parts."""
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(900, 8))
+    points[::3] = points[0]
+    df = spark.createDataFrame([(i, x.tolist(), "a", 1, None) for i, x in enumerate(points)], "vec_id long, embedding array<double>, id string, vec int, mark double")
+    few = F.col("id").isin(0, 1, 60)
+    got = {}
+    for r in neighbours.nearest(df, few, share=50.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, found in got.items():
+        scores = np.round(points @ points[q], 9)
+        assert [v for _, v in sorted(found)] == sorted((i for i in range(900) if i != q), key=lambda i: (-scores[i], i))[:20]
+    assert set(got) == {0, 1, 60}
+    assert neighbours.nearest(df, F.lit(False)).count() == 0
+
+
+def test_bundles_hold_bounded_rows():
+    sizes = np.array([3, 4, 5, 0, 25, 1, 10, 2])
+    first, parts = neighbours.bundles(sizes, 10)
+    assert first.tolist() == [0, 0, 1, 1, 2, 5, 6, 7] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
+
+
 def test_mix_meets_targets(docs, texts, empty):
     rows, pieces = mixing.mix(docs)
     got = mixing.taken(rows, pieces).collect()
