@@ -163,41 +163,55 @@ def romano_wolf(draws: DataFrame, observed: DataFrame, label: str = "policy") ->
 def model_confidence_set(draws: DataFrame, observed: DataFrame, label: str = "policy") -> DataFrame:
     """Tmax elimination on losses (higher is worse); one row per model.
 
-    Errors are staged once as one row per draw and one column per model. A round
-    is two aggregations over that table; a few numbers per model reach the
-    driver, which decides the elimination. At most k-1 rounds.
+    A set's statistics are the models' distances from its mean loss, in bootstrap
+    standard errors of those distances. The errors are quadratic forms in the models'
+    second moments, so one aggregation settles the whole order in which models fall, and a second
+    counts for every set at once the draws whose largest statistic reaches the observed
+    one. A model's p-value is the largest share of any set up to its own fall. Models
+    that stand without any distance between them stay, all with p-value 1; a model
+    without spread among models at a distance raises.
     """
     loss = {r[label]: float(r["point"]) for r in observed.select(label, "point").collect()}
     names = sorted(loss)
-    column = {m: f"e{k}" for k, m in enumerate(names)}
-    errors = stage(draws.groupBy("draw").agg(*[
-        (F.max(F.when(F.col(label) == m, F.col("mean"))) - loss[m]).alias(c) for m, c in column.items()
-    ]))
-    active, adjusted, rank, highest = list(names), dict.fromkeys(names, 1.0), dict.fromkeys(names, 0), 0.0
-    for step in range(1, len(names)):
-        centre = sum((F.col(column[m]) for m in active), F.lit(0.0)) / len(active)
-        centred = {m: F.col(column[m]) - centre for m in active}
-        row = errors.agg(*[F.sqrt(F.avg(e * e)).alias(column[m]) for m, e in centred.items()]).first()
-        spread = {m: row[column[m]] for m in active}
-        grand = math.fsum(loss[m] for m in active) / len(active)
-        gap = {m: loss[m] - grand for m in active}
-        if all(abs(gap[m]) < 1e-13 and spread[m] < 1e-13 for m in active):
-            break
-        if any(spread[m] <= 1e-14 for m in active):
-            raise ValueError("zero-variance model in a confidence-set round")
-        t = {m: gap[m] / spread[m] for m in active}
-        worst = max(active, key=lambda m: t[m])
-        largest = F.greatest(*[e / spread[m] for m, e in centred.items()])
-        counted = errors.agg(F.count(F.lit(1)).alias("b"), count_if(largest >= t[worst]).alias("h")).first()
-        highest = max(highest, (1 + counted["h"]) / (1 + counted["b"]))
-        adjusted[worst], rank[worst] = highest, step
-        active.remove(worst)
-    rows = [(m, loss[m], rank[m], adjusted[m], adjusted[m] > 0.10, adjusted[m] > 0.05) for m in names]
+    point = np.array([loss[m] for m in names])
+    e = [F.col(f"e{i}") for i in range(len(names))]
+    errors = stage(draws.groupBy("draw").agg(*[(F.max(F.when(F.col(label) == m, F.col("mean"))) - loss[m]).alias(f"e{i}") for i, m in enumerate(names)]))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    second = np.zeros((len(names), len(names)))
+    for (i, j), value in zip(pairs, errors.agg(*[F.avg(e[i] * e[j]).alias(f"m{i}_{j}") for i, j in pairs]).first(), strict=True):
+        second[i, j] = second[j, i] = value or 0.0
+    falls = _falls(point, second)
+    reached = [count_if(F.greatest(*[sum((e[i] * float(w) for i, w in zip(members, row, strict=True)), F.lit(0.0)) for row in weights]) >= statistic).alias(f"h{step}") for step, (_, members, weights, statistic) in enumerate(falls)]
+    total, *hits = errors.agg(F.count(F.lit(1)), *reached).first()
+    p_values = np.maximum.accumulate([(1 + h) / (1 + total) for h in hits]).tolist()
+    fallen = {member: (step, p) for step, ((member, *_), p) in enumerate(zip(falls, p_values, strict=True), 1)}
+    rows = [(m, loss[m], *fallen.get(i, (0, 1.0))) for i, m in enumerate(names)]
     return draws.sparkSession.createDataFrame(
-        rows, f"{label} string, loss double, eliminated_at int, mcs_p double, retained_90 boolean, retained_95 boolean"
+        [(*row, row[-1] > 0.10, row[-1] > 0.05) for row in rows],
+        f"{label} string, loss double, eliminated_at int, mcs_p double, retained_90 boolean, retained_95 boolean",
     )
 
 
+def _falls(point: np.ndarray, second: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(model that falls, members of its set, weights of their errors in each member's statistic, observed statistic)."""
+    falls, members = [], np.arange(len(point))
+    while len(members) > 1:
+        apart = np.eye(len(members)) - 1 / len(members)
+        inside = second[np.ix_(members, members)]
+        variance = np.einsum("ij,jk,ik->i", apart, inside, apart)
+        distance = apart @ point[members]
+        still = variance <= 1e-24 + 1e-14 * np.diag(inside).max()
+        if still.any():
+            if still.all() and np.abs(distance).max() <= 1e-13 * max(1.0, np.abs(point).max()):
+                break
+            raise ValueError("zero-variance model in a confidence-set round")
+        weights = apart / np.sqrt(variance)[:, None]
+        statistics = distance / np.sqrt(variance)
+        falls.append((int(members[statistics.argmax()]), members, weights, float(statistics.max())))
+        members = np.delete(members, statistics.argmax())
+    return falls
+
+
 def mean_equality_test(draws: DataFrame, observed: DataFrame, assets: Sequence[str], n: int, asset: str = "region") -> DataFrame:
     """Joint test that the listed assets share one mean, from the bootstrap covariance.
 

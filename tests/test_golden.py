@@ -221,6 +221,17 @@ def test_confidence_set_worked_by_hand(spark):
     assert moved == got
 
 
+def test_confidence_set_of_models_alike(spark):
+    """Identical models all stay; after a third model has fallen the two alike stay too; a gap without spread raises."""
+    alike = worked(spark, {"a": 3, "b": 3}, {"a": ERRORS["p"], "b": ERRORS["p"]})
+    assert {(r["policy"], r["eliminated_at"], r["mcs_p"]) for r in I.model_confidence_set(*alike).collect()} == {("a", 0, 1.0), ("b", 0, 1.0)}
+    three = worked(spark, {"a": 0, "b": 0, "c": 9}, {"a": ERRORS["p"], "b": ERRORS["p"], "c": ERRORS["q"]})
+    got = {r["policy"]: (r["eliminated_at"], r["mcs_p"], r["retained_90"]) for r in I.model_confidence_set(*three).collect()}
+    assert got == {"a": (0, 1.0, True), "b": (0, 1.0, True), "c": (1, 0.2, True)}
+    with pytest.raises(ValueError, match="zero-variance"):
+        I.model_confidence_set(*worked(spark, {"a": 0, "b": 1}, {"a": ERRORS["p"], "b": ERRORS["p"]}))
+
+
 def test_zero_variance_comparison_fails(spark):
     draws = spark.createDataFrame([("a", k, 1.0) for k in range(5)], "policy string, draw int, mean double")
     observed = spark.createDataFrame([("a", 1.0)], "policy string, point double")
