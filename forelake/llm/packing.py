@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 
 WINDOW = 4096
 END_ID = 2
-#: Documents that one packing task gets on average; it keeps six numbers for each of their pieces.
-DOCS_PER_TASK = 100_000
+#: Most pieces that one packing task gets on average; it keeps six numbers for each.
+PIECES_PER_TASK = 200_000
 #: Distinct words whose ids a worker remembers.
 CACHED_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
-#: The splitting rule of the tokenizer's file, for texts in which every character is Latin-1.
+#: Normaliser and splitting rule of the tokenizer's file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: That rule for texts in which every character is Latin-1.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9\xb2\xb3\xb9\xbc-\xbea-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
 
@@ -28,12 +33,22 @@ _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
+def splits_by_rule(path: str) -> bool:
+    """Whether the tokenizer's file cuts texts by the rule above, so that the ids of its pieces can be remembered."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    cut_as_expected = made.get("normalizer") == _NORMALIZER and made.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    plain = not any(made.get(k) for k in ("post_processor", "truncation", "padding"))
+    return cut_as_expected and plain and all(t["content"].startswith("<|") for t in made.get("added_tokens") or [])
+
+
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer treats the pieces between white space and class changes
-    independently, so ids are remembered by piece. Texts with characters outside
-    Latin-1, control characters or special tokens go through the tokenizer whole.
+    A tokenizer with the rule above treats the pieces between white space and class
+    changes independently, so ids are remembered by piece. Texts with characters
+    outside Latin-1, control characters or special tokens, and all texts of other
+    tokenizers, go through the tokenizer whole.
     """
     import os
 
@@ -45,13 +60,14 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    by_rule = splits_by_rule(path)
     ids: dict[str, bytes] = {}
 
     def pack(encoding) -> bytes:
         return np.asarray(encoding.ids, dtype="<u4").tobytes()
 
     def encode(text: str) -> bytes:
-        if _OTHER.search(text):
+        if not by_rule or _OTHER.search(text):
             return pack(tokenizer.encode(text, add_special_tokens=False))
         pieces = _PIECES.findall(text.lower())
         try:
@@ -133,12 +149,13 @@ def cut(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Sequences of at most ``window`` tokens that hold every token of ``docs`` once.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. Overlong documents are first cut into full windows. The pieces, without
-    their text, are dealt out by document and start; each task places its pieces,
+    their text, are dealt out by document and start to as many tasks as their number needs (bounded by
+    documents and bytes, so long documents count as many pieces); each task places its pieces,
     longest first, into the tightest open window, found in a segment tree over
     remaining capacities. Tasks do not share windows, so each leaves at most a few
     partly filled ones. Equal lengths go by id, start and checksum, so a repeated
@@ -149,7 +166,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     doc_id and text are ignored.
     """
     pieces = cut(docs, tokenizer or public_tokenizers.path(TOKENIZER), window, end_id)
-    tasks = max(1, -(-docs.count() // docs_per_task))
+    # A token takes a byte at least, so this bounds the pieces: one for each document and one for each full window.
+    most, = docs.agg(F.count(F.lit(1)) + F.floor(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)) / window)).first()
+    tasks = max(1, -(-most // pieces_per_task))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(list(batches), schema=_PIECE)

@@ -70,6 +70,20 @@ def test_packing_holds_every_token_once(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_with_a_tokenizer_of_another_rule(spark, texts):
+    """A file with another splitting rule encodes whole texts; many pieces are dealt to many tasks."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.splits_by_rule(path) and packing.splits_by_rule(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer, end = Tokenizer.from_file(path), 7
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, "a long text, in many pieces " * 3000)]
+    want = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [end] for i, t in rows}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=path, window=64, end_id=end, pieces_per_task=400).collect()
+    assert len({r["sequence_id"] >> 40 for r in got}) > 2
+    assert Counter((r["doc_id"], r["start"]) for r in got) == Counter((i, s) for i, w in want.items() for s in range(0, len(w), 64))
+    for r in got:
+        assert zlib.crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+
+
 def test_best_fit_decreasing_takes_the_tightest_window():
     assert packing.best_fit_decreasing([7, 6, 4, 3, 3, 1], 10) == [(0, 0), (1, 0), (1, 6), (0, 7), (2, 0), (2, 3)]
     rng = random.Random(2)
@@ -389,6 +403,51 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def scan_oracle(rows, templates):
+    """(doc, license, matched, first shingle) by reading every window."""
+    def shingles(text):
+        w = [x.lower() for x in re.findall("[A-Za-z0-9]+", text or "")]
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    out = set()
+    for name, text in templates.items():
+        wanted = set(shingles(text))
+        half = 1 << (len(wanted) - 1).bit_length()
+        for doc, held in ((doc, shingles(body)) for doc, body in rows):
+            found = [(len(wanted & set(held[s : s + 2 * half])), -s) for s in range(0, len(held), half)]
+            if found and wanted and max(found)[0] >= 0.8 * len(wanted):
+                out.add((doc, name, max(found)[0], -max(found)[1]))
+    return out
+
+
+def test_license_templates_from_files(spark, tmp_path):
+    """Whole texts read as a table: ties between windows, repeated rows, very long texts, edits; a short template gives nothing."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    templates = {name: " ".join(rng.choice(words) for _ in range(n)) for name, n in (("Long-1.0", 1500), ("mid b", 130), ("six", 6), ("tiny", 4))}
+    for name, text in templates.items():
+        (tmp_path / (name + (".txt" if name != "six" else ""))).write_text(text)
+    noise = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    cut = lambda text, every: " ".join("edited" if i % every == 0 else w for i, w in enumerate(text.split(), 1))
+    rows = [
+        (1, noise(77) + " " + templates["Long-1.0"] + " " + noise(9)), (2, noise(40_000) + "\n" + templates["mid b"].upper() + "\n" + noise(30_000)),
+        (3, f"{templates['mid b']} {noise(600)} {templates['mid b']}"), (4, cut(templates["Long-1.0"], 30)), (5, cut(templates["Long-1.0"], 12)), (6, templates["six"]),
+        (6, templates["six"]), (7, templates["tiny"]), (8, None), (9, ""),
+    ]
+    table = licenses.read_templates(spark, str(tmp_path))
+    extra = table.withColumn("n", F.lit(1)).unionByName(spark.createDataFrame([(None, "a b c d e f", 1), ("none", None, 1)], "license string, text string, n int"))
+    docs = spark.createDataFrame([(*r, "x", 2, "y") for r in rows], "doc_id long, text string, license string, n int, h string")
+    got = licenses.scan(docs, extra).collect()
+    assert {(r["doc_id"], r["license"], r["matched"], r["first_shingle"]) for r in got} == scan_oracle(rows, templates) and len(got) == 5
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 6}
+
+
+def test_license_texts_find_themselves(spark):
+    rows = list(licenses.TEMPLATES.items())
+    got = licenses.scan(spark.createDataFrame([(i, f"Copyright held by us. {text} End of it.") for i, (_, text) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {(rows[r["doc_id"]][0], r["license"], r["matched"]) for r in got} == {(rows[d][0], name, m) for d, name, m, _ in scan_oracle([(i, t) for i, (_, t) in enumerate(rows)], licenses.TEMPLATES)}
+
+
 def repeats_oracle(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
