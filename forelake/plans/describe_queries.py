@@ -138,10 +138,10 @@ def portfolio_variance(v: Views):
 WITH m AS (SELECT policy, region, avg(x) AS mu, var_pop(x) AS v, count(*) AS n FROM panel GROUP BY 1, 2),
 s AS (SELECT policy, CAST(sum(n) AS BIGINT) AS n, sum(n * v) / sum(n) AS "within", var_pop(mu) AS between_, avg(mu) AS grand_mean FROM m GROUP BY 1),
 t AS (SELECT policy, var_pop(x) AS total FROM panel GROUP BY 1)
-SELECT policy, n, {r('"within"', '"within"', 1)}, {r('between_', '"between"', 1)}, {r('grand_mean', 'grand_mean', 1)}, {r('total', 'total', 1)}, {r('between_ / total', 'between_share', 1)},
-  {r('"within" / total', 'within_share', 1)}, {r('0', 'residual', 1)} FROM s JOIN t USING (policy)""", "panel")
+SELECT policy, n, {r('"within"', '"within"', 1)}, {r('between_', '"between"', 1)}, {r('grand_mean', 'grand_mean', 1)}, {r('total', 'total', 1)}, {r('between_ / total', 'between_share', 8)},
+  {r('"within" / total', 'within_share', 8)}, {r('total - between_ - "within"', 'residual', 3)} FROM s JOIN t USING (policy)""", "panel")
 def variance_decomposition(v: Views):
-    return shown(D.variance_decomposition(v.staged_panel, ["policy"]), 1)
+    return shown(D.variance_decomposition(v.staged_panel, ["policy"]), 1, between_share=8, within_share=8, residual=3)
 
 
 @query("daily_descriptives", f"""

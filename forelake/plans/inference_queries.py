@@ -214,7 +214,23 @@ def model_confidence_set(v: Views):
     return shown(I.model_confidence_set(*boot(v, loss, ["policy"])), 3)
 
 
-@query("mean_equality_test")
+def _equality_sql() -> str:
+    """The quadratic form without an inverse: contrasts made uncorrelated one after the other, squared over their variances."""
+    last, k = REGIONS[-1], len(REGIONS) - 1
+    against = lambda x: ", ".join(f"sqrt({N}) * (max({x}) FILTER (WHERE region = '{a}') - max({x}) FILTER (WHERE region = '{last}')) AS v{i}" for i, a in enumerate(REGIONS[:-1]))
+    # Draw -1 is the observed contrast.
+    parts = [f"""{REGIONAL}, u0 AS (SELECT *, v0 AS u0 FROM (SELECT draw, {against('e')} FROM e GROUP BY 1 UNION ALL SELECT -1, {against('point')} FROM ob))"""]
+    for i in range(1, k):
+        rest = " ".join(f"- u{j} * (SELECT covar_samp(v{i}, u{j}) / var_samp(u{j}) FROM u{i - 1} WHERE draw >= 0)" for j in range(i))
+        parts.append(f"u{i} AS (SELECT *, v{i} {rest} AS u{i} FROM u{i - 1})")
+    form = " + ".join(f"u{i} * u{i} / (SELECT var_samp(u{i}) FROM u{k - 1} WHERE draw >= 0)" for i in range(k))
+    return f"""WITH {', '.join(parts)}, q AS (SELECT draw, {form} AS q FROM u{k - 1}),
+t AS (SELECT max(q) FILTER (WHERE draw < 0) AS statistic FROM q),
+c AS (SELECT statistic, count(*) AS draws, count(*) FILTER (WHERE q >= statistic) AS exceedances FROM q, t WHERE draw >= 0 GROUP BY 1)
+SELECT {r('statistic')}, draws, exceedances, {r('(exceedances + 1) / (draws + 1)', 'p_value')} FROM c"""
+
+
+@query("mean_equality_test", _equality_sql(), "panel")
 def mean_equality_test(v: Views):
     """Do the five regions share one mean increment."""
     return shown(I.mean_equality_test(*boot(v, regional(v), ["region"]), REGIONS, v.weeks))

@@ -56,15 +56,23 @@ def ridge_grid(v: Views):
     return shown(_table(v.spark, M.fit_ridge_grid(train, ["price"], "actual"), "lam"), 6)
 
 
-@query("score_models", f"""
+# Caps with their first days and a floor, tight enough to bind.
+CAPS, FLOOR = (("2023-01-01", 40.0), ("2024-01-22", 60.0)), 25.0
+
+
+def _scores_sql(bound) -> str:
+    fitted = {"raw": "price", "bias": "price + bias", "ridge": "price + bias + w * (price - m) / s"}
+    errors = " UNION ALL ".join(f"SELECT '{name}' AS policy, step, {bound(price)} - actual AS e FROM e" for name, price in fitted.items())
+    return f"""
 WITH raw AS (SELECT * FROM curve_cells WHERE policy = 'raw'), tr AS (SELECT * FROM raw WHERE origin < TIMESTAMP '{SPLIT}'),
 f AS (SELECT step, avg(actual - price) AS bias, count(*) * covar_pop(price, actual - price) / stddev_pop(price) / (count(*) + 50) AS w, avg(price) AS m, stddev_pop(price) AS s FROM tr GROUP BY 1),
 e AS (SELECT raw.*, bias, w, m, s FROM raw JOIN f USING (step) WHERE origin >= TIMESTAMP '{SPLIT}'),
-a AS (SELECT 'raw' AS policy, step, price - actual AS e FROM e UNION ALL SELECT 'bias', step, price + bias - actual FROM e UNION ALL SELECT 'ridge', step, price + bias + w * (price - m) / s - actual FROM e)
+a AS ({errors})
 SELECT policy, count(*) AS cells, count(*) AS available, {r('avg(abs(e))', 'mae')}, {r('sqrt(avg(e * e))', 'rmse')}, {r('avg(e)', 'bias')}, {r('avg(abs(e)) FILTER (WHERE step = 0)', 'first_mae')},
-  {r('avg(abs(e)) FILTER (WHERE step >= 8)', 'tail_mae')} FROM a GROUP BY 1""", "curve_cells")
-def score_models(v: Views):
-    """Held-out accuracy of the raw curve, the step bias and the step ridge as policies."""
+  {r('avg(abs(e)) FILTER (WHERE step >= 8)', 'tail_mae')} FROM a GROUP BY 1"""
+
+
+def _scores(v: Views, **bounds):
     train, test = halves(cells(v))
     fits = M.fit_ridge_steps(train, ["price"], 50.0)
     ridge = F.lit(None).cast("double")
@@ -72,18 +80,37 @@ def score_models(v: Views):
         m, s = scale["price"]
         fitted = F.col("price") + float(model.intercept) + float(model.coefficients[0]) * (F.col("price") - m) / s
         ridge = F.when(F.col("step") == j, fitted).otherwise(ridge)
-    scored = M.score_models(test, {"bias": M.apply_bias(test, M.fit_bias(train)), "ridge": test.withColumn("price", ridge)})
+    scored = M.score_models(test, {"bias": M.apply_bias(test, M.fit_bias(train)), "ridge": test.withColumn("price", ridge)}, **bounds)
     return shown(D.forecast_metrics(scored))
 
 
-@query("ridge_gradient")
+@query("score_models", _scores_sql(lambda price: price), "curve_cells")
+def score_models(v: Views):
+    """Held-out accuracy of the raw curve, the step bias and the step ridge as policies."""
+    return _scores(v)
+
+
+@query("score_models_bounded", _scores_sql(
+    lambda price: f"greatest({FLOOR}::DOUBLE, least({price}, CASE WHEN origin < TIMESTAMP '{CAPS[1][0]}' THEN {CAPS[0][1]}::DOUBLE ELSE {CAPS[1][1]} END))"
+), "curve_cells")
+def score_models_bounded(v: Views):
+    """The same policies with every price held between a floor and the cap of its day."""
+    return _scores(v, delivery="origin", schedule=CAPS, floor=FLOOR, single_precision=False)
+
+
+@query("ridge_gradient", f"""
+WITH c AS (SELECT a.price AS x, b.price AS o, a.actual - a.price AS y FROM curve_cells a JOIN curve_cells b USING (region, origin, step)
+  WHERE a.policy = 'raw' AND b.policy = 'sparse_equal' AND origin < TIMESTAMP '{SPLIT}'),
+t AS (SELECT count(*) + 50 AS d, count(*) * corr(x, o) AS xo, count(*) * covar_pop(x, y) / stddev_pop(x) AS xy, count(*) * covar_pop(o, y) / stddev_pop(o) AS oy, avg(y) AS intercept FROM c)
+SELECT {r('(xy * d - oy * xo) / (d * d - xo * xo)', 'weight')}, {r('(oy * d - xy * xo) / (d * d - xo * xo)', 'other_weight')}, {r('intercept')}, true AS stationary FROM t""", "curve_cells")
 def ridge_gradient(v: Views):
-    """Stationarity of a two-feature ridge on all training cells; the violation is zero up to rounding."""
+    """A ridge on two features over all training cells, and whether its gradient vanishes up to rounding; the SQL solves the two equations."""
     train, _ = halves(cells(v))
     y = train.withColumn("_y", F.col("actual") - F.col("price"))
     model, scale = M.fit_ridge(y, ["price", "other"], "_y", 50.0)
     worst = M.ridge_gradient(y, model, scale, ["price", "other"], "_y", 50.0)
-    return v.spark.createDataFrame([("stationarity", worst < 1e-4)], "name string, pass boolean")
+    rows = [(float(model.coefficients[0]), float(model.coefficients[1]), float(model.intercept), worst < 1e-4)]
+    return shown(v.spark.createDataFrame(rows, "weight double, other_weight double, intercept double, stationary boolean"))
 
 
 @query("boosted_residuals")

@@ -33,10 +33,10 @@ def query(name: str, sql: str | None = None, views: str = ""):
     return register
 
 
-def shown(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every floating column of a final result for comparison."""
+def shown(df: DataFrame, digits: int = 4, **own: int) -> DataFrame:
+    """Round every floating column of a final result for comparison; ``own`` gives a column's own digits."""
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[rounded(c, digits).alias(c) if c in floats else F.col(c) for c in df.columns])
+    return df.select(*[rounded(c, own.get(c, digits)).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
 def r(expression: str, name: str | None = None, digits: int = 4) -> str:

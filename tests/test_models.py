@@ -207,3 +207,18 @@ def test_sampled_rows_are_those_of_smallest_hash(spark):
     got = [r["id"] for r in M.sample_rows(df, 700, 3, "id", ["t"]).collect()]
     assert got == sorted(want, reverse=True)
     assert M.sample_rows(df, 30_000, 3, "id", ["t"]).count() == 20_000 and M.sample_rows(df.limit(0), 5, 3, "id", ["t"]).count() == 0
+
+
+def test_bounded_scores_hold_prices_between_floor_and_cap(spark):
+    """The cap of the delivery day binds from its first instant; an unbounded policy keeps its price."""
+    from datetime import datetime
+
+    cells = spark.createDataFrame(
+        [(datetime(2024, 1, 1), "raw", 90.0), (datetime(2024, 2, 1), "raw", 90.0), (datetime(2024, 2, 1), "raw", -5.0), (datetime(2024, 2, 1), "raw", 30.0)],
+        "origin timestamp_ntz, policy string, price double",
+    )
+    bounds = {"delivery": "origin", "schedule": (("2023-01-01", 40.0), ("2024-02-01", 60.0)), "floor": 0.0, "single_precision": False}
+    got = M.score_models(cells, {"dear": cells.withColumn("price", F.col("price") * 2)}, **bounds)
+    held = lambda name: sorted(r["price"] for r in got.filter(F.col("policy") == name).collect())
+    assert held("raw") == [0.0, 30.0, 40.0, 60.0] and held("dear") == [0.0, 40.0, 60.0, 60.0]
+    assert sorted(r["price"] for r in M.score_models(cells, {}).collect()) == [-5.0, 30.0, 90.0, 90.0]
