@@ -110,6 +110,8 @@ def session_events(triggers: DataFrame, gap: str = "4 hours", keys: Sequence[str
 
 
 REVISION_ROWS = "region string, target timestamp, as_of timestamp, seq long, abs_revision double, revision_sd double"
+#: Versions of a target whose windows are laid out together.
+REVISIONS_AT_ONCE = 65_536
 
 
 def rolling_revisions(v: DataFrame, width: int = 6, watermark: str = "10 minutes") -> DataFrame:
@@ -117,7 +119,8 @@ def rolling_revisions(v: DataFrame, width: int = 6, watermark: str = "10 minutes
 
     Versions (region, target, as_of, seq, forecast) wait until the watermark passes their stamp, so that
     none can come before them any more; then they leave in order, and the target
-    keeps a ring of its last revisions and its last price. A replay inside the watermark is dropped by
+    keeps its last revisions and its last price. Versions wait in blocks of many rows, one
+    state call each. A replay inside the watermark is dropped by
     its key, an older one is a late row. The state of a target ends when the target
     passes. Needs a state store with timers (``RocksDBStateStoreProvider``).
     """
@@ -125,56 +128,73 @@ def rolling_revisions(v: DataFrame, width: int = 6, watermark: str = "10 minutes
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    version = np.dtype([("us", np.int64), ("seq", np.int64), ("forecast", np.float64)])
+
+    def rolled(revisions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the absolute values, and sample deviation, of every window of revisions; NaN stands for none."""
+        window = np.lib.stride_tricks.sliding_window_view(revisions, width)
+        there = ~np.isnan(window)
+        n, value = there.sum(axis=1), np.where(there, window, 0.0)
+        mean = value.sum(axis=1) / np.maximum(n, 1)
+        square = np.where(there, window - mean[:, None], 0.0) ** 2
+        total = np.where(n > 0, np.abs(value).sum(axis=1), np.nan)
+        return total, np.where(n > 1, np.sqrt(square.sum(axis=1) / np.maximum(n - 1, 1)), np.nan)
+
     class Revisions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.waiting = handle.getListState("waiting", "us long, seq long, forecast double")
-            self.ring = handle.getListState("ring", "d double")
-            self.last = handle.getValueState("last", "forecast double")
+            self.waiting = handle.getListState("waiting", "versions binary")
+            self.first = handle.getValueState("first", "us long")
+            self.last = handle.getValueState("last", "revisions binary, forecast double")
 
         def handleInputRows(self, key, rows, timerValues):
+            first = self.first.get()[0] if self.first.exists() else None
             for batch in rows:
-                for row in zip(batch["us"].tolist(), batch["seq"].tolist(), batch["forecast"].tolist()):
-                    self.waiting.appendValue(row)
-            self._wait(key, timerValues)
+                block = np.empty(len(batch), version)
+                for name in version.names:
+                    block[name] = batch[name]
+                if len(block):
+                    self.waiting.appendValue((block.tobytes(),))
+                    first = int(block["us"].min() if first is None else min(first, block["us"].min()))
+            self._wait(key, timerValues, first)
             return iter([])
 
-        def _wait(self, key, timerValues) -> None:
+        def _wait(self, key, timerValues, first: int | None) -> None:
             """A timer at the first version that waits, or at the target if none does."""
-            first = min((w[0] for w in self.waiting.get()), default=None)
             now = timerValues.getCurrentWatermarkInMs()
             end = pd.Timestamp(key[1]).value // 1_000_000
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            if first is None and now >= end:
-                self.ring.clear()
-                self.last.clear()
-                return
+            if first is None:
+                self.first.clear()
+                if now >= end:
+                    self.last.clear()
+                    return
+            else:
+                self.first.update((first,))
             self.handle.registerTimer(int(max(now + 1, end if first is None else -(-first // 1000))))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             limit = timerValues.getCurrentWatermarkInMs() * 1000
-            rows = sorted(self.waiting.get())
-            final = [r for r in rows if r[0] <= limit]
-            held, ring = [r for r in rows if r[0] > limit], [r[0] for r in self.ring.get()]
-            last = self.last.get()[0] if self.last.exists() else None
-            out = []
-            for us, seq, forecast in final:
-                # The first version has no revision; it takes a place in the window all the same.
-                ring = [*ring, None if last is None else forecast - last][-width:]
-                last = forecast
-                known = np.array([d for d in ring if d is not None])
-                out.append((us, seq, float(np.abs(known).sum()) if len(known) else None, float(known.std(ddof=1)) if len(known) > 1 else None))
-            if final:
+            blocks = [np.frombuffer(w[0], version) for w in self.waiting.get()] if self.first.exists() else []
+            rows = np.concatenate([np.empty(0, version), *blocks])
+            rows = rows[np.lexsort((rows["seq"], rows["us"]))]
+            cut = int(np.searchsorted(rows["us"], limit, "right"))
+            final, held = rows[:cut], rows[cut:]
+            if cut:
                 self.waiting.clear()
-                if held:
-                    self.waiting.put(held)
-                self.ring.put([(d,) for d in ring])
-                self.last.update((last,))
-            self._wait(key, timerValues)
-            if out:
-                us, seq, total, sd = zip(*out)
-                yield pd.DataFrame({"region": key[0], "target": pd.Timestamp(key[1]), "as_of": pd.to_datetime(list(us), unit="us"), "seq": list(seq), "abs_revision": list(total), "revision_sd": list(sd)})
+                if len(held):
+                    self.waiting.appendValue((held.tobytes(),))
+                ring, price = self.last.get() if self.last.exists() else (b"", np.nan)
+                # The first version has no revision; it takes a place in the window all the same.
+                revisions = np.concatenate((np.full(width, np.nan), np.frombuffer(ring), np.diff(final["forecast"], prepend=np.nan if price is None else price)))
+                self.last.update((revisions[-width:].tobytes(), float(final["forecast"][-1])))
+            self._wait(key, timerValues, int(held["us"][0]) if len(held) else None)
+            for at in range(0, cut, REVISIONS_AT_ONCE):
+                some = final[at : at + REVISIONS_AT_ONCE]
+                until = len(revisions) - cut + at + len(some)
+                total, sd = rolled(revisions[until - len(some) - width + 1 : until])
+                yield pd.DataFrame({"region": key[0], "target": pd.Timestamp(key[1]), "as_of": pd.to_datetime(some["us"], unit="us"), "seq": some["seq"], "abs_revision": total, "revision_sd": sd})
 
         def close(self) -> None:
             pass
