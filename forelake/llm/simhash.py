@@ -17,8 +17,10 @@ from forelake.llm.common import LAST_ID, connected, doc_key, stage
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
-#: Bands of minima, and minima of a band, that make texts candidates of an exact comparison; rounds of a band's first text.
-BANDS, BAND_ROWS, ROUNDS = 16, 5, 3
+#: Bands of minima, and minima of a band, that make texts candidates of an exact comparison.
+BANDS, BAND_ROWS = 16, 5
+#: Texts of a band key that are all paired; rounds of a larger key's first text before its rest is paired by shared shingles.
+PAIRED, ROUNDS = 16, 2
 #: Fingerprints of one index leaf group, and the fan-out of the nodes above.
 CHUNK, FAN = 2048, 16
 
@@ -307,67 +309,103 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
-            prints = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            bands = [band_keys(h).view(np.int64).tolist() if len(h) else [] for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(bands, pa.list_(pa.int64()))], names=["sig", "fp", "bands"])
+            prints, bands = [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), words)
+                prints.append(majority(hashes))
+                bands.append(band_keys(hashes).view(np.int64) if len(hashes) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["sig", "fp", "bands"])
 
     return texts.mapInArrow(run, "sig long, fp long, bands array<long>")
 
 
-def resembling(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``pairs`` (a, b, ...) of texts whose sets of shingles have a Jaccard similarity of ``least`` or more."""
-    columns = list(pairs.columns)
-    asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    # Few texts are candidates, so only theirs are shuffled while the list is small enough to broadcast; copies are combined before.
-    texts = join_small(texts, asked, ["sig"], "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(sig, shingles): the distinct shingle hashes of every text (sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column(len(columns)), batch.column(len(columns) + 1), strict=True):
-                x, y = (np.unique(shingle_hashes(t.as_py(), words)) for t in (one, other))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
+            for at in range(0, batch.num_rows, 256):  # whole batches of hashes would weigh as much as the texts once more
+                some = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "shingles"])
+
+    return texts.mapInArrow(run, "sig long, shingles array<long>")
+
+
+def resembling(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b) of texts whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+    left = pairs.distinct().join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("one")), "a")
+    both = left.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("other")), "b")
+    shared = both.withColumn("shared", F.size(F.array_intersect("one", "other")))
+    return shared.where(F.col("shared") >= least * (F.size("one") + F.size("other") - F.col("shared")) - 1e-9).select("a", "b")
 
-    kinds = dict(pairs.dtypes)
-    left = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("one")), "a")
-    both = left.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("other")), "b")
-    return both.select(*columns, "one", "other").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+def sharing(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of texts (sig, component) of different components that can reach ``least``.
+
+    A text's shingles are put in one order for all texts, rare ones first. Two sets of that
+    similarity share one of the first n - ceil(least * n) + 1 of both, so only texts that do are
+    paired. Members of one component are never paired, however many share a shingle.
+    """
+    texts = rows.select("sig", "component").distinct()
+    held = stage(texts.join(sets, "sig").select("sig", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"), (F.min("component") != F.max("component")).alias("several"))
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("often", "shingle"))
+    first = held.join(often, "shingle").withColumn("place", place)
+    first = stage(first.where(F.col("several") & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6) + 1)).select("shingle", "component", "sig", "n"))
+    lanes = first.select("shingle", "component").distinct()
+    facing = lanes.select("shingle", F.col("component").alias("c1")).join(lanes.select("shingle", F.col("component").alias("c2")), "shingle").where("c1 < c2")
+    one, two = (first.select("shingle", F.col("component").alias(f"c{i}"), F.col("sig").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    met = facing.join(one, ["shingle", "c1"]).join(two, ["shingle", "c2"]).where(F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-6)
+    return met.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
 
 
 def resemblance_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """(a, b) of components whose texts resemble each other by ``least`` or more.
 
     classes: sig, bands, component; texts: sig, text, copies as they come. Texts of different components that share a band key are
-    candidates. Of each key the first text is compared with all others, exactly; then the first that
-    is like none so far, with all but the firsts before it. So a round costs as many pairs as it has
-    texts and no group is paired with itself. After ``ROUNDS`` rounds the texts of a key that are like none
-    are compared in a row, each with the one before.
+    candidates, every text of a component by itself. Keys of up to ``PAIRED`` texts pair all of them. In a larger one the first text
+    meets all others, then the first of what is not connected with it, for ``ROUNDS`` rounds; that
+    connects large groups of near copies at the cost of as many pairs as texts. What is still of
+    different components then meets through ``sharing``, which loses no pair. All pairs are compared exactly.
     """
-    rows = classes.select("component", "sig", F.explode("bands").alias("key"))
-    # One text of a component per key; combined before the shuffle.
-    left = stage(rows.groupBy("key", "component").agg(F.min("sig").alias("sig")).withColumn("linked", F.lit(False)))
-    links = None
+    rows = classes.select("sig", "component", F.explode("bands").alias("key"))
+    span = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", "n")
+    rows = stage(join_small(rows, span, ["key"]))
+    # Few texts are candidates, so only theirs are shuffled while the list is small enough to broadcast; copies are combined before.
+    own = join_small(texts, rows.select("sig").distinct(), ["sig"], "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
+    sets = stage(shingle_sets(own, words))
+    few = rows.where(F.col("n") <= PAIRED)
+    one, two = (few.select("key", F.col("sig").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    links = stage(resembling(one.join(two, "key").where("a < b and ca != cb").select("a", "b"), sets, least))
+    known = classes.select("sig", "component")
+
+    def between(links: DataFrame) -> DataFrame:
+        found = links.join(known.withColumnsRenamed({"sig": "a", "component": "one"}), "a").join(known.withColumnsRenamed({"sig": "b", "component": "other"}), "b")
+        return found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).where("a != b").distinct()
+
+    many = rows.where(F.col("n") > PAIRED).select("key", "sig", F.col("component").alias("origin")).withColumn("met", F.lit(False))
     for number in range(ROUNDS + 1):
-        if number < ROUNDS:
-            heads = left.groupBy("key").agg(F.min(F.when(~F.col("linked"), F.col("sig"))).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null").drop("n")
-            members = stage(left.join(heads, "key").where("sig != b").select("key", "component", F.col("sig").alias("a"), "b", "linked"))
-        else:
-            before = F.lag("sig").over(Window.partitionBy("key").orderBy("sig"))
-            members = stage(left.where("not linked").withColumn("b", before).where("b is not null").select("key", "component", F.col("sig").alias("a"), "b", "linked"))
-        if members.isEmpty():
+        # Components as all links so far leave them; keys within one component are settled.
+        roots = connected(between(links), "a", "b").select(F.col("node").alias("origin"), "root") if not links.isEmpty() else None
+        many = (many.join(roots, "origin", "left") if roots is not None else many.withColumn("root", F.lit(None).cast("long"))).withColumn("component", F.coalesce("root", "origin")).drop("root")
+        if number:
+            tops = many.where("sig = head").select("key", F.col("component").alias("top"))
+            many = many.join(tops, "key", "left").withColumn("met", F.col("met") | F.coalesce(F.col("component") == F.col("top"), F.lit(False))).drop("head", "top")
+        open_keys = many.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        many = stage(many.join(open_keys, "key"))
+        if many.isEmpty():
             break
-        alike = stage(resembling(members.select("a", "b").distinct(), texts, words, least))
-        links = alike if links is None else links.unionByName(alike)
-        now = members.join(alike.distinct().withColumn("same", F.lit(True)), ["a", "b"], "left")
-        left = stage(now.select("key", "component", F.col("a").alias("sig"), (F.col("linked") | F.col("same").isNotNull()).alias("linked")))
-    if links is None:
-        return classes.select(F.col("component").alias("a"), F.col("component").alias("b")).limit(0)
-    known = classes.select("sig", "component")
-    found = links.distinct().join(known.withColumnsRenamed({"sig": "a", "component": "one"}), "a").join(known.withColumnsRenamed({"sig": "b", "component": "other"}), "b")
-    return found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).where("a != b").distinct()
+        unmet = many.where("not met")
+        if number == ROUNDS or unmet.isEmpty():
+            links = links.unionByName(stage(resembling(sharing(many, sets, least), sets, least)))
+            break
+        heads = unmet.groupBy("key").agg(F.min(F.struct("sig", "component")).alias("h")).select("key", F.col("h.sig").alias("head"), F.col("h.component").alias("top"))
+        many = many.join(heads, "key", "left")
+        star = many.where("component != top").select(F.least("sig", "head").alias("a"), F.greatest("sig", "head").alias("b"))
+        links = links.unionByName(stage(resembling(star, sets, least)))
+        many = many.drop("component", "top")
+    return between(links)
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:

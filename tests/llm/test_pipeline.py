@@ -93,6 +93,46 @@ def test_groups_of_one_band_end_after_the_rounds(spark):
     assert {(0, 10), (0, 20), (1, 11), (1, 21), (2, 12), (2, 22)} <= found and all((b - a) % 10 == 0 for a, b in found)
 
 
+def test_no_link_of_a_mixed_band_is_lost(spark):
+    """One key holds 60 unlike texts and a copy of each with a word changed; a component's second text alone is like another's."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(60):
+        words = [f"v{rng.randint(0, 300)}" for _ in range(120)]
+        pairs.append((" ".join(words), " ".join([*words[:60], "x", *words[61:]])))
+    # All firsts come before all seconds, so that neighbours in a row are never alike.
+    rows = [(i, p[0]) for i, p in enumerate(pairs)] + [(100 + i, p[1]) for i, p in enumerate(pairs)]
+    texts = spark.createDataFrame(rows, "sig long, text string")
+    classes = spark.createDataFrame([(i, [7], i) for i, _ in rows], "sig long, bands array<long>, component long")
+    found = simhash.resemblance_links(classes, texts, 5, 0.8)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(i, 100 + i) for i in range(60)}
+    three = [(1, pairs[0][0]), (2, pairs[1][0]), (3, pairs[1][1])]
+    classes = spark.createDataFrame([(1, [7], 1), (2, [7], 1), (3, [7], 3)], "sig long, bands array<long>, component long")
+    found = simhash.resemblance_links(classes, spark.createDataFrame(three, "sig long, text string"), 5, 0.8)
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(1, 3)]
+
+
+def test_pairs_by_shared_shingles_are_all(spark):
+    """Chains of texts that drift apart, with shared passages: every pair of 0.8 or more is met, none within a component."""
+    rng = random.Random(7)
+    common, sets = list(range(40)), []
+    for i in range(12):
+        base = [*common, *(1000 * (i + 1) + k for k in range(rng.randint(40, 160)))]
+        for step in range(6):
+            for k in rng.sample(range(len(base)), 4):
+                base[k] = 10**6 + rng.randint(0, 10**6)
+            sets.append(sorted(set(base)))
+    frame = spark.createDataFrame(list(enumerate(sets)), "sig long, shingles array<long>")
+    rows = spark.createDataFrame([(i, i if i % 3 else 0) for i in range(len(sets))], "sig long, component long")
+    found = {(r["a"], r["b"]) for r in simhash.resembling(simhash.sharing(rows, frame, 0.8), frame, 0.8).collect()}
+    want = set()
+    for j, y in enumerate(map(set, sets)):
+        for i, x in enumerate(map(set, sets[:j])):
+            if (i % 3 or j % 3) and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                want.add((i, j))
+    assert found == want and len(want) > 50
+
+
 def test_training_sample_is_the_first_documents_by_checksum(spark):
     import hashlib
 
