@@ -27,6 +27,8 @@ FORESTS = (2, 4, 8, 16)
 BUNDLE_ROWS = 20_000
 #: Parts in which the ids of one vector are first cut to the smallest.
 ID_PARTS = 32
+#: Share of the opened rows that a query meets in one tree beforehand, to learn a score that its neighbours must reach.
+FIRST_SHARE = 0.125
 #: Hits that a task gathers before it cuts them to the best of each query, and queries whose best it holds.
 GATHERED, HELD_QUERIES = 400_000, 50_000
 
@@ -188,7 +190,8 @@ class Best:
 
     def add(self, queries: np.ndarray, classes: np.ndarray, scores: np.ndarray) -> bool:
         """True once enough hits are gathered for a cut."""
-        self.hits.append((queries, classes, scores))
+        if len(queries):
+            self.hits.append((queries, classes, scores))
         self.size += len(queries)
         return self.size > GATHERED
 
@@ -221,12 +224,15 @@ class Best:
         self.__init__(self.most)
 
 
-def score_pairs(best: Best, ids: np.ndarray, lefts: np.ndarray, own: np.ndarray, rights: np.ndarray) -> bool:
-    """Gather each query's best among ``rights``; True once enough hits are gathered."""
+def score_pairs(best: Best, ids: np.ndarray, lefts: np.ndarray, floors: np.ndarray, own: np.ndarray, rights: np.ndarray) -> bool:
+    """Gather each query's best among ``rights``; True once enough hits are gathered.
+
+    ``floors``: a score that ``best.most`` classes of the query are known to reach, or minus infinity.
+    """
     full = False
     for at in range(0, len(ids), 1024):
         block, names = lefts[at : at + 1024], ids[at : at + 1024]
-        row, column = reaching(block @ rights.T, best.most, slack(block, rights), best.known(names))
+        row, column = reaching(block @ rights.T, best.most, slack(block, rights), np.maximum(best.known(names), floors[at : at + 1024]))
         # The same sum for a pair, whichever leaf it met in.
         exact = [np.einsum("nd,nd->n", block[row[i : i + 8192]], rights[column[i : i + 8192]]) for i in range(0, len(row), 8192)]
         full = best.add(names[row], own[column], np.concatenate(exact or [np.empty(0)]))
@@ -284,7 +290,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
     or, if none is given, what brings ``recall`` to the true neighbours of ``PILOT``
     queries, with as many trees as need the fewest rows. Neighbouring leaves
     lie in bundles of bounded size; a bundle's rows are held while the queries that
-    open leaves of it pass, each once. Candidates are scored in double precision;
+    open leaves of it pass, each once. Before that a query meets a few leaves of the first tree; the
+    score of its last of k + 1 classes there is a floor, and hits below it never leave a task. Candidates are scored in double precision;
     each task keeps the best k + 1 classes of a query. Ties go to smaller ids.
 
     Vectors that are null, zero or hold null or non-finite components take no part,
@@ -329,6 +336,30 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
     else:
         budget = share * count
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
+        return hits.dropDuplicates(["query_id", "class"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+
+    placed = index.join(classes.select("class", "vec"), "class").select("tree", "leaf", "class", "vec")
+    # A few leaves of the first tree give every query k + 1 classes; no class below the last of them can rank.
+    few = max(2.0 * (k + 1), FIRST_SHARE * budget)
+    first = stage(ranked(_hits(asked.withColumn("floor", F.lit(float("-inf"))), placed.where("tree = 0"), forest[:1], sizes[:1], few, tasks, leaf, k)))
+    floors = first.where(F.col("n") == k + 1).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    bounded = asked.join(floors, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    hits = _hits(bounded, placed.where(F.col("tree") < len(forest)), forest, sizes, budget, tasks, leaf, k)
+    hits = ranked(hits.unionByName(first.drop("n"))).drop("n")
+    members = hits.join(classes.select("class", "ids"), "class").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _hits(asked: DataFrame, placed: DataFrame, forest: list[Tree], sizes: list[np.ndarray], budget: float, tasks: int, leaf: int, k: int) -> DataFrame:
+    """(query_id, class, score): of each query (id, vec, floor) the best k + 1 classes per task among the leaves it opens, none below ``floor``.
+
+    placed: tree, leaf, class, vec.
+    """
+    count = int(sizes[0].sum())
     most = min(BUNDLE_ROWS, max(leaf, -(-count * len(forest) // tasks)))
     first, parts, total = [], [], 0
     for held in sizes:
@@ -351,25 +382,25 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
                     found += [(row, bundle, leaves) for bundle, leaves in opened.items()]
                 row, bundle, leaves = zip(*found, strict=True)
                 own = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(bundle, pa.int32()), pa.array(np.ones(len(row), np.int32)), pa.array(np.full(len(row), -1, np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.array(leaves, pa.list_(pa.int32()))], names=_MET)
+                yield pa.RecordBatch.from_arrays([pa.array(bundle, pa.int32()), pa.array(np.ones(len(row), np.int32)), pa.array(np.full(len(row), -1, np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.array(leaves, pa.list_(pa.int32())), batch.column(2).take(own)], names=_MET)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tree, where, own = (batch.column(i).to_numpy() for i in range(3))
             start, many = (np.array([c[t][x] for t, x in zip(tree, where, strict=True)], np.int64) for c in (first, parts))
             part = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % many.astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((start + part.astype(np.int64)).astype(np.int32)), pa.array(np.zeros(len(own), np.int32)), batch.column(1), batch.column(2), batch.column(3), pa.nulls(len(own), pa.list_(pa.int32()))], names=_MET)
+            yield pa.RecordBatch.from_arrays([pa.array((start + part.astype(np.int64)).astype(np.int32)), pa.array(np.zeros(len(own), np.int32)), batch.column(1), batch.column(2), batch.column(3), pa.nulls(len(own), pa.list_(pa.int32())), pa.nulls(len(own), pa.float64())], names=_MET)
 
-    columns = "bundle int, kind int, leaf int, id long, vec array<double>, leaves array<int>"
-    stored = index.where(F.col("tree") < len(forest)).join(classes.select("class", "vec"), "class").select("tree", "leaf", "class", "vec").mapInArrow(deal, columns)
-    met = asked.mapInArrow(visit, columns).unionByName(stored)
+    columns = "bundle int, kind int, leaf int, id long, vec array<double>, leaves array<int>, floor double"
+    stored = placed.mapInArrow(deal, columns)
+    met = asked.select("id", "vec", "floor").mapInArrow(visit, columns).unionByName(stored)
     met = met.repartition(min(tasks, total), "bundle").sortWithinPartitions("bundle", "kind", "leaf")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, now, held = Best(k + 1), None, []
         for batch in batches:
             bundle, kind, leaf, ids = (batch.column(i).to_numpy() for i in range(4))
-            points = _matrix(batch.column(4))
+            points, floors = _matrix(batch.column(4)), batch.column(6).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero((np.diff(bundle) != 0) | (np.diff(kind) != 0)) + 1
             for start, stop in zip([0, *edges], [*edges, len(ids)], strict=True):
                 if bundle[start] != now:
@@ -387,21 +418,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "v
                 order = np.argsort(flat, kind="stable")
                 for one, row in zip(*_runs(flat[order], asking[order]), strict=True):
                     low, high = np.searchsorted(held[0][0], [one, one + 1])
-                    if low < high and score_pairs(best, ids[row], points[row], held[0][1][low:high], held[0][2][low:high]):
+                    if low < high and score_pairs(best, ids[row], points[row], floors[row], held[0][1][low:high], held[0][2][low:high]):
                         best.cut()
                 if len(best.queries) > HELD_QUERIES:
                     yield from best.flush()
         yield from best.flush()
 
-    hits = met.mapInArrow(score, "query_id long, class long, score double").dropDuplicates(["query_id", "class"])
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
-    hits = hits.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
-    members = hits.join(classes.select("class", "ids"), "class").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.mapInArrow(score, "query_id long, class long, score double")
 
 
-_MET = ["bundle", "kind", "leaf", "id", "vec", "leaves"]
+_MET = ["bundle", "kind", "leaf", "id", "vec", "leaves", "floor"]
 
 
 def _gathered(column: pa.ChunkedArray) -> np.ndarray:

@@ -262,6 +262,41 @@ def test_neighbours_common_vector_and_clashing_columns(spark):
     assert neighbours.nearest(df, F.lit(False)).count() == 0
 
 
+def test_neighbours_hits_do_not_grow_with_tasks(spark):
+    """Half of all rows are near copies; the rows that leave the scoring tasks are a few hundred a query, however many tasks there are."""
+    rng = np.random.default_rng(10)
+    points = rng.normal(size=(3000, 16))
+    points[::2] = points[0] + 0.01 * rng.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>")
+
+    def made(plan):
+        """Rows out of the scoring nodes of an executed plan."""
+        name = plan.getClass().getSimpleName()
+        below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().apply("pythonNumRowsReceived").value() if name == "MapInArrowExec" and "score" in plan.toString().split("\n")[0] else 0
+        return own + sum(map(made, below))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = neighbours.nearest(df, F.col("id") % 20 == 0)
+        rows = found.collect()
+        hits = made(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < hits < 150 * 200, hits
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    right = 0
+    for q, own in got.items():
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        assert len(own) == 20 and all(abs(scores[v] - s) < 1e-9 for v, s in own.items())
+        right += len(set(own) & set(np.argsort(-scores)[:20].tolist()))
+    assert len(got) == 150 and right >= 0.9 * 20 * 150
+
+
 def test_bundles_hold_bounded_rows():
     sizes = np.array([3, 4, 5, 0, 25, 1, 10, 2])
     first, parts = neighbours.bundles(sizes, 10)
