@@ -57,6 +57,15 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, rows):
     assert docs.count() > 50
 
 
+def test_texts_reach_the_network_in_small_batches(spark, monkeypatch):
+    def label(net, texts):
+        return ["en"] * len(texts), np.full(len(texts), float(sum(map(len, texts)) < 5_000_000))
+
+    monkeypatch.setattr(langid, "label", label)
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('text ', 20000) AS text", "'en' AS lang", "'s' AS source", "100000L AS n_chars").coalesce(1)
+    assert corpus_pipeline.known_language(spark, docs, "").count() == 400
+
+
 def test_resembling_texts_are_found_exactly(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 200))] for _ in range(40)]
