@@ -75,24 +75,41 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return ranked.unionByName(tail).join(names, "lane").select("slot", "source", "rank")
 
 
-def blocks(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
-    """(source, rank, row, pass, start, length): the words that each block of a source takes.
+def stretches(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Columns of ``sizes``, pass, from, to: the words of its source's row that each document stands at, up to the target.
 
     A source's documents, shuffled by a checksum, stand in one row of words, twice
-    over in different orders; blocks of equal length cut that row, and words beyond
-    the target are left out. ``row`` names a document's row, ``start`` is counted
-    inside the document.
+    over in different orders; words beyond the target are left out.
     """
     wanted = targets.where("floor(target) > 0").select(F.struct("source").alias("key"), "source_size", F.floor("target").cast("long").alias("words"))
-    rows = sizes.where("size > 0").select(F.struct("source").alias("key"), "row", "doc_id", "size").join(wanted, "key")
+    own = [c for c in sizes.columns if c != "source"]
+    rows = sizes.where("size > 0").select(F.struct("source").alias("key"), *own).join(wanted, "key")
     passes = rows.withColumn("pass", F.explode(F.when(F.col("words") > F.col("source_size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     mark = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("pass").cast("string")))
-    shuffled = passes.select("key", "pass", "row", "size", "source_size", "words", mark.alias("mark")).withColumn("chunk", F.substring("mark", 1, 3))
+    shuffled = passes.select("key", *own, "pass", "source_size", "words", mark.alias("mark")).withColumn("chunk", F.substring("mark", 1, 3))
     laid = running_total(shuffled, ["key", "pass"], ["mark", "row"], "chunk", "size", "at")
     laid = laid.withColumn("from", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), "words")).where("to > from")
+    return laid.select(F.col("key.source").alias("source"), *own, "pass", "from", "to")
+
+
+def blocks(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """(source, rank, row, pass, start, length): the words that each block of a source takes.
+
+    Blocks of equal length cut the rows of words of ``stretches``. ``row`` names a
+    document's row, ``start`` is counted inside the document.
+    """
+    laid = stretches(sizes.select("row", "doc_id", "source", "size"), targets)
     cut = laid.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     low, high = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
-    return cut.select(F.col("key.source").alias("source"), "rank", "row", "pass", (low - F.col("from")).alias("start"), (high - low).alias("length"))
+    return cut.select("source", "rank", "row", "pass", (low - F.col("from")).alias("start"), (high - low).alias("length"))
+
+
+def sized_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, source, size, sig) of every row of ``docs``, written once."""
+    return stage(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("sig"),
+    ))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, max_block: int = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +125,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     separate documents. Documents are shuffled by a checksum of their id, so reruns
     agree. Empty tables give empty results. All targets are 0 if all sizes are.
     """
-    sized = stage(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("sig"),
-    ))
+    sized = sized_rows(docs)
     targets = stage(source_targets(sized, weights, share, limit))
     total, lanes = targets.agg(F.sum("target"), F.count("*")).first()
     block = int(max(1, min(max_block, (total or 0) // (max(1, lanes) * BLOCKS_PER_SOURCE))))
@@ -130,17 +144,18 @@ def taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     return rows.join(words, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, with all their columns.
 
     A document taken twice has two rows, one not taken has none. The document that
     a source's target cuts keeps its first words, joined by single spaces; every
     other text stays as it is. ``n_chars``, if present, follows the text. Rows that
-    share id and text are taken equally often.
+    share id and text are taken equally often. The words taken do not depend on the
+    slots that serve them, so no schedule is made.
     """
-    rows, pieces = mix(docs, **options)
-    words = pieces.groupBy("row", "pass").agg(F.sum("length").alias("words"))
-    takes = rows.join(words, "row").groupBy(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("source").alias("__source"), F.col("pass").alias("__pass")).agg(F.max("words").alias("__words"), F.max("size").alias("__size"))
+    sized = sized_rows(docs)
+    taken_words = stretches(sized, stage(source_targets(sized, weights, share, limit)))
+    takes = taken_words.groupBy(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("source").alias("__source"), F.col("pass").alias("__pass")).agg(F.max(F.col("to") - F.col("from")).alias("__words"), F.max("size").alias("__size"))
     text, full = F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (full == F.col("__sig")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__words").cast("int")), " ")

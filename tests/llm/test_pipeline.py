@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from forelake.llm import langid, mixing, pages, simhash
+from forelake.llm import common, langid, mixing, pages, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -170,3 +170,26 @@ def test_every_prefix_of_slots_is_near_the_shares(spark):
 def test_line_breaks_are_white_space_inside_their_block(spark):
     df = spark.createDataFrame([(1, "http://a.b/c", "<html><body><article><p>x<br>y<br/>z</p><p>w</p></article></body></html>")], "page_id long, url string, html string")
     assert pages.extract(df).first()["text"] == "x y z\nw"
+
+
+def test_mix_of_documents_plans_no_schedule(spark, rows, tmp_path):
+    """Each exchange is a thread of the driver for a minute, with memory of its own; the words taken are those of the mix's pieces."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    pieces = mixing.mix(docs)[1].groupBy("row", "pass").agg(F.sum("length").alias("words")).agg(F.count("*"), F.sum("words")).first()
+    mixed = mixing.mixed_documents(docs)
+    joins = mixed._jdf.queryExecution().sparkPlan().toString().count("Join ")
+    taken = mixed.select(F.regexp_count("text", F.lit(mixing.WORD)).alias("n")).agg(F.count("*"), F.sum("n")).first()
+    assert tuple(taken) == tuple(pieces)
+    # Before: 12, with the slots' cells, ranks and names.
+    assert joins <= 4
+
+
+def test_settled_components_need_no_further_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(common, "_star", lambda edges, star=common._star: rounds.append(1) or star(edges))
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(50)], "a long, b long")
+    assert sorted(map(tuple, common.connected(pairs, "a", "b").collect())) == sorted([(2 * i, 2 * i) for i in range(50)] + [(2 * i + 1, 2 * i) for i in range(50)])
+    assert len(rounds) == 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99), (-5, 100)], "a long, b long")
+    found = dict(map(tuple, common.connected(chain, "a", "b").collect()))
+    assert found == {i: 0 for i in range(41)} | {-5: -5, 99: -5, 100: -5}
