@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from forelake.llm.common import BLANKS, LAST_ID, doc_key, stage
 
 SHINGLE_WORDS = 5
 BINS, BITS = 128, 8
+#: Bins of an empty bin's random order that are tried from a table.
+PROBES = 8
 
 
 def with_shingles(rows: DataFrame, text: str, out: str, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -26,35 +30,54 @@ def with_shingles(rows: DataFrame, text: str, out: str, words: int = SHINGLE_WOR
 
 
 def minima(texts: DataFrame, keys: list[str], text: str, words: int = SHINGLE_WORDS, bins: int = BINS) -> DataFrame:
-    """``keys`` and ``minima``: (bin, value) of every bin that a shingle falls into, by bin.
+    """``keys`` and ``minima``: the least value of every bin, null where no shingle falls into it; null for a text without shingles.
 
     Each shingle is hashed once: the low bits choose its bin, the rest compete there.
-    ``texts`` should be partitioned by the first of ``keys``; then no shuffle follows.
+    Rows stay as they are: a text's hashes, its bin leading, are sorted in one array
+    together with a mark above all values of each bin, and the first of each bin stays.
     """
-    # explode_outer: a text without shingles keeps one row, without a hash.
-    rows = with_shingles(texts.select(*keys, text), text, "all", words).select(*keys, F.explode_outer("all").alias("s"))
-    hashed = rows.select(*keys, F.when(F.col("s").isNotNull(), F.xxhash64(*[F.col(f"s.w{i}") for i in range(words)])).alias("h"))
-    binned = hashed.select(*keys, F.pmod("h", F.lit(bins)).cast("int").alias("bin"), F.shiftrightunsigned("h", bins.bit_length() - 1).alias("value"))
-    least = binned.groupBy(*keys, "bin").agg(F.min("value").alias("value"))
-    return least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "value")))).alias("minima"))
+    width = bins.bit_length() - 1
+    top, mask = 64 - width, (1 << (64 - width)) - 1
+    # The bin stands in the leading bits, the highest of them turned so that signed numbers sort by bin.
+    marks = F.expr("array(" + ", ".join(f"{(j << top | mask) - 2**63}L" for j in range(bins)) + ")")
+    rows = with_shingles(texts.select(*keys, text), text, "all", words)
+    hashed = rows.select(*keys, F.transform("all", lambda s: F.xxhash64(s)).alias("h"))
+    turned = hashed.select(*keys, F.transform("h", lambda h: F.shiftleft(h, top).bitwiseOR(F.shiftrightunsigned(h, width)).bitwiseXOR(F.lit(-(2**63)))).alias("h"))
+    ordered = turned.select(*keys, (F.size("h") > 0).alias("some"), F.sort_array(F.concat("h", marks)).alias("h"))
+    first = lambda x, i: (i == 0) | (F.shiftright(x, top) != F.shiftright(F.get("h", i - 1), top))
+    least = ordered.select(*keys, "some", F.filter("h", first).alias("h"))
+    value = lambda x: F.when(x.bitwiseAND(F.lit(mask)) != mask, x.bitwiseAND(F.lit(mask)))
+    return least.select(*keys, F.when(F.col("some"), F.transform("h", value)).alias("minima"))
+
+
+def turns(bins: int, probes: int) -> list[list[int]]:
+    """The first ``probes`` bins in every empty bin's random order: bins by a hash of both."""
+    import xxhash
+
+    def turn(j: int, m: int) -> tuple[int, int]:
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", j), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", m), seed)
+        return h - 2**64 if h >= 2**63 else h, m
+
+    return [sorted(range(bins), key=lambda m: turn(j, m))[:probes] for j in range(bins)]
 
 
 def densified(found: Column, bins: int = BINS) -> Column:
-    """Array of one value per bin, or empty if no bin has one.
+    """Array of one value per bin, or empty if ``found`` is null; ``found`` should be a column, not computed here.
 
     An empty bin takes the value of the full bin that comes first in a random order
     of its own (a hash of both bins), so bins are filled independently of each other
-    and alike in every document.
+    and alike in every document. The first bins of each order are tried from a table;
+    where all are empty, the hashes of the full bins are compared.
     """
-    by_bin = F.map_from_entries(found)
+    order = turns(bins, PROBES)
+    tables = [F.expr("array(" + ", ".join(str(o[k]) for o in order) + ")") for k in range(min(PROBES, bins))]
 
-    def fill(j: Column) -> Column:
-        chosen = F.array_min(F.transform(found, lambda m: F.struct(F.xxhash64(j, m["bin"]).alias("turn"), m["bin"].alias("bin"), m["value"].alias("value"))))
-        return F.coalesce(F.element_at(by_bin, j), chosen["value"])
+    def fill(v: Column, j: Column) -> Column:
+        every = F.transform(found, lambda x, m: F.when(x.isNotNull(), F.struct(F.xxhash64(j, m).alias("turn"), m.alias("bin"), x.alias("value"))))
+        return F.coalesce(v, *[F.get(found, F.get(t, j)) for t in tables], F.array_min(every)["value"])
 
-    full = F.transform(found, lambda m: m["value"])
-    empty = F.array().cast("array<bigint>")
-    return F.when(F.size(found) == bins, full).when(F.size(found) == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), fill))
+    return F.when(found.isNull(), F.array().cast("array<bigint>")).otherwise(F.transform(found, fill))
 
 
 def low_bits(values: Column, bits: int = BITS) -> Column:
@@ -63,7 +86,8 @@ def low_bits(values: Column, bits: int = BITS) -> Column:
 
 def packed(low: Column, bits: int = BITS) -> Column:
     """The low bits of all bins as hexadecimal digits; empty without shingles."""
-    return F.lower(F.array_join(F.transform(low, lambda v: F.lpad(F.hex(v), bits // 4, "0")), ""))
+    digits = F.expr("array(" + ", ".join(f"'{v:0{bits // 4}x}'" for v in range(1 << bits)) + ")")
+    return F.array_join(F.transform(low, lambda v: F.get(digits, v)), "")
 
 
 def likeness(one: Column, other: Column, bins: int = BINS, bits: int = BITS) -> Column:

@@ -545,3 +545,24 @@ def test_fingerprints(docs, texts, empty):
     for i, t in enumerate(known):
         assert same.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]
     assert fingerprints.fingerprint_edits(empty).count() == 0
+
+
+def test_fingerprint_bins_are_filled_row_by_row(spark):
+    """A text's minima need no aggregate over rows of shingles; empty bins take the first full one of their order, however few are full."""
+    rng = random.Random(8)
+    texts = ["", " ", "one", "One two", *(" ".join(f"w{rng.randint(0, 500)}" for _ in range(n)) for n in (5, 6, 9, 20, 60, 200, 900, 3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    found = fingerprints.minima(docs, ["doc"], "text")
+    assert "Aggregate" not in found._jdf.queryExecution().sparkPlan().toString()
+    dense = {r["doc"]: r["v"] for r in found.select("doc", fingerprints.densified(F.col("minima")).alias("v")).collect()}
+    order = spark.range(128).select(F.col("id").cast("int").alias("j")).crossJoin(spark.range(128).select(F.col("id").cast("int").alias("m"))).select("j", "m", F.xxhash64("j", "m").alias("h")).collect()
+    turn = {(r["j"], r["m"]): r["h"] for r in order}
+    hashed = fingerprints.with_shingles(docs, "text", "s", 5).select("doc", F.explode("s").alias("s")).select("doc", F.xxhash64(*[F.col(f"s.w{i}") for i in range(5)]).alias("h")).collect()
+    for i in range(len(texts)):
+        least = {}
+        for r in hashed:
+            if r["doc"] == i:
+                m, v = r["h"] % 128, (r["h"] % 2**64) >> 7
+                least[m] = min(v, least.get(m, v))
+        want = [least[j] if j in least else least[min(least, key=lambda m: (turn[j, m], m))] for j in range(128)] if least else []
+        assert dense[i] == want, texts[i][:40]
