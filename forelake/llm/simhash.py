@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forelake.functions.joins import join_small
-from forelake.llm.common import LAST_ID, connected, doc_key, stage
+from forelake.llm.common import LAST_ID, doc_key, hanging, stage, stage_rows
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     """
     prints = stage(fingerprints(docs, words))
     classes = stage(prints.groupBy("fp").agg(F.min("doc").alias("first")))
-    reached = connected(near_links(classes, max_bits), "a", "b")
+    reached = hanging(stage_rows(near_links(classes, max_bits)), "a", "b")
     rooted = classes.join(reached, classes["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
@@ -333,31 +333,37 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def resembling(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The distinct ``pairs`` (a, b) of texts whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+    """The distinct ``pairs`` (a, b, further columns) of texts whose sets of shingles have a Jaccard similarity of ``least`` or more."""
     left = pairs.distinct().join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("one")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("other")), "b")
     shared = both.withColumn("shared", F.size(F.array_intersect("one", "other")))
-    return shared.where(F.col("shared") >= least * (F.size("one") + F.size("other") - F.col("shared")) - 1e-9).select("a", "b")
+    return shared.where(F.col("shared") >= least * (F.size("one") + F.size("other") - F.col("shared")) - 1e-9).select(*pairs.columns)
 
 
 def sharing(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): every pair of texts (sig, component) of different components that can reach ``least``.
+    """(a, b, low, high): every pair of texts (sig, component) of different components that can reach ``least``, and the components.
 
     A text's shingles are put in one order for all texts, rare ones first. Two sets of that
     similarity share one of the first n - ceil(least * n) + 1 of both, so only texts that do are
-    paired. Members of one component are never paired, however many share a shingle.
+    paired; and from the first shared one on, both hold as many shingles as two sets of these sizes must share. Members of one component are never paired, however many share a shingle.
     """
     texts = rows.select("sig", "component").distinct()
     held = stage(texts.join(sets, "sig").select("sig", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
     often = held.groupBy("shingle").agg(F.count("*").alias("often"), (F.min("component") != F.max("component")).alias("several"))
     place = F.row_number().over(Window.partitionBy("sig").orderBy("often", "shingle"))
     first = held.join(often, "shingle").withColumn("place", place)
-    first = stage(first.where(F.col("several") & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6) + 1)).select("shingle", "component", "sig", "n"))
+    first = stage(first.where(F.col("several") & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6) + 1)).select("shingle", "component", "sig", "n", (F.col("n") - F.col("place") + 1).alias("left")))
     lanes = first.select("shingle", "component").distinct()
     facing = lanes.select("shingle", F.col("component").alias("c1")).join(lanes.select("shingle", F.col("component").alias("c2")), "shingle").where("c1 < c2")
-    one, two = (first.select("shingle", F.col("component").alias(f"c{i}"), F.col("sig").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    met = facing.join(one, ["shingle", "c1"]).join(two, ["shingle", "c2"]).where(F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-6)
-    return met.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
+    one, two = (first.select("shingle", F.col("component").alias(f"c{i}"), F.col("sig").alias(f"s{i}"), F.col("n").alias(f"n{i}"), F.col("left").alias(f"l{i}")) for i in (1, 2))
+    enough = F.least("l1", "l2") >= least / (1 + least) * (F.col("n1") + F.col("n2")) - 1e-6
+    met = facing.join(one, ["shingle", "c1"]).join(two, ["shingle", "c2"]).where((F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-6) & enough)
+    return _pairs(met, "s1", "s2", "c1", "c2").distinct()
+
+
+def _pairs(rows: DataFrame, one: str, other: str, component: str, other_component: str) -> DataFrame:
+    """(a, b, low, high): texts and their components, each pair in ascending order."""
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), F.least(component, other_component).alias("low"), F.greatest(component, other_component).alias("high"))
 
 
 def resemblance_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -365,7 +371,7 @@ def resemblance_links(classes: DataFrame, texts: DataFrame, words: int, least: f
 
     classes: sig, bands, component; texts: sig, text, copies as they come. Texts of different components that share a band key are
     candidates, every text of a component by itself. Keys of up to ``PAIRED`` texts pair all of them. In a larger one the first text
-    meets all others, then the first of what is not connected with it, for ``ROUNDS`` rounds; that
+    meets all others of other components, then the first of what is not connected with it, for ``ROUNDS`` rounds; that
     connects large groups of near copies at the cost of as many pairs as texts. What is still of
     different components then meets through ``sharing``, which loses no pair. All pairs are compared exactly.
     """
@@ -376,36 +382,37 @@ def resemblance_links(classes: DataFrame, texts: DataFrame, words: int, least: f
     own = join_small(texts, rows.select("sig").distinct(), ["sig"], "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
     sets = stage(shingle_sets(own, words))
     few = rows.where(F.col("n") <= PAIRED)
-    one, two = (few.select("key", F.col("sig").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-    links = stage(resembling(one.join(two, "key").where("a < b and ca != cb").select("a", "b"), sets, least))
-    known = classes.select("sig", "component")
+    one, two = (few.select("key", F.col("sig").alias(f"s{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2))
+    pairs = _pairs(one.join(two, "key").where("s1 < s2 and c1 != c2"), "s1", "s2", "c1", "c2")
+    many = stage(rows.where(F.col("n") > PAIRED).select("key", "sig", F.col("component").alias("origin"), "component", F.lit(False).alias("met")))
+    links = None
 
-    def between(links: DataFrame) -> DataFrame:
-        found = links.join(known.withColumnsRenamed({"sig": "a", "component": "one"}), "a").join(known.withColumnsRenamed({"sig": "b", "component": "other"}), "b")
-        return found.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).where("a != b").distinct()
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = resembling(pairs, sets, least).select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+        return stage_rows(found if links is None else links.unionByName(found))
 
-    many = rows.where(F.col("n") > PAIRED).select("key", "sig", F.col("component").alias("origin")).withColumn("met", F.lit(False))
     for number in range(ROUNDS + 1):
-        # Components as all links so far leave them; keys within one component are settled.
-        roots = connected(between(links), "a", "b").select(F.col("node").alias("origin"), "root") if not links.isEmpty() else None
-        many = (many.join(roots, "origin", "left") if roots is not None else many.withColumn("root", F.lit(None).cast("long"))).withColumn("component", F.coalesce("root", "origin")).drop("root")
         if number:
-            tops = many.where("sig = head").select("key", F.col("component").alias("top"))
-            many = many.join(tops, "key", "left").withColumn("met", F.col("met") | F.coalesce(F.col("component") == F.col("top"), F.lit(False))).drop("head", "top")
-        open_keys = many.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        many = stage(many.join(open_keys, "key"))
+            # Components as all links so far leave them; keys within one component are settled.
+            roots = hanging(links, "a", "b")
+            links = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+            many = many.join(roots.withColumnRenamed("node", "origin"), "origin", "left").withColumn("component", F.coalesce("root", "origin")).drop("root")
+            held = many.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("sig") == F.col("head"), F.col("component"))).alias("top"))
+            many = many.join(held.where("low != high").select("key", "top"), "key")
+            many = stage(many.select("key", "sig", "origin", "component", (F.col("met") | F.coalesce(F.col("component") == F.col("top"), F.lit(False))).alias("met")))
         if many.isEmpty():
             break
         unmet = many.where("not met")
         if number == ROUNDS or unmet.isEmpty():
-            links = links.unionByName(stage(resembling(sharing(many, sets, least), sets, least)))
+            pairs = sharing(many, sets, least)
             break
         heads = unmet.groupBy("key").agg(F.min(F.struct("sig", "component")).alias("h")).select("key", F.col("h.sig").alias("head"), F.col("h.component").alias("top"))
         many = many.join(heads, "key", "left")
-        star = many.where("component != top").select(F.least("sig", "head").alias("a"), F.greatest("sig", "head").alias("b"))
-        links = links.unionByName(stage(resembling(star, sets, least)))
+        star = _pairs(many.where("component != top"), "sig", "head", "component", "top")
+        # The pairs of small keys are compared together with those of the first round.
+        links, pairs = linked(star if pairs is None else pairs.unionByName(star)), None
         many = many.drop("component", "top")
-    return between(links)
+    return links if pairs is None else linked(pairs)
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:
@@ -424,12 +431,12 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX
     firsts = rows.groupBy("sig").agg(F.min("doc").alias("first"))
     prints = stage(made.join(firsts, "sig"))
     classes = stage(prints.groupBy("fp").agg(F.min("first").alias("first")))
-    reached = connected(near_links(classes, max_bits), "a", "b")
+    reached = hanging(stage_rows(near_links(classes, max_bits)), "a", "b")
     rooted = stage(prints.join(reached, prints["fp"] == reached["node"], "left").select("sig", "first", "bands", F.coalesce("root", "fp").alias("component")))
     if least:
-        links = stage(resemblance_links(rooted, rows.select("sig", "text"), words, least))
+        links = resemblance_links(rooted, rows.select("sig", "text"), words, least)
         if not links.isEmpty():
-            wider = connected(links, "a", "b").select(F.col("node").alias("component"), "root")
+            wider = hanging(links, "a", "b").withColumnRenamed("node", "component")
             rooted = rooted.join(wider, "component", "left").select("sig", "first", F.coalesce("root", "component").alias("component"))
     # The component's rows of the smallest id stay; null ids stay only where no other is.
     least_id = rooted.groupBy("component").agg(F.min("first").alias("keep"))

@@ -193,3 +193,29 @@ def test_settled_components_need_no_further_round(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99), (-5, 100)], "a long, b long")
     found = dict(map(tuple, common.connected(chain, "a", "b").collect()))
     assert found == {i: 0 for i in range(41)} | {-5: -5, 99: -5, 100: -5}
+
+
+def test_a_round_of_components_reads_its_links_once_for_both_directions(spark, monkeypatch):
+    frame, plans = type(spark.range(1)), []
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(50)], "a long, b long")
+    write = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **b: plans.append(self._jdf.queryExecution().sparkPlan().toString()) or write(self, *a, **b))
+    assert common.connected(pairs, "a", "b").count() == 100
+    # Before: 4 joins, and 7 unions that each read the links, or all that they come from, once for every side.
+    assert [(p.count("Join "), p.count("Union")) for p in plans] == [(3, 0)]
+
+
+def test_links_are_read_by_few_tasks(spark):
+    many = spark.range(0, 45_000, 1, 64).selectExpr("id AS a", "id % 7 AS b")
+    assert common.stage_rows(many).rdd.getNumPartitions() == 3
+    assert common.stage_rows(many.limit(0)).count() == 0
+
+
+def test_shared_shingles_too_late_for_the_resemblance_pair_no_texts(spark):
+    """Thirty sets of 50 with their own rare shingles and a common rest: 45 common ones suffice for 0.8, 44 do not."""
+    for own, pairs in ((6, 0), (5, 435)):
+        sets = [[1000 * (i + 1) + k for k in range(own)] + list(range(50 - own)) for i in range(30)]
+        frame = spark.createDataFrame(list(enumerate(sets)), "sig long, shingles array<long>")
+        rows = spark.createDataFrame([(i, i) for i in range(30)], "sig long, component long")
+        # Before, 44 common ones paired all, since they begin within the prefix of eleven.
+        assert simhash.sharing(rows, frame, 0.8).count() == pairs
